@@ -47,7 +47,7 @@ WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, text FROM documents),
 s AS (SELECT src, src = 'n' AS isnull, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
-w AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY isnull, src) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
+w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY isnull, src) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (
   SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, isnull, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, isnull, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
