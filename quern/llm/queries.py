@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, sharding
+from quern.llm import mixing, sharding, simhash
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -23,6 +23,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("target", F.round("target", 6))
 
 
+@_query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -39,18 +45,18 @@ f{k} AS (
   SELECT x.src, x.doc_id, sum(x.size) OVER (PARTITION BY x.src ORDER BY x.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, r.room
   FROM x{p} x JOIN r{k} r USING (src) WHERE x.extra = 0 AND x.size > 0 AND x.size <= r.room),
 t{k} AS (SELECT src, doc_id FROM f{k} WHERE upto <= room),
-x{k} AS (SELECT x.*  REPLACE (CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE x.extra END AS extra) FROM x{p} x LEFT JOIN t{k} t ON x.src = t.src AND x.doc_id = t.doc_id)"""
+x{k} AS (SELECT x.src, x.doc_id, x.size, x.h, CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE x.extra END AS extra FROM x{p} x LEFT JOIN t{k} t ON x.src = t.src AND x.doc_id = t.doc_id)"""
 
 MIXING_SQL = (
     r"""
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, text FROM documents),
-s AS (SELECT src, src = 'n' AS isnull, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
-w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY isnull, src) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap FROM s),
+s AS (SELECT src, src = 'n' AS nul, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
+w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY nul, src) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, isnull, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(w) OVER (ORDER BY cap / w, isnull, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, nul, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, nul, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
 v AS (SELECT *, max(CASE WHEN lv * w <= cap THEN lv END) OVER () AS level FROM l),
 p AS (SELECT src, source_size, least(cap, coalesce(level * w, cap))::DOUBLE AS target FROM v),
 budget AS (
