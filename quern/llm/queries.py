@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, sharding, simhash
+from quern.llm import mixing, sharding, simhash, tiling
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -34,6 +34,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
