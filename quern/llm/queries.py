@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, sharding, simhash, tiling
+from quern.llm import mixing, quality, sharding, simhash, tiling
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -17,6 +17,12 @@ def _query(f):
     return f
 
 
+@_query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix_documents(table(spark, sf_dir, "documents"))
