@@ -196,30 +196,10 @@ def fit(p: np.ndarray, u: np.ndarray, cal: np.ndarray, y: np.ndarray, epochs: in
     a, c = 1.0, 0.0
     if len(y) and 0 < y.mean() < 1:
         z = ((cal - mean) * scale).clip(-8, 8) @ w + b
-        a, c = _logistic(z, y)
+        a, c = sampling.platt(z, y)
     return Model(mean, scale, w, b, a, c, prior)
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's map sigmoid(a z + c), a > 0, by Newton steps with his smoothed targets."""
-    pos, neg = (y == 1).sum(), (y == 0).sum()
-    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    sd = max(z.std(), 1e-9)
-    zz = (z - z.mean()) / sd
-    a, c = 1.0, float(np.log((pos + 1) / (neg + 1)))
-    for _ in range(50):
-        q = _sigmoid(a * zz + c)
-        r, h = q - t, q * (1 - q) + 1e-9
-        g = np.array([(r * zz).sum() + 1e-3 * a, r.sum()])
-        hess = np.array([[(h * zz * zz).sum() + 1e-3, (h * zz).sum()], [(h * zz).sum(), h.sum()]])
-        d = np.linalg.solve(hess, g)
-        a, c = a - np.clip(d[0], -2, 2), c - np.clip(d[1], -2, 2)
-        if abs(d).max() < 1e-9:
-            break
-    a = max(a, 1e-3)
-    return a / sd, c - a * z.mean() / sd
-
-
 def _rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Features of the documents in a bounded set of ids."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +22,23 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, value: int, train:
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").filter(train)
     marked = labels.filter(F.col(column) == value).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     return keys.join(marked, "doc_id", "left_semi").distinct()
+
+
+def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Platt's map sigmoid(a z + c), a > 0, by Newton steps with his smoothed targets."""
+    pos, neg = (y == 1).sum(), (y == 0).sum()
+    t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    sd = max(z.std(), 1e-9)
+    zz = (z - z.mean()) / sd
+    a, c = 1.0, float(np.log((pos + 1) / (neg + 1)))
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-np.clip(a * zz + c, -40, 40)))
+        r, h = q - t, q * (1 - q) + 1e-9
+        g = np.array([(r * zz).sum() + 1e-3 * a, r.sum()])
+        hess = np.array([[(h * zz * zz).sum() + 1e-3, (h * zz).sum()], [(h * zz).sum(), h.sum()]])
+        d = np.linalg.solve(hess, g)
+        a, c = a - np.clip(d[0], -2, 2), c - np.clip(d[1], -2, 2)
+        if abs(d).max() < 1e-9:
+            break
+    a = max(a, 1e-3)
+    return a / sd, c - a * z.mean() / sd
