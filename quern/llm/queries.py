@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, quality, sharding, simhash, tiling, toxicity
+from quern.llm import langid, mixing, quality, sharding, simhash, tiling, toxicity
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -29,6 +29,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumn("target", F.round("target", 6))
 
 
+@_query
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
