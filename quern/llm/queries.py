@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, mixing, quality, sharding, simhash, tiling, toxicity
+from quern.llm import langid, licenses, mixing, quality, sharding, simhash, tiling, toxicity
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -46,6 +46,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
 @_query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
