@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, licenses, mixing, quality, sharding, simhash, tiling, toxicity
+from quern.llm import crosspolytope, langid, licenses, mixing, quality, sharding, simhash, tiling, toxicity
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -41,6 +41,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op5_crosspolytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return crosspolytope.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
