@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import crosspolytope, langid, licenses, mixing, quality, sharding, simhash, tiling, toxicity
+from quern.llm import crosspolytope, langid, licenses, mixing, quality, sharding, simhash, tiling, toxicity, wrapper
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -52,6 +52,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
