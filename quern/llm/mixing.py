@@ -50,8 +50,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, bud
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))))
 
 
-def _fill(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
-    """The rows (_src, _h, size) that the budgets (_src, _left) take: those below each source's nested threshold.
+def _fill(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+    """The rows (_src, _h, _size) that the budgets (_src, _left) take: those below each source's nested threshold.
 
     Returns (_src, _cut): take rows with _h < _cut. The boundary bucket is refined LEVELS times; the document on
     the boundary is not taken. A budget that covers the whole source gives a cut above every hash.
@@ -61,11 +61,11 @@ def _fill(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     for _ in range(LEVELS):
         shift -= BITS
         span = 1 << (shift + BITS)
-        inside = rows.join(state, "_src").filter(f"_h >= _lo AND _h < _lo + {span} AND _left > 0")
-        b = inside.groupBy("_src", F.expr(f"_h div {1 << shift}").alias("_b")).agg(F.sum("size").alias("_n"))
+        inside = rows.join(small(state), "_src").filter(f"_h >= _lo AND _h < _lo + {span} AND _left > 0")
+        b = inside.groupBy("_src", F.expr(f"_h div {1 << shift}").alias("_b")).agg(F.sum("_size").alias("_n"))
         w = Window.partitionBy("_src").orderBy("_b")
         b = b.withColumn("_to", F.sum("_n").over(w))
-        b = b.join(state, "_src").filter("_to > _left")
+        b = b.join(small(state), "_src").filter("_to > _left")
         first = b.groupBy("_src").agg(F.min_by(F.struct("_b", (F.col("_to") - F.col("_n")).alias("_used")), F.col("_b")).alias("_x"))
         state = (
             state.join(first, "_src", "left")
@@ -77,49 +77,82 @@ def _fill(rows: DataFrame, budgets: DataFrame, seed: int) -> DataFrame:
     return state.select("_src", F.col("_lo").alias("_cut"))
 
 
-def mix(rows: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29) -> DataFrame:
-    """rows (key, source, size) -> plus source_size, target, copies (int), taken = copies * size.
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has few rows; otherwise as it is, and the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    copies is at most max_repeat. Rows of size 0 cost nothing: they take the whole passes of their source and one
-    more copy if their hash is below the threshold. Null source: a source of its own. Equal rows have equal
-    hashes and are taken together, at most max_repeat times each. Empty table: empty result.
+
+def tagged(df: DataFrame, key: str, source: str, size, seed: int) -> DataFrame:
+    """df plus _null, _src, _size and _h: what a plan is made from and applied to."""
+    # the first 48 bits of an MD5 digest, which any SQL engine can repeat
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_size").cast("string"))
+    named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+    out = df.withColumn("_size", size.cast("long")).withColumn("_null", F.col(source).isNull()).withColumn("_src", named)
+    return out.withColumn("_h", F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long"))
+
+
+def _extra(rounds: int):
+    """Whether a row is below its source's threshold: in the first fill, or in a later one for rows that fit its rest."""
+    e = F.expr("_h < _cut0")
+    for r in range(1, rounds + 1):
+        e = e | F.expr(f"_size > 0 AND _size <= _room{r} AND _h < _cut{r}")
+    return e
+
+
+def plan(base: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0) -> DataFrame:
+    """One row per source of tagged rows: source_size, target, whole passes and thresholds. Written to shared storage."""
+    sizes = base.groupBy("_src", "_null").agg(F.sum("_size").alias("source_size"))
+    p = targets(sizes, weights, max_repeat, budget).select("_src", "source_size", "target")
+    p = p.withColumn("_full", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat))).otherwise(F.lit(0)).cast("int"))
+    p = cut(p.withColumn("_left", F.when(F.col("_full") < max_repeat, F.floor(F.col("target") - F.col("_full") * F.col("source_size"))).otherwise(F.lit(0)).cast("long")), "mix")
+    p = cut(p.join(_fill(base, p.select("_src", "_left")).withColumnRenamed("_cut", "_cut0"), "_src"), "mix")
+    for r in range(1, ROUNDS + 1):
+        marked = base.join(small(p), "_src").withColumn("_extra", _extra(r - 1))
+        used = marked.filter("_extra").groupBy("_src").agg(F.sum("_size").alias("_used"))
+        rest = cut(p.select("_src", "_left").join(used, "_src", "left").select("_src", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left")), "mix")
+        fits = marked.filter("NOT _extra AND _size > 0").select("_src", "_h", "_size").join(small(rest), "_src").filter("_size <= _left").drop("_left")
+        found = _fill(fits, rest).select("_src", F.col("_cut").alias(f"_cut{r}"))
+        p = cut(p.join(rest.withColumnRenamed("_left", f"_room{r}"), "_src").join(found, "_src"), "mix")
+    return p
+
+
+def copies(df: DataFrame, p: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
+    """Tagged rows plus source_size, target and copies, by the plan alone: rows are not shuffled where it is small."""
+    out = df.join(small(p), "_src")
+    n = F.col("_full") + F.when((F.col("_full") < max_repeat) & _extra(ROUNDS), F.lit(1)).otherwise(F.lit(0))
+    return out.withColumn("_copies", n.cast("int"))
+
+
+def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29) -> DataFrame:
+    """rows plus source_size, target, copies (int) and taken = copies * size. `rows` should be narrow: it is written once.
+
+    copies is at most max_repeat. Rows of size 0 (or null size) cost nothing: they take the whole passes of their
+    source and one more copy if their hash is below the threshold. Null source: a source of its own. Rows of equal
+    key and size have equal hashes and are taken together. Empty table: empty result.
     """
     kept = rows.columns
-    # the first 48 bits of an MD5 digest, which any SQL engine can repeat
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("key").cast("string"), F.lit("")), F.col("size").cast("string"))
-    hashed = F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    base = cut(
-        rows.withColumn("_null", F.col("source").isNull()).withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).withColumn("_h", hashed), "mix"
-    )
-    sizes = base.groupBy("_src", "_null").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, max_repeat, budget).select("_src", "source_size", "target")
-    plan = plan.withColumn("_full", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat))).otherwise(F.lit(0)).cast("int"))
-    plan = plan.withColumn("_left", F.when(F.col("_full") < max_repeat, F.floor(F.col("target") - F.col("_full") * F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = cut(plan, "mix")
-    cuts = _fill(base, plan.select("_src", "_left"), seed)
-    marked = base.join(cuts, "_src").withColumn("_extra", F.expr("_h < _cut").cast("int")).drop("_cut")
-    for _ in range(ROUNDS):
-        marked = cut(marked, "mix")
-        used = marked.filter("_extra = 1").groupBy("_src").agg(F.sum("size").alias("_used"))
-        rest = plan.select("_src", "_left").join(used, "_src", "left").select("_src", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left"))
-        fits = marked.filter("_extra = 0 AND size > 0").join(rest, "_src").filter("size <= _left").select("_src", "_h", "size")
-        cuts = _fill(fits, rest, seed).join(rest.withColumnRenamed("_left", "_room"), "_src")
-        marked = (
-            marked.join(cuts, "_src", "left")
-            .withColumn("_extra", F.when(F.expr("_extra = 0 AND size > 0 AND size <= _room AND _h < _cut"), F.lit(1)).otherwise(F.col("_extra")))
-            .drop("_cut", "_room")
-        )
-    out = marked.join(plan.select("_src", "source_size", "target", "_full"), "_src")
-    out = out.withColumn("copies", (F.col("_full") + F.when(F.col("_full") < max_repeat, F.col("_extra")).otherwise(F.lit(0))).cast("int"))
-    return out.select(*kept, "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    base = cut(tagged(rows, key, source, F.coalesce(F.col(size), F.lit(0)), seed), "mix")
+    out = copies(base, plan(base, weights, max_repeat, budget), max_repeat)
+    return out.select(*kept, "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
+
+
+def words():
+    """Words of the text column; none for a null text."""
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size (words), source_size, target, taken, copies, source. Null texts have size 0."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("key"),
-        F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    )
-    m = mix(rows, **options)
-    return m.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", "copies", "source")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
+    return mix(rows, **options).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29) -> DataFrame:
+    """The mixture itself: each row of docs, all columns, as many times as the mix takes it."""
+    kept = docs.columns
+    base = cut(tagged(docs.select("doc_id", "source", "text"), "doc_id", "source", words(), seed).select("_src", "_null", "_size", "_h"), "mix")
+    p = plan(base, weights, max_repeat, budget)
+    rows = docs.select([F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(kept)] + [F.col(c) for c in ("doc_id", "source", "text")])
+    out = copies(tagged(rows, "doc_id", "source", words(), seed), p, max_repeat).filter("_copies > 0")
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return out.select([F.col(f"k_{i}").alias(c) for i, c in enumerate(kept)])

@@ -250,3 +250,15 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     model = train(docs, labels, sampling.fold(folds) != held)
     s = score(docs, model)
     return s.select("doc_id", (sampling.fold(folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score is threshold or more. Null texts are scored as empty ones."""
+    shared, where = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            keep = shared.value.scores(b.column(where)) >= threshold
+            yield b if keep.all() else b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

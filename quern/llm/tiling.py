@@ -186,8 +186,19 @@ def blocks(items: DataFrame, k: int, max_words: int):
         yield Index(ids, texts, k)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that no item contaminates. A doc_id names one document; rows without a doc_id
-    cannot be named in a decision and stay."""
-    bad = contaminated(docs, items, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("_bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, max_words: int = MAX_WORDS) -> DataFrame:
+    """The rows of docs, all columns, that no item contaminates. Rows are judged where they stand: nothing is shuffled.
+    Null and empty texts stay."""
+    out, where = docs, docs.columns.index("text")
+    for index in blocks(items, min_match, max_words):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for found in matches(shared.value, b.column(where), coverage):
+                    keep[found[0]] = False
+                yield b if keep.all() else b.filter(pa.array(keep))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
