@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "q1_hybrid_search"
+MODULES = ["q_retrieval", "q_analytics"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
@@ -25,9 +27,16 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"quern.plans.{name}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
