@@ -10,7 +10,7 @@ profit from calling positives unlabelled. Last, scores are put on the probabilit
 map fitted to labelled training rows.
 
 Inputs of a score are byte statistics of the whole text: shares of character kinds, word lengths, repetition of
-words and lines, and hashed 4-grams of character kinds. The model (a few thousand numbers) is broadcast.
+words and lines, and hashed 4-grams of character kinds. The model (a few hundred numbers) is broadcast.
 The samples are bounded by MAX_POSITIVE, MAX_UNLABELLED and MAX_CALIBRATION rows; everything else covers all rows.
 """
 
@@ -29,7 +29,8 @@ from quern.llm import textkernel as tk
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 5000
 MAX_CALIBRATION = 3000
-KINDS = 1 << 11
+KIND_BITS = 9
+KINDS = 1 << KIND_BITS
 THRESHOLD = 0.3
 
 _KIND = np.zeros(256, np.uint32)
@@ -78,7 +79,7 @@ def _piece(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     )
     if len(data) >= 4:
         g = (kind[:-3] << 18) | (kind[1:-2] << 12) | (kind[2:-1] << 6) | kind[3:]
-        g = (g * np.uint32(0x9E3779B1)) >> np.uint32(32 - 11)
+        g = (g * np.uint32(0x9E3779B1)) >> np.uint32(32 - KIND_BITS)
     else:
         g = np.zeros(0, np.uint32)
     return d, g
@@ -177,7 +178,8 @@ def fit(p: np.ndarray, u: np.ndarray, cal: np.ndarray, y: np.ndarray, epochs: in
     zp, zu = ((p - mean) * scale).clip(-8, 8), ((u - mean) * scale).clip(-8, 8)
     prior = estimate_prior(zp, zu, seed)
     x = np.concatenate([zp, zu])
-    pos = np.concatenate([np.ones(len(zp), bool), np.zeros(len(zu), bool)])
+    del both, zp, zu
+    pos = np.arange(len(x)) < len(p)
 
     def grad(z, at):
         i = pos[at]
