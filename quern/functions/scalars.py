@@ -111,7 +111,7 @@ def parse_since(text: Column) -> Column:
     that the calendar does not have."""
     t = F.trim(text)
     ok = t.rlike(r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$")
-    return F.when(ok, F.try_to_timestamp(t))
+    return F.when(ok, F.try_to_timestamp(F.regexp_replace(t, r"(T\d{2}:\d{2})(?=Z|[+-]|$)", "$1:00")))
 
 
 def overlap_budget(max_tokens: Column, reserve: Column, heading_tokens: Column, least: int = 16) -> Column:
