@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -20,7 +19,7 @@ _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 def estimate_tokens(text: str) -> int:
     """A quarter of the length in UTF-16 units, rounded up."""
-    return math.ceil((len(text) + sum(c > "￿" for c in text)) / 4)
+    return -(-(len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2) // 4)
 
 
 @dataclass

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quern.session import small
 
 RRF_K = 60
 CANDIDATES = 50
@@ -31,17 +36,72 @@ def rrf(rank: str | Column, k: int = RRF_K) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(float(k)) + rank), F.lit(0.0))
 
 
-def dense(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, id_col: str = "chunk_id", ties: tuple[str, ...] = ()) -> DataFrame:
-    """The k chunks nearest to each question by cosine, with a total order: query_id, id, dense_rank, cosine.
+QUESTION_BLOCK = 4096
+
+
+def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows in double precision (a zero vector stays zero) and which rows have a vector."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    ok = np.asarray(col.is_valid())
+    n = int(ok.sum())
+    flat = np.asarray(col.drop_null().flatten(), np.float64)
+    x = flat.reshape(n, -1) if n else np.zeros((0, 0))
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), ok
+
+
+def dense(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, ids: tuple[str, ...] = ("chunk_id",), digits: int | None = None) -> DataFrame:
+    """The k chunks nearest to each question by cosine: query_id, ids, dense_rank, cosine. Ties fall to the ids in order.
 
-    Every chunk is scored against every question of the batch, a stated set. The batch is broadcast when it is small
-    (a checked count of questions), so that chunks stay where they are; per question only k rows per task are shuffled.
+    Exact: every chunk meets every question, in blocks. Questions are read in blocks of QUESTION_BLOCK, each broadcast
+    as one matrix; a batch of chunks is one matrix product, reduced to k rows per question where it stands, so that
+    only those are shuffled. digits rounds cosines before they are compared. Rows without a vector take no part.
     """
-    q = questions.select("query_id", F.col("embedding").alias("_q"))
-    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
-    scored = chunks.join(q).select("query_id", id_col, *ties, cosine("embedding", "_q").alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), *ties, id_col)
-    return scored.withColumn("dense_rank", F.row_number().over(w)).filter(F.col("dense_rank") <= k).select("query_id", id_col, "dense_rank", "cosine")
+    schema = T.StructType([T.StructField("query_id", questions.schema["query_id"].dataType), *[chunks.schema[c] for c in ids], T.StructField("cosine", T.DoubleType())])
+    narrow = chunks.select("embedding", *ids)
+    found, block = None, []
+
+    def near(rows: list) -> DataFrame:
+        names = [r[0] for r in rows]
+        q, _ = _matrix(pa.array([list(r[1]) for r in rows], pa.list_(pa.float64())))
+        shared = chunks.sparkSession.sparkContext.broadcast((names, q))
+
+        def run(batches):
+            for b in batches:
+                asked, m = shared.value
+                x, ok = _matrix(b.column(0))
+                if not len(x):
+                    continue
+                at = np.flatnonzero(ok)
+                keys = [np.asarray(b.column(1 + i).take(pa.array(at))) for i in range(len(ids))]
+                where, who, score = [], [], []
+                for lo in range(0, len(m), 256):
+                    s = m[lo : lo + 256] @ x.T
+                    if digits is not None:
+                        s = np.round(s, digits)
+                    kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    for i in range(len(s)):
+                        c = np.flatnonzero(s[i] >= kth[i])
+                        if len(c) > k:
+                            c = c[np.lexsort([*[key[c] for key in reversed(keys)], -s[i][c]])][:k]
+                        where.append(at[c])
+                        who += [asked[lo + i]] * len(c)
+                        score.append(s[i][c])
+                rows_at = pa.array(np.concatenate(where))
+                yield pa.RecordBatch.from_arrays([pa.array(who), *[b.column(1 + i).take(rows_at) for i in range(len(ids))], pa.array(np.concatenate(score))], names=schema.names)
+
+        return narrow.mapInArrow(run, schema)
+
+    for r in questions.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
+        block.append(r)
+        if len(block) == QUESTION_BLOCK:
+            part = near(block)
+            found, block = part if found is None else found.unionByName(part), []
+    if block or found is None:
+        part = near(block) if block else chunks.sparkSession.createDataFrame([], schema)
+        found = part if found is None else found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), *ids)
+    return found.withColumn("dense_rank", F.row_number().over(w)).filter(F.col("dense_rank") <= k).select("query_id", *ids, "dense_rank", "cosine")
 
 
 def common_threshold(chunks: DataFrame, by: str = "project", share: float = COMMON_SHARE, least: int = COMMON_LEAST) -> DataFrame:
@@ -50,9 +110,12 @@ def common_threshold(chunks: DataFrame, by: str = "project", share: float = COMM
     return t.withColumn("common_at", F.greatest(F.ceil(F.col("total") * F.lit(share)), F.lit(least)).cast("long"))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """config, term, doc_id, chunk_index, tf, length: one row per distinct term of a chunk."""
+def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """config, term, doc_id, chunk_index, tf, length: one row per distinct term of a chunk. With questions, only for
+    their terms: the others go before anything is shuffled, if the terms are few enough to be broadcast."""
     t = chunks.select("config", "doc_id", "chunk_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    if questions is not None:
+        t = t.join(small(questions.select("config", F.explode("tokens").alias("term")).distinct()), ["config", "term"])
     return t.groupBy("config", "term", "doc_id", "chunk_index", "length").agg(F.count("*").alias("tf"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
 from quern.plans import adapters as A
 from quern.plans.registry import register
 from quern.plans.sqlbook import sql
-from quern.session import table
+from quern.session import ship, table
 
 _COS = "list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _DENSE = f"""dense AS (SELECT query_id, vec_id, dense_rank, cosine FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS cosine,
@@ -19,7 +18,8 @@ _DENSE = f"""dense AS (SELECT query_id, vec_id, dense_rank, cosine FROM (SELECT
 
 def _dense(spark, sf_dir, k=50):
     e = table(spark, sf_dir, "embeddings")
-    return R.dense(e, e.filter("vec_id % 25 = 3").withColumnRenamed("vec_id", "query_id"), k, "vec_id")
+    ship(spark)
+    return R.dense(e, e.filter("vec_id % 25 = 3").withColumnRenamed("vec_id", "query_id"), k, ("vec_id",))
 
 
 @register("t1_dense_topk", f"WITH {_DENSE} SELECT query_id, vec_id, dense_rank, round(cosine, 6) AS cosine FROM dense WHERE dense_rank <= 10")
@@ -59,14 +59,16 @@ def _questions(spark, sf_dir):
 
 def _lexical(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
-    posts = R.postings(chunks)
-    return R.lexical(posts, R.kept_terms(posts, _questions(spark, sf_dir), R.common_threshold(chunks)))
+    asked = _questions(spark, sf_dir)
+    posts = R.postings(chunks, asked)
+    return R.lexical(posts, R.kept_terms(posts, asked, R.common_threshold(chunks)))
 
 
 @register("a2_document_frequency_terms", f"WITH {_TERMS} SELECT query_id, config, term, df FROM terms")
 def a2(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
-    return R.kept_terms(R.postings(chunks), _questions(spark, sf_dir), R.common_threshold(chunks))
+    asked = _questions(spark, sf_dir)
+    return R.kept_terms(R.postings(chunks, asked), asked, R.common_threshold(chunks))
 
 
 @register("a1_common_term_threshold", f"WITH {A.CHUNKS} SELECT project, count(*) AS total, greatest(ceil(count(*) * 0.05), 10)::BIGINT AS common_at FROM chunks GROUP BY project")
@@ -109,13 +111,10 @@ def _order():
 def _fused(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
     scope = chunks.filter(F.col("source").isin("src1", "src2", "src3"))
-    q = _questions(spark, sf_dir).select("query_id", "text").distinct().withColumn("v", _bag(F.lower("text")))
-    q = F.broadcast(q) if q.limit(10_001).count() <= 10_000 else q
-    c = scope.select("doc_id", "chunk_index", _bag(F.lower("content")).alias("w"))
-    zero = R.dot("w", "w") == 0
-    scored = c.join(q.select("query_id", "v")).select("query_id", "doc_id", "chunk_index", F.when(zero, 0.0).otherwise(R.cosine("w", "v")).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "chunk_index", "doc_id")
-    dense = scored.withColumn("dense_rank", F.row_number().over(w)).filter("dense_rank <= 50")
+    ship(spark)
+    q = _questions(spark, sf_dir).select("query_id", "text").distinct().select("query_id", _bag(F.lower("text")).alias("embedding"))
+    c = scope.select("doc_id", "chunk_index", _bag(F.lower("content")).alias("embedding"))
+    dense = R.dense(c, q, 50, ("chunk_index", "doc_id"), digits=9)
     lex = _lexical(spark, sf_dir).join(scope.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("query_id", "doc_id", "chunk_index").agg(F.min("lexical_rank").alias("lexical_rank"))
     return R.fuse(dense.drop("cosine"), lex, ["query_id", "doc_id", "chunk_index"])
 

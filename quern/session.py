@@ -10,6 +10,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -77,3 +78,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join("quern", os.path.relpath(full, root)))
     sc.addPyFile(where)
     _SHIPPED.add(sc.applicationId)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if a count shows that it has few rows; otherwise as it is, and a join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
