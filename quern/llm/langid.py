@@ -27,7 +27,8 @@ from quern.llm import textkernel as tk
 ORDER = 3
 MAX_ROWS = 400
 MAX_SYMBOLS = 127
-MAX_STATES = 20_000
+MAX_STATES = 6_000
+PIECE = 1 << 18
 MIN_COUNT = 8
 UNDETERMINED = "und"
 _PAD = 0x0A
@@ -44,7 +45,7 @@ class Model:
     def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language."""
         out = np.zeros((len(off) - 1, len(self.langs)))
-        if len(data) == 0:
+        if len(data) == 0 or not self.langs:
             return out
         x = self.symbol[data]
         pad = self.symbol[_PAD]
@@ -84,6 +85,8 @@ def _count(texts: list[bytes], symbol: np.ndarray, size: int, order: int):
 def fit(samples: dict[str, list[bytes]]) -> Model:
     """The model of the languages' sample texts; languages in code-point order."""
     langs = sorted(samples)
+    if not langs:
+        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
     seen = np.zeros(256, np.int64)
     for texts in samples.values():
         for t in texts:
@@ -156,7 +159,7 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language of each text and the share its code length gives it against the others' (uniform prior)."""
     names, scores = [], np.zeros(len(texts))
-    for i, _, data, off in tk.pieces(texts):
+    for i, _, data, off in tk.pieces(texts, PIECE):
         bits = model.lengths(data, off)
         ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
         for k in range(len(off) - 1):

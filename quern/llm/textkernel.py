@@ -33,7 +33,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW[0], _POW[1]
 
 
-def pieces(texts: pa.Array):
+def pieces(texts: pa.Array, size: int = PIECE):
     """(first row, last row + 1, bytes, offsets) of consecutive pieces; null texts count as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -48,7 +48,7 @@ def pieces(texts: pa.Array):
     data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         j = min(j, n)
         yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
