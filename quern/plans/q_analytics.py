@@ -148,6 +148,6 @@ sql("f18_keyset_page", "SELECT event_id, user_id, ts FROM {events} WHERE struct(
 sql("f19_null_partition", f"{_L} SELECT query_id FROM log WHERE floor IS NULL")
 sql("k13_question_export", f"{_L} SELECT query_norm, concat('q-', substring(sha256(query_norm), 1, 12)) AS id, count(*) AS asked, concat('asked ', CAST(count(*) AS STRING), ' times') AS note FROM log GROUP BY query_norm".replace("sha256(query_norm)", "sha2(query_norm, 256)"), f"{_L} SELECT query_norm, concat('q-', substring(sha256(query_norm), 1, 12)) AS id, count(*) AS asked, concat('asked ', CAST(count(*) AS VARCHAR), ' times') AS note FROM log GROUP BY query_norm")
 sql("z12_oldest_and_counts", f"{_L} SELECT model, min(created_at) AS oldest, count(*) AS n FROM log GROUP BY model")
-sql("z18_rate_cost", "SELECT user_id, k, sum(cost) AS cost FROM (SELECT user_id, explode(array(struct('requests' AS k, 1 AS cost), struct('tools' AS k, CASE WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS cost))) AS x FROM {events}) LATERAL VIEW inline(array(x)) t AS k, cost GROUP BY user_id, k", "SELECT user_id, k, sum(cost) AS cost FROM (SELECT user_id, 'requests' AS k, 1 AS cost FROM events UNION ALL SELECT user_id, 'tools', CASE WHEN event_type = 'purchase' THEN 2 ELSE 0 END FROM events) GROUP BY user_id, k")
+sql("z18_rate_cost", "SELECT user_id, k, CAST(sum(cost) AS BIGINT) AS cost FROM (SELECT user_id, explode(array(struct('requests' AS k, 1 AS cost), struct('tools' AS k, CASE WHEN event_type = 'purchase' THEN 2 ELSE 0 END AS cost))) AS x FROM {events}) LATERAL VIEW inline(array(x)) t AS k, cost GROUP BY user_id, k", "SELECT user_id, k, CAST(sum(cost) AS BIGINT) AS cost FROM (SELECT user_id, 'requests' AS k, 1 AS cost FROM events UNION ALL SELECT user_id, 'tools', CASE WHEN event_type = 'purchase' THEN 2 ELSE 0 END FROM events) GROUP BY user_id, k")
 sql("q9_audit_facets", "SELECT 'type' AS facet, event_type AS value, count(*) AS n FROM {events} GROUP BY event_type UNION ALL SELECT 'user', CAST(user_id AS STRING), count(*) FROM {events} GROUP BY user_id", "SELECT 'type' AS facet, event_type AS value, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'user', CAST(user_id AS VARCHAR), count(*) FROM events GROUP BY user_id")
 sql("z17_audit_phrasing", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'joined' WHEN 'purchase' THEN 'bought' WHEN 'error' THEN 'ran into an error' ELSE concat('did ', event_type) END AS phrase FROM {events}")

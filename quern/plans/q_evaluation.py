@@ -116,10 +116,10 @@ sql("t11_deterministic_sample", "SELECT doc_id, md5(CAST(doc_id AS STRING)) AS h
 sql("q12_gate_verdict", f"{_R}, m AS (SELECT avg(CASE WHEN rank < 5 THEN 1.0 ELSE 0.0 END) AS r5, avg(CASE WHEN heading IS NOT NULL THEN CASE WHEN heading_rank < 5 THEN 1.0 ELSE 0.0 END END) AS h5 FROM run) SELECT r5 >= 0.675 AS recall_ok, h5 >= 0.650 AS heading_ok FROM m")
 sql("z4_probe_floor", f"{_S}, f AS (SELECT max(score) AS floor FROM samples WHERE truth = 0 AND doc_id % 2 = 0) SELECT kind, round(avg(CASE WHEN score < floor THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS refused FROM samples, f WHERE doc_id % 2 = 1 GROUP BY kind")
 sql("z5_feature_threshold", f"{_S}, f AS (SELECT min(score) AS t FROM samples WHERE truth = 1) SELECT kind, round(avg(CASE WHEN truth = 0 AND score < t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS caught FROM samples, f GROUP BY kind")
-sql("z3_slice_comparison", f"{_R}, b AS (SELECT key, toxic AS slice, coalesce(rank < 5, false) AS before, coalesce(key * 3 % 11 < 5, false) AS now FROM run) SELECT slice, count(*) AS n, count_if(now AND NOT before) AS gained, count_if(before AND NOT now) AS lost, count_if(now) AS hits, count_if(now) * 1000 > count(*) * 400 AS gate FROM b GROUP BY slice")
-sql("n7_unbounded_total", "SELECT label, count(*) AS n, sum(count(*)) OVER () AS total FROM {embeddings} GROUP BY label")
+sql("z3_slice_comparison", f"{_R}, b AS (SELECT key, toxic AS slice, coalesce(rank < 5, false) AS before, coalesce(key * 3 % 11 < 5, false) AS now FROM run) SELECT slice, count(*) AS n, CAST(count_if(now AND NOT before) AS BIGINT) AS gained, CAST(count_if(before AND NOT now) AS BIGINT) AS lost, CAST(count_if(now) AS BIGINT) AS hits, count_if(now) * 1000 > count(*) * 400 AS gate FROM b GROUP BY slice")
+sql("n7_unbounded_total", "SELECT label, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM {embeddings} GROUP BY label")
 sql("z7_first_per_group", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM {documents}) x WHERE n = 1")
 sql("j20_known_files", "SELECT conv_id FROM (SELECT DISTINCT conv_id FROM {conversations}) c WHERE NOT EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = c.conv_id)")
-sql("a12_scoped_totals", "SELECT count(*) AS n, coalesce(sum(n_chars), 0) AS chars FROM {documents} WHERE lang = 'fr' AND source = 'src3'")
+sql("a12_scoped_totals", "SELECT count(*) AS n, CAST(coalesce(sum(n_chars), 0) AS BIGINT) AS chars FROM {documents} WHERE lang = 'fr' AND source = 'src3'")
 sql("v5_rrf_score", "SELECT n_nationkey, round(1D / (60 + n_nationkey), 9) AS score FROM {nation}", "SELECT n_nationkey, round(1::DOUBLE / (60 + n_nationkey), 9) AS score FROM nation")
 sql("v1_cosine_pairs", "SELECT a.vec_id AS a, b.vec_id AS b, round(aggregate(zip_with(a.embedding, b.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x), 5) AS dot FROM {embeddings} a JOIN {embeddings} b ON b.vec_id = a.vec_id + 1", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS dot FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")

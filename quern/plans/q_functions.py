@@ -114,10 +114,10 @@ def w2(spark, sf_dir):
     return p.select("page_id", F.inline(W.sitemap_entries(xml)))
 
 
-@register("w3_markdown_links", "SELECT page_id, [regexp_replace(url, '[)].*$', '')] AS links FROM pages")
+@register("w3_markdown_links", "SELECT page_id, regexp_replace(url, '[)].*$', '') AS links FROM pages")
 def w3(spark, sf_dir):
     text = F.concat(F.lit("[a]("), "url", F.lit(") ```\n[b](https://no.example/)\n``` [c]("), "url", F.lit(")"))
-    return table(spark, sf_dir, "pages").select("page_id", W.markdown_links(text).alias("links"))
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(W.markdown_links(text), " ").alias("links"))
 
 
 @register("w4_anchors", "SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) AS href FROM pages")

@@ -150,11 +150,11 @@ sql("j17_relex_config", "SELECT d.doc_id, coalesce(m.cfg, 'simple') AS config FR
 sql("j18_delete_beyond_top", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n > 10")
 sql("k4_k5_meta_update", "SELECT d.doc_id, coalesce(n.url, concat('old/', d.doc_id)) AS url, CASE WHEN d.source = 'src4' THEN '' ELSE md5(d.text) END AS content_hash FROM {documents} d LEFT JOIN (SELECT page_id, url FROM {pages}) n ON n.page_id = d.doc_id")
 sql("a11_findings_by_rule", "SELECT event_type AS rule, count(*) AS findings, count(DISTINCT user_id) AS documents, count(DISTINCT CASE WHEN value > 100 THEN user_id END) AS d1, count(DISTINCT CASE WHEN value > 200 THEN user_id END) AS d2, count(DISTINCT CASE WHEN value < 1 THEN user_id END) AS d3, count(DISTINCT CASE WHEN event_id % 2 = 0 THEN user_id END) AS d4 FROM {events} GROUP BY event_type")
-sql("a13_recounts", "SELECT lang, source, count(*) AS documents, sum(size(split(text, '\\n'))) AS chunks FROM {documents} GROUP BY lang, source", "SELECT lang, source, count(*) AS documents, sum(len(string_split(text, chr(10)))) AS chunks FROM documents GROUP BY lang, source")
-sql("a14_source_freshness", "SELECT o_orderpriority, min(o_orderdate) AS oldest, count_if(o_orderstatus = 'P') AS never FROM {orders} GROUP BY o_orderpriority")
+sql("a13_recounts", "SELECT lang, source, count(*) AS documents, CAST(sum(size(split(text, '\\n'))) AS BIGINT) AS chunks FROM {documents} GROUP BY lang, source", "SELECT lang, source, count(*) AS documents, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS chunks FROM documents GROUP BY lang, source")
+sql("a14_source_freshness", "SELECT o_orderpriority, min(o_orderdate) AS oldest, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS never FROM {orders} GROUP BY o_orderpriority")
 sql("a26_distinct_facets", "SELECT DISTINCT lang, source FROM {documents}")
 sql("a27_existence_probe", "SELECT count(*) > 0 AS found FROM (SELECT 1 AS one FROM {documents} WHERE lang = 'fr' LIMIT 1) x")
-sql("a28_directory_grouping", f"{_D} SELECT regexp_replace(relative_path, '/[^/]*$', '') AS dir, count(*) AS documents, sum(n_chars) AS chars FROM docs GROUP BY 1")
+sql("a28_directory_grouping", f"{_D} SELECT regexp_replace(relative_path, '/[^/]*$', '') AS dir, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM docs GROUP BY 1")
 sql("a3_ordered_aggregation", "SELECT n_regionkey, listagg(n_name, ' | ') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ' | ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql("n1_dense_rank_list", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderdate, o_orderkey) AS r FROM {orders} WHERE o_custkey < 50")
 sql("n5_competition_rank", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS r FROM {customer}")

@@ -197,12 +197,12 @@ def v2(spark, sf_dir):
 
 @register(
     "v4_hashed_bag_embedding",
-    "SELECT doc_id, lower(text) AS t, [" + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::INT" for c in "aeiou") + "] AS bag FROM documents WHERE doc_id % 10 = 1",
+    "SELECT doc_id, lower(text) AS t, array_to_string([" + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::INT" for c in "aeiou") + "], ',') AS bag FROM documents WHERE doc_id % 10 = 1",
 )
 def v4(spark, sf_dir):
     d = table(spark, sf_dir, "documents").filter("doc_id % 10 = 1")
     t = F.lower("text")
-    return d.select("doc_id", t.alias("t"), F.array(*[F.length(t) - F.length(F.replace(t, F.lit(c), F.lit(""))) for c in "aeiou"]).alias("bag"))
+    return d.select("doc_id", t.alias("t"), F.concat_ws(",", *[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("string") for c in "aeiou"]).alias("bag"))
 
 
 @register(

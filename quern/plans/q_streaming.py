@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import chunker, convert, pii
 from quern.plans import adapters as A
+from quern.operators import service
 from quern.plans.registry import register
 from quern.session import ship, table
 from quern.streaming import jobs
@@ -46,3 +47,32 @@ def c3(spark, sf_dir):
     ship(spark)
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     return convert.convert_table(p)
+
+
+@register("q3_read_documents", None)
+def q3(spark, sf_dir):
+    """Requests by exact path and by suffix, over all documents split into passages."""
+    ship(spark)
+    d = A.documents(spark, sf_dir)
+    passages = chunker.chunk_table(d).withColumnRenamed("path", "relative_path")
+    exact = d.filter("doc_id % 20 = 3").select(F.col("relative_path").alias("path"))
+    ends = d.filter("doc_id % 20 = 7").select(F.concat("doc_id", F.lit(".md")).alias("path"))
+    return service.read_documents(passages, exact.unionByName(ends).withColumn("heading", F.lit(None).cast("string")), 400)
+
+
+@register(
+    "q5_accepted_reports",
+    """SELECT reporter, query, note, created_at FROM (SELECT user_id AS reporter, 'question ' || event_id AS query, substring(event_type, 1, 4) AS note, ts AS created_at,
+ count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '7199.999999 seconds' PRECEDING AND CURRENT ROW) AS n,
+ count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS h FROM events) WHERE h <= 1""",
+)
+def q5(spark, sf_dir):
+    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("reporter"), F.concat(F.lit("question "), "event_id").alias("query"), F.col("event_type").alias("note"), F.col("ts").alias("created_at"))
+    return service.accepted_reports(r, 1, note_limit=4)
+
+
+@register("e1_passage_embeddings", None)
+def e1(spark, sf_dir):
+    ship(spark)
+    c = A.chunks(spark, sf_dir).filter("source = 'src3'").select("doc_id", "chunk_index", "content")
+    return service.embed(c, F.col("content"), service.bag_of_words(64), "passage: ").drop("content")
