@@ -8,7 +8,7 @@ from quern.functions import chunker, convert, pii
 from quern.plans import adapters as A
 from quern.operators import service
 from quern.plans.registry import register
-from quern.session import ship, table
+from quern.session import ship, spread, table
 from quern.streaming import jobs
 
 
@@ -33,20 +33,20 @@ def r6(spark, sf_dir):
 @register("c1_chunk_documents", None)
 def c1(spark, sf_dir):
     ship(spark)
-    return chunker.chunk_table(A.documents(spark, sf_dir))
+    return chunker.chunk_table(spread(A.documents(spark, sf_dir).select("relative_path", "content")))
 
 
 @register("c17_pii_findings", None)
 def c17(spark, sf_dir):
     ship(spark)
-    return pii.scan_table(table(spark, sf_dir, "documents"))
+    return pii.scan_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 @register("c3_c11_convert_pages", None)
 def c3(spark, sf_dir):
     ship(spark)
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return convert.convert_table(p)
+    return convert.convert_table(spread(p))
 
 
 @register("q3_read_documents", None)

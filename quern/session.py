@@ -83,3 +83,10 @@ def ship(spark: SparkSession) -> None:
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """df marked for broadcast if a count shows that it has few rows; otherwise as it is, and a join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it is read from fewer files than there are cores (a small input in one row group would
+    keep one core busy); inputs of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
