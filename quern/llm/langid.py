@@ -28,7 +28,6 @@ ORDER = 3
 MAX_ROWS = 400
 MAX_SYMBOLS = 127
 MAX_STATES = 6_000
-PIECE = 1 << 18
 MIN_COUNT = 8
 UNDETERMINED = "und"
 _PAD = 0x0A
@@ -159,7 +158,7 @@ _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
     """The language of each text and the share its code length gives it against the others' (uniform prior)."""
     names, scores = [], np.zeros(len(texts))
-    for i, _, data, off in tk.pieces(texts, PIECE):
+    for i, _, data, off in tk.pieces(texts):
         bits = model.lengths(data, off)
         ascii_letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
         for k in range(len(off) - 1):
@@ -181,7 +180,7 @@ def train(docs: DataFrame, in_training: Column, max_rows: int = MAX_ROWS) -> Mod
     samples: dict[str, list[bytes]] = {}
     for lang in langs:
         ids = sampling.bounded(keys.filter(F.col("lang") == lang).select("doc_id").distinct(), max_rows, seed=31)
-        texts = docs.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").filter("text IS NOT NULL")
+        texts = docs.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").filter("text IS NOT NULL").dropDuplicates(["doc_id"])
         samples[lang] = [r[1].encode() for r in sorted(texts.collect())]
     return fit(samples)
 

@@ -211,7 +211,8 @@ def _rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
                 x = features(b.column(0))
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
 
-    wanted = docs.join(F.broadcast(ids), docs["doc_id"] == ids["doc_id"], "left_semi").select("text")
+    # one row an id: a repeated id must not lift the bound of the sample
+    wanted = docs.join(F.broadcast(ids), docs["doc_id"] == ids["doc_id"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).select("text")
     got = [r[0] for r in wanted.mapInArrow(run, "x binary").collect()]
     return np.frombuffer(b"".join(got), np.float32).reshape(len(got), N_DENSE + KINDS) if got else np.zeros((0, N_DENSE + KINDS), np.float32)
 

@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_toxic=MAX
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in features(b.column(0))], pa.binary()), b.column(2)], names=["y", "x", "doc_id"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "y", "doc_id").mapInArrow(run, "y int, x binary, doc_id long").collect()
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "y", "doc_id").dropDuplicates(["doc_id", "y"]).mapInArrow(run, "y int, x binary, doc_id long").collect()
     got.sort(key=lambda r: (r[2], r[0], r[1]))
     return fit([np.frombuffer(r[1], np.int32) for r in got], np.array([r[0] for r in got]))
 
