@@ -16,12 +16,14 @@ broadcast and pages are not shuffled; beyond it pages are joined with them by ho
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import pickle
 import re
 import zlib
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,6 +164,82 @@ def _close(stack: list[Node], tags: set[str], until: set[str]) -> None:
             return
 
 
+def _align(p: list[Node], q: list[Node], score) -> tuple[int, list]:
+    """1 and the largest sum of scores of an order-preserving pairing of two child lists, with its pairs.
+
+    Only rows of the recurrence are held: beyond DP_CELLS cells the list is halved (Hirschberg), in linear memory.
+    """
+    value: dict[tuple[int, int], int] = {}
+    where: dict[str, list[int]] = {}
+    for j, d in enumerate(q):
+        where.setdefault(d.label, []).append(j)
+
+    def weight(i: int, j: int) -> int:
+        if p[i].label != q[j].label:
+            return 0
+        if not p[i].children or not q[j].children:
+            return 1
+        if (i, j) not in value:
+            value[i, j] = score(p[i], q[j])
+        return value[i, j]
+
+    def last_row(rows: range, cols: range) -> np.ndarray:
+        """The recurrence's last row over the children named, in their order; only equal labels are looked at."""
+        at, back = cols[0], cols.step < 0
+        lo, hi = min(cols), max(cols) + 1
+        row = np.zeros(len(cols) + 1, np.int64)
+        for i in rows:
+            own = where.get(p[i].label, [])
+            js = own[bisect.bisect_left(own, lo) : bisect.bisect_left(own, hi)]
+            if not js:
+                continue
+            k = np.array(js)
+            k = (at - k)[::-1] if back else k - at
+            if p[i].children:
+                w = np.array([weight(i, j) for j in (reversed(js) if back else js)])
+            else:
+                w = 1
+            new = row.copy()
+            new[k + 1] = np.maximum(new[k + 1], row[k] + w)
+            row = np.maximum.accumulate(new)
+        return row
+
+    pairs: list[tuple[int, int]] = []
+    todo = [(0, len(p), 0, len(q))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if b - a > 1 and (b - a) * (d - c) > DP_CELLS:
+            mid = (a + b) // 2
+            left = last_row(range(a, mid), range(c, d))
+            right = last_row(range(b - 1, mid - 1, -1), range(d - 1, c - 1, -1))
+            cut_at = c + int((left + right[::-1]).argmax())
+            todo += [(mid, b, cut_at, d), (a, mid, c, cut_at)]
+            continue
+        if b - a == 1:  # one child: its best partner, the last of equal ones
+            best = max(((weight(a, j), j) for j in where.get(p[a].label, []) if c <= j < d), default=(0, 0))
+            if best[0]:
+                pairs.append((a, best[1]))
+            continue
+        m = [[0] * (d - c + 1) for _ in range(b - a + 1)]
+        for i in range(b - a):
+            for j in range(d - c):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + weight(a + i, c + j))
+        found, i, j = [], b - a, d - c
+        while i and j:
+            w = weight(a + i - 1, c + j - 1)
+            if w and m[i][j] == m[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                found.append((a + i, c + j))
+            elif m[i][j] == m[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+        pairs += found[::-1]
+    return 1 + sum(weight(i, j) for i, j in pairs), pairs
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of the largest order-preserving top-down mapping of two trees (simple tree matching)."""
     memo: dict[tuple[int, int], tuple[int, list]] = {}
@@ -175,17 +253,12 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         p, q = x.children, y.children
         if not p or not q:
             memo[key] = (1, [])
-        elif len(p) * len(q) > DP_CELLS:  # long lists: the i-th child of a label with the i-th of the same label
-            seen: dict[str, list[int]] = {}
-            for j, c in enumerate(q):
-                seen.setdefault(c.label, []).append(j)
-            pairs, used = [], {}
-            for i, c in enumerate(p):
-                k = used.get(c.label, 0)
-                if k < len(seen.get(c.label, ())):
-                    pairs.append((i, seen[c.label][k]))
-                    used[c.label] = k + 1
-            memo[key] = (1 + sum(score(p[i], q[j])[0] for i, j in pairs), pairs)
+        else:
+            memo[key] = _align(p, q, lambda c, d: score(c, d)[0])
+        return memo[key]
+        p, q = x.children, y.children
+        if not p or not q:
+            memo[key] = (1, [])
         else:
             w = [[score(c, d)[0] for d in q] for c in p]
             m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
