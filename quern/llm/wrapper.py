@@ -1,10 +1,12 @@
 """Main-text extraction by wrapper induction.
 
-Pages are parsed to trees of block elements. From up to REFERENCES pages of a host (those with the smallest hash of
-their id) one wrapper is induced: the trees are aligned with the first of them by simple tree matching, and a text
-slot that holds the same text in every aligned page, in MIN_SUPPORT pages at least, is a constant of the template;
-other slots vary. Pages whose varying text is the same count once, so that copies of one article do not turn it
-into template. Every page of the host is then aligned with the wrapper, and constant slots are dropped.
+Pages are parsed to trees of block elements. Of each host, and of each layout of a host (pages with the same label
+paths), up to REFERENCES pages of distinct text are taken (those with the smallest hash of their text) and one wrapper
+is induced: the trees are aligned with the first of them by simple tree matching, and a text slot that holds the same
+text in every aligned page, in MIN_SUPPORT pages at least, is a constant of the template; other slots vary. Pages
+whose text is the same count once, before the choice, so that copies of one article neither turn it into template nor
+take the places of others. Every page is then aligned with its host's and its layout's wrapper, and constant slots
+are dropped.
 
 What varies but is not the article is told by the elements themselves: menus, headers, footers, sidebars, forms
 and the like by tag or by the words of their class, id or role; if a page has an article or main element, only
@@ -25,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -317,7 +320,7 @@ def induce(pages: list[str]) -> bytes:
     trees = [parse(p) for p in pages]
     distinct, seen = [], set()
     for t in trees:
-        texts = tuple(main_text(t, None))
+        texts = tuple(main_text(t))
         if texts not in seen:
             seen.add(texts)
             distinct.append(t)
@@ -339,10 +342,32 @@ def induce(pages: list[str]) -> bytes:
     return pickle.dumps([(depth, x.tag, x.names, constants(x)) for depth, x in _preorder(base)])
 
 
-def main_text(tree: Node, wrapper: Node | None) -> list[str]:
-    """The blocks of the main text, in page order."""
+def layout(tree: Node) -> int:
+    """Hash of the label paths of a page: how often a path occurs, and all text, leaves it unchanged."""
+    paths, trail = set(), []
+    for depth, x in _preorder(tree):
+        del trail[depth:]
+        trail.append(xxhash.xxh64_intdigest(x.label.encode(), trail[-1] if trail else 0))
+        paths.add(trail[-1])
+    return _signed(xxhash.xxh64_intdigest(repr(sorted(paths)).encode()) | 1)  # 0 stands for the whole host
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _facts(page: str) -> tuple[int, int]:
+    """Hash of the blocks of text before any template is dropped, and the layout."""
+    tree = parse(page)
+    return _signed(xxhash.xxh64_intdigest("\0".join(main_text(tree)).encode())), layout(tree)
+
+
+def main_text(tree: Node, *wrappers: Node | None) -> list[str]:
+    """The blocks of the main text, in page order; what any of the wrappers holds as constant is dropped."""
     constant: set[tuple[int, int]] = set()
-    if wrapper is not None:
+    for wrapper in wrappers:
+        if wrapper is None:
+            continue
         for x, y in match(wrapper, tree):
             for k, (_, text, _) in enumerate(y.slots):
                 if k < len(x.slots) and x.slots[k] and x.slots[k] == _hash(text):
@@ -390,50 +415,82 @@ def extract(pages: DataFrame, references: int = REFERENCES, broadcast_bytes: int
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    w = Window.partitionBy("host").orderBy(F.xxhash64("page_id", "url"), "page_id")
-    chosen = rows.filter("html IS NOT NULL AND page_id IS NOT NULL").select("host", "page_id", "url").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= references)
-    # a few ids per host: where they are few in all, pages stay where they are
-    chosen = small(cut(chosen.select("page_id", "host", "_r"), "wrapper-refs"))
-    refs = rows.filter("html IS NOT NULL").select("page_id", "host", "html").join(chosen, ["page_id", "host"])
+    rows = rows.withColumn("_p", F.xxhash64("page_id", F.isnull("page_id"), "url", "html"))
+
+    def described(batches):
+        for b in batches:
+            found = [_deep(_facts, h) for h in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["host", "_p", "_text", "layout"])
+
+    # copies of a text count once, so that they take no other page's place
+    facts = rows.filter("html IS NOT NULL").select("host", "_p", "html").mapInArrow(described, "host string, _p long, _text long, layout long")
+    distinct = cut(facts.groupBy("host", "layout", "_text").agg(F.min("_p").alias("_p")), "wrapper-texts")
+    whole = distinct.groupBy("host", "_text").agg(F.min("_p").alias("_p")).withColumn("layout", F.lit(0).cast("long"))
+    # layouts get a wrapper of their own if they can support constants and are not all of their host
+    per = distinct.groupBy("host", "layout").agg(F.count("*").alias("_n"))
+    every = distinct.groupBy("host").agg(F.count("*").alias("_all"))
+    own = distinct.join(per.join(every, "host").filter(f"_n >= {MIN_SUPPORT} AND _n < _all").select("host", "layout"), ["host", "layout"], "left_semi")
+    w = Window.partitionBy("host", "layout").orderBy("_text", "_p")
+    chosen = whole.unionByName(own).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= references)
+    # a few rows per layout: where they are few in all, pages stay where they are
+    chosen = small(cut(chosen.select("_p", "host", "layout", "_r"), "wrapper-refs"))
+    refs = rows.filter("html IS NOT NULL").select("_p", "host", "html").join(chosen, ["_p", "host"]).dropDuplicates(["host", "layout", "_p"])
 
     def wrappers(t: pa.Table) -> pa.Table:
         order = sorted(zip(t.column("_r").to_pylist(), t.column("html").to_pylist()))
-        return pa.table({"host": t.column("host").slice(0, 1), "wrapper": pa.array([_deep(induce, [x for _, x in order])], pa.binary())})
+        return pa.table({"host": t.column("host").slice(0, 1), "layout": t.column("layout").slice(0, 1), "wrapper": pa.array([_deep(induce, [x for _, x in order])], pa.binary())})
 
-    made = cut(refs.groupBy("host").applyInArrow(wrappers, "host string, wrapper binary"), "wrappers")
+    made = cut(refs.groupBy("host", "layout").applyInArrow(wrappers, "host string, layout long, wrapper binary"), "wrappers")
     held = made.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
     schema = "page_id long, url string, text string, n_chars long"
 
     def results(ids, urls, htmls, packed):
+        """packed: per page a function that gives the wrapper of a layout (0: of the host), or none."""
         cache: dict[bytes, Node] = {}
         texts = []
-        for h, p in zip(htmls, packed):
-            if p is not None and p not in cache:
+
+        def wrapper(p: bytes | None) -> Node | None:
+            if not p:
+                return None
+            if p not in cache:
                 if len(cache) > 1000:
                     cache.clear()
-                cache[p] = _tree(pickle.loads(p)) if p else None
-            texts.append("\n".join(_deep(_page, h, cache.get(p))) if h else "")
+                cache[p] = _tree(pickle.loads(p))
+            return cache[p]
+
+        for h, find in zip(htmls, packed):
+            texts.append("\n".join(_deep(_page, h, lambda k, find=find: wrapper(find(k)))) if h else "")
         return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     if held <= broadcast_bytes:
-        shared = pages.sparkSession.sparkContext.broadcast({r[0]: bytes(r[1]) for r in made.toLocalIterator()})
+        shared = pages.sparkSession.sparkContext.broadcast({(r[0], r[1]): bytes(r[2]) for r in made.toLocalIterator()})
 
         def run(batches):
             for b in batches:
                 hosts = b.column(3).to_pylist()
-                yield results(b.column(0), b.column(1), b.column(2).to_pylist(), [shared.value.get(h) for h in hosts])
+                yield results(b.column(0), b.column(1), b.column(2).to_pylist(), [lambda k, h=h: shared.value.get((h, k)) for h in hosts])
+
+        return rows.select("page_id", "url", "html", "host").mapInArrow(run, schema)
 
-        return rows.mapInArrow(run, schema)
+    def laid_out(batches):
+        for b in batches:
+            keys = [_deep(_facts, h)[1] if h else None for h in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(keys, pa.int64())], names=["page_id", "url", "html", "host", "layout"])
 
     def joined(batches):
         for b in batches:
-            yield results(b.column(0), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist())
+            both = zip(b.column(3).to_pylist(), b.column(4).to_pylist())
+            yield results(b.column(0), b.column(1), b.column(2).to_pylist(), [lambda k, x=x, y=y: y if k else x for x, y in both])
 
-    return rows.join(made, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(joined, schema)
+    keyed = rows.select("page_id", "url", "html", "host").mapInArrow(laid_out, "page_id long, url string, html string, host string, layout long")
+    keyed = keyed.join(made.filter("layout = 0").select("host", "wrapper"), "host", "left")
+    keyed = keyed.join(made.filter("layout <> 0").select("host", "layout", F.col("wrapper").alias("_own")), ["host", "layout"], "left")
+    return keyed.select("page_id", "url", "html", "wrapper", "_own").mapInArrow(joined, schema)
 
 
-def _page(html: str, wrapper: Node | None) -> list[str]:
-    return main_text(parse(html), wrapper)
+def _page(html: str, find) -> list[str]:
+    tree = parse(html)
+    return main_text(tree, find(0), find(layout(tree)))
 
 
 def _deep(f, *args):

@@ -43,3 +43,17 @@ def test_closing_block_of_a_long_page_is_aligned():
     pairs = {id(x): y for x, y in wrapper.match(a, b)}
     assert pairs[id(a.children[1000])] is b.children[60]
     assert len(pairs) == 64
+
+
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, -1])
+def test_copies_and_second_layouts_get_their_template(spark, broadcast_bytes):
+    def page(i, story):
+        if i % 3:
+            return f"<body><div>Company line</div><div><p>{story}</div><div>All rights reserved</div>"
+        return f"<body><table><tr><td>Other layout line</table><section><p>{story}</section><table><tr><td>Closing line</table>"
+
+    stories = ["one and the same article" if i < 180 else f"article {i}" for i in range(210)]
+    rows = [(i, f"http://host.example/{i}", page(i, s)) for i, s in enumerate(stories)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in wrapper.extract(pages, broadcast_bytes=broadcast_bytes).collect()}
+    assert got == dict(enumerate(stories))
