@@ -1,9 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 In each of TABLES tables a fast pseudo-rotation (three rounds of seeded sign flips and a Hadamard transform) turns a
-unit vector, whose hash is the signed axis nearest to it. A query probes, in every table, the PROBES axes it is
-nearest to; what it meets there is scored exactly on the original vectors. If vectors differ in length, the largest
-inner product is brought to the sphere first: rows get one more component that fills them up to the longest.
+unit vector, whose hash is the signed axis nearest to it. A query probes, in every table, the PROBES of 128 axes it is
+nearest to (the same share of more axes); what it meets there is scored exactly on the original vectors. If vectors
+differ in length, the largest inner product is brought to the sphere first: rows are split into bands of squared length
+between two powers of two, and get one more component that fills them up to the end of their band; a query probes
+every band. A query that meets fewer than k rows (or all candidates, if they are fewer) is scored against all rows.
 
 A bucket can hold any number of rows: it is cut into chunks of bounded size by a hash of the id, and so are the
 queries that probe it; each (chunk of rows, chunk of queries) is one block, scored by one matrix product and
@@ -76,47 +78,50 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, tables: int = TAB
     source = table.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     norms = source.select(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")).alias("n2")).filter("n2 > 0 AND n2 < double('infinity')")
     low, high = norms.agg(F.min("n2"), F.max("n2")).first()
-    schema = "id long, dim int, vec binary, hash array<int>, probe array<int>"
+    schema = "id long, dim int, band int, vec binary, hash array<int>, probe array<int>"
     if low is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fill = high if high > low * (1 + 1e-4) else None
+    uneven = high > low * (1 + 1e-4)
 
     def index(batches):
         for b in batches:
             ids = b.column(0).to_numpy()
             for rows, x in _matrix(b.column(1)):
-                data = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-                asked = data
-                if fill is not None:
-                    rest = np.sqrt(np.maximum(0, fill - (x * x).sum(axis=1, keepdims=True)))
-                    data = np.concatenate([x, rest], axis=1) / math.sqrt(fill)
+                n2 = (x * x).sum(axis=1, keepdims=True)
+                asked = data = x / np.sqrt(n2)
+                band = np.zeros(len(x), np.int64)
+                if uneven:
+                    share, power = np.frexp(n2)  # n2 = share * 2**power, share in [0.5, 1)
+                    band = power[:, 0]
+                    data = np.concatenate([data * np.sqrt(share), np.sqrt(1 - share)], axis=1)
                     asked = np.concatenate([asked, np.zeros((len(x), 1))], axis=1)
+                many = math.ceil(probes * max(1, (2 << max(1, math.ceil(math.log2(max(2, data.shape[1]))))) / 128))
                 own = np.concatenate([axes(data, t, seed, 1) for t in range(tables)], axis=1)
                 q = np.flatnonzero(ids[rows] % every == 0)
-                wide = np.stack([axes(asked[q], t, seed, probes) for t in range(tables)], axis=1) if len(q) else None
+                wide = np.stack([axes(asked[q], t, seed, many) for t in range(tables)], axis=1) if len(q) else None
                 probe: list = [None] * len(rows)
                 for n, i in enumerate(q.tolist()):
                     probe[i] = wide[n].reshape(-1).tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), pa.array(np.full(len(rows), x.shape[1]), pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(probe, pa.list_(pa.int32()))],
-                    names=["id", "dim", "vec", "hash", "probe"],
+                    [pa.array(ids[rows]), pa.array(np.full(len(rows), x.shape[1]), pa.int32()), pa.array(band, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(own.tolist(), pa.list_(pa.int32())), pa.array(probe, pa.list_(pa.int32()))],
+                    names=["id", "dim", "band", "vec", "hash", "probe"],
                 )
 
     ix = cut(source.mapInArrow(index, schema), "ann-index")
     n = ix.count()
     block = int(min(MAX_BLOCK, max(MIN_BLOCK, n // 64)))
     at = ["dim", "tbl", "bucket"]
-    rows = ix.select("id", "dim", "vec", F.posexplode("hash").alias("tbl", "bucket"))
+    rows = ix.select("id", "dim", "band", "vec", F.posexplode("hash").alias("tbl", "bucket"))
     width = F.array_size("probe") / F.lit(tables)
     asks = ix.filter("probe IS NOT NULL").select("id", "dim", "vec", width.alias("_w"), F.posexplode("probe").alias("_p", "bucket"))
     asks = asks.withColumn("tbl", F.floor(F.col("_p") / F.col("_w")).cast("int")).drop("_w", "_p")
-    held = rows.groupBy(*at).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_rc"))
+    held = rows.groupBy(*at, "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_rc"))
     asked = asks.groupBy(*at).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_qc"))
     shape = held.join(asked, at)  # a bucket that nobody probes is left out
     part = lambda m: F.pmod(F.xxhash64("id"), F.col(m)).cast("int")
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    r = rows.join(shape, at).select(*at, part("_rc").alias("rc"), spread("_qc").alias("qc"), F.lit(False).alias("ask"), "id", "vec")
-    q = asks.join(shape, at).select(*at, spread("_rc").alias("rc"), part("_qc").alias("qc"), F.lit(True).alias("ask"), "id", "vec")
+    r = rows.join(shape, [*at, "band"]).select(*at, "band", part("_rc").alias("rc"), spread("_qc").alias("qc"), F.lit(False).alias("ask"), "id", "vec")
+    q = asks.join(shape, at).select(*at, "band", spread("_rc").alias("rc"), part("_qc").alias("qc"), F.lit(True).alias("ask"), "id", "vec")
 
     def search(t: pa.Table) -> pa.Table:
         ask = t.column("ask").to_numpy(zero_copy_only=False).astype(bool)
@@ -138,7 +143,23 @@ def neighbours(table: DataFrame, k: int = 20, every: int = 20, tables: int = TAB
         cols = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
-    met = r.unionByName(q).groupBy(*at, "rc", "qc").applyInArrow(search, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = "query_id long, vec_id long, score double"
+
+    def ranked(met: DataFrame) -> DataFrame:
+        best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    top = cut(ranked(r.unionByName(q).groupBy(*at, "band", "rc", "qc").applyInArrow(search, found)), "ann-top")
+    # queries that met too few rows are scored against all of their dimension
+    size = ix.groupBy("dim").agg(F.count_distinct("id").alias("_ids"), F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_rc"))
+    queries = ix.filter("probe IS NOT NULL").select("id", "dim").distinct().join(top.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("_n")), "id", "left")
+    short = cut(queries.join(F.broadcast(size), "dim").filter(F.coalesce("_n", F.lit(0)) < F.least(F.lit(k), F.col("_ids") - 1)).select("id", "dim"), "ann-short")
+    if short.isEmpty():
+        return top
+    every_row = size.join(short.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("_qc")), "dim")
+    left = ix.filter("probe IS NOT NULL").join(short, ["id", "dim"], "left_semi").select("id", "dim", "vec")
+    r = ix.select("id", "dim", "vec").join(F.broadcast(every_row), "dim").select("dim", part("_rc").alias("rc"), spread("_qc").alias("qc"), F.lit(False).alias("ask"), "id", "vec")
+    q = left.join(F.broadcast(every_row), "dim").select("dim", spread("_rc").alias("rc"), part("_qc").alias("qc"), F.lit(True).alias("ask"), "id", "vec")
+    more = r.unionByName(q).groupBy("dim", "rc", "qc").applyInArrow(search, found)
+    return ranked(top.select("query_id", "vec_id", "score").unionByName(more))
