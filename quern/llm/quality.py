@@ -3,15 +3,19 @@
 Trusted positives are documents labelled good; the unlabelled set is a sample of all training documents, good and
 bad. The class prior (share of good texts in the unlabelled set) is estimated first: a positive-against-unlabelled
 classifier is fitted, and the prior is the smallest ratio of unlabelled to positive rows above a score on
-rows not used in the fit. Then a linear scorer minimises the non-negative unbiased risk
+rows not used in the fit, but not more than the share of good labels in the training fold. Then a linear scorer
+minimises the non-negative unbiased risk
     prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1))
 by Adam; where the second term is negative, the step goes against it, so that the flexible scorer cannot
-profit from calling positives unlabelled. Last, scores are put on the probability scale by a monotone logistic
-map fitted to labelled training rows.
+profit from calling positives unlabelled. A prior above the truth ruins that risk and one a little below it does
+not, so a scorer is fitted for the estimate and for each of PRIOR_STEPS below it; labelled training rows that no
+fit has seen choose among them by their log loss, and fix the monotone logistic map to the probability scale, in
+the proportion that the classes have among all labels.
 
 Inputs of a score are byte statistics of the whole text: shares of character kinds, word lengths, repetition of
 words and lines, and hashed 4-grams of character kinds. The model (a few hundred numbers) is broadcast.
-The samples are bounded by MAX_POSITIVE, MAX_UNLABELLED and MAX_CALIBRATION rows; everything else covers all rows.
+The samples are bounded by MAX_POSITIVE, MAX_UNLABELLED and MAX_CALIBRATION rows of each class; everything else covers
+all rows. Samples are chosen by seeded hashes and sorted before the fit, so the model does not depend on partitions.
 """
 
 from __future__ import annotations
@@ -25,11 +29,14 @@ from pyspark.sql import functions as F
 
 from quern.llm import sampling
 from quern.llm import textkernel as tk
+from quern.session import cut, spread
 
 MAX_POSITIVE = 3000
 MAX_UNLABELLED = 5000
 MAX_CALIBRATION = 3000
-KIND_BITS = 9
+PRIOR_STEPS = (0.0, 0.05, 0.1, 0.2)
+HASHED_SCALE = 0.05  # against the dense statistics: many hashed shares must not outvote them in a small sample
+KIND_BITS = 11
 KINDS = 1 << KIND_BITS
 THRESHOLD = 0.3
 
@@ -137,8 +144,9 @@ def _adam(x: np.ndarray, grad, epochs: int, rate: float, l2: float, rows: int, s
         step = rate * (1 - epoch / epochs) + rate * 0.05
         for i in range(0, rows, 512):
             at = order[i : i + 512]
-            gm = grad(x[at] @ w + b, at)
-            g = np.append(x[at].T @ gm + l2 * w, gm.sum())
+            part = x[at]
+            gm = grad(part @ w.astype(np.float32) + b, at)
+            g = np.append(gm.astype(np.float32) @ part + l2 * w, gm.sum())
             t += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
@@ -167,19 +175,8 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 3) -> float:
     return float(np.clip(best, 0.05, 0.98))
 
 
-def fit(p: np.ndarray, u: np.ndarray, cal: np.ndarray, y: np.ndarray, epochs: int = 40, seed: int = 3) -> Model:
-    """p: features of trusted positives; u: of unlabelled rows; cal, y: labelled rows for the probability scale."""
-    both = np.concatenate([p, u]) if len(p) + len(u) else np.zeros((1, N_DENSE + KINDS), np.float32)
-    mean, sd = both.mean(0), both.std(0)
-    scale = np.where(sd > 1e-6, 1 / np.maximum(sd, 1e-6), 0)
-    scale[N_DENSE:] *= 0.2
-    if len(p) == 0 or len(u) == 0:
-        return Model(mean, scale, np.zeros(both.shape[1]), 0.0, 1.0, 0.0, 0.5)
-    zp, zu = ((p - mean) * scale).clip(-8, 8), ((u - mean) * scale).clip(-8, 8)
-    prior = estimate_prior(zp, zu, seed)
-    x = np.concatenate([zp, zu])
-    del both, zp, zu
-    pos = np.arange(len(x)) < len(p)
+def _risk(pos: np.ndarray, prior: float):
+    """The gradient of the non-negative risk in the margins z of the rows `at`; pos marks the trusted positives."""
 
     def grad(z, at):
         i = pos[at]
@@ -194,45 +191,107 @@ def fit(p: np.ndarray, u: np.ndarray, cal: np.ndarray, y: np.ndarray, epochs: in
             g[i] += prior * (s[i] - 1) / n_p
         return g
 
-    w, b = _adam(x, grad, epochs, 0.01, 1e-3, len(x), seed)
-    a, c = 1.0, 0.0
-    if len(y) and 0 < y.mean() < 1:
-        z = ((cal - mean) * scale).clip(-8, 8) @ w + b
-        a, c = sampling.platt(z, y)
-    return Model(mean, scale, w, b, a, c, prior)
+    return grad
 
 
-def _rows(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents in a bounded set of ids."""
+def fit(p: np.ndarray, u: np.ndarray, share: float = 1.0, prior: float | None = None, epochs: int = 40, seed: int = 3) -> list[Model]:
+    """Uncalibrated models, one for each prior tried. p: features of trusted positives; u: of unlabelled rows;
+    share: of good labels, an upper bound of the estimated prior; prior: instead of the estimate."""
+    both = np.concatenate([p, u]) if len(p) + len(u) else np.zeros((1, N_DENSE + KINDS), np.float32)
+    mean, sd = both.mean(0), both.std(0)
+    scale = np.where(sd > 1e-6, 1 / np.maximum(sd, 1e-6), 0).astype(np.float32)
+    scale[N_DENSE:] *= HASHED_SCALE
+    if len(p) == 0 or len(u) == 0:
+        return [Model(mean, scale, np.zeros(both.shape[1]), 0.0, 1.0, 0.0, 0.5)]
+    x = both
+    x -= mean
+    x *= scale
+    np.clip(x, -8, 8, out=x)
+    if prior is None:
+        prior = min(estimate_prior(x[: len(p)], x[len(p) :], seed), share)
+    pos = np.arange(len(x)) < len(p)
+    models = []
+    for down in PRIOR_STEPS:
+        at = max(prior - down, 0.02)
+        w, b = _adam(x, _risk(pos, at), epochs, 0.01, 1e-3, len(x), seed)
+        models.append(Model(mean, scale, w, b, 1.0, 0.0, at))
+    return models
+
+
+def calibrate(models: list[Model], z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Model:
+    """The model of the smallest log loss on labelled rows, with its probability map. z: a column of margins for each model."""
+    if not len(y) or y.min() == y.max():
+        return models[0]
+    best = None
+    for k, m in enumerate(models):
+        m.a, m.b = sampling.platt(z[:, k], y, weight)
+        s = m.a * z[:, k] + m.b
+        loss = (weight * (np.logaddexp(0, s) - y * s)).sum()
+        if best is None or loss < best[0]:
+            best = loss, m
+    return best[1]
+
+
+def _sampled(rows: DataFrame) -> np.ndarray:
+    """Features of a bounded set of rows (doc_id, role, text), in the order of doc_id. Hashed shares travel as half floats."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = features(b.column(0))
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
-
-    # one row an id: a repeated id must not lift the bound of the sample
-    wanted = docs.join(F.broadcast(ids), docs["doc_id"] == ids["doc_id"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]).select("text")
-    got = [r[0] for r in wanted.mapInArrow(run, "x binary").collect()]
-    return np.frombuffer(b"".join(got), np.float32).reshape(len(got), N_DENSE + KINDS) if got else np.zeros((0, N_DENSE + KINDS), np.float32)
-
-
-def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_positive=MAX_POSITIVE, max_unlabelled=MAX_UNLABELLED, max_calibration=MAX_CALIBRATION) -> Model:
-    """Fit on bounded samples of rows of the training fold; see the module's text."""
-    good = sampling.bounded(sampling.labelled(docs, labels, "quality", 1, in_training), max_positive + max_calibration)
-    bad = sampling.bounded(sampling.labelled(docs, labels, "quality", 0, in_training), max_calibration)
-    good_ids = [r[0] for r in good.collect()]
-    bad_ids = [r[0] for r in bad.collect()]
-    spark = docs.sparkSession
-    frame = lambda ids: spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    # a share of the good rows is kept back for the probability scale, in the proportion of the labels
+                x = features(b.column(1))
+                packed = [d.tobytes() + h.tobytes() for d, h in zip(x[:, :N_DENSE], x[:, N_DENSE:].astype(np.float16))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "x"])
+
+    got = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").collect()
+    got.sort(key=lambda r: r[0])
+    out = np.zeros((len(got), N_DENSE + KINDS), np.float32)
+    for i, r in enumerate(got):
+        out[i, :N_DENSE] = np.frombuffer(r[1], np.float32, N_DENSE)
+        out[i, N_DENSE:] = np.frombuffer(r[1], np.float16, KINDS, 4 * N_DENSE)
+    return out
+
+
+def _margins(rows: DataFrame, models: list[Model]) -> np.ndarray:
+    """doc_id, label and the margin under each model of a bounded set of labelled rows; their features stay on the executors."""
+    shared, n = rows.sparkSession.sparkContext.broadcast(models), len(models)
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                x = features(part.column(2))
+                z = np.stack([m.margins(x) for m in shared.value], axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(z), pa.list_(pa.float64()))], names=["doc_id", "role", "z"])
+
+    got = rows.select("doc_id", "role", "text").mapInArrow(run, "doc_id long, role int, z array<double>").collect()
+    got.sort(key=lambda r: (r[0], r[1]))
+    return np.array([[r[1], *r[2]] for r in got]).reshape(len(got), 1 + n)
+
+
+TRUSTED, UNLABELLED, GOOD, BAD = 2, 3, 1, 0
+
+
+def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_positive=MAX_POSITIVE, max_unlabelled=MAX_UNLABELLED, max_calibration=MAX_CALIBRATION, prior: float | None = None) -> Model:
+    """Fit on bounded samples of rows of the training fold; see the module's text. Texts are scanned once for all samples.
+    A doc_id that repeats is one row of a sample, with one of its texts."""
+    good = sampling.labelled(docs, labels, "quality", 1, in_training)
+    bad = sampling.labelled(docs, labels, "quality", 0, in_training)
+    n_good, n_bad = good.count(), bad.count()
+    good_ids = [r[0] for r in sampling.bounded(good, max_positive + max_calibration).collect()]
+    bad_ids = [r[0] for r in sampling.bounded(bad, max_calibration).collect()]
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").filter(in_training).distinct()
     back = min(len(good_ids) // 2, max_calibration)
-    p = _rows(docs, frame(good_ids[back:][:max_positive]))
-    cal_good, cal_bad = _rows(docs, frame(good_ids[:back])), _rows(docs, frame(bad_ids))
-    weightless = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").filter(in_training).distinct()
-    u = _rows(docs, sampling.bounded(weightless, max_unlabelled, seed=11))
-    cal = np.concatenate([cal_good, cal_bad])
-    return fit(p, u, cal, np.concatenate([np.ones(len(cal_good)), np.zeros(len(cal_bad))]))
+    roles = [(i, GOOD) for i in good_ids[:back]] + [(i, BAD) for i in bad_ids]
+    roles += [(i, TRUSTED) for i in good_ids[back:][:max_positive]]
+    roles += [(r[0], UNLABELLED) for r in sampling.bounded(every, max_unlabelled, seed=11).collect()]
+    picked = docs.sparkSession.createDataFrame(roles, "doc_id long, role int")
+    rows = spread(cut(sampling.one_text(docs, picked), "quality-sample"))
+    share = n_good / (n_good + n_bad) if n_bad else 1.0
+    models = fit(_sampled(rows.filter(F.col("role") == TRUSTED)), _sampled(rows.filter(F.col("role") == UNLABELLED)), share, prior)
+    got = _margins(rows.filter(F.col("role") <= GOOD), models)
+    y = got[:, 0]
+    weight = np.where(y == 1, n_good / max(1, (y == 1).sum()), n_bad / max(1, (y == 0).sum()))
+    return calibrate(models, got[:, 1:], y, weight)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
