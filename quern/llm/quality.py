@@ -134,15 +134,15 @@ class Model:
         return _sigmoid(self.a * out + self.b)
 
 
-def _adam(x: np.ndarray, grad, epochs: int, rate: float, l2: float, rows: int, seed: int):
-    """Minimise by minibatches: grad(w, b, rows of a batch) gives the gradient of the batch's margins."""
+def _adam(x: np.ndarray, grad, epochs: int, rate: float, l2: float, index: np.ndarray, seed: int):
+    """Minimise over the rows of x in index, by minibatches: grad(margins, rows of a batch) gives the gradient in the margins."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(x.shape[1], np.float64), 0.0
     m, v, t = np.zeros(len(w) + 1), np.zeros(len(w) + 1), 0
     for epoch in range(epochs):
-        order = rng.permutation(rows)
+        order = rng.permutation(index)
         step = rate * (1 - epoch / epochs) + rate * 0.05
-        for i in range(0, rows, 512):
+        for i in range(0, len(order), 512):
             at = order[i : i + 512]
             part = x[at]
             gm = grad(part @ w.astype(np.float32) + b, at)
@@ -155,16 +155,15 @@ def _adam(x: np.ndarray, grad, epochs: int, rate: float, l2: float, rows: int, s
     return w, b
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, seed: int = 3) -> float:
-    """The share of positives in u, from positives p: fit p against u on two thirds, then take the smallest
-    ratio of tail shares on the rest, each share widened by its sampling error."""
-    rng = np.random.default_rng(seed)
-    hp, hu = rng.random(len(p)) < 1 / 3, rng.random(len(u)) < 1 / 3
-    x = np.concatenate([p[~hp], u[~hu]])
-    y = np.concatenate([np.full((~hp).sum(), 1.0), np.zeros((~hu).sum())])
-    k = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    w, b = _adam(x, lambda z, at: (_sigmoid(z) - y[at]) * k[at] * len(y) / len(at), 15, 0.01, 1e-3, len(y), seed)
-    sp, su = np.sort(p[hp] @ w + b), np.sort(u[hu] @ w + b)
+def estimate_prior(x: np.ndarray, pos: np.ndarray, seed: int = 3) -> float:
+    """The share of positives in the unlabelled rows of x, from the trusted positives (pos): fit one against the other on
+    two thirds, then take the smallest ratio of tail shares on the rest, each share widened by its sampling error."""
+    kept = np.random.default_rng(seed).random(len(x)) < 1 / 3
+    k = np.where(pos, 0.5 / max(1, (pos & ~kept).sum()), 0.5 / max(1, (~pos & ~kept).sum()))
+    index = np.flatnonzero(~kept)
+    w, b = _adam(x, lambda z, at: (_sigmoid(z) - pos[at]) * k[at] * len(index) / len(at), 15, 0.01, 1e-3, index, seed)
+    z = x @ w.astype(np.float32) + b
+    sp, su = np.sort(z[kept & pos]), np.sort(z[kept & ~pos])
     if len(sp) < 5 or len(su) < 5:
         return 0.5
     best = 1.0
@@ -194,26 +193,23 @@ def _risk(pos: np.ndarray, prior: float):
     return grad
 
 
-def fit(p: np.ndarray, u: np.ndarray, share: float = 1.0, prior: float | None = None, epochs: int = 40, seed: int = 3) -> list[Model]:
-    """Uncalibrated models, one for each prior tried. p: features of trusted positives; u: of unlabelled rows;
-    share: of good labels, an upper bound of the estimated prior; prior: instead of the estimate."""
-    both = np.concatenate([p, u]) if len(p) + len(u) else np.zeros((1, N_DENSE + KINDS), np.float32)
-    mean, sd = both.mean(0), both.std(0)
+def fit(x: np.ndarray, pos: np.ndarray, share: float = 1.0, prior: float | None = None, epochs: int = 40, seed: int = 3) -> list[Model]:
+    """Uncalibrated models, one for each prior tried. x: features of trusted positives (pos) and of unlabelled rows,
+    standardised in place; share: of good labels, an upper bound of the estimated prior; prior: instead of the estimate."""
+    if not pos.any() or pos.all():
+        return [Model(np.zeros(N_DENSE + KINDS, np.float32), np.zeros(N_DENSE + KINDS, np.float32), np.zeros(N_DENSE + KINDS), 0.0, 1.0, 0.0, 0.5)]
+    mean, sd = x.mean(0), x.std(0)
     scale = np.where(sd > 1e-6, 1 / np.maximum(sd, 1e-6), 0).astype(np.float32)
     scale[N_DENSE:] *= HASHED_SCALE
-    if len(p) == 0 or len(u) == 0:
-        return [Model(mean, scale, np.zeros(both.shape[1]), 0.0, 1.0, 0.0, 0.5)]
-    x = both
     x -= mean
     x *= scale
     np.clip(x, -8, 8, out=x)
     if prior is None:
-        prior = min(estimate_prior(x[: len(p)], x[len(p) :], seed), share)
-    pos = np.arange(len(x)) < len(p)
+        prior = min(estimate_prior(x, pos, seed), share)
     models = []
     for down in PRIOR_STEPS:
         at = max(prior - down, 0.02)
-        w, b = _adam(x, _risk(pos, at), epochs, 0.01, 1e-3, len(x), seed)
+        w, b = _adam(x, _risk(pos, at), epochs, 0.01, 1e-3, np.arange(len(x)), seed)
         models.append(Model(mean, scale, w, b, 1.0, 0.0, at))
     return models
 
@@ -232,23 +228,24 @@ def calibrate(models: list[Model], z: np.ndarray, y: np.ndarray, weight: np.ndar
     return best[1]
 
 
-def _sampled(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded set of rows (doc_id, role, text), in the order of doc_id. Hashed shares travel as half floats."""
+def _sampled(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and roles of a bounded set of rows (doc_id, role, text), by role and doc_id. Hashed shares travel as half floats."""
 
     def run(batches):
         for b in batches:
-            if b.num_rows:
-                x = features(b.column(1))
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                x = features(part.column(2))
                 packed = [d.tobytes() + h.tobytes() for d, h in zip(x[:, :N_DENSE], x[:, N_DENSE:].astype(np.float16))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["doc_id", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], names=["doc_id", "role", "x"])
 
-    got = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary").collect()
-    got.sort(key=lambda r: r[0])
+    got = rows.select("doc_id", "role", "text").mapInArrow(run, "doc_id long, role int, x binary").collect()
+    got.sort(key=lambda r: (r[1], r[0]))
     out = np.zeros((len(got), N_DENSE + KINDS), np.float32)
     for i, r in enumerate(got):
-        out[i, :N_DENSE] = np.frombuffer(r[1], np.float32, N_DENSE)
-        out[i, N_DENSE:] = np.frombuffer(r[1], np.float16, KINDS, 4 * N_DENSE)
-    return out
+        out[i, :N_DENSE] = np.frombuffer(r[2], np.float32, N_DENSE)
+        out[i, N_DENSE:] = np.frombuffer(r[2], np.float16, KINDS, 4 * N_DENSE)
+    return out, np.array([r[1] for r in got], np.int32)
 
 
 def _margins(rows: DataFrame, models: list[Model]) -> np.ndarray:
@@ -287,7 +284,9 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_positive=
     picked = docs.sparkSession.createDataFrame(roles, "doc_id long, role int")
     rows = spread(cut(sampling.one_text(docs, picked), "quality-sample"))
     share = n_good / (n_good + n_bad) if n_bad else 1.0
-    models = fit(_sampled(rows.filter(F.col("role") == TRUSTED)), _sampled(rows.filter(F.col("role") == UNLABELLED)), share, prior)
+    x, role = _sampled(rows.filter(F.col("role") > GOOD))
+    models = fit(x, role == TRUSTED, share, prior)
+    del x
     got = _margins(rows.filter(F.col("role") <= GOOD), models)
     y = got[:, 0]
     weight = np.where(y == 1, n_good / max(1, (y == 1).sum()), n_bad / max(1, (y == 0).sum()))
