@@ -3,152 +3,156 @@
 Per language a tree of byte contexts up to ORDER bytes is counted over a bounded sample of training texts. The
 code length of a byte is found by PPM with escape method C, without exclusion: in a context seen N times with D
 different successors a byte seen n times costs -log2(n / (N + D)); another byte pays the escape
--log2(D / (N + D)) and is coded in the next shorter context, at last among all bytes alike. Statistics are frozen:
+-log2(D / (N + D)) and is coded in the next shorter context, at last among all 256 bytes alike. Statistics are frozen:
 a text's code length under a language depends on the text alone, and the shortest one names the language.
 
-Frozen trees let every language share one automaton. Its states are the contexts kept (a context of full order is
-kept if the sample has it MIN_COUNT times in all, so the order varies), and for each state and byte the exact
-code lengths under all languages stand in one row. Scoring takes two array look-ups per byte of the whole text.
-The tables' size depends on the alphabet and the states, both bounded, not on the corpus; they are broadcast.
+Each language has a tree of its own, in its own alphabet: the SYMBOLS bytes it uses most, and one symbol for all
+others, which are coded among themselves alike. All contexts of one byte are kept; longer ones if the sample has them
+MIN_COUNT times and, of more than MAX_STATES, the most frequent, so the order varies. Frozen trees are automata: for
+each state and symbol the code length stands in a table, and scoring takes a few look-ups a byte and language. A
+tree takes about 4 MB at most, whatever the corpus; the trees are broadcast.
+
+Texts are counted where they lie: tasks send (language, gram, count), and one task a language builds its tree.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import sampling
 from quern.llm import textkernel as tk
+from quern.session import cut, small, spread
 
 ORDER = 3
 MAX_ROWS = 400
-MAX_SYMBOLS = 127
-MAX_STATES = 6_000
+SYMBOLS = 127
+MAX_STATES = 5_000  # contexts of two and three bytes of each language
 MIN_COUNT = 8
 UNDETERMINED = "und"
 _PAD = 0x0A
 
 
 @dataclass
-class Model:
-    langs: list[str]
+class Tree:
     symbol: np.ndarray  # byte -> symbol; 0 stands for all bytes outside the alphabet
     size: int  # symbols
-    state: np.ndarray  # three preceding symbols -> state
-    cost: np.ndarray  # (state, symbol) -> bits under each language
+    two: np.ndarray  # (second last, last symbol) -> node
+    three: np.ndarray  # (node, third last symbol) -> state
+    cost: np.ndarray  # (state, symbol) -> bits
+
+    def bits(self, back: list[np.ndarray], data: np.ndarray) -> np.ndarray:
+        """Bits of each byte; back: the bytes one, two and three places before it."""
+        p1, p2, p3 = (self.symbol[x] for x in back)
+        node = self.two[p2 * self.size + p1]
+        return self.cost[self.three[node * self.size + p3] * self.size + self.symbol[data]]
+
+
+def before(data: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """The bytes one, two and three places before each byte; the first bytes of a text follow padding."""
+    out = []
+    full = off[:-1] < off[1:]
+    starts, ends = off[:-1][full], off[1:][full]
+    for back in range(1, ORDER + 1):
+        p = np.full(len(data), _PAD, np.uint8)
+        p[back:] = data[:-back]
+        for k in range(back):
+            at = starts + k
+            p[at[at < ends]] = _PAD
+        out.append(p)
+    return out
+
+
+@dataclass
+class Model:
+    langs: list[str]
+    trees: list[Tree]
 
     def lengths(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Code length in bits of each text under each language."""
         out = np.zeros((len(off) - 1, len(self.langs)))
-        if len(data) == 0 or not self.langs:
+        if len(data) == 0:
             return out
-        x = self.symbol[data]
-        pad = self.symbol[_PAD]
-        ctx = np.zeros(len(data), np.int32)
+        back = before(data, off)
         full = off[:-1] < off[1:]
-        starts = off[:-1][full]
-        for back in (3, 2, 1):
-            p = np.full(len(data), pad, np.int32)
-            p[back:] = x[:-back]
-            for k in range(back):  # the first bytes of a text follow padding
-                at = starts + k
-                p[at[at < off[1:][full]]] = pad
-            ctx = ctx * self.size + p
-        rows = self.state[ctx] * np.int32(self.size) + x
-        out[full] = np.add.reduceat(self.cost[rows], starts, axis=0, dtype=np.float64)
+        for j, tree in enumerate(self.trees):
+            out[full, j] = np.add.reduceat(tree.bits(back, data), off[:-1][full], dtype=np.float64)
         return out
 
 
-def _count(texts: list[bytes], symbol: np.ndarray, size: int, order: int):
-    """Distinct grams of order + 1 symbols, as numbers, with their counts."""
-    codes = []
-    pad = np.full(order, _PAD, np.uint8)
-    for i in range(0, len(texts), 200):
-        part = []
-        for t in texts[i : i + 200]:
-            x = symbol[np.concatenate((pad, np.frombuffer(t, np.uint8)))].astype(np.int64)
-            c = np.zeros(len(t), np.int64)
-            for k in range(order + 1):
-                c = c * size + x[k : k + len(t)]
-            part.append(c)
-        codes.append(np.unique(np.concatenate(part), return_counts=True) if part else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-    every = np.concatenate([c for c, _ in codes])
-    grams, where = np.unique(every, return_inverse=True)
-    return grams, np.bincount(where, np.concatenate([n for _, n in codes]), minlength=len(grams))
-
-
-def fit(samples: dict[str, list[bytes]]) -> Model:
-    """The model of the languages' sample texts; languages in code-point order."""
-    langs = sorted(samples)
-    if not langs:
-        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 0), np.float32))
-    seen = np.zeros(256, np.int64)
-    for texts in samples.values():
-        for t in texts:
-            seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
+def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams (a byte after its ORDER bytes, as one number) of a piece of texts, and their counts."""
+    g = np.zeros(len(data), np.int64)
+    for p in reversed(before(data, off)):
+        g = g << 8 | p
+    return np.unique(g << 8 | data, return_counts=True)
+
+
+def fit(gram: np.ndarray, n: np.ndarray) -> Tree:
+    """The tree of one language from its distinct grams and their counts (none: every byte costs 8 bits)."""
+    seen = np.bincount(gram & 255, n, minlength=256)
     seen[_PAD] += 1
-    alphabet = np.sort(np.argsort(-seen, kind="stable")[: min(MAX_SYMBOLS, int((seen > 0).sum()))])
+    alphabet = np.sort(np.argsort(-seen, kind="stable")[: min(SYMBOLS, int((seen > 0).sum()))])
     symbol = np.zeros(256, np.int32)
     symbol[alphabet] = np.arange(1, len(alphabet) + 1)
     size = len(alphabet) + 1
-    counts = {lang: [_count(samples[lang], symbol, size, k) for k in range(ORDER + 1)] for lang in langs}
-
-    # the contexts kept, by order
-    kept: list[np.ndarray] = [np.zeros(1, np.int64)]
-    room = MAX_STATES
-    for k in range(1, ORDER + 1):
-        grams = np.concatenate([counts[x][k][0] // size for x in langs])
-        n = np.concatenate([counts[x][k][1] for x in langs])
-        ctx, where = np.unique(grams, return_inverse=True)
-        total = np.bincount(where, n, minlength=len(ctx))
-        if k > 1:
-            good = np.flatnonzero(total >= MIN_COUNT)
-            good = np.sort(good[np.argsort(-total[good], kind="stable")[:room]])
-            ctx = ctx[good]
-            room -= len(ctx)
+    part = [symbol[gram >> 8 * k & 255].astype(np.int64) for k in range(ORDER + 1)]  # the byte, and those before it
+
+    # counts of (context, symbol) by order, and the contexts kept: those of one byte are all kept
+    counts, kept, room = [], [], MAX_STATES
+    for k in range(ORDER + 1):
+        code = np.zeros(len(gram), np.int64)
+        for back in range(k, -1, -1):
+            code = code * size + part[back]
+        code, where = np.unique(code, return_inverse=True)
+        counts.append((code, np.bincount(where, n, minlength=len(code))))
+        if k < 2:
+            kept.append(np.arange(size**k))
+            continue
+        ctx, where = np.unique(code // size, return_inverse=True)
+        total = np.bincount(where, counts[k][1], minlength=len(ctx))
+        good = total >= MIN_COUNT
+        if k > 2:  # its shorter context must be there
+            good &= np.isin(ctx % size ** (k - 1), kept[k - 1])
+        at = np.flatnonzero(good)
+        ctx = np.sort(ctx[at[np.argsort(-total[at], kind="stable")[:room]]])
+        room -= len(ctx)
         kept.append(ctx)
-    first = np.concatenate(([0], np.cumsum([len(c) for c in kept])))
-    cost = np.zeros((int(first[-1]), size, len(langs)), np.float32)
-    for j, lang in enumerate(langs):
-        lower = np.full((1, size), 1.0 / size)
-        for k in range(ORDER + 1):
-            ctx = kept[k]
-            if k == 0:
-                base = lower
-            else:  # the same symbols after the context without its oldest symbol
-                short = np.searchsorted(kept[k - 1], ctx % size ** (k - 1))
-                short = np.minimum(short, len(kept[k - 1]) - 1)
-                known = kept[k - 1][short] == ctx % size ** (k - 1)
-                base = np.where(known[:, None], lower[short], np.nan)
-                if not known.all():  # fall back two orders at a context that was not kept
-                    base[~known] = order0[0]
-            grams, n = counts[lang][k]
-            at = np.searchsorted(ctx, grams // size)
-            at = np.minimum(at, len(ctx) - 1)
-            ok = ctx[at] == grams // size
-            table = np.zeros((len(ctx), size))
-            table[at[ok], (grams % size)[ok]] = n[ok]
-            total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(table > 0, table / (total + kinds), np.where(total > 0, kinds / (total + kinds), 1.0) * base)
-            if k == 0:
-                order0 = p
-            cost[first[k] : first[k + 1], :, j] = -np.log2(p)
-            lower = p
-    state = np.zeros((size, size, size), np.int32)
-    for ctx, base in ((kept[1], first[1]), (kept[2], first[2]), (kept[3], first[3])):
-        ids = np.arange(len(ctx)) + base
-        if base == first[1]:
-            state[:, :, ctx] = ids
-        elif base == first[2]:
-            state[:, ctx // size, ctx % size] = ids
-        else:
-            state[ctx // size**2, ctx // size % size, ctx % size] = ids
-    return Model(langs, symbol, size, state.reshape(-1), cost.reshape(-1, len(langs)))
+
+    others = 256 - len(alphabet)
+    lower = np.full((1, size), 1 / 256)
+    lower[0, 0] = max(others, 1) / 256
+    rows = []
+    for k in range(ORDER + 1):
+        ctx = kept[k]
+        table = np.zeros((len(ctx), size))
+        code, count = counts[k]
+        at = np.minimum(np.searchsorted(ctx, code // size), len(ctx) - 1)
+        if len(ctx):
+            ok = ctx[at] == code // size
+            table[at[ok], (code % size)[ok]] = count[ok]
+        base = lower[np.searchsorted(kept[k - 1], ctx % size ** (k - 1))] if k else lower
+        total, kinds = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lower = np.where(table > 0, table / (total + kinds), np.where(total > 0, kinds / (total + kinds), 1.0) * base)
+        if k:
+            rows.append(lower)
+    cost = -np.log2(np.concatenate(rows))
+    cost[:, 0] += np.log2(max(others, 1))
+
+    # nodes: one a symbol where only the last symbol counts, then the contexts of two; states: contexts in order
+    two = np.tile(np.arange(size), size)
+    two[kept[2]] = size + np.arange(len(kept[2]))
+    three = np.repeat(np.arange(size + len(kept[2])), size)
+    suffix, third = kept[3] % size**2, kept[3] // size**2
+    node = size + np.searchsorted(kept[2], suffix)
+    three[node * size + third] = size + len(kept[2]) + np.arange(len(kept[3]))
+    return Tree(symbol, size, two.astype(np.int32), three.astype(np.int32), cost.astype(np.float32).reshape(-1))
 
 
 _LETTER = np.zeros(256, bool)
@@ -174,22 +178,42 @@ def predict(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def train(docs: DataFrame, in_training: Column, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most max_rows whole texts of each non-null language of the training fold."""
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(in_training)
-    langs = [r[0] for r in keys.select("lang").distinct().collect()]
-    samples: dict[str, list[bytes]] = {}
-    for lang in langs:
-        ids = sampling.bounded(keys.filter(F.col("lang") == lang).select("doc_id").distinct(), max_rows, seed=31)
-        texts = docs.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").filter("text IS NOT NULL").dropDuplicates(["doc_id"])
-        samples[lang] = [r[1].encode() for r in sorted(texts.collect())]
-    return fit(samples)
+    """Fit on at most max_rows whole texts of each non-null language of the training fold: those with the smallest
+    hashes of their id, of a repeated (id, language) one text. Two scans for all languages: keys, then the texts chosen."""
+    usable = docs.filter("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").filter(in_training)
+    usable = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(31), F.col("doc_id").cast("string")), "doc_id")
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= max_rows)
+    chosen = small(cut(chosen.select("doc_id", "lang"), "langid-ids"))
+    texts = usable.join(chosen, ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text"))
+    texts = spread(cut(texts.select("lang", "text"), "langid-texts"))
+
+    def count(batches):
+        for b in batches:
+            langs = np.array(b.column(0).to_pylist(), object)
+            for lang in sorted(set(langs)):
+                own = b.column(1).filter(pa.array(langs == lang))
+                for _, _, data, off in tk.pieces(own):
+                    g, n = grams(data, off)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
+
+    def build(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("gram").to_numpy())
+        tree = fit(t.column("gram").to_numpy()[order], t.column("n").to_numpy()[order])
+        return pa.table({"lang": t.column("lang").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    counted = texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = sorted((r[0], bytes(r[1])) for r in counted.groupBy("lang").applyInArrow(build, "lang string, tree binary").toLocalIterator())
+    # a language whose texts are all empty has no grams and is not learned
+    return Model([lang for lang, _ in found], [pickle.loads(t) for _, t in found])
 
 
 def identify(docs: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row. Learns only from rows outside the held-out fold.
 
     A text that is null or has no letter is `und` with score 0; so is every text where nothing could be learned.
-    Ties of code length fall to the first language in code-point order. Empty table: no rows.
+    Ties of code length fall to the first language in code-point order. Repeated rows give repeated results, very long
+    texts are read whole, other columns are ignored. Empty table: no rows.
     """
     model = train(docs, sampling.fold(folds) != held, max_rows)
     shared = docs.sparkSession.sparkContext.broadcast(model)

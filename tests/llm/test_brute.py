@@ -153,49 +153,6 @@ def test_licence_spans_and_base(spark):
     assert got[3].labels == ""
 
 
-def ppm_bits(text, train, order=3, alphabet=None):
-    """PPM with escape C by dictionaries, over the same symbols and padding."""
-    size = len(alphabet) + 1
-    sym = {b: i + 1 for i, b in enumerate(sorted(alphabet))}
-    counts = {}
-    for t in train:
-        x = [sym.get(b, 0) for b in b"\n" * order + t]
-        for i in range(order, len(x)):
-            for k in range(order + 1):
-                counts.setdefault(tuple(x[i - k : i]), {}).setdefault(x[i], 0)
-                counts[tuple(x[i - k : i])][x[i]] += 1
-    x = [sym.get(b, 0) for b in b"\n" * order + text]
-    bits = 0.0
-    for i in range(order, len(x)):
-        p = 1.0
-        for k in range(order, -1, -1):
-            c = counts.get(tuple(x[i - k : i]))
-            if not c:
-                continue
-            n = sum(c.values())
-            if x[i] in c:
-                p *= c[x[i]] / (n + len(c))
-                break
-            p *= len(c) / (n + len(c))
-        else:
-            p /= size
-        bits -= np.log2(p)
-    return bits
-
-
-def test_code_lengths_are_exact(monkeypatch):
-    monkeypatch.setattr(langid, "MIN_COUNT", 1)
-    train = {"a": [b"abracadabra abra", b"cad abr"], "b": [b"bob ate a boat", b"toe"]}
-    m = langid.fit(train)
-    alphabet = set(b"".join(x for t in train.values() for x in t)) | {10}
-    rows = [b"abra", b"boat zzz", b"", b"a\xff"]
-    off = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
-    got = m.lengths(np.frombuffer(b"".join(rows), np.uint8), off)
-    for r, g in zip(rows, got):
-        for j, lang in enumerate(m.langs):
-            assert g[j] == pytest.approx(ppm_bits(r, train[lang], 3, alphabet), rel=1e-5)
-
-
 def test_mixing_matches_plain_water_filling(spark):
     rng = random.Random(2)
     rows = [(i, f"s{rng.randrange(5)}" if i % 11 else None, rng.choice([0, 3, 10, 40])) for i in range(400)]
