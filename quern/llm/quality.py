@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_positive=
     got = _margins(rows.filter(F.col("role") <= GOOD), models)
     y = got[:, 0]
     weight = np.where(y == 1, n_good / max(1, (y == 1).sum()), n_bad / max(1, (y == 0).sum()))
-    return calibrate(models, got[:, 1:], y, weight)
+    return calibrate(models, got[:, 1:], y, weight * len(y) / max(1.0, weight.sum()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

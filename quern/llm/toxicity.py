@@ -6,7 +6,10 @@ its weights, so that only a few thousand are not zero; those are broadcast as tw
 a feature that has no weight costs one table look-up.
 
 Labels are learned from a bounded sample of MAX_TOXIC and MAX_CLEAN rows of the training fold. A fit to four
-fifths of it scores the other fifth, which fixes the map from margins to probabilities; the model is fitted to all.
+fifths of it scores the other fifth, which fixes the map from margins to probabilities, in the proportion that the
+classes have among all labels; the model is fitted to all. FTRL is an online method: each fit is one task that reads
+the sample EPOCHS times as a stream in seeded order (Spark sorts it) and holds the state alone, 16 MB; only
+weights that are not zero reach the driver.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ from pyspark.sql import functions as F
 
 from quern.llm import sampling
 from quern.llm import textkernel as tk
+from quern.session import cut, spread
 
 DIM_BITS = 20
 MAX_TOXIC = 6000
 MAX_CLEAN = 6000
 THRESHOLD = 0.7
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.05
+EPOCHS = 3
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 _SKIP = np.uint64(0xA0761D6478BD642F)
 
@@ -95,64 +100,103 @@ class Model:
         return _sigmoid(self.a * self.margins(texts) + self.b)
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = 3, seed: int = 7) -> Model:
-    """FTRL-proximal over the rows in seeded order; the bias is a coordinate without L1."""
-    dim = 1 << DIM_BITS
-    z, n = np.zeros(dim), np.zeros(dim)
-    zb, nb, bias = 0.0, 0.0, 0.0
-    rng = np.random.default_rng(seed)
-
-    def weights(at):
-        zi = z[at]
-        return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
-
-    for _ in range(epochs):
-        for r in rng.permutation(len(rows)):
-            x = rows[r]
-            w, nx = weights(x), n[x]
-            bias = -zb / ((BETA + np.sqrt(nb)) / ALPHA + L2)
-            g = _sigmoid(w.sum() + bias) - y[r]
-            z[x] += g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / ALPHA * w
-            n[x] = nx + g * g
-            zb += g - (np.sqrt(nb + g * g) - np.sqrt(nb)) / ALPHA * bias
-            nb += g * g
-    w = weights(np.arange(dim))
-    index = np.flatnonzero(w)
-    return Model(index.astype(np.int64), w[index].astype(np.float32), float(bias), 1.0, 0.0)
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """The model of all rows, with the probability map of a fit that had not seen the rows it is made from."""
-    model = ftrl(rows, y)
-    back = np.arange(len(rows)) % 5 == 4
-    if y[back].any() and not y[back].all():
-        part = ftrl([x for x, h in zip(rows, back) if not h], y[~back])
-        table = np.zeros(1 << DIM_BITS)
-        table[part.index] = part.weight
-        m = np.array([table[x].sum() + part.bias for x, h in zip(rows, back) if h])
-        model.a, model.b = sampling.platt(m, y[back])
-    return model
+class Ftrl:
+    """FTRL-proximal state: two sums per coordinate; the bias is a coordinate without L1."""
+
+    def __init__(self):
+        self.z, self.n = np.zeros(1 << DIM_BITS), np.zeros(1 << DIM_BITS)
+        self.zb = self.nb = 0.0
+
+    def weights(self, at) -> np.ndarray:
+        z = self.z[at]
+        return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
+
+    def bias(self) -> float:
+        return -self.zb / ((BETA + np.sqrt(self.nb)) / ALPHA + L2)
+
+    def learn(self, x: np.ndarray, y: int) -> None:
+        """One row: its distinct feature indices and its label."""
+        w, n, bias = self.weights(x), self.n[x], self.bias()
+        g = float(_sigmoid(w.sum() + bias)) - y
+        self.z[x] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[x] = n + g * g
+        self.zb += g - (np.sqrt(self.nb + g * g) - np.sqrt(self.nb)) / ALPHA * bias
+        self.nb += g * g
+
+    def model(self) -> Model:
+        index = np.flatnonzero(np.abs(self.z) > L1)
+        return Model(index.astype(np.int64), self.weights(index).astype(np.float32), float(self.bias()), 1.0, 0.0)
+
+
+FULL, PART = 0, 1
+
+
+def _fits(rows: DataFrame, epochs: int, seed: int) -> dict[int, Model]:
+    """The models of all rows (doc_id, y, x, back) and of those that are not kept back."""
+    passes = rows.select("doc_id", "y", "x", "back", F.explode(F.array(F.lit(FULL), F.lit(PART))).alias("fit")).filter(f"fit = {FULL} OR NOT back")
+    passes = passes.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
+    order = F.xxhash64(F.lit(seed), "epoch", "doc_id", "y")
+    stream = passes.repartition(2, "fit").sortWithinPartitions("fit", "epoch", order, "doc_id", "y").select("fit", "y", "x")
+
+    def run(batches):
+        state, now = Ftrl(), None
+
+        def done():
+            m = state.model()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([m.index.tobytes()]), pa.array([m.weight.tobytes()]), pa.array([m.bias])], names=["fit", "at", "w", "bias"])
+
+        for b in batches:
+            for fit, y, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if fit != now:
+                    if now is not None:
+                        yield done()
+                    state, now = Ftrl(), fit
+                state.learn(np.frombuffer(x.as_buffer(), np.int32), y)
+        if now is not None:
+            yield done()
+
+    got = stream.mapInArrow(run, "fit int, at binary, w binary, bias double").collect()
+    return {r[0]: Model(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.float32), r[3], 1.0, 0.0) for r in got}
 
 
-def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN) -> Model:
-    """Fit on bounded samples of labelled rows of the training fold."""
+def train(docs: DataFrame, labels: DataFrame, in_training: Column, max_toxic=MAX_TOXIC, max_clean=MAX_CLEAN, epochs: int = EPOCHS, seed: int = 7) -> Model:
+    """Fit on bounded samples of labelled rows of the training fold. Texts are scanned once."""
     spark = docs.sparkSession
-    picked = []
+    picked, true = [], {}
     for value, most in ((1, max_toxic), (0, max_clean)):
-        ids = sampling.bounded(sampling.labelled(docs, labels, "toxic", value, in_training), most, seed=23)
-        picked += [(r[0], value) for r in ids.collect()]
+        ids = sampling.labelled(docs, labels, "toxic", value, in_training)
+        true[value] = ids.count()
+        picked += [(r[0], value) for r in sampling.bounded(ids, most, seed=23).collect()]
     if not picked:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, 1.0, 0.0)
-    wanted = F.broadcast(spark.createDataFrame(picked, "doc_id long, y int"))
+    texts = spread(cut(sampling.one_text(docs, spark.createDataFrame(picked, "doc_id long, y int")), "toxicity-sample"))
 
-    def run(batches):
+    def featured(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x.tobytes() for x in features(b.column(0))], pa.binary()), b.column(2)], names=["y", "x", "doc_id"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in features(b.column(2))], pa.binary())], names=["doc_id", "y", "x"])
+
+    rows = texts.select("doc_id", "y", "text").mapInArrow(featured, "doc_id long, y int, x binary")
+    rows = cut(rows.withColumn("back", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(5)) == 4), "toxicity-features")
+    models = _fits(rows, epochs, seed)
+    model, part = models[FULL], models.get(PART)
+    if part is None:
+        return model
+    shared = spark.sparkContext.broadcast(part)
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("text", "y", "doc_id").dropDuplicates(["doc_id", "y"]).mapInArrow(run, "y int, x binary, doc_id long").collect()
-    got.sort(key=lambda r: (r[2], r[0], r[1]))
-    return fit([np.frombuffer(r[1], np.int32) for r in got], np.array([r[0] for r in got]))
+    def margins(batches):
+        table = np.zeros(1 << DIM_BITS)
+        table[shared.value.index] = shared.value.weight
+        for b in batches:
+            m = [table[np.frombuffer(x.as_buffer(), np.int32)].sum() + shared.value.bias for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m, pa.float64())], names=["doc_id", "y", "m"])
+
+    got = sorted(tuple(r) for r in rows.filter("back").select("doc_id", "y", "x").mapInArrow(margins, "doc_id long, y int, m double").collect())
+    y, m = np.array([r[1] for r in got], int), np.array([r[2] for r in got])
+    if len(got) and y.min() != y.max():
+        weight = np.where(y == 1, true[1] / max(1, (y == 1).sum()), true[0] / max(1, (y == 0).sum()))
+        model.a, model.b = sampling.platt(m, y, weight * len(y) / weight.sum())
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
