@@ -259,26 +259,6 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         else:
             memo[key] = _align(p, q, lambda c, d: score(c, d)[0])
         return memo[key]
-        p, q = x.children, y.children
-        if not p or not q:
-            memo[key] = (1, [])
-        else:
-            w = [[score(c, d)[0] for d in q] for c in p]
-            m = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for i in range(len(p)):
-                for j in range(len(q)):
-                    m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + w[i][j])
-            pairs, i, j = [], len(p), len(q)
-            while i and j:
-                if w[i - 1][j - 1] and m[i][j] == m[i - 1][j - 1] + w[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    pairs.append((i, j))
-                elif m[i][j] == m[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            memo[key] = (1 + m[-1][-1], pairs[::-1])
-        return memo[key]
 
     out, todo = [], [(a, b)]
     while todo:
@@ -362,8 +342,12 @@ def _facts(page: str) -> tuple[int, int]:
     return _signed(xxhash.xxh64_intdigest("\0".join(main_text(tree)).encode())), layout(tree)
 
 
-def main_text(tree: Node, *wrappers: Node | None) -> list[str]:
-    """The blocks of the main text, in page order; what any of the wrappers holds as constant is dropped."""
+TEMPLATE, CUE, CONTENT = "template", "cue", "content"
+
+
+def blocks(tree: Node, *wrappers: Node | None) -> list[tuple[str, str]]:
+    """(verdict, text) of every text slot, in page order. Slots that any wrapper holds as constant are template; what
+    the wrappers leave open is decided by cues of the page itself: its tags, and the words of class, id and role."""
     constant: set[tuple[int, int]] = set()
     for wrapper in wrappers:
         if wrapper is None:
@@ -384,28 +368,31 @@ def main_text(tree: Node, *wrappers: Node | None) -> list[str]:
     def links_only(x: Node) -> bool:
         return all(s[2] for s in x.slots) and all(links_only(c) for c in x.children)
 
-    out: list[str] = []
+    out: list[tuple[str, str]] = []
     strict = has_article(tree)
 
-    def walk(x: Node, inside: bool) -> None:
-        if noise(x, inside):
-            return
+    def walk(x: Node, inside: bool, told: bool) -> None:
+        told = told or noise(x, inside)
         inside = inside or x.tag in ("article", "main")
-        if not inside and x.tag in ("ul", "ol") and x.children and links_only(x):
-            return
+        told = told or (not inside and x.tag in ("ul", "ol") and bool(x.children) and links_only(x))
         s = 0
         for i in range(len(x.children) + 1):
             while s < len(x.slots) and x.slots[s][0] == i:
-                if (inside or not strict) and (id(x), s) not in constant:
-                    out.append(x.slots[s][1])
+                open_ = (id(x), s) not in constant
+                out.append((TEMPLATE if not open_ else CUE if told or (strict and not inside) else CONTENT, x.slots[s][1]))
                 s += 1
             if i < len(x.children):
-                walk(x.children[i], inside)
+                walk(x.children[i], inside, told)
 
-    walk(tree, False)
+    walk(tree, False, False)
     return out
 
 
+def main_text(tree: Node, *wrappers: Node | None) -> list[str]:
+    """The blocks of the main text, in page order."""
+    return [text for verdict, text in blocks(tree, *wrappers) if verdict == CONTENT]
+
+
 def extract(pages: DataFrame, references: int = REFERENCES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text (blocks joined by a newline), n_chars of every row.
 

@@ -57,3 +57,21 @@ def test_copies_and_second_layouts_get_their_template(spark, broadcast_bytes):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     got = {r.page_id: r.text for r in wrapper.extract(pages, broadcast_bytes=broadcast_bytes).collect()}
     assert got == dict(enumerate(stories))
+
+
+def neutral_page(k):
+    """No telling tag, no telling name: only what repeats from page to page gives the template away."""
+    body = "".join(f"<div class='x7'>Block {k}-{i} tells of matter {k * 31 + i}.</div>" for i in range(1 + k % 4))
+    return (
+        "<html><body><div class='a1'><div>Home of things</div><div>Start</div><div>Places</div></div>"
+        f"<div class='b2'><div class='c3'>Title number {k}</div>{body}</div>"
+        "<div class='d4'><div>All rights with the house</div><div>Write to us</div></div></body></html>"
+    ), [f"Title number {k}", *(f"Block {k}-{i} tells of matter {k * 31 + i}." for i in range(1 + k % 4))]
+
+
+def test_the_template_alone_drops_boilerplate_of_neutral_pages(spark):
+    pages = [neutral_page(k) for k in range(40)]
+    t = spark.createDataFrame([(k, f"http://neutral/{k}", h) for k, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract(t).collect()}
+    assert got == {k: "\n".join(want) for k, (_, want) in enumerate(pages)}
+
