@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.equalrows import numbered
 from quern.session import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -77,13 +78,22 @@ def _fill(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("_src", F.col("_lo").alias("_cut"))
 
 
-def tagged(df: DataFrame, key: str, source: str, size, seed: int) -> DataFrame:
-    """df plus _null, _src, _size and _h: what a plan is made from and applied to."""
+def tagged(df: DataFrame, key: str, source: str, size, seed: int, tie=None) -> DataFrame:
+    """df plus _null, _src, _size and _h: what a plan is made from and applied to. The hash is of key, size and tie;
+    of rows equal in these and many (a key with a third of a source), each also hashes its number among them."""
     # the first 48 bits of an MD5 digest, which any SQL engine can repeat
-    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_size").cast("string"))
+    digest = lambda text: F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    tie = F.lit("") if tie is None else tie
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("_size").cast("string"), tie)
     named = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
     out = df.withColumn("_size", size.cast("long")).withColumn("_null", F.col(source).isNull()).withColumn("_src", named)
-    return out.withColumn("_h", F.conv(F.substring(F.md5(text), 1, BITS * LEVELS // 4), 16, 10).cast("long"))
+    return out.withColumn("_h", digest(text))
+
+
+def apart(base: DataFrame) -> DataFrame:
+    """Tagged rows with a hash of their own where many share one."""
+    renamed = F.conv(F.substring(F.md5(F.concat_ws(":", "_h", "_no")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
+    return numbered(base, ["_src", "_h"]).withColumn("_h", F.when(F.col("_no").isNull(), F.col("_h")).otherwise(renamed)).drop("_no")
 
 
 def _extra(rounds: int):
@@ -118,15 +128,16 @@ def copies(df: DataFrame, p: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFra
     return out.withColumn("_copies", n.cast("int"))
 
 
-def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29) -> DataFrame:
+def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29, tie: str | None = None) -> DataFrame:
     """rows plus source_size, target, copies (int) and taken = copies * size. `rows` should be narrow: it is written once.
 
     copies is at most max_repeat. Rows of size 0 (or null size) cost nothing: they take the whole passes of their
     source and one more copy if their hash is below the threshold. Null source: a source of its own. Rows of equal
-    key and size have equal hashes and are taken together. Empty table: empty result.
+    key, size and tie (a string column, as a hash of the text) are taken together if they are few; where they are many, null
+    keys among them, each has a hash of its own. Empty table: empty result.
     """
     kept = rows.columns
-    base = cut(tagged(rows, key, source, F.coalesce(F.col(size), F.lit(0)), seed), "mix")
+    base = apart(cut(tagged(rows, key, source, F.coalesce(F.col(size), F.lit(0)), seed, None if tie is None else F.col(tie)), "mix"))
     out = copies(base, plan(base, weights, max_repeat, budget), max_repeat)
     return out.select(*kept, "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
 
@@ -136,18 +147,26 @@ def words():
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def digest():
+    """A hash of the text column; that of no characters for a null text."""
+    return F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+
+
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size (words), source_size, target, taken, copies, source. Null texts have size 0."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
-    return mix(rows, **options).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), digest().alias("_tie"))
+    return mix(rows, tie="_tie", **options).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29) -> DataFrame:
-    """The mixture itself: each row of docs, all columns, as many times as the mix takes it."""
+    """The mixture itself: each row of docs, all columns, as many times as the mix takes it. Null texts have size 0, null and
+    repeated ids take part as in mix(), columns of any name are carried through. Empty table: empty result."""
     kept = docs.columns
-    base = cut(tagged(docs.select("doc_id", "source", "text"), "doc_id", "source", words(), seed).select("_src", "_null", "_size", "_h"), "mix")
-    p = plan(base, weights, max_repeat, budget)
+    narrow = tagged(docs.select("doc_id", "source", "text"), "doc_id", "source", words(), seed, digest()).select("_src", "_null", "_size", "_h")
+    p = plan(apart(cut(narrow, "mix")), weights, max_repeat, budget)
     rows = docs.select([F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(kept)] + [F.col(c) for c in ("doc_id", "source", "text")])
-    out = copies(tagged(rows, "doc_id", "source", words(), seed), p, max_repeat).filter("_copies > 0")
+    rows = tagged(rows, "doc_id", "source", words(), seed, digest()).drop("doc_id", "source", "text")
+    # equal rows get the same set of hashes here as in the plan, whichever of them gets which
+    out = copies(apart(rows), p, max_repeat).filter("_copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select([F.col(f"k_{i}").alias(c) for i, c in enumerate(kept)])

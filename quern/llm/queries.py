@@ -105,7 +105,7 @@ budget AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3)::INT ELSE 0 END AS f,
     CASE WHEN source_size > 0 AND least(floor(target / source_size), 3) >= 3 THEN 0
          WHEN source_size > 0 THEN floor(target - least(floor(target / source_size), 3) * source_size) ELSE floor(target) END::BIGINT AS rest FROM p),
-h AS (SELECT d.*, CAST('0x' || substr(md5('29:' || doc_id || ':' || size), 1, 12) AS BIGINT) AS h FROM d),
+h AS (SELECT d.*, CAST('0x' || substr(md5('29:' || doc_id || ':' || size || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS h FROM d),
 c AS (SELECT h.*, b.rest, sum(size) OVER (PARTITION BY h.src ORDER BY h.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM h JOIN budget b USING (src)),
 x0 AS (SELECT src, doc_id, size, h, CASE WHEN upto <= rest THEN 1 ELSE 0 END AS extra FROM c),"""
     + _ROUND.format(k=1, p=0)

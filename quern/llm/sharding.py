@@ -18,6 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.equalrows import numbered
 from quern.session import cut
 
 ROWS_PER_BUCKET = 64
@@ -47,7 +48,9 @@ def interleave(rows: DataFrame, n_shards: int, seed: int = 17, source: str = "so
 
     A null source is a stratum of its own; a null or repeated key is allowed (ties fall to `tie`, then between
     equal rows either may come first, which leaves the result's values the same). Fewer rows than shards: the
-    rest stay empty. An empty table gives an empty table. `rows` should be narrow: it is written out once.
+    rest stay empty. An empty table gives an empty table. `rows` should be narrow: it is written out once. Rows are
+    hashed by key and tie; where many are equal in both (null keys, a key with a third of all rows), each also by its
+    number among them, so that no bucket grows with a key.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -55,10 +58,12 @@ def interleave(rows: DataFrame, n_shards: int, seed: int = 17, source: str = "so
     kept = rows.columns
     base = cut(
         rows.withColumn("_src", F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))).withColumn(
-            "_h", seeded(seed, F.coalesce(F.col(key).cast("string"), F.lit("")))
+            "_h", seeded(seed, F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(tie).cast("string")))
         ),
         "shard",
     )
+    base = numbered(base, ["_src", "_h"])
+    base = base.withColumn("_h", F.when(F.col("_no").isNull(), F.col("_h")).otherwise(seeded(seed, F.concat_ws(":", "_h", "_no")))).drop("_no")
     total = base.count()
     if total == 0:
         return base.select(*kept, F.lit(0).cast("int").alias("shard"), F.lit(0).cast("long").alias("slot"))
@@ -89,7 +94,9 @@ def interleave(rows: DataFrame, n_shards: int, seed: int = 17, source: str = "so
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, seed: int = 17) -> DataFrame:
     """doc_id, size (UTF-8 bytes of the text, null: none, plus 16), text_crc32, law "rows", shard, slot and
-    grown_shard (null under this law). Null texts have size 16 and the checksum of no bytes (0)."""
+    grown_shard (null under this law). Null texts have size 16 and the checksum of no bytes (0); null and repeated ids,
+    repeated rows and null sources take part like others; other columns are ignored. Empty table: no rows. The law "rows"
+    makes counts equal to one row, so equal texts are dealt over all shards, not kept together."""
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
