@@ -70,15 +70,16 @@ def never_returned(documents: DataFrame, log: DataFrame, hits: DataFrame) -> Dat
 
 
 def searches_since(documents: DataFrame, log: DataFrame) -> DataFrame:
-    """Searches logged at or after each document's indexing, by counts per hour and prefix sums instead of a theta join:
-    documents are indexed on whole hours, so an hour is wholly before or wholly after."""
-    hour = lambda c: F.date_trunc("hour", c)
-    per = log.groupBy(hour("created_at").alias("hour")).agg(F.count("*").alias("n"))
-    stamps = documents.select(F.col("indexed_at").alias("hour")).distinct().withColumn("n", F.lit(0).cast("long"))
-    both = per.select("hour", "n").unionByName(stamps).groupBy("hour").agg(F.sum("n").alias("n"))
-    w = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = both.select(F.col("hour").alias("indexed_at"), F.sum("n").over(w).alias("searches"))
-    return documents.join(after, "indexed_at")
+    """Searches logged at or after each document's indexing, by prefix sums instead of a theta join: counts of whole hours
+    (a list as long as the log's time span, in one task), and within an hour the distinct times of that hour."""
+    times = log.groupBy(F.col("created_at").alias("_t")).agg(F.count("*").alias("_c"))
+    stamps = documents.select(F.col("indexed_at").alias("_t")).distinct().withColumn("_c", F.lit(0).cast("long"))
+    both = times.unionByName(stamps).groupBy("_t").agg(F.sum("_c").alias("_c")).withColumn("_hour", F.date_trunc("hour", "_t"))
+    later = Window.orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)
+    hours = both.groupBy("_hour").agg(F.sum("_c").alias("_n")).select("_hour", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_later"))
+    inside = Window.partitionBy("_hour").orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = both.withColumn("_in", F.sum("_c").over(inside)).join(hours, "_hour")
+    return documents.join(after.select(F.col("_t").alias("indexed_at"), (F.col("_in") + F.col("_later")).alias("searches")), "indexed_at")
 
 
 def what_if(log: DataFrame, current: float, proposed: float) -> DataFrame:

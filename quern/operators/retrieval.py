@@ -104,6 +104,62 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, ids: tup
     return found.withColumn("dense_rank", F.row_number().over(w)).filter(F.col("dense_rank") <= k).select("query_id", *ids, "dense_rank", "cosine")
 
 
+def rows_ahead(rows: DataFrame, questions: DataFrame, key: str, owner: str) -> DataFrame:
+    """query_id, ahead: how many rows of other owners are nearer (1 - inner product, exact) than the nearest row of the
+    question's own owner. The question's own row is left out; a question whose owner has no other row has none.
+
+    Two passes of block products: one finds the nearest own row of each question, one counts what lies before it.
+    """
+    narrow = rows.select(key, owner, "embedding").filter("embedding IS NOT NULL")
+
+    def blocks():
+        block = []
+        for r in questions.select("query_id", owner, "embedding").filter("embedding IS NOT NULL").toLocalIterator():
+            block.append(tuple(r))
+            if len(block) == QUESTION_BLOCK:
+                yield block
+                block = []
+        yield block
+
+    def products(block, per):
+        """per(products of a batch with the block's questions, own mask, other mask) -> a number for each question."""
+        ids, owners = np.array([b[0] for b in block]), [b[1] for b in block]
+        shared = rows.sparkSession.sparkContext.broadcast((ids, owners, np.array([list(b[2]) for b in block], np.float64)))
+
+        def run(batches):
+            for b in batches:
+                ids, owners, q = shared.value
+                x = np.array(b.column(2).to_pylist(), np.float64)
+                k, own = b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(1).to_pylist(), object)
+                if not len(x):
+                    continue
+                where = {o: own == o for o in set(owners)}
+                same = np.stack([where[o] for o in owners])
+                apart = ids[:, None] != k[None, :]
+                v = per(1 - q @ x.T, same & apart, ~same & apart, ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v.astype(np.float64))], names=["query_id", "v"])
+
+        return narrow.mapInArrow(run, "query_id long, v double")
+
+    found = None
+    for block in blocks():
+        if not block:
+            continue
+        nearest = products(block, lambda d, same, other, ids: np.where(same, d, np.inf).min(axis=1))
+        near = {r[0]: r[1] for r in nearest.groupBy("query_id").agg(F.min("v")).collect() if r[1] < float("inf")}
+
+        def before(d, same, other, ids, near=near):
+            bound = np.array([near.get(i, -np.inf) for i in ids.tolist()])
+            return (other & (d < bound[:, None])).sum(axis=1)
+
+        part = products([b for b in block if b[0] in near], before) if near else None
+        if part is not None:
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return rows.sparkSession.createDataFrame([], "query_id long, ahead long")
+    return found.groupBy("query_id").agg(F.sum("v").cast("long").alias("ahead"))
+
+
 def common_threshold(chunks: DataFrame, by: str = "project", share: float = COMMON_SHARE, least: int = COMMON_LEAST) -> DataFrame:
     """(by, total, common_at): terms found in that many chunks or more carry no weight."""
     t = chunks.groupBy(by).agg(F.count("*").alias("total"))
@@ -123,12 +179,13 @@ def kept_terms(posts: DataFrame, questions: DataFrame, common: DataFrame) -> Dat
     """query_id, config, term, df of the questions' terms that are not common in their configuration."""
     df = posts.groupBy("config", "term").agg(F.count("*").alias("df"))
     terms = questions.select("query_id", "config", F.explode(F.array_distinct("tokens")).alias("term"))
-    return terms.join(df, ["config", "term"]).join(common.select(F.col("project").alias("config"), "common_at"), "config").filter("df < common_at").select("query_id", "config", "term", "df")
+    rare = df.join(F.broadcast(common.select(F.col("project").alias("config"), "common_at")), "config").filter("df < common_at").drop("common_at")
+    return terms.join(small(rare), ["config", "term"]).select("query_id", "config", "term", "df")
 
 
 def lexical(posts: DataFrame, terms: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """The k best chunks per question and configuration by sum of tf / ln(length + 1): shorter and earlier first on ties."""
-    s = posts.join(terms, ["config", "term"]).groupBy("query_id", "config", "doc_id", "chunk_index", "length").agg(F.sum("tf").alias("_tf"))
+    s = posts.join(small(terms), ["config", "term"]).groupBy("query_id", "config", "doc_id", "chunk_index", "length").agg(F.sum("tf").alias("_tf"))
     s = s.withColumn("rank_score", F.col("_tf") / F.log(F.col("length") + F.lit(1.0)))
     w = Window.partitionBy("query_id", "config").orderBy(F.desc("rank_score"), "length", "chunk_index", "doc_id")
     return s.withColumn("lexical_rank", F.row_number().over(w)).filter(F.col("lexical_rank") <= k).select("query_id", "config", "doc_id", "chunk_index", "lexical_rank", "rank_score")

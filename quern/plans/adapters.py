@@ -19,12 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("relative_path"),
         F.col("text").alias("content"),
-        F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 600 as int), 0, 0)").alias("indexed_at"),
+        F.expr("timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(doc_id % 600 as int), cast(doc_id % 7 as int), 0)").alias("indexed_at"),
     )
 
 
 DOCUMENTS = """docs AS (SELECT lang AS project, 1 AS generation, source, doc_id, source || '/' || doc_id || '.md' AS relative_path, text AS content,
-  TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 600)::INT) AS indexed_at FROM documents)"""
+  TIMESTAMP '2024-01-01 00:00:00' + to_hours((doc_id % 600)::INT) + to_minutes((doc_id % 7)::INT) AS indexed_at FROM documents)"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

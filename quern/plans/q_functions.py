@@ -41,9 +41,9 @@ def x7(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.extension(F.col("url")).alias("ext"))
 
 
-@register("x8_embedding_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || chr(10) || text ELSE text END AS t FROM documents WHERE doc_id % 10 = 0 OR doc_id % 10 = 3")
+@register("x8_embedding_text", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || chr(10) || chr(10) || text ELSE text END AS t FROM documents")
 def x8(spark, sf_dir):
-    d = _docs(spark, sf_dir).filter("doc_id % 10 = 0 OR doc_id % 10 = 3")
+    d = _docs(spark, sf_dir)
     return d.select("doc_id", S.embedding_text(F.when(F.expr("doc_id % 2 = 0"), F.col("source")), F.col("text")).alias("t"))
 
 
@@ -68,9 +68,9 @@ def x20(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit(" #"), "p_type")).alias("slug"))
 
 
-@register("v6_chunk_budget", "SELECT l_orderkey, l_linenumber, greatest(96 - l_linenumber - l_quantity::INT, 16) AS budget FROM lineitem WHERE l_orderkey < 3000")
+@register("v6_chunk_budget", "SELECT l_orderkey, l_linenumber, greatest(96 - l_linenumber - l_quantity::INT, 16) AS budget FROM lineitem")
 def v6(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey < 3000")
+    li = table(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", S.overlap_budget(F.lit(96), F.col("l_linenumber"), F.col("l_quantity").cast("int")).alias("budget"))
 
 
@@ -102,15 +102,15 @@ def d1(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", S.parse_since(t).cast("timestamp_ntz").alias("since"))
 
 
-@register("w1_named_entities", "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM pages WHERE page_id % 10 = 0")
+@register("w1_named_entities", "SELECT page_id, replace(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM pages")
 def w1(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter("page_id % 10 = 0").select("page_id", W.decode_named(F.col("html")).alias("t"))
+    return table(spark, sf_dir, "pages").select("page_id", W.decode_named(F.col("html")).alias("t"))
 
 
-@register("w2_sitemap_entries", "SELECT page_id, url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-05' END AS lastmod FROM pages WHERE url NOT LIKE '%&%'")
+@register("w2_sitemap_entries", "SELECT page_id, url AS loc, CASE WHEN page_id % 2 = 0 THEN '2024-01-05' END AS lastmod FROM pages")
 def w2(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").filter("url NOT LIKE '%&%'")
-    xml = F.concat(F.lit("<urlset><url><loc>"), "url", F.lit("</loc>"), F.when(F.expr("page_id % 2 = 0"), "<lastmod>2024-01-05</lastmod>").otherwise(""), F.lit("</url></urlset>"))
+    p = table(spark, sf_dir, "pages")
+    xml = F.concat(F.lit("<urlset><url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.when(F.expr("page_id % 2 = 0"), "<lastmod>2024-01-05</lastmod>").otherwise(""), F.lit("</url></urlset>"))
     return p.select("page_id", F.inline(W.sitemap_entries(xml)))
 
 

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import retrieval as R
+from quern.operators import service
 from quern.plans import adapters as A
 from quern.plans.registry import register
 from quern.plans.sqlbook import sql
-from quern.session import ship, table
+from quern.session import cut, ship, small, spread, table
 
 _COS = "list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _DENSE = f"""dense AS (SELECT query_id, vec_id, dense_rank, cosine FROM (SELECT q.vec_id AS query_id, a.vec_id, {_COS} AS cosine,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, a.vec_id) AS dense_rank
-  FROM embeddings a, embeddings q WHERE q.vec_id % 25 = 3) WHERE dense_rank <= 50)"""
+  FROM embeddings a, embeddings q WHERE q.vec_id % 50 = 0) WHERE dense_rank <= 50)"""
 
 
 def _dense(spark, sf_dir, k=50):
     e = table(spark, sf_dir, "embeddings")
     ship(spark)
-    return R.dense(e, e.filter("vec_id % 25 = 3").withColumnRenamed("vec_id", "query_id"), k, ("vec_id",))
+    return R.dense(e, e.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), k, ("vec_id",))
 
 
 @register("t1_dense_topk", f"WITH {_DENSE} SELECT query_id, vec_id, dense_rank, round(cosine, 6) AS cosine FROM dense WHERE dense_rank <= 10")
@@ -38,8 +39,8 @@ def n3(spark, sf_dir):
     return R.page(hits, [F.col("dense_rank")], "label").select("query_id", "vec_id", "label", "dense_rank", "position")
 
 
-_QUESTIONS = r"""questions AS (SELECT conv_id AS query_id, text, d.lang AS config, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS tokens
-  FROM conversations JOIN (SELECT DISTINCT lang FROM documents) d ON true WHERE role = 'user' AND turn <= 1 AND conv_id % 9 = 0)"""
+_QUESTIONS = r"""questions AS (SELECT conv_id * 1000 + turn AS query_id, text, d.lang AS config, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS tokens
+  FROM conversations JOIN (SELECT DISTINCT lang FROM documents) d ON true WHERE role = 'user' AND conv_id % 50 = 0)"""
 _TERMS = f"""{A.CHUNKS}, {_QUESTIONS},
 posts AS (SELECT config, term, doc_id, chunk_index, length, count(*) AS tf FROM (SELECT config, doc_id, chunk_index, len(tokens) AS length, unnest(tokens) AS term FROM chunks) GROUP BY ALL),
 common AS (SELECT project AS config, greatest(ceil(count(*) * 0.05), 10) AS common_at FROM chunks GROUP BY project),
@@ -52,16 +53,17 @@ lexical AS (SELECT * FROM (SELECT query_id, config, doc_id, chunk_index, rank_sc
 
 def _questions(spark, sf_dir):
     """User turns, asked in every text configuration."""
-    c = table(spark, sf_dir, "conversations").filter("role = 'user' AND turn <= 1 AND conv_id % 9 = 0").select(F.col("conv_id").alias("query_id"), "text")
+    c = table(spark, sf_dir, "conversations").filter("role = 'user' AND conv_id % 50 = 0").select(F.expr("conv_id * 1000 + turn").alias("query_id"), "text")
     langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("config")).distinct()
-    return c.join(langs).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return c.join(F.broadcast(langs)).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
 
 
 def _lexical(spark, sf_dir):
+    """Texts are split into words once: the asked terms' postings are written, and read for weights and for scores."""
     chunks = A.chunks(spark, sf_dir)
-    asked = _questions(spark, sf_dir)
-    posts = R.postings(chunks, asked)
-    return R.lexical(posts, R.kept_terms(posts, asked, R.common_threshold(chunks)))
+    asked = cut(_questions(spark, sf_dir), "asked")
+    posts = cut(R.postings(chunks, asked), "postings")
+    return R.lexical(posts, cut(R.kept_terms(posts, asked, R.common_threshold(chunks)), "terms"))
 
 
 @register("a2_document_frequency_terms", f"WITH {_TERMS} SELECT query_id, config, term, df FROM terms")
@@ -96,10 +98,10 @@ def _bag_sql(text):
 
 _HYBRID = f"""{_LEXICAL},
 qv AS (SELECT DISTINCT query_id, text, {_bag_sql("lower(text)")} AS v FROM questions),
-cv AS (SELECT doc_id, chunk_index, config, length(content) AS size, {_bag_sql("lower(content)")} AS v FROM chunks WHERE source IN ('src1', 'src2', 'src3')),
+cv AS (SELECT doc_id, chunk_index, config, length(content) AS size, {_bag_sql("lower(content)")} AS v FROM chunks),
 cs AS (SELECT query_id, doc_id, chunk_index, size, CASE WHEN list_inner_product(c.v, c.v) = 0 THEN 0 ELSE list_inner_product(c.v, q.v) / (sqrt(list_inner_product(c.v, c.v)) * sqrt(list_inner_product(q.v, q.v))) END AS cosine FROM cv c, qv q),
 dn AS (SELECT * FROM (SELECT query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_index, doc_id) AS dense_rank FROM cs) WHERE dense_rank <= 50),
-lx AS (SELECT query_id, doc_id, chunk_index, min(lexical_rank) AS lexical_rank FROM lexical l JOIN (SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2', 'src3')) USING (doc_id) GROUP BY ALL),
+lx AS (SELECT query_id, doc_id, chunk_index, min(lexical_rank) AS lexical_rank FROM lexical l GROUP BY ALL),
 fu AS (SELECT query_id, doc_id, chunk_index, dense_rank, lexical_rank, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS fused FROM dn FULL OUTER JOIN lx USING (query_id, doc_id, chunk_index)),
 fo AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY fused DESC, dense_rank NULLS LAST, chunk_index, doc_id) AS r FROM fu),
 pg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, chunk_index, doc_id) AS position FROM fo WHERE r <= 2) WHERE position <= 5)"""
@@ -110,12 +112,11 @@ def _order():
 
 def _fused(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
-    scope = chunks.filter(F.col("source").isin("src1", "src2", "src3"))
     ship(spark)
     q = _questions(spark, sf_dir).select("query_id", "text").distinct().select("query_id", _bag(F.lower("text")).alias("embedding"))
-    c = scope.select("doc_id", "chunk_index", _bag(F.lower("content")).alias("embedding"))
+    c = chunks.select("doc_id", "chunk_index", _bag(F.lower("content")).alias("embedding"))
     dense = R.dense(c, q, 50, ("chunk_index", "doc_id"), digits=9)
-    lex = _lexical(spark, sf_dir).join(scope.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("query_id", "doc_id", "chunk_index").agg(F.min("lexical_rank").alias("lexical_rank"))
+    lex = _lexical(spark, sf_dir).groupBy("query_id", "doc_id", "chunk_index").agg(F.min("lexical_rank").alias("lexical_rank"))
     return R.fuse(dense.drop("cosine"), lex, ["query_id", "doc_id", "chunk_index"])
 
 
@@ -131,8 +132,10 @@ SELECT query_id, position, doc_id, chunk_index, round(fused, 9) AS fused, conten
 )
 def q1(spark, sf_dir):
     """Dense and lexical candidates, fused, capped per document, cut to a page, then joined with neighbouring text."""
-    page = R.page(_fused(spark, sf_dir), _order())
-    context = R.neighbours(A.chunks(spark, sf_dir).select("doc_id", "chunk_index", "content"))
+    page = cut(R.page(_fused(spark, sf_dir), _order()), "page")
+    # only documents on some page are read into their neighbourhoods
+    shown = A.chunks(spark, sf_dir).select("doc_id", "chunk_index", "content").join(small(page.select("doc_id").distinct()), "doc_id", "left_semi")
+    context = R.neighbours(shown)
     return page.join(context, ["doc_id", "chunk_index"]).select("query_id", "position", "doc_id", "chunk_index", F.round("fused", 9).alias("fused"), "content", "before", "after")
 
 
@@ -195,14 +198,12 @@ def v2(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(v, 6).alias("l1"))
 
 
-@register(
-    "v4_hashed_bag_embedding",
-    "SELECT doc_id, lower(text) AS t, array_to_string([" + ", ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))::INT" for c in "aeiou") + "], ',') AS bag FROM documents WHERE doc_id % 10 = 1",
-)
+@register("v4_hashed_bag_embedding", None)
 def v4(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("doc_id % 10 = 1")
-    t = F.lower("text")
-    return d.select("doc_id", t.alias("t"), F.concat_ws(",", *[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("string") for c in "aeiou"]).alias("bag"))
+    """The offline provider over whole texts; tests compare it with a plain version."""
+    ship(spark)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return service.embed(d, F.col("text"), service.bag_of_words(384)).drop("text")
 
 
 @register(
@@ -219,23 +220,21 @@ def z1(spark, sf_dir):
 
 @register(
     "z2_rows_ahead",
-    """WITH q AS (SELECT vec_id AS query_id, label AS own, embedding FROM embeddings WHERE vec_id % 100 = 7),
+    """WITH q AS (SELECT vec_id AS query_id, label AS own, embedding FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, own, label, vec_id, 1 - list_inner_product(a.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings a, q WHERE a.vec_id <> q.query_id),
 n AS (SELECT query_id, min(d) AS nearest FROM s WHERE label = own GROUP BY query_id)
 SELECT query_id, count(*) FILTER (label <> own AND d < nearest) AS ahead FROM s JOIN n USING (query_id) GROUP BY query_id""",
 )
 def z2(spark, sf_dir):
+    ship(spark)
     e = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(e.filter("vec_id % 100 = 7").select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"), F.col("embedding").alias("v")))
-    s = e.join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "own", "label", (1 - R.dot("embedding", "v")).alias("d"))
-    near = s.filter("label = own").groupBy("query_id").agg(F.min("d").alias("nearest"))
-    return s.join(F.broadcast(near), "query_id").groupBy("query_id").agg(F.count_if((F.col("label") != F.col("own")) & (F.col("d") < F.col("nearest"))).alias("ahead"))
+    return R.rows_ahead(e, e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", "embedding"), "vec_id", "label")
 
 
 sql(
     "t4_total_fused_order",
-    """SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(1D / (60 + r), 0D) DESC, r ASC NULLS LAST, o_orderpriority, o_orderkey) AS position
-FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 50 AS INT) END AS r FROM {orders} WHERE o_orderkey % 20 = 0)""",
-    """SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(1::DOUBLE / (60 + r), 0) DESC, r ASC NULLS LAST, o_orderpriority, o_orderkey) AS position
-FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 50 AS INT) END AS r FROM orders WHERE o_orderkey % 20 = 0)""",
+    """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(1D / (60 + r), 0D) DESC, r ASC NULLS LAST, o_orderpriority, o_orderkey) AS position
+FROM (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 50 AS INT) END AS r FROM {orders})""",
+    """SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(1::DOUBLE / (60 + r), 0) DESC, r ASC NULLS LAST, o_orderpriority, o_orderkey) AS position
+FROM (SELECT o_custkey, o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 50 AS INT) END AS r FROM orders)""",
 )

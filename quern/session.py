@@ -36,9 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for lineage cuts: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder for lineage cuts: spark.checkpoint.dir, or a temporary one where that is unset in a local session. On a
+    cluster a folder of one machine is of no use to the others, so there the setting must be made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = _local_dir()
     return path.rstrip("/")
 
