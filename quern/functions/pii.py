@@ -24,10 +24,20 @@ IBAN_LENGTHS = {
 
 
 def valid_iban(text: str) -> bool:
-    t = re.sub(r"[ -]", "", text).upper()
-    if len(t) != IBAN_LENGTHS.get(t[:2], 0):
+    """The registry's length for the country, and remainder 1 of the rearranged number; no spaces, capital letters."""
+    if len(text) != IBAN_LENGTHS.get(text[:2], 0):
         return False
-    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def _iban_pattern(length: int) -> re.Pattern:
+    """An IBAN of that length in groups of four, each after one space or none, up to where a group ends."""
+    groups, rest = divmod(length - 4, 4)
+    last = f"(?: ?[A-Z0-9]{{{rest}}})" if rest else ""
+    return re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{last}(?![A-Z0-9])")
+
+
+_IBANS = {country: _iban_pattern(length) for country, length in IBAN_LENGTHS.items()}
 
 
 def valid_citizen_number(text: str) -> bool:
@@ -49,19 +59,27 @@ def valid_jwt(text: str) -> bool:
     return isinstance(x, dict) and isinstance(x.get("alg"), str)
 
 
-def _always(_: str) -> bool:
-    return True
+def _whole(candidate: str) -> str | None:
+    return candidate
 
 
-# The published shapes of the credentials and numbers.
+def _iban(candidate: str) -> str | None:
+    """The IBAN that a candidate begins with: it may have taken a following word along."""
+    pattern = _IBANS.get(candidate[:2])
+    m = pattern.match(candidate) if pattern else None
+    return m[0] if m and valid_iban(m[0].replace(" ", "")) else None
+
+
+# The rules' names and the shapes of candidates; each with what a candidate is accepted as.
 RULES = [
-    ("aws-access-key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z2-7]{16}(?![A-Za-z0-9])"), _always),
-    ("github-token", re.compile(r"(?<![A-Za-z0-9_])(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59})(?![A-Za-z0-9_])"), _always),
-    ("private-key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"), _always),
-    ("jwt", re.compile(r"(?<![A-Za-z0-9_.-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+(?![A-Za-z0-9_-])"), valid_jwt),
-    ("citizen-number", re.compile(r"(?<![\w.])[1-9][0-9]{10}(?![\w]|\.[0-9])"), valid_citizen_number),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:[ -]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])"), valid_iban),
+    ("aws_access_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _whole),
+    ("github_token", re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{82})(?![A-Za-z0-9])"), _whole),
+    ("private_key", re.compile(r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY(?: BLOCK)?-----"), _whole),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{4,4096}\.eyJ[A-Za-z0-9_-]{4,4096}\.[A-Za-z0-9_-]{1,4096}(?![A-Za-z0-9_-])"), lambda c: c if valid_jwt(c) else None),
+    ("tckn", re.compile(r"(?<![A-Za-z0-9])[1-9][0-9]{10}(?![A-Za-z0-9])"), lambda c: c if valid_citizen_number(c) else None),
+    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])"), _iban),
 ]
+KEY_WINDOW, KEY_CHARS = 8192, 4096
 
 
 @dataclass
@@ -75,39 +93,32 @@ class Finding:
     normalized: str
 
 
-def mask(text: str) -> str:
-    """The ends of a value; never more than a third of it."""
-    n = min(4, len(text) // 6)
-    return text[:n] + "…" + text[len(text) - n :] if n else "…"
-
-
-def _iban_prefix(text: str) -> str | None:
-    """The part of a candidate that has its country's length: text after a number may look like more of it."""
-    want = IBAN_LENGTHS.get(text[:2].upper())
-    if not want:
-        return None
-    solid = 0
-    for i, c in enumerate(text):
-        solid += c not in " -"
-        if solid == want:
-            return text[: i + 1]
-    return None
+def shown(rule: str, value: str, after: str) -> tuple[str, str]:
+    """Preview (at most four characters beyond a fixed prefix) and the form a value is keyed in. A private key's header
+    is the same for all keys, so it is keyed by what follows, up to its end mark."""
+    if rule == "private_key":
+        body = re.sub(r"\s+", "", after[:KEY_WINDOW].split("-----END")[0])[:KEY_CHARS]
+        return value, body or value
+    if rule == "iban":
+        solid = value.replace(" ", "")
+        return solid[:2] + "…" + solid[-4:], solid
+    if rule == "tckn":
+        return "*" * 9 + value[-2:], value
+    if rule == "jwt":
+        return value[:7] + "…", value
+    return value[: 11 if value.startswith("github_pat_") else 4] + "…" + value[-4:], value
 
 
 def scan_text(text: str, most: int = MAX_FINDINGS) -> tuple[list[Finding], int, bool]:
     """Findings in order, their full number, and whether the list was cut. Overlaps: the earlier match, then the longer."""
     found = []
-    for rule, pattern, valid in RULES:
-        at = 0
-        while m := pattern.search(text, at):
-            value = (_iban_prefix(m[0]) or "") if rule == "iban" else m[0]
-            good = bool(value) and valid(value)
-            if good:
+    for rule, pattern, accept in RULES:
+        for m in pattern.finditer(text):
+            value = accept(m[0])
+            if value:
                 found.append((m.start(), -len(value), rule, value))
-            # a rejected candidate may hide another inside it
-            at = m.start() + (len(value) if good else 1)
-    kept, end = [], -1
-    for start, minus, rule, value in sorted(found):
+    kept, end = [], 0
+    for start, minus, rule, value in sorted(found, key=lambda f: f[:2]):
         if start >= end:
             kept.append((start, rule, value))
             end = start - minus
@@ -117,10 +128,10 @@ def scan_text(text: str, most: int = MAX_FINDINGS) -> tuple[list[Finding], int,
         line += gap.count("\n")
         if "\n" in gap:
             line_start = at + gap.rindex("\n") + 1
-        units += len(gap) + sum(c > "￿" for c in gap)
+        units += len(gap) + sum(c > "\uffff" for c in gap)
         at = start
-        norm = re.sub(r"[ -]", "", value).upper() if rule == "iban" else value
-        out.append(Finding(rule, units, len(value), line, start - line_start + 1, mask(norm), norm))
+        stop = start + len(value)
+        out.append(Finding(rule, units, len(value), line, start - line_start + 1, *shown(rule, value, text[stop : stop + KEY_WINDOW])))
     return out, len(kept), len(kept) > most
 
 

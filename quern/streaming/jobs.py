@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -38,35 +39,57 @@ def retained(events: DataFrame, keep: Column, at: str = "ts") -> DataFrame:
     return events.filter(F.col(at) >= keep)
 
 
-def sliding_limiter(events: DataFrame, limit: int, seconds: float, key: str = "user_id", at: str = "ts") -> DataFrame:
+def _times(batches: Iterator[pd.DataFrame], at: str) -> list[float]:
+    """The times of a key in one micro-batch, in order: Arrow may hand them over in several parts."""
+    return sorted(x.timestamp() for pdf in batches for x in pdf[at])
+
+
+def _wake(state: GroupState, at: float) -> None:
+    """Ask for a timeout at a time in seconds, or as soon as the watermark moves if it is past that."""
+    state.setTimeoutTimestamp(max(int(at * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def sliding_limiter(events: DataFrame, limit: int, seconds: float, key: str = "user_id", at: str = "ts", late: str = "0 seconds") -> DataFrame:
     """Per row whether its key has had `limit` admitted rows in the last `seconds`, and the seconds to wait if so. State is
-    the admitted times still in the window: at most `limit` numbers a key."""
+    the admitted times still in the window: at most `limit` numbers a key, dropped when the watermark has left them behind.
+    Rows behind the watermark are dropped by the engine."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hits = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            out = []
-            for t in sorted(pdf[at].map(lambda x: x.timestamp())):
-                hits = [h for h in hits if h > t - seconds]
-                wait = hits[0] + seconds - t if len(hits) >= limit else 0.0
-                if not wait:
-                    hits.append(t)
-                out.append((k[0], t, wait == 0.0, wait))
-            yield pd.DataFrame(out, columns=["token", "at", "admitted", "wait"])
+        out = []
+        for t in _times(batches, at):
+            hits = [h for h in hits if h > t - seconds]
+            wait = hits[0] + seconds - t if len(hits) >= limit else 0.0
+            if not wait:
+                hits.append(t)
+            out.append((k[0], t, wait == 0.0, wait))
         state.update((hits,))
+        _wake(state, (hits[-1] if hits else 0.0) + seconds)
+        yield pd.DataFrame(out, columns=["token", "at", "admitted", "wait"])
 
-    return events.groupBy(key).applyInPandasWithState(run, "token long, at double, admitted boolean, wait double", "hits array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark(at, late).groupBy(key)
+    return rows.applyInPandasWithState(run, "token long, at double, admitted boolean, wait double", "hits array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def coalesced_runs(events: DataFrame, gap: float, key: str = "user_id", at: str = "ts") -> DataFrame:
-    """Triggers of a key: run now if the last run is a gap ago, else remember the earliest due time; a trigger at or after
-    it runs then. One number of each kind is kept per key."""
+def coalesced_runs(events: DataFrame, gap: float, key: str = "user_id", at: str = "ts", late: str = "0 seconds") -> DataFrame:
+    """Triggers of a key: run now if the last run is a gap ago, else remember the earliest due time and run then: at the next
+    trigger at or after it, or when the watermark passes it. State is the last run and the due time, dropped a gap after
+    the last run. Rows behind the watermark are dropped by the engine."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, due = state.get if state.exists else (None, None)
-        for pdf in batches:
-            out = []
-            for t in sorted(pdf[at].map(lambda x: x.timestamp())):
+        out = []
+        if state.hasTimedOut:
+            if due is None:
+                state.remove()
+                return
+            out.append((k[0], due, "deferred"))
+            last, due = due, None
+        else:
+            for t in _times(batches, at):
                 if due is not None and t >= due:
                     out.append((k[0], due, "deferred"))
                     last, due = due, None
@@ -75,10 +98,12 @@ def coalesced_runs(events: DataFrame, gap: float, key: str = "user_id", at: str
                     last = t
                 elif due is None:
                     due = last + gap
-            yield pd.DataFrame(out, columns=["token", "at", "kind"])
         state.update((last, due))
+        _wake(state, due if due is not None else last + gap)
+        yield pd.DataFrame(out, columns=["token", "at", "kind"])
 
-    return events.groupBy(key).applyInPandasWithState(run, "token long, at double, kind string", "last double, due double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark(at, late).groupBy(key)
+    return rows.applyInPandasWithState(run, "token long, at double, kind string", "last double, due double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:
@@ -100,22 +125,25 @@ def append_log(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def capture_changes(snapshots: DataFrame, path: str, checkpoint: str, read: Callable[[str], DataFrame | None]):
+def capture_changes(snapshots: DataFrame, path: str, checkpoint: str):
     """Each micro-batch is the newest state of some paths; the journal gets what differs from the state before it.
 
-    `read` returns the state written by earlier batches or None. A replayed batch writes the same folders again.
+    Batch n writes its own rows as state/v=n and its changes as journal/n=n. The state before n is the newest row of
+    a path among the folders below n, so a replayed batch finds what it found at first and writes the same again.
+    Only paths of the batch are compared. A path that comes twice in a batch counts once, with the larger hash.
     """
+    spark = snapshots.sparkSession
 
     def write(batch: DataFrame, n: int) -> None:
-        old = read(f"{path}/state")
-        new = batch.select("relative_path", "content_hash").dropDuplicates(["relative_path"])
-        if old is None:
-            changes, state = new.select("relative_path", F.lit("added").alias("change")), new
+        new = batch.groupBy("relative_path").agg(F.max("content_hash").alias("content_hash"))
+        try:
+            below = spark.read.schema("relative_path string, content_hash string, v long").parquet(f"{path}/state").filter(F.col("v") < n)
+        except AnalysisException:  # the first batch: no folder yet
+            changes = new.select("relative_path", F.lit("added").alias("change"))
         else:
-            known = old.join(new.select("relative_path"), "relative_path", "left_semi")
+            known = below.join(new.select("relative_path"), "relative_path", "left_semi").groupBy("relative_path").agg(F.max_by("content_hash", "v").alias("content_hash"))
             changes = ingest.snapshot_diff(known, new).filter("change <> 'unchanged'")
-            state = ingest.upsert(old, new, ["relative_path"])
         changes.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/journal/n={n}")
-        state.write.mode("overwrite").parquet(f"{path}/state/v={n}")
+        new.write.mode("overwrite").parquet(f"{path}/state/v={n}")
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

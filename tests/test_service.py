@@ -75,16 +75,55 @@ def test_change_capture_stream(spark, tmp_path):
     def feed(name, rows):
         spark.createDataFrame(rows, "relative_path string, content_hash string").coalesce(1).write.parquet(str(src / name))
 
-    def read(path):
-        import os
-
-        vs = sorted(int(v.split("=")[1]) for v in os.listdir(path)) if os.path.isdir(path) else []
-        return spark.read.parquet(f"{path}/v={vs[-1]}") if vs else None
-
     schema = "relative_path string, content_hash string"
     for name, rows in (("1", [("a", "1"), ("b", "1")]), ("2", [("a", "2"), ("b", "1"), ("c", "1")])):
         feed(name, rows)
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src))
-        jobs.capture_changes(stream, out, str(tmp_path / "cp"), read).awaitTermination()
+        jobs.capture_changes(stream, out, str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.batch, r.relative_path, r.change) for r in spark.read.parquet(f"{out}/journal").collect())
     assert got == [(0, "a", "added"), (0, "b", "added"), (1, "a", "modified"), (1, "c", "added")]
+    # the last batch again, as after a lost driver: its commit is taken away, its folders stay
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    for crc in (tmp_path / "cp" / "commits").glob(".1*"):
+        crc.unlink()
+    jobs.capture_changes(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(src)), out, str(tmp_path / "cp")).awaitTermination()
+    assert got == sorted((r.batch, r.relative_path, r.change) for r in spark.read.parquet(f"{out}/journal").collect())
+
+
+def _fed(spark, path, rows):
+    import datetime as dt
+
+    at = lambda s: dt.datetime.fromtimestamp(s, dt.timezone.utc)
+    spark.createDataFrame([(k, at(t)) for k, t in rows], "user_id long, ts timestamp").repartition(3).write.parquet(str(path))
+    return spark.readStream.schema("user_id long, ts timestamp").parquet(str(path))
+
+
+def test_limiter_matches_a_plain_one(spark, tmp_path):
+    import random
+
+    from quern.streaming import jobs
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(4), rng.randrange(400)) for _ in range(300)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # a key comes in several parts
+        got = sorted((r.token, r.at, r.admitted, round(r.wait, 6)) for r in jobs.drain(jobs.sliding_limiter(_fed(spark, tmp_path / "in", rows), 3, 20.0), "test").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, hits = [], {}
+    for k, t in sorted(rows):
+        seen = [h for h in hits.get(k, []) if h > t - 20]
+        wait = seen[0] + 20 - t if len(seen) >= 3 else 0
+        hits[k] = seen if wait else [*seen, t]
+        want.append((k, float(t), not wait, float(wait)))
+    assert got == sorted(want)
+
+
+def test_the_last_due_run_comes_without_another_trigger(spark, tmp_path):
+    from quern.streaming import jobs
+
+    # key 1 is deferred to 110 and hears nothing more; the clock of key 2 moves on
+    rows = [(1, 100), (1, 103), (1, 104), (2, 100), (2, 500)]
+    got = sorted((r.token, r.at, r.kind) for r in jobs.drain(jobs.coalesced_runs(_fed(spark, tmp_path / "in", rows), 10.0), "test").collect())
+    assert got == [(1, 100.0, "now"), (1, 110.0, "deferred"), (2, 100.0, "now"), (2, 500.0, "now")]
