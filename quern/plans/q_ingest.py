@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.operators import catalog as C
 from quern.operators import ingest as I
 from quern.plans import adapters as A
 from quern.plans.registry import register
-from quern.plans.sqlbook import sql
+from quern.plans.sqlbook import checked, sql
 from quern.session import table
 
 _RAW = "CASE doc_id % 7 WHEN 0 THEN '/a\\b/' || doc_id WHEN 1 THEN './x//' || doc_id WHEN 2 THEN 'x/../' || doc_id WHEN 3 THEN '' WHEN 4 THEN 'k/' || doc_id || '/' ELSE source || '/' || doc_id END"
@@ -122,52 +123,52 @@ _D = "WITH docs AS (SELECT lang AS project, source, doc_id, concat(source, '/',
 _C = "source, doc_id, lang, n_chars FROM {documents}"
 sql("s2_extension_filter", "SELECT page_id, url FROM {pages} WHERE regexp_like(lower(url), '[.](html|md|mdx)$')", "SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '[.](html|md|mdx)$')")
 sql("s3_content_hash", "SELECT doc_id, sha2(text, 256) AS content_hash FROM {documents}", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
-sql("s6_document_page", f"{_D} SELECT relative_path, source FROM docs WHERE relative_path > 'src11/2' ORDER BY relative_path LIMIT 50")
-sql("s7_point_lookup", f"{_D} SELECT doc_id, content FROM docs WHERE project = 'en' AND relative_path = 'src0/0.md' LIMIT 1")
-sql("s8_suffix_lookup", f"{_D} SELECT relative_path FROM (SELECT relative_path, count(*) OVER () AS n FROM docs WHERE endswith(relative_path, '/77.md')) x WHERE n = 1", f"{_D} SELECT relative_path FROM (SELECT relative_path, count(*) OVER () AS n FROM docs WHERE suffix(relative_path, '/77.md')) x WHERE n = 1")
-sql("s9_chunk_range", "SELECT doc_id, i AS chunk_index, line AS content FROM {documents} LATERAL VIEW posexplode(split(text, '\\n')) t AS i, line WHERE i BETWEEN 1 AND 2 AND startswith(lower(source), 'src1')", f"WITH {A.CHUNKS} SELECT doc_id, chunk_index, content FROM chunks WHERE chunk_index BETWEEN 1 AND 2 AND starts_with(lower(source), 'src1')")
-sql("s10_existing_snapshot", f"{_D} SELECT relative_path, md5(content) AS content_hash, source FROM docs WHERE project = 'de'")
-sql("s26_directory_revision", "SELECT source, concat('files=', count(*), ';newest=', max(doc_id)) AS revision FROM {documents} GROUP BY source")
-sql("f1_tenant_generation", "SELECT doc_id FROM {documents} WHERE lang = 'de' AND doc_id % 2 = 1")
-sql("f2_f3_f4_source_scope_prefix", f"{_D} SELECT doc_id FROM docs WHERE source IN ('src1', 'src10', 'src11') AND startswith(relative_path, 'src1/')", f"{_D} SELECT doc_id FROM docs WHERE source IN ('src1', 'src10', 'src11') AND starts_with(relative_path, 'src1/')")
-sql("f3_empty_scope", "SELECT doc_id FROM {documents} WHERE false")
+checked("s6_document_page", f"{_D} SELECT relative_path, source FROM docs WHERE relative_path > 'src11/2' ORDER BY relative_path LIMIT 50", lambda spark, sf_dir: C.page_after(A.documents(spark, sf_dir), "src11/2", 50).select("relative_path", "source"))
+checked("s7_point_lookup", f"{_D} SELECT doc_id, content FROM docs WHERE project = 'en' AND relative_path = 'src0/0.md' LIMIT 1", lambda spark, sf_dir: C.lookup(A.documents(spark, sf_dir), "en", "src0/0.md").select("doc_id", "content"))
+checked("s8_suffix_lookup", f"{_D} SELECT relative_path FROM (SELECT relative_path, count(*) OVER () AS n FROM docs WHERE suffix(relative_path, '/77.md')) x WHERE n = 1", lambda spark, sf_dir: C.by_suffix(A.documents(spark, sf_dir), "77.md"))
+checked("s9_chunk_range", f"WITH {A.CHUNKS} SELECT doc_id, chunk_index, content FROM chunks WHERE chunk_index BETWEEN 1 AND 2 AND starts_with(lower(source), 'src1')", lambda spark, sf_dir: C.chunk_range(A.chunks(spark, sf_dir).filter(F.startswith(F.lower("source"), F.lit("src1"))), 1, 2).select("doc_id", "chunk_index", "content"))
+checked("s10_existing_snapshot", f"{_D} SELECT relative_path, md5(content) AS content_hash, source FROM docs WHERE project = 'de'", lambda spark, sf_dir: C.snapshot(A.documents(spark, sf_dir), "de", F.md5("content")))
+checked("s26_directory_revision", "SELECT source, concat('files=', count(*), ';newest=', max(doc_id)) AS revision FROM {documents} GROUP BY source", lambda spark, sf_dir: C.directory_revision(table(spark, sf_dir, "documents"), "source", "doc_id"))
+checked("f1_tenant_generation", "SELECT doc_id FROM {documents} WHERE lang = 'de' AND doc_id % 2 = 1", lambda spark, sf_dir: C.in_generation(A.documents(spark, sf_dir), "de", 1, F.expr("doc_id % 2")).select("doc_id"))
+checked("f2_f3_f4_source_scope_prefix", f"{_D} SELECT doc_id FROM docs WHERE source IN ('src1', 'src10', 'src11') AND starts_with(relative_path, 'src1/')", lambda spark, sf_dir: C.in_scope(A.documents(spark, sf_dir), ["src1", "src10", "src11"], "src1/").select("doc_id"))
+checked("f3_empty_scope", "SELECT doc_id FROM {documents} WHERE false", lambda spark, sf_dir: C.in_scope(A.documents(spark, sf_dir), []).select("doc_id"))
 sql("f5_version_equality", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
-sql("f13_due_for_scan", "SELECT o.o_orderkey FROM {orders} o LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS ruleset, max(l_suppkey) AS h FROM {lineitem} WHERE l_quantity > 30 GROUP BY l_orderkey) s ON s.l_orderkey = o.o_orderkey WHERE s.l_orderkey IS NULL OR s.h <> o.o_custkey % 100 OR s.ruleset < 5")
+checked("f13_due_for_scan", "SELECT o.o_orderkey FROM {orders} o LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS ruleset, max(l_suppkey) AS h FROM {lineitem} WHERE l_quantity > 30 GROUP BY l_orderkey) s ON s.l_orderkey = o.o_orderkey WHERE s.l_orderkey IS NULL OR s.h <> o.o_custkey % 100 OR s.ruleset < 5", lambda spark, sf_dir: C.due_for_scan(table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey % 100").alias("content_hash")), table(spark, sf_dir, "lineitem").filter("l_quantity > 30").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("ruleset"), F.max("l_suppkey").alias("content_hash")), "o_orderkey", 5))
 sql("f14_unchanged", "SELECT a.doc_id FROM {documents} a JOIN {documents} b ON md5(a.text) = md5(b.text) AND a.source = b.source AND a.doc_id < b.doc_id")
-sql("f16_stale", "SELECT o_orderkey, date_diff(DATE'2002-01-01', CAST(o_orderdate AS DATE)) > 365 AS stale FROM {orders}", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') > 365 AS stale FROM orders")
-sql("f17_quota", "SELECT s_suppkey, q, q > 0 AND n > q AS breached FROM (SELECT s_suppkey, CAST(coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END, 5) AS INT) AS q, CAST(s_acctbal / 1000 AS INT) AS n FROM {supplier}) x", "SELECT s_suppkey, q, q > 0 AND n > q AS breached FROM (SELECT s_suppkey, CAST(coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END, 5) AS INT) AS q, trunc(s_acctbal / 1000)::INT AS n FROM supplier) x")
+checked("f16_stale", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') > 365 AS stale FROM orders", lambda spark, sf_dir: C.stale(table(spark, sf_dir, "orders"), "o_orderdate", F.lit("2002-01-01").cast("date"), 365).select("o_orderkey", "stale"))
+checked("f17_quota", "SELECT s_suppkey, q, q > 0 AND n > q AS breached FROM (SELECT s_suppkey, CAST(coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END, 5) AS INT) AS q, trunc(s_acctbal / 1000)::INT AS n FROM supplier) x", lambda spark, sf_dir: C.quota(table(spark, sf_dir, "supplier"), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END"), F.lit(5), F.expr("CAST(s_acctbal / 1000 AS INT)")).select("s_suppkey", "q", "breached"))
 sql("j2_page_chain", "SELECT o_orderkey, l_linenumber, c_name FROM (SELECT * FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) p JOIN {lineitem} l ON l.l_orderkey = p.o_orderkey JOIN {customer} c ON c.c_custkey = p.o_custkey")
 sql("j3_semi_candidates", "SELECT vec_id FROM {embeddings} e WHERE e.vec_id IN (SELECT doc_id FROM {documents} WHERE source = 'src3')")
-sql("j4_top_n_per_config", "SELECT lang, doc_id, n_chars FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM {documents}) x WHERE r <= 50")
+checked("j4_top_n_per_config", "SELECT lang, doc_id, n_chars FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM {documents}) x WHERE r <= 50", lambda spark, sf_dir: C.top_each(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 50))
 sql("j5_config_terms", "SELECT l.lang, t AS term FROM (SELECT DISTINCT lang FROM {documents}) l CROSS JOIN (SELECT explode(array('alpha', 'beta', 'gamma')) AS t) x", "SELECT l.lang, t AS term FROM (SELECT DISTINCT lang FROM documents) l CROSS JOIN (SELECT unnest(['alpha', 'beta', 'gamma']) AS t) x")
 sql("j6_range_neighbours", "SELECT a.l_orderkey, a.l_linenumber, count(b.l_linenumber) AS near FROM {lineitem} a LEFT JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN a.l_linenumber - 1 AND a.l_linenumber + 1 AND (b.l_partkey <> a.l_partkey OR b.l_linenumber <> a.l_linenumber) GROUP BY a.l_orderkey, a.l_linenumber")
 sql("j7_reattach_page", "SELECT v.ord, n.n_name FROM (SELECT inline(array(struct(1 AS ord, 7 AS k), struct(2 AS ord, 3 AS k), struct(3 AS ord, 19 AS k)))) v JOIN {nation} n ON n.n_nationkey = v.k", "SELECT v.ord, n.n_name FROM (VALUES (1, 7), (2, 3), (3, 19)) v(ord, k) JOIN nation n ON n.n_nationkey = v.k")
-sql("j9_journal_live", "SELECT l.doc_id, d.source FROM {labels} l LEFT JOIN (SELECT * FROM {documents} WHERE lang = 'en') d ON d.doc_id = l.doc_id")
+checked("j9_journal_live", "SELECT l.doc_id, d.source FROM {labels} l LEFT JOIN (SELECT * FROM {documents} WHERE lang = 'en') d ON d.doc_id = l.doc_id", lambda spark, sf_dir: C.journal_with_live(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id"))
 sql("j14_four_way", "SELECT l_orderkey, l_linenumber, n_name FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey WHERE l_quantity > 48 AND n_regionkey = 1")
 sql("j15_z11_due_documents", "SELECT DISTINCT d.source FROM {documents} d JOIN (SELECT DISTINCT source FROM {documents} WHERE lang = 'en') p ON p.source = d.source LEFT JOIN {labels} s ON s.doc_id = d.doc_id WHERE s.doc_id IS NULL")
 sql("j16_prefix_semi", f"{_D} SELECT relative_path FROM docs d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM docs WHERE project = 'es') s WHERE startswith(d.relative_path, concat(s.source, '/')) AND s.source = split_part(d.relative_path, '/', 1))", f"{_D} SELECT relative_path FROM docs d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM docs WHERE project = 'es') s WHERE starts_with(d.relative_path, concat(s.source, '/')))")
 sql("j17_relex_config", "SELECT d.doc_id, coalesce(m.cfg, 'simple') AS config FROM {documents} d LEFT JOIN (SELECT lang, concat(lang, '_stem') AS cfg FROM (SELECT DISTINCT lang FROM {documents}) x WHERE lang <> 'en') m ON m.lang = d.lang")
-sql("j18_delete_beyond_top", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n > 10")
+checked("j18_delete_beyond_top", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n > 10", lambda spark, sf_dir: C.top_each(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 10, beyond=True).select("o_custkey", "o_orderkey"))
 sql("k4_k5_meta_update", "SELECT d.doc_id, coalesce(n.url, concat('old/', d.doc_id)) AS url, CASE WHEN d.source = 'src4' THEN '' ELSE md5(d.text) END AS content_hash FROM {documents} d LEFT JOIN (SELECT page_id, url FROM {pages}) n ON n.page_id = d.doc_id")
 sql("a11_findings_by_rule", "SELECT event_type AS rule, count(*) AS findings, count(DISTINCT user_id) AS documents, count(DISTINCT CASE WHEN value > 100 THEN user_id END) AS d1, count(DISTINCT CASE WHEN value > 200 THEN user_id END) AS d2, count(DISTINCT CASE WHEN value < 1 THEN user_id END) AS d3, count(DISTINCT CASE WHEN event_id % 2 = 0 THEN user_id END) AS d4 FROM {events} GROUP BY event_type")
-sql("a13_recounts", "SELECT lang, source, count(*) AS documents, CAST(sum(size(split(text, '\\n'))) AS BIGINT) AS chunks FROM {documents} GROUP BY lang, source", "SELECT lang, source, count(*) AS documents, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS chunks FROM documents GROUP BY lang, source")
-sql("a14_source_freshness", "SELECT o_orderpriority, min(o_orderdate) AS oldest, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS never FROM {orders} GROUP BY o_orderpriority")
+checked("a13_recounts", "SELECT lang, source, count(*) AS documents, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS chunks FROM documents GROUP BY lang, source", lambda spark, sf_dir: C.recounts(A.documents(spark, sf_dir), F.size(F.split("content", "\\n"))).withColumnRenamed("project", "lang"))
+checked("a14_source_freshness", "SELECT o_orderpriority, min(o_orderdate) AS oldest, CAST(count_if(o_orderstatus = 'P') AS BIGINT) AS never FROM {orders} GROUP BY o_orderpriority", lambda spark, sf_dir: C.freshness(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", F.col("o_orderstatus") == "P"))
 sql("a26_distinct_facets", "SELECT DISTINCT lang, source FROM {documents}")
 sql("a27_existence_probe", "SELECT count(*) > 0 AS found FROM (SELECT 1 AS one FROM {documents} WHERE lang = 'fr' LIMIT 1) x")
-sql("a28_directory_grouping", f"{_D} SELECT regexp_replace(relative_path, '/[^/]*$', '') AS dir, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM docs GROUP BY 1")
+checked("a28_directory_grouping", f"{_D} SELECT regexp_replace(relative_path, '/[^/]*$', '') AS dir, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM docs GROUP BY 1", lambda spark, sf_dir: C.listing(A.documents(spark, sf_dir).withColumn("n_chars", F.length("content")), "n_chars"))
 sql("a3_ordered_aggregation", "SELECT n_regionkey, listagg(n_name, ' | ') WITHIN GROUP (ORDER BY n_name) AS names FROM {nation} GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ' | ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql("n1_dense_rank_list", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderdate, o_orderkey) AS r FROM {orders}")
 sql("n5_competition_rank", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS r FROM {customer}")
 sql("t5_top_k", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey LIMIT 20")
 sql("t12_due_first", "SELECT o_orderkey, least(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL '5' DAY END) AS due FROM {orders} ORDER BY due ASC NULLS FIRST, o_orderkey LIMIT 100", "SELECT o_orderkey, least(CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 5 DAY END) AS due FROM orders ORDER BY due ASC NULLS FIRST, o_orderkey LIMIT 100")
 sql("t15_ceiling", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (ORDER BY source, doc_id) AS r FROM {documents}) x WHERE r <= 300")
-sql("u5_distinct_first", "SELECT text, min(doc_id) AS first_id FROM {documents} GROUP BY text")
+checked("u5_distinct_first", "SELECT text, min(doc_id) AS first_id FROM {documents} GROUP BY text", lambda spark, sf_dir: C.first_with_text(table(spark, sf_dir, "documents")))
 sql("q2_list_topics", f"{_D} SELECT relative_path, (SELECT count(*) FROM docs) AS total FROM docs ORDER BY relative_path LIMIT 200")
-sql("q13_run_history", "SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM {events} WHERE event_type = 'purchase') x WHERE n = 1")
+checked("q13_run_history", "SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM {events} WHERE event_type = 'purchase') x WHERE n = 1", lambda spark, sf_dir: C.top_each(table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 1))
 sql("q14_needs_reindex", "SELECT DISTINCT d.lang FROM {documents} d WHERE d.lang <> 'en' AND EXISTS (SELECT 1 FROM {labels} l WHERE l.doc_id = d.doc_id)")
 sql("z8_exclusion_counts", "SELECT 'labels' AS what, count(*) AS n FROM {labels} UNION ALL SELECT 'pages', count(*) FROM {pages} UNION ALL SELECT concat('role:', role), count(*) FROM {conversations} GROUP BY role")
-sql("z9_run_summary", "SELECT o_orderkey, greatest(0, o_custkey - o_orderkey % 900) AS updated, greatest(0, CAST(o_totalprice AS BIGINT)) AS ms, substring(o_orderpriority, 1, 3) AS error FROM {orders}", "SELECT o_orderkey, greatest(0, o_custkey - o_orderkey % 900) AS updated, greatest(0, trunc(o_totalprice)::BIGINT) AS ms, substring(o_orderpriority, 1, 3) AS error FROM orders")
-sql("z10_interrupted_runs", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status FROM {labels} UNION ALL SELECT doc_id, 'interrupted' FROM {labels} WHERE doc_id % 10 = 0")
+checked("z9_run_summary", "SELECT o_orderkey, greatest(0, o_custkey - o_orderkey % 900) AS updated, greatest(0, trunc(o_totalprice)::BIGINT) AS ms, substring(o_orderpriority, 1, 3) AS error FROM orders", lambda spark, sf_dir: C.run_summary(table(spark, sf_dir, "orders"), "o_custkey", F.expr("o_orderkey % 900"), F.col("o_totalprice"), "o_orderpriority", 3).select("o_orderkey", "updated", "ms", "error"))
+checked("z10_interrupted_runs", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status FROM {labels} UNION ALL SELECT doc_id, 'interrupted' FROM {labels} WHERE doc_id % 10 = 0", lambda spark, sf_dir: C.interrupted(table(spark, sf_dir, "labels"), "doc_id", F.expr("doc_id % 10 = 0")))
 sql("z15_relex_due", "SELECT doc_id FROM {documents} WHERE lang IS NULL OR lang IS DISTINCT FROM CASE source WHEN 'src1' THEN 'en' ELSE lang END")
 sql("d4_utc_day", "SELECT event_id, date_format(ts, 'yyyy-MM-dd') AS day FROM {events}", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")
 sql("d5_plausible_date", "SELECT o_orderkey, CASE WHEN o_orderdate > CAST('1996-01-01' AS TIMESTAMP_NTZ) AND o_orderdate <= CAST('2001-01-01' AS TIMESTAMP_NTZ) + INTERVAL '24' HOUR THEN o_orderdate END AS at FROM {orders}", "SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '2001-01-02' THEN o_orderdate END AS at FROM orders")

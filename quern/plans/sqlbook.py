@@ -19,3 +19,8 @@ def sql(name: str, text: str, duck: str | None = None, oracle: bool = True) -> N
 
     check = duck if duck is not None else text
     registry.register(name, _NAME.sub(r"\1", check) if oracle else None)(run)
+
+
+def checked(name: str, check: str, run) -> None:
+    """Register an operator's query beside the SQL that checks it, in which `{documents}` stands for a table."""
+    registry.register(name, _NAME.sub(r"\1", check))(run)
