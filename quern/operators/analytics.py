@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import ranks
 from quern.operators.retrieval import rrf
 
 
@@ -40,9 +41,7 @@ def repeated_questions(log: DataFrame) -> DataFrame:
 
 def gap_order(questions: DataFrame) -> DataFrame:
     """Questions ranked by repetition fused with badness of the best score (an absent score is the worst)."""
-    # one row per distinct question; ranks by counts need the whole list, which is aggregated and small against the log
-    asked, score = Window.orderBy(F.desc("asked")), Window.orderBy(F.col("best_score").asc_nulls_first())
-    q = questions.withColumn("asked_rank", F.rank().over(asked)).withColumn("score_rank", F.rank().over(score))
+    q = ranks.rank(ranks.rank(questions, "asked", "asked_rank", descending=True), "best_score", "score_rank")
     return q.withColumn("gap", rrf("asked_rank") + rrf("score_rank"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators import ranks
+
 FLOOR_LOW, FLOOR_HIGH, FLOOR_STEP = 600, 990, 1000
 
 
@@ -38,10 +40,9 @@ def by_tag(rows: DataFrame) -> DataFrame:
 
 def auc(samples: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """Area under the ROC curve by the rank sum, ties counting one half. Scores are aggregated to counts first, so the
-    ordered step sees one row per distinct score, and no pair is formed."""
+    ordered step sees one row per distinct score, cell by cell, and no pair is formed."""
     c = samples.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = c.withColumn("_won", F.col("p") * (below + F.col("n") / 2))
+    t = ranks.below(c, score, "n").withColumn("_won", F.col("p") * (F.col("_below") + F.col("n") / 2))
     return t.agg((F.sum("_won") / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
@@ -57,8 +58,8 @@ def grid(spark, low: int = FLOOR_LOW, high: int = FLOOR_HIGH, step: int = 1) ->
 
 
 def floor_sweep(samples: DataFrame, floors: DataFrame, kind: str = "kind") -> DataFrame:
-    """Per class and floor the share of scores below it. A score is put into its cell of the grid first: the sweep is a
-    prefix sum over cells, not a join of samples with floors."""
+    """Per class and floor the share of scores below it. A score is put into its cell of the grid first: the floors
+    (a thousand at most) meet the counts of cells, not the samples."""
     per = samples.withColumn("_cell", F.floor(F.col("score") * 1000)).groupBy(kind, "_cell").agg(F.count("*").alias("_n"), F.max("score").alias("_m"))
     total = per.groupBy(kind).agg(F.sum("_n").alias("_total"))
     f = floors.withColumn("_at", F.round(F.col("floor") * 1000).cast("long"))

@@ -83,10 +83,21 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.select("url").distinct().join(best, "url", "left").select("url", F.coalesce("_a", F.lit(True)).alias("allowed"))
 
 
+def authority(url: Column) -> Column:
+    """Host and port of an http(s) URL, without the scheme's own port."""
+    named = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?([^/?#]+)", 1))
+    return F.regexp_replace(named, F.when(F.startswith(F.lower(url), F.lit("https")), F.lit(":443$")).otherwise(F.lit(":80$")), F.lit(""))
+
+
+def url_path(url: Column) -> Column:
+    """The path of an absolute URL, without query and fragment; / where it has none."""
+    path = F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), r"(?s)[?#].*$", "")
+    return F.when(path == "", F.lit("/")).otherwise(path)
+
+
 def in_scope(url: Column, root: Column) -> Column:
-    """Same host, and below the directory of the root."""
-    folder = F.regexp_replace(F.regexp_replace(root, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "/")
-    return (host(url) == host(root)) & url.startswith(folder)
+    """Same host, and below the directory of the root; a site over http and over https is one site."""
+    return (authority(url) == authority(root)) & url_path(url).startswith(F.regexp_replace(url_path(root), r"[^/]*$", ""))
 
 
 def crawl(pages: DataFrame, links: DataFrame, roots: DataFrame, depth: int) -> DataFrame:

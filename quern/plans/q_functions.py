@@ -82,10 +82,10 @@ def h2(spark, sf_dir):
 
 @register(
     "h3_fnv1a",
-    "SELECT n_nationkey, printf('%08x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(n_name, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT)) AS h FROM nation",
+    "SELECT k, printf('%08x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(v, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT)) AS h FROM (SELECT p_partkey AS k, p_name || ' ' || p_type || ' ' || p_brand AS v FROM part)",
 )
 def h3(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_nationkey", S.fnv1a(F.col("n_name")).alias("h"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), S.fnv1a(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("h"))
 
 
 @register("h4_source_url", "SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages")
@@ -147,9 +147,13 @@ def w6(spark, sf_dir):
     return W.robots_allowed(table(spark, sf_dir, "pages").select("url", F.lit("bot").alias("agent")).distinct(), rules)
 
 
-@register("w7_has_text", "SELECT page_id, true AS has FROM pages")
+@register("w7_has_text", "SELECT page_id, page_id % 3 = 1 AS has FROM pages")
 def w7(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", W.has_text(F.col("html")).alias("has"))
+    """Pages as they are, pages of which only scripts and comments are left, and pages of tags and spaces."""
+    script = F.concat(F.lit("<html><head><title>"), "url", F.lit("</title></head><body><script>"), "url", F.lit("</script><!-- "), "url", F.lit(" --></body></html>"))
+    case = F.expr("page_id % 3")
+    page = F.when(case == 1, F.col("html")).when(case == 0, script).otherwise(F.concat(F.lit("<div title='"), F.replace("url", F.lit("'"), F.lit("")), F.lit("'> &nbsp;\n</div>")))
+    return table(spark, sf_dir, "pages").select("page_id", W.has_text(page).alias("has"))
 
 
 @register("w8_relative_path", "SELECT page_id, CASE WHEN contains(url, '?') THEN p || '-' || substring(md5(url), 1, 8) ELSE p END AS path FROM (SELECT page_id, url, CASE WHEN q = '' THEN 'index' ELSE q END AS p FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', ''), '/') AS q FROM pages))")
@@ -157,14 +161,25 @@ def w8(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", W.relative_path(F.col("url"), F.substring(F.md5("url"), 1, 8)).alias("path"))
 
 
-@register("w9_crawl_scope", "SELECT page_id, starts_with(url, 'http://tionsh.example.net/fr/') AS inside FROM pages")
+@register(
+    "w9_crawl_scope",
+    """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, CASE WHEN q = '' THEN '/' ELSE q END AS path FROM (SELECT page_id, url, regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[?#].*$', '') AS q FROM pages))
+SELECT a.page_id, b.page_id AS start_id, a.host = b.host AND starts_with(a.path, regexp_replace(b.path, '[^/]*$', '')) AS inside FROM p a JOIN p b ON a.page_id // 5 = b.page_id // 5""",
+)
 def w9(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", W.in_scope(F.col("url"), F.lit("http://tionsh.example.net/fr/start.html")).alias("inside"))
+    """Pages against the start pages of their five neighbours."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("page_id div 5").alias("g"))
+    j = p.join(p.select(F.col("page_id").alias("start_id"), F.col("url").alias("start"), "g"), "g")
+    return j.select("page_id", "start_id", W.in_scope(F.col("url"), F.col("start")).alias("inside"))
 
 
-@register("w11_entry_kind", "SELECT page_id, 'page' AS kind FROM pages")
+@register("w11_entry_kind", "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'sitemap' WHEN 1 THEN 'llms' WHEN 2 THEN 'sitemap' WHEN 3 THEN 'llms' ELSE 'page' END AS kind FROM pages")
 def w11(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", W.entry_kind(F.col("url"), F.col("html")).alias("kind"))
+    case = F.expr("page_id % 5")
+    site = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    url = F.when(case == 0, F.concat(site, F.lit("/Sitemap-1.xml?x"))).when(case == 1, F.concat(site, F.lit("/docs/llms-full.txt"))).when(case == 3, F.concat(site, F.lit("/llms.txt"))).otherwise(F.col("url"))
+    body = F.when(case == 2, F.lit("<?xml version='1.0'?><sitemapindex><sitemap/></sitemapindex>")).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", W.entry_kind(url, body).alias("kind"))
 
 
 @register(

@@ -62,3 +62,17 @@ def test_one_project_in_both_lanes_runs_once(spark):
 
 def test_prompts(spark):
     assert spark.range(1).select(runs.prompt("explore", F.lit("x"))).first()[0].endswith("Topic: x")
+
+
+def test_ranks_without_a_whole_sort(spark):
+    from quern.operators import ranks
+
+    rows = [(i, None if i % 9 == 0 else (i * 37 % 23) / 7 if i % 2 else 1e6) for i in range(200)]
+    t = spark.createDataFrame(rows, "id long, v double")
+    for down in (False, True):
+        got = {r.id: r.r for r in ranks.rank(t, "v", "r", down).collect()}
+        key = lambda v: (v is None, -(v or 0)) if down else (v is not None, v or 0)
+        assert got == {i: 1 + sum(key(w) < key(v) for _, w in rows) for i, v in rows}
+    assert ranks.rank(t.filter("false"), "v", "r").count() == 0
+    same = ranks.rank(t.select("id", F.lit(2.0).alias("v")), "v", "r")
+    assert {r.r for r in same.collect()} == {1}

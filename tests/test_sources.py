@@ -90,3 +90,34 @@ def test_small_functions(spark):
     lines = [x.line for x in M.exposition(h, "lat", "k", [1.0, 5.0]).orderBy("i").collect()]
     assert lines[:3] == ['lat_bucket{k="a",le="1"} 1', 'lat_bucket{k="a",le="5"} 2', 'lat_bucket{k="a",le="+Inf"} 2'] and lines[-1] == 'lat_count{k="a"} 2'
     assert M.safe_root("/tmp/x/../y", ["/tmp"]) and not M.safe_root("/tmp/../etc", ["/tmp"])
+
+
+def test_source_rules(spark):
+    from quern.sources import rules
+
+    stored = spark.createDataFrame([("a", "1", "x"), ("b", "2", "x"), ("c", "3", "y"), ("d", None, "y")], "key string, version string, space string")
+    listing = spark.createDataFrame([("a", "1", "x"), ("b", "9", "x"), ("d", None, "y"), ("e", "1", "y")], "key string, version string, space string")
+    assert sorted(r.key for r in rules.to_fetch(listing, stored).collect()) == ["b", "d", "e"]
+    assert [r.key for r in rules.removals(listing, stored, space="space", spaces=["x", "y"]).collect()] == ["c"]
+    assert rules.removals(listing.filter("false"), stored.filter("false")).count() == 0
+    with pytest.raises(rules.Refused):
+        rules.removals(listing.filter("false"), stored)
+    with pytest.raises(rules.Refused, match="in y,"):
+        rules.removals(listing.filter("space = 'x'"), stored, space="space", spaces=["x", "y"])
+    assert (rules.run_mode(spark.range(100)), rules.run_mode(spark.range(101))) == ("incremental", "full")
+    assert spark.range(1).select(rules.fetch_since(F.lit("2024-01-01 00:02:00").cast("timestamp")).cast("string")).first()[0] == "2023-12-31 23:57:00"
+
+
+def test_import_replay(spark):
+    from quern.sources import rules
+
+    sources = spark.createDataFrame([("s", "v2"), ("t", None)], "source string, version string")
+    row = lambda path, source, dim: (path, source, "h", "text", [(0, "H", "c", 1, [0.5] * dim)])
+    schema = rules.T.StructType([*[rules.T.StructField(n, rules.T.StringType()) for n in ("relative_path", "source", "content_hash", "content")], rules.T.StructField("chunks", rules.CHUNK)])
+    good = spark.createDataFrame([row("a", "s", 3), row("b", None, 3), row("c", "t", 3), ("d", "s", "h", "", [])], schema)
+    docs, chunks = rules.replay_import(good, sources, 3)
+    assert sorted((r.relative_path, r.version, r.generation) for r in docs.collect()) == [("a", "v2", 0), ("b", "", 0), ("c", "", 0), ("d", "v2", 0)]
+    assert sorted((r.relative_path, r.chunk_index, len(r.embedding)) for r in chunks.collect()) == [("a", 0, 3), ("b", 0, 3), ("c", 0, 3)]
+    for bad, why in ((row("x", "gone", 3), "unknown_source: x"), (row("x", "s", 4), "dimension_mismatch: x")):
+        with pytest.raises(Exception, match=why):
+            rules.replay_import(spark.createDataFrame([bad], schema), sources, 3)[0].collect()
