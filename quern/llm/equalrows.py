@@ -10,14 +10,19 @@ from quern.session import cut, small
 LIMIT = 64
 
 
-def numbered(rows: DataFrame, by: list[str], limit: int = LIMIT) -> DataFrame:
-    """rows plus _no: from 0 without gaps within each group of `by` that has more than `limit` rows, null in all others.
+def crowded(rows: DataFrame, by: list[str], limit: int = LIMIT) -> DataFrame | None:
+    """The groups of `by` with more than `limit` rows, written to shared storage; None if there are none."""
+    hot = cut(rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by), "equal-hot")
+    return None if hot.isEmpty() else hot
+
+
+def numbered(rows: DataFrame, by: list[str], hot: DataFrame | None) -> DataFrame:
+    """rows plus _no: from 0 without gaps within each group that crowded() found, null in all others.
 
     Which row of a group gets which number is open; that they are equal in all that matters is the caller's business.
     No task holds a whole group: rows are counted by the partition they were written from, and numbered within it.
     """
-    hot = cut(rows.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*by), "equal-hot")
-    if hot.isEmpty():
+    if hot is None:
         return rows.withColumn("_no", F.lit(None).cast("long"))
     some = cut(rows.withColumn("_pid", F.spark_partition_id()).join(small(hot), by, "left_semi"), "equal-rows")
     upto = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.equalrows import numbered
+from quern.llm.equalrows import crowded, numbered
 from quern.session import cut, small
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,6 +23,7 @@ MAX_REPEAT = 3
 BITS = 16
 LEVELS = 3
 ROUNDS = 2
+HASHED = ["_src", "_h"]
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0) -> DataFrame:
@@ -90,10 +91,10 @@ def tagged(df: DataFrame, key: str, source: str, size, seed: int, tie=None) -> D
     return out.withColumn("_h", digest(text))
 
 
-def apart(base: DataFrame) -> DataFrame:
-    """Tagged rows with a hash of their own where many share one."""
+def apart(base: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Tagged rows with a hash of their own where many share one (hot)."""
     renamed = F.conv(F.substring(F.md5(F.concat_ws(":", "_h", "_no")), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    return numbered(base, ["_src", "_h"]).withColumn("_h", F.when(F.col("_no").isNull(), F.col("_h")).otherwise(renamed)).drop("_no")
+    return numbered(base, HASHED, hot).withColumn("_h", F.when(F.col("_no").isNull(), F.col("_h")).otherwise(renamed)).drop("_no")
 
 
 def _extra(rounds: int):
@@ -137,7 +138,8 @@ def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str
     keys among them, each has a hash of its own. Empty table: empty result.
     """
     kept = rows.columns
-    base = apart(cut(tagged(rows, key, source, F.coalesce(F.col(size), F.lit(0)), seed, None if tie is None else F.col(tie)), "mix"))
+    base = cut(tagged(rows, key, source, F.coalesce(F.col(size), F.lit(0)), seed, None if tie is None else F.col(tie)), "mix")
+    base = apart(base, crowded(base, HASHED))
     out = copies(base, plan(base, weights, max_repeat, budget), max_repeat)
     return out.select(*kept, "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("long").alias("taken"))
 
@@ -163,10 +165,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget
     repeated ids take part as in mix(), columns of any name are carried through. Empty table: empty result."""
     kept = docs.columns
     narrow = tagged(docs.select("doc_id", "source", "text"), "doc_id", "source", words(), seed, digest()).select("_src", "_null", "_size", "_h")
-    p = plan(apart(cut(narrow, "mix")), weights, max_repeat, budget)
+    base = cut(narrow, "mix")
+    hot = crowded(base, HASHED)
+    p = plan(apart(base, hot), weights, max_repeat, budget)
     rows = docs.select([F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(kept)] + [F.col(c) for c in ("doc_id", "source", "text")])
     rows = tagged(rows, "doc_id", "source", words(), seed, digest()).drop("doc_id", "source", "text")
     # equal rows get the same set of hashes here as in the plan, whichever of them gets which
-    out = copies(apart(rows), p, max_repeat).filter("_copies > 0")
+    out = copies(apart(rows, hot), p, max_repeat).filter("_copies > 0")
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select([F.col(f"k_{i}").alias(c) for i, c in enumerate(kept)])

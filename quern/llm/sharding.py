@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.equalrows import numbered
+from quern.llm.equalrows import crowded, numbered
 from quern.session import cut
 
 ROWS_PER_BUCKET = 64
@@ -62,7 +62,7 @@ def interleave(rows: DataFrame, n_shards: int, seed: int = 17, source: str = "so
         ),
         "shard",
     )
-    base = numbered(base, ["_src", "_h"])
+    base = numbered(base, ["_src", "_h"], crowded(base, ["_src", "_h"]))
     base = base.withColumn("_h", F.when(F.col("_no").isNull(), F.col("_h")).otherwise(seeded(seed, F.concat_ws(":", "_h", "_no")))).drop("_no")
     total = base.count()
     if total == 0:
