@@ -1,9 +1,10 @@
 """Licence scanning with a generalised suffix automaton.
 
 All licence templates go, as word sequences, into one suffix automaton. A file is streamed through it: at each word
-the automaton tells the length of the longest run of template words that ends there (matching statistics). Runs
-of MIN_MATCH words or more, which cannot be extended, are chained per template while they advance in both the file
-and the template; a chain is a covered span, and a template of which at least COVERAGE is covered gives its label.
+the automaton tells the length of the longest run of template words that ends there (matching statistics), and its
+suffix links tell the longest run of every single template. Runs of MIN_MATCH words or more, which cannot be extended,
+are chained per template while they advance in both the file and the template; a chain is a covered span, and a
+template of which at least COVERAGE is covered gives its label, unless a longer match of another lies around it.
 
 Words are compared by 64-bit hashes. A run of MIN_MATCH words needs MIN_MATCH - 1 adjacent word pairs that occur in
 templates, so the automaton only steps through stretches of such pairs, which a vectorised pass finds; all others
@@ -12,6 +13,8 @@ have matching statistics below MIN_MATCH and cannot change a result.
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -163,30 +166,70 @@ class Scanner:
         self.map[(self.pairs >> np.uint64(48)).astype(np.int64)] = True
         self.phrases = [(np.array(words(p), np.uint64), x) for p, x in phrases]
 
+    def places(self, n: int, v: int) -> dict[int, tuple[int, list[int]]]:
+        """Per template: its longest run that ends where the automaton is, and where that run ends in the template.
+
+        The state tells it for the templates that hold the whole run; its suffix links lead to shorter runs, which more
+        templates hold, so a template that stands inside a longer one is met as well.
+        """
+        out: dict[int, tuple[int, list[int]]] = {}
+        while v > 0 and n >= self.floor:
+            here: dict[int, list[int]] = {}
+            for t, end in self.auto.ends[v]:
+                if t not in out:
+                    here.setdefault(t, []).append(end)
+            out |= {t: (n, ends) for t, ends in here.items()}
+            v = self.auto.link[v]
+            n = self.auto.length[v]
+        return out
+
     def spans(self, seq: list[int], base: int) -> list[tuple[int, int, int, int]]:
-        """(first word, last word + 1, template, covered words) of the chains in one stretch of words."""
-        stats = self.auto.statistics(seq)
-        runs = []
-        for i, (n, v) in enumerate(stats):
-            if n >= self.floor and (i + 1 == len(stats) or stats[i + 1][0] != n + 1):
-                runs += [(t, i + 1 - n + base, end - n, n) for t, end in self.auto.ends[v] if n >= min(self.min_match, self.sizes[t])]
+        """Runs (template, first word, template's first word, length) of one stretch that no further word of it extends."""
+        runs, here = [], {}
+        for i, (n, v) in enumerate([*self.auto.statistics(seq), (0, 0)]):
+            last, here = here, self.places(n, v)
+            for t, (m, ends) in last.items():
+                if here.get(t, (0,))[0] != m + 1 and m >= min(self.min_match, self.sizes[t]):
+                    runs += [(t, i - m + base, end - m, m) for end in ends]
         return runs
 
     def chain(self, runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """(first word, last word + 1, template, covered words): runs (template, at, template's at, length) chained."""
+        """(first word, last word + 1, template, covered words): runs chained while they advance in file and template.
+
+        A run joins the chain before it that covers most, at most max_gap words back; of chains that overlap, the one
+        that covers most stays.
+        """
         out = []
         for t in sorted({r[0] for r in runs}):
-            cur = None
-            for _, i, j, n in sorted(r for r in runs if r[0] == t):
-                if cur:
-                    skip = max(0, cur[1] - i, cur[3] - j)  # words that both runs cover count once
-                    if skip < n and i + skip - cur[1] <= self.max_gap:
-                        cur = [cur[0], i + n, cur[2] + n - skip, j + n]
-                        continue
-                    out.append((cur[0], cur[1], t, cur[2]))
-                cur = [i, i + n, n, j + n]
-            if cur:
-                out.append((cur[0], cur[1], t, cur[2]))
+            live: list[tuple[int, int, int, int]] = []  # first, end, covered, end in the template
+            group: list[tuple[int, int, int, int]] = []
+            for i, j, n in sorted(r[1:] for r in runs if r[0] == t):
+                live = [c for c in live if i - c[1] <= self.max_gap]
+                if not live:
+                    out += [(a, b, t, k) for a, b, k, _ in _apart(group)]
+                    group = []
+                best = (i, i + n, n, j + n)
+                for a, b, k, e in live:
+                    skip = max(0, b - i, e - j)  # words that both runs cover count once
+                    if skip < n and i + skip - b <= self.max_gap and k + n - skip > best[2]:
+                        best = (a, i + n, k + n - skip, j + n)
+                live.append(best)
+                group.append(best)
+            out += [(a, b, t, k) for a, b, k, _ in _apart(group)]
+        return out
+
+    def labelled(self, chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Chains that give labels: enough of the template is covered, and no such chain around them covers more words.
+
+        A notice with a clause more holds most words of the notice without it; it is the longer one that stands there.
+        """
+        out, around = [], []
+        enough = (x for x in chains if x[3] >= self.coverage * self.sizes[x[2]])
+        for x in sorted(enough, key=lambda x: (x[0], -x[1], -x[3], x[2])):
+            around = [y for y in around if y[1] > x[0]]
+            if not any(y[1] >= x[1] and y[3] > x[3] for y in around):
+                out.append(x)
+            around.append(x)
         return out
 
     def scan(self, texts: pa.Array):
@@ -214,10 +257,11 @@ class Scanner:
             for r in range(rows):
                 chains = self.chain(runs[r]) if runs[r] else []
                 best = max((c / self.sizes[t] for _, _, t, c in chains), default=0.0)
-                own = {self.labels[t] for _, _, t, c in chains if c >= self.coverage * self.sizes[t]}
+                spans = self.labelled(chains)
+                own = {self.labels[t] for _, _, t, _ in spans}
                 base = {x for _, x in hits[r]}
                 at = [x for x, _ in hits[r]]
-                yield int(wo[r + 1] - wo[r]), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), min(1.0, best), chains
+                yield int(wo[r + 1] - wo[r]), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), min(1.0, best), spans
 
     def _stretches(self, h: np.ndarray, row: np.ndarray):
         """(first, last + 1) word indices of stretches whose adjacent pairs all occur in templates, long enough to matter."""
@@ -238,6 +282,16 @@ class Scanner:
         return list(zip(first[long].tolist(), (last[long] + 2).tolist()))
 
 
+def _apart(chains: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The chains that cover most, none overlapping another, in file order."""
+    kept: list[tuple[int, int, int, int]] = []
+    for c in sorted(chains, key=lambda c: (-c[2], c[1] - c[0], c)):
+        at = bisect.bisect(kept, c)
+        if (at == 0 or kept[at - 1][1] <= c[0]) and (at == len(kept) or c[1] <= kept[at][0]):
+            kept.insert(at, c)
+    return kept
+
+
 def _pair(h: np.ndarray) -> np.ndarray:
     return tk.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
@@ -246,7 +300,9 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of every row.
 
     score is the largest share of a template that one chain covers. spans lists the chains that give labels (first
-    word, last word + 1, label, share). A null or empty text has no words, no labels ("") and score 0.
+    word, last word + 1, label, share). A null or empty text has no words, no labels ("") and score 0; a very long text is
+scanned whole. Repeated rows and rows without a doc_id each give a row; an empty table gives none; columns other than
+doc_id and text are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scanner or Scanner())
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<first:long,end:long,label:string,share:double>>"
@@ -258,7 +314,7 @@ def scan_licenses(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
                 continue
             sc = shared.value
             cols = list(zip(*sc.scan(b.column(1))))
-            found = [[{"first": i, "end": j, "label": sc.labels[t], "share": c / sc.sizes[t]} for i, j, t, c in x if c >= sc.coverage * sc.sizes[t]] for x in cols[7]]
+            found = [[{"first": i, "end": j, "label": sc.labels[t], "share": c / sc.sizes[t]} for i, j, t, c in x] for x in cols[7]]
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, k) for x, k in zip(cols, kinds)], pa.array(found, span)], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 

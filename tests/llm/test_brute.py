@@ -144,6 +144,38 @@ def test_automaton_statistics():
                 assert auto.ends[v] == sorted((t, e) for t, s in enumerate(seqs) for e in range(n, len(s) + 1) if s[e - n : e] == run)
 
 
+def test_runs_of_each_template():
+    """Every template's own longest runs, also of templates that stand inside others, against a plain search."""
+    rng = random.Random(4)
+    templates = ["a b c d e f g h", "c d e f", "x c d e f g y", "b c a b c a", "e f"]
+    sc = licenses.Scanner([(str(i), t) for i, t in enumerate(templates)], [], min_match=3)
+    seqs = [licenses.words(t) for t in templates]
+    for _ in range(150):
+        text = [h for _ in range(4) for h in (lambda s, i: s[i : i + rng.randrange(1, 8)])(rng.choice(seqs), rng.randrange(3))]
+        want = set()
+        for t, s in enumerate(seqs):
+            longest = [max((k for k in range(i + 1) if any(s[e - k : e] == text[i - k : i] for e in range(k, len(s) + 1))), default=0) for i in range(len(text) + 1)]
+            for i in range(1, len(text) + 1):
+                k = longest[i]
+                if k >= min(3, len(s)) and (i == len(text) or longest[i + 1] != k + 1):
+                    want |= {(t, i - k + 7, e - k, k) for e in range(k, len(s) + 1) if s[e - k : e] == text[i - k : i]}
+        got = sc.spans(text, 7)
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_licence_inside_a_longer_one():
+    apache, by_nc = licenses.TEMPLATES[4][1], licenses.TEMPLATES[9][1]
+    cut = " ".join(apache.split()[:14])  # the short notice whole, a fifth of the long one
+    changed = apache.replace("except", "only").replace("writing,", "print,").replace("distributed on", "given on")
+    sc = licenses.Scanner()
+    got = list(sc.scan(pa.array([cut, by_nc, changed, apache + " " + apache, "the gnu general public license " * 9])))
+    assert got[0][5] == "apache" and got[0][6] == 1.0 and [x[:2] for x in got[0][7]] == [(0, 8)]
+    assert got[1][5] == "cc-by-nc" and len(got[1][7]) == 1
+    assert got[2][5] == "apache" and got[2][7][0][0] == 0 and len([x for x in got[2][7] if x[2] == 4]) == 1
+    assert len([x for x in got[3][7] if x[2] == 4]) == 2 and got[3][6] == 1.0
+    assert got[4][5] == "gpl" and got[4][7] == []
+
+
 def test_licence_spans_and_base(spark):
     mit = licenses.TEMPLATES[2][1]
     rows = [(1, "before " + mit + " after"), (2, "Licensed under CC BY-NC 4.0. Apache  LICENSE! gnu general public license"), (3, "permission is hereby granted to nobody")]
