@@ -1,8 +1,8 @@
-"""Near duplicates by exact Jaccard similarity of word-shingle sets; candidates come from MinHash bands.
+"""Near duplicates by exact Jaccard similarity of word-shingle sets; candidates come from bands of circulant MinHash.
 
-A text is the set of its 5-word shingles (a shorter text is one shingle). Two texts link at similarity 0.8 or more.
-Candidates share a band of ROWS minima in one of BANDS bands: a pair at 0.8 is missed with probability
-(1 - 0.8**4)**20 = 3e-5, one above it less often. Every candidate is verified on the complete sets.
+A text is the set of its shingles (a text of fewer words is one shingle). Two texts link if 100 * intersection >= 80 *
+union, in whole numbers. Candidates share a band of ROWS coordinates in one of BANDS bands: a pair at 0.8 is missed with
+probability (1 - 0.8**4)**28 = 4e-7, one above it less often. Every candidate is verified on the complete sets.
 
 Texts of equal sets are one node. In each bucket all nodes are first compared with its smallest one, which is linear
 and joins most members of a large group. Buckets that still hold more than one component are then compared pair by
@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import textkernel as tk
+from quern.llm.circulant import band_keys
 from quern.llm.components import components
 from quern.session import cut, small
 
 SHINGLE = 5
-SIMILARITY = 0.8
-BANDS, ROWS = 20, 4
+PERCENT = 80
+BANDS, ROWS = 28, 4
 SEED = 42
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 500_000
 
@@ -47,26 +48,8 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE):
         yield i, g, np.searchsorted(at, wo)
 
 
-def _minima(bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and offsets of the hash functions."""
-    draw = np.frombuffer(np.random.default_rng(SEED).bytes(16 * bands * rows), np.uint64).reshape(2, -1)
-    return draw[0] | np.uint64(1), draw[1]
-
-
-def _keys(g: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """The key of each band (texts x bands); start: where each text begins in g, none of them empty."""
-    out = np.zeros((len(start), bands), np.uint64)
-    for k in range(bands):
-        key = np.full(len(start), k + 1, np.uint64)
-        for r in range(k * rows, (k + 1) * rows):
-            key = tk.mix(key * np.uint64(tk._R) + np.minimum.reduceat(g * a[r] + b[r], start))
-        out[:, k] = key
-    return out
-
-
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """_h, doc_id, _node (hash of the set, 0 for an empty one), n (its size) and bands of every row."""
-    a, b = _minima(bands, rows)
 
     def run(batches):
         for batch in batches:
@@ -75,7 +58,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
             for i, g, off in shingle_sets(batch.column(2), shingle):
                 some = np.flatnonzero(np.diff(off))
                 if len(some):
-                    keys[i + some] = _keys(g, off[some], a, b, bands, rows).view(np.int64)
+                    keys[i + some] = band_keys(g, off[some], bands, rows).view(np.int64)
                 for k in some.tolist():
                     own = np.unique(g[off[k] : off[k + 1]])
                     size[i + k] = len(own)
@@ -100,15 +83,15 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("_node", "text").mapInArrow(run, "_node long, set binary")
 
 
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Jaccard similarity of two sorted sets is `similarity` or more."""
-    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Jaccard similarity of two sorted sets is `percent` of a hundred or more."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both >= similarity * (len(x) + len(y) - both)
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def forest(sets: list[np.ndarray], part: np.ndarray, label: list, similarity: float) -> list[tuple[int, int]]:
+def forest(sets: list[np.ndarray], part: np.ndarray, label: list, percent: int) -> list[tuple[int, int]]:
     """Links that join what similar pairs join, beyond equal labels; pairs lie within one part or, if there are two, across."""
     names: dict = {}
     comp = np.array([names.setdefault(x, len(names)) for x in label])
@@ -122,7 +105,7 @@ def forest(sets: list[np.ndarray], part: np.ndarray, label: list, similarity: fl
         own = ids[start[i] : start[i + 1]]
         away = comp != comp[i]
         away &= (part > part[i]) if cross else (np.arange(len(sets)) > i)
-        away &= np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i])
+        away &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
         j = np.flatnonzero(away)
         if not len(j):
             continue
@@ -130,14 +113,14 @@ def forest(sets: list[np.ndarray], part: np.ndarray, label: list, similarity: fl
         at = np.repeat(start[j] - np.concatenate(([0], np.cumsum(size[j])[:-1])), size[j]) + np.arange(int(size[j].sum()))
         both = np.add.reduceat(mark[ids[at]].astype(np.int64), np.concatenate(([0], np.cumsum(size[j])[:-1])))
         mark[own] = False
-        for k in j[both >= similarity * (size[i] + size[j] - both)].tolist():
+        for k in j[100 * both >= percent * (size[i] + size[j] - both)].tolist():
             if comp[k] != comp[i]:
                 comp[comp == comp[k]] = comp[i]
                 out.append((i, k))
     return out
 
 
-def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(node, root) of the nodes that have a link; rows as signatures() gives them, docs with _h and text."""
     nodes = cut(rows.filter("n > 0").groupBy("_node").agg(F.min("_h").alias("_h"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nd-nodes")
     keys = nodes.select("_node", "n", F.posexplode("bands").alias("t", "key"))
@@ -150,7 +133,7 @@ def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, similarity: fl
     def verify(batches):
         for b in batches:
             cols = [b.column(k).to_pylist() for k in range(4)]
-            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(cols[2], cols[3])]
+            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(cols[2], cols[3])]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, o in zip(c, ok) if o], pa.int64()) for c in cols[:2]], names=["a", "b"])
 
     pairs = star.join(sets.select(F.col("_node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("_node").alias("b"), F.col("set").alias("y")), "b")
@@ -170,26 +153,50 @@ def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, similarity: fl
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         found = []
         if i == j or len(np.unique(part)) > 1:
-            found = forest([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], part, t.column("root").to_pylist(), similarity)
+            found = forest([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], part, t.column("root").to_pylist(), percent)
         return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
 
     rest = cut(blocks.groupBy("t", "key", "i", "j").applyInArrow(search, "a long, b long"), "nd-links")
     return components(first.unionByName(rest))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles (size of the set), component_id (smallest doc_id that links reach), kept (doc_id = component_id): one
+    row for each row of docs.
+
+    Texts without words, null texts too, are linked with nothing: each is its own component. Rows are told apart by doc_id
+    and text, so rows that share an id are nodes of their own, and rows without an id take part; they get their component's
+    smallest id, null if it has none, and are never kept. Equal rows are linked unless they have no words. Empty table: no
+    rows. Other columns are ignored.
+    """
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64(F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+    found = cut(signatures(hashed, shingle, bands, rows), "nd-rows")
+    label = similar_nodes(found, hashed, shingle, percent).select(F.col("node").alias("_node"), "root")
+    nodes = found.filter("n > 0").groupBy("_node").agg(F.min("doc_id").alias("_first")).join(label, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    nodes = cut(nodes, "nd-named")
+    first = nodes.groupBy("root").agg(F.min("_first").alias("component_id"))
+    named = cut(nodes.select("_node", "root").join(first, "root").select("_node", "component_id"), "nd-ids")
+    some = found.filter("n > 0").join(named, "_node").select("doc_id", "n", "component_id")
+    none = found.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return some.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, that are kept: one row of each component, that with the smallest doc_id (null last).
 
     Rows are told apart by all their columns, not by doc_id: rows that share an id, or have none, take part like others.
-    Texts without words are one component. Empty table: empty result.
+    Texts without words are one component. Columns may have any names. Empty table: empty result.
     """
-    hashed = docs.withColumn("_h", F.xxhash64(*[F.isnull(F.col(f"`{c}`")) for c in docs.columns], *[F.col(f"`{c}`") for c in docs.columns]))
+    plain = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(docs.columns)]
+    own = [f"k_{i}" for i in range(len(plain))]
+    hashed = docs.select(*plain, F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64(*[F.isnull(c) for c in own], *own))
     rows = cut(signatures(hashed, shingle, BANDS, ROWS), "nd-rows")
-    label = similar_nodes(rows, hashed, shingle, similarity).select(F.col("node").alias("_node"), "root")
+    label = similar_nodes(rows, hashed, shingle, percent).select(F.col("node").alias("_node"), "root")
     # equal rows share _h: how often it stands tells whether the kept row must be cut to one
     same = rows.groupBy("_h", "doc_id", "_node").agg(F.count("*").alias("_c"))
     best = same.join(label, "_node", "left").groupBy(F.coalesce("root", "_node").alias("_root")).agg(F.min(F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "_h", "_c")).alias("_k"))
     kept = cut(best.select("_k._h", "_k._c"), "nd-kept")
     once = hashed.join(small(kept.filter("_c = 1").select("_h")), "_h", "left_semi")
     often = hashed.join(small(kept.filter("_c > 1").select("_h")), "_h", "left_semi").dropDuplicates(["_h"])
-    return once.unionByName(often).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return once.unionByName(often).select(*[F.col(k).alias(c) for k, c in zip(own, docs.columns)])

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import crosspolytope, langid, licenses, mixing, quality, sharding, simhash, tiling, toxicity, wrapper
+from quern.llm import crosspolytope, langid, licenses, mixing, neardup, periodic, prefixtrie, quality, sharding, simhash, tiling, toxicity, wrapper
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -76,6 +76,24 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_circulant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return prefixtrie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -52,7 +52,7 @@ def test_forest_across_parts_joins_what_pairs_join():
     part = np.array([rng.randrange(2) for _ in sets])
     plain = [set(s.tolist()) for s in sets]
     want = union(60, [(i, j) for i in range(60) for j in range(i) if part[i] != part[j] and near(plain[i], plain[j])])
-    assert union(60, neardup.forest(sets, part, list(range(60)), 0.8)) == want
+    assert union(60, neardup.forest(sets, part, list(range(60)), 80)) == want
 
 
 def test_shingle_sets():
