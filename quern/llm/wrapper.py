@@ -9,8 +9,9 @@ take the places of others. Every page is then aligned with its host's and its la
 are dropped.
 
 What varies but is not the article is told by the elements themselves: menus, headers, footers, sidebars, forms
-and the like by tag or by the words of their class, id or role; if a page has an article or main element, only
-text inside one counts; elsewhere, lists made of links alone do not count.
+and the like by tag or by the whole words of their class, id or role; if a page has an article or main element, only
+text inside one counts; elsewhere, lists made of links alone do not count. Such a cue does not stand where it would take
+away the only article element, or, on a page without one, most of the text that the template leaves open.
 
 Wrappers are small (a few hundred bytes a host). If all of them together stay below BROADCAST_BYTES they are
 broadcast and pages are not shuffled; beyond it pages are joined with them by host.
@@ -18,7 +19,6 @@ broadcast and pages are not shuffled; beyond it pages are joined with them by ho
 
 from __future__ import annotations
 
-import bisect
 import html as entities
 import pickle
 import re
@@ -46,12 +46,18 @@ BLOCKS = set(
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "svg", "template", "xmp"}
 DROPPED = {"head", "title", "script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "video", "audio", "nav", "footer", "aside", "form", "button", "select", "option", "textarea", "menu", "dialog", "search", "fieldset", "legend", "label"}
 CLOSES_P = BLOCKS - {"html", "body", "head", "label", "button", "option"}
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notice|notices|alert|"
-    r"newsletter|subscribe|subscription|share|sharing|social|comments?|commentlist|respond|replies|disqus|footer|masthead|site-?header|page-?header|related|recommended|popup|modal|overlay|"
-    r"widget|login|signup|search|toolbar|pagination|pager|skip-?link|complementary|contentinfo)(?=$|[\s_-])",
-    re.I,
+#: Elements that hold a page's text at times, and are then no cue.
+LIFTED = {"form", "fieldset", "label", "dialog", "header"}
+_WORDS = (
+    r"ads?|advert\w*|adsense|banners?|promos?|promotions?|sponsor\w*|side-?bars?|menus?|nav|navbar|navigation|breadcrumbs?|cookies?|consent|notices?|alerts?|"
+    r"newsletters?|subscribe|subscription|share|sharing|social|comments?|commentlist|respond|replies|disqus|footer|masthead|related|recommended|popup|modal|overlay|"
+    r"widgets?|login|signup|search|toolbar|pagination|pager|skip-?link|complementary|contentinfo"
 )
+_PLACES = "site|page|main|top|bottom|left|right|global|primary|secondary|article|post|user|reader|google|cookie|social|share"
+_PARTS = "bar|box|block|list|links?|buttons?|icons?|wrap|wrapper|container|section|area|panel|inner|items?|form|slot|unit|widget|banner|notice|message|thread|feed|posts?|stories|articles|signup|nav|menu"
+#: A whole word of a class, id or role: a telling word, where it stands before it and what part of it after it. A word that
+#: tells of the layout around it (content-with-sidebar, has-sidebar) or of its subject (share-price) is not one.
+NOISE = re.compile(rf"(?:(?:{_PLACES})[-_]+)?(?:{_WORDS})(?:[-_]+(?:{_PARTS}))?|(?:site|page)-?header", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
@@ -167,105 +173,123 @@ def _close(stack: list[Node], tags: set[str], until: set[str]) -> None:
             return
 
 
-def _align(p: list[Node], q: list[Node], score) -> tuple[int, list]:
-    """1 and the largest sum of scores of an order-preserving pairing of two child lists, with its pairs.
-
-    Only rows of the recurrence are held: beyond DP_CELLS cells the list is halved (Hirschberg), in linear memory.
-    """
-    value: dict[tuple[int, int], int] = {}
-    where: dict[str, list[int]] = {}
-    for j, d in enumerate(q):
-        where.setdefault(d.label, []).append(j)
-
-    def weight(i: int, j: int) -> int:
-        if p[i].label != q[j].label:
+class Shapes:
+    """Trees by what matching looks at: labels and children. Nodes of one shape share a number, and so all scores."""
+
+    def __init__(self, *trees: Node):
+        self.of: dict[int, int] = {}
+        self.labels: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self._memo: dict[tuple[int, int], tuple[int, list]] = {}
+        known: dict[tuple, int] = {}
+        for tree in trees:
+            for _, x in reversed(_preorder(tree)):
+                kids = tuple(self.of[id(c)] for c in x.children)
+                key = (x.label, kids)
+                if key not in known:
+                    known[key] = len(self.labels)
+                    self.labels.append(x.label)
+                    self.children.append(kids)
+                    self.sizes.append(1 + sum(self.sizes[k] for k in kids))
+                self.of[id(x)] = known[key]
+
+    def score(self, a: int, b: int) -> int:
+        """The number of pairs in the largest mapping of two trees."""
+        if a == b:
+            return self.sizes[a]
+        if self.labels[a] != self.labels[b]:
             return 0
-        if not p[i].children or not q[j].children:
+        if not self.children[a] or not self.children[b]:
             return 1
-        if (i, j) not in value:
-            value[i, j] = score(p[i], q[j])
-        return value[i, j]
-
-    def last_row(rows: range, cols: range) -> np.ndarray:
-        """The recurrence's last row over the children named, in their order; only equal labels are looked at."""
-        at, back = cols[0], cols.step < 0
-        lo, hi = min(cols), max(cols) + 1
-        row = np.zeros(len(cols) + 1, np.int64)
+        return self.aligned(a, b)[0]
+
+    def aligned(self, a: int, b: int) -> tuple[int, list]:
+        """The score of two trees of one label, and which of their children are paired."""
+        if a == b:  # no other mapping pairs all nodes
+            return self.sizes[a], [(k, k) for k in range(len(self.children[a]))]
+        key = (a, b)
+        if key not in self._memo:
+            self._memo[key] = _align(self.children[a], self.children[b], self.score)
+        return self._memo[key]
+
+
+def _align(p: tuple[int, ...], q: tuple[int, ...], score) -> tuple[int, list]:
+    """1 and the largest sum of scores of an order-preserving pairing of two lists of shapes, with its pairs.
+
+    Equal shapes at both fronts, then at both ends, are paired at once: no pairing scores more. Of what remains, all rows of
+    the recurrence are held up to DP_CELLS cells; beyond, the list is halved (Hirschberg), in linear memory. Among pairings of
+    equal score both ways give the one whose path through the table stays furthest to the right.
+    """
+    lo, n, m = 0, len(p), len(q)
+    while lo < min(n, m) and p[lo] == q[lo]:
+        lo += 1
+    while n > lo and m > lo and p[n - 1] == q[m - 1]:
+        n, m = n - 1, m - 1
+    held: dict[int, np.ndarray] = {}
+    kinds = sorted(set(q[lo:m]))
+    at = np.searchsorted(kinds, q[lo:m]) if kinds else np.zeros(0, np.int64)
+
+    def weights(i: int) -> np.ndarray:
+        """The scores of child i with all of q[lo:m]."""
+        if p[i] not in held:
+            held[p[i]] = np.array([score(p[i], t) for t in kinds], np.int64)[at]
+        return held[p[i]]
+
+    def last_row(rows: range, c: int, d: int, back: bool) -> np.ndarray:
+        row = np.zeros(d - c + 1, np.int64)
         for i in rows:
-            own = where.get(p[i].label, [])
-            js = own[bisect.bisect_left(own, lo) : bisect.bisect_left(own, hi)]
-            if not js:
-                continue
-            k = np.array(js)
-            k = (at - k)[::-1] if back else k - at
-            if p[i].children:
-                w = np.array([weight(i, j) for j in (reversed(js) if back else js)])
-            else:
-                w = 1
+            w = weights(i)[c - lo : d - lo]
             new = row.copy()
-            new[k + 1] = np.maximum(new[k + 1], row[k] + w)
+            np.maximum(new[1:], row[:-1] + (w[::-1] if back else w), out=new[1:])
             row = np.maximum.accumulate(new)
         return row
 
     pairs: list[tuple[int, int]] = []
-    todo = [(0, len(p), 0, len(q))]
+    todo = [(lo, n, lo, m)]
     while todo:
         a, b, c, d = todo.pop()
         if a == b or c == d:
             continue
         if b - a > 1 and (b - a) * (d - c) > DP_CELLS:
             mid = (a + b) // 2
-            left = last_row(range(a, mid), range(c, d))
-            right = last_row(range(b - 1, mid - 1, -1), range(d - 1, c - 1, -1))
-            cut_at = c + int((left + right[::-1]).argmax())
+            both = last_row(range(a, mid), c, d, False) + last_row(range(b - 1, mid - 1, -1), c, d, True)[::-1]
+            cut_at = c + len(both) - 1 - int(both[::-1].argmax())
             todo += [(mid, b, cut_at, d), (a, mid, c, cut_at)]
             continue
-        if b - a == 1:  # one child: its best partner, the last of equal ones
-            best = max(((weight(a, j), j) for j in where.get(p[a].label, []) if c <= j < d), default=(0, 0))
-            if best[0]:
-                pairs.append((a, best[1]))
-            continue
-        m = [[0] * (d - c + 1) for _ in range(b - a + 1)]
-        for i in range(b - a):
-            for j in range(d - c):
-                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + weight(a + i, c + j))
-        found, i, j = [], b - a, d - c
+        table, found = [[0] * (d - c + 1)], []
+        rows = [weights(i)[c - lo : d - lo].tolist() for i in range(a, b)]
+        for w in rows:
+            above, own = table[-1], [0]
+            for j, x in enumerate(w):
+                own.append(max(above[j + 1], own[j], above[j] + x))
+            table.append(own)
+        i, j = b - a, d - c
         while i and j:
-            w = weight(a + i - 1, c + j - 1)
-            if w and m[i][j] == m[i - 1][j - 1] + w:
+            best = table[i][j]
+            if best == table[i - 1][j]:
+                i -= 1
+            elif rows[i - 1][j - 1] and best == table[i - 1][j - 1] + rows[i - 1][j - 1]:
                 i, j = i - 1, j - 1
                 found.append((a + i, c + j))
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
             else:
                 j -= 1
         pairs += found[::-1]
-    return 1 + sum(weight(i, j) for i, j in pairs), pairs
+    ends = [(n + k, m + k) for k in range(len(p) - n)]
+    pairs = [(k, k) for k in range(lo)] + pairs + ends
+    return 1 + sum(score(p[i], q[j]) for i, j in pairs), pairs
 
 
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of the largest order-preserving top-down mapping of two trees (simple tree matching)."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def score(x: Node, y: Node) -> tuple[int, list]:
-        if x.label != y.label:
-            return 0, []
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key]
-        p, q = x.children, y.children
-        if not p or not q:
-            memo[key] = (1, [])
-        else:
-            memo[key] = _align(p, q, lambda c, d: score(c, d)[0])
-        return memo[key]
-
+    if a.label != b.label:
+        return []
+    shapes = Shapes(a, b)
     out, todo = [], [(a, b)]
     while todo:
         x, y = todo.pop()
-        if score(x, y)[0]:
-            out.append((x, y))
-            todo += [(x.children[i], y.children[j]) for i, j in memo[id(x), id(y)][1]]
+        out.append((x, y))
+        todo += [(x.children[i], y.children[j]) for i, j in shapes.aligned(shapes.of[id(x)], shapes.of[id(y)])[1]]
     return out
 
 
@@ -357,10 +381,14 @@ def blocks(tree: Node, *wrappers: Node | None) -> list[tuple[str, str]]:
                 if k < len(x.slots) and x.slots[k] and x.slots[k] == _hash(text):
                     constant.add((id(y), k))
 
+    lifted: set[int] = set()
+
     def noise(x: Node, inside: bool) -> bool:
+        if id(x) in lifted:
+            return False
         if x.tag in DROPPED or (x.tag == "header" and not inside):
             return True
-        return bool(x.names) and x.tag not in ("html", "body", "article", "main", "#") and bool(NOISE.search(x.names))
+        return bool(x.names) and x.tag not in ("html", "body", "article", "main", "#") and any(NOISE.fullmatch(w) for w in x.names.split())
 
     def has_article(x: Node) -> bool:
         return not noise(x, True) and (x.tag in ("article", "main") or any(has_article(c) for c in x.children))
@@ -368,6 +396,35 @@ def blocks(tree: Node, *wrappers: Node | None) -> list[tuple[str, str]]:
     def links_only(x: Node) -> bool:
         return all(s[2] for s in x.slots) and all(links_only(c) for c in x.children)
 
+    def can_lift(x: Node) -> bool:
+        return x.tag not in DROPPED or x.tag in LIFTED
+
+    # how much open text each subtree holds; told from its end, so that children come first
+    mass: dict[int, int] = {}
+    above: dict[int, Node] = {}
+    order = [x for _, x in _preorder(tree)]
+    for x in reversed(order):
+        mass[id(x)] = sum(mass[id(c)] for c in x.children) + sum(len(s[1]) for k, s in enumerate(x.slots) if (id(x), k) not in constant)
+        above.update((id(c), x) for c in x.children)
+    if not has_article(tree):
+        # cues may not take away the only article, nor, where there is none, most of the text that varies
+        articles = [x for x in order if x.tag in ("article", "main")]
+        if articles:
+
+            def path(x: Node) -> list[Node]:
+                out = [x]
+                while id(out[-1]) in above:
+                    out.append(above[id(out[-1])])
+                return out
+
+            # the one that fewest cues speak against, then the largest
+            cues = {id(x): [y for y in path(x) if noise(y, True)] for x in articles}
+            x = min(articles, key=lambda x: (len(cues[id(x)]), -mass[id(x)]))
+            if all(can_lift(y) for y in cues[id(x)]):
+                lifted.update(id(y) for y in cues[id(x)])
+        else:
+            lifted.update(id(x) for x in order if can_lift(x) and 2 * mass[id(x)] > mass[id(tree)])
+
     out: list[tuple[str, str]] = []
     strict = has_article(tree)
 
