@@ -4,7 +4,8 @@ Test items are tokenised into words and indexed by the Karp-Rabin hashes of thei
 and an item that share a seed are a candidate pair; greedy string tiling then repeatedly takes the longest common
 run of words in which nothing is marked yet, marks it on both sides, and stops when no run of MIN_MATCH words is
 left. Tiles may come in any order, so reordered passages count in full. A document is contaminated by an item
-when its tiles cover at least COVERAGE of the item's words.
+when its tiles cover at least COVERAGE of the item's words. Seeds decide only which pairs are looked at: each counts once
+for a document, wherever and however often it stands there.
 
 The index is broadcast only within a bound: items are taken in blocks of at most MAX_WORDS words, and each block
 passes over the documents once, so a benchmark of any size is handled whole. Words are compared by 64-bit hashes.
@@ -27,59 +28,103 @@ MAX_WORDS = 1 << 21
 _MAP_BITS = 20
 
 
-def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+def _windows(p: np.ndarray, marks: np.ndarray, inverse: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running Karp-Rabin hashes of all stretches of `size` words, from prefix sums, and which of them have no mark."""
+    return (p[size:] - p[:-size]) * inverse[: len(p) - size], marks[size:] == marks[:-size]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Tiles (start in doc, start in item, length >= k) of greedy string tiling.
 
-    seeds: every (i, j) with doc[i:i+k] == item[j:j+k]. Longest runs first, then the earliest in the document, then
-    in the item; a run partly marked by earlier tiles goes back as its unmarked rests.
+    The longest common run of unmarked words is found by halving: runs of a length exist if hashes of that length, taken at
+    every unmarked place of both, meet. All runs of that length are marked, the earliest in the document first, then in the
+    item; then the next length is sought. Places are never paired with each other, so a word or phrase that repeats costs
+    no more than any other: memory is that of the two texts.
     """
-    runs: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    diagonals: dict[int, list[int]] = defaultdict(list)
-    for i, j in seeds:
-        diagonals[i - j].append(i)
-    for d, starts in diagonals.items():
-        starts = sorted(set(starts))
-        first = prev = starts[0]
-        for i in [*starts[1:], None]:
-            if i is None or i != prev + 1:
-                length = prev - first + k
-                runs[length].append((first, first - d, length))
-                first = i
-            prev = i
-    marked_d, marked_i = np.zeros(len(doc), bool), np.zeros(len(item), bool)
-    tiles = []
-    while runs:
-        length = max(runs)
-        for i, j, n in sorted(runs.pop(length)):
-            taken = marked_d[i : i + n] | marked_i[j : j + n]
-            if not taken.any():
-                marked_d[i : i + n] = True
-                marked_i[j : j + n] = True
-                tiles.append((i, j, n))
+    found = []
+    grams_d, grams_i = _hashes(doc, k), _hashes(item, k)
+    if not len(grams_d) or not len(grams_i):
+        return found
+    # only what shares a seed with the item takes part, with one marked word between stretches that lie apart
+    part = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(part, np.flatnonzero(np.isin(grams_d, grams_i)), 1)
+    covered = np.cumsum(part)[: len(doc)]
+    covered[k:] -= np.cumsum(part)[: len(doc) - k]
+    covered = covered > 0
+    own = np.flatnonzero(covered | np.concatenate(([False], covered[:-1])))
+    if not len(own):
+        return found
+    words_d, marked_d, marked_i = doc[own], ~covered[own], np.zeros(len(item), bool)
+    power, inverse = tk._powers(max(len(own), len(item)) + 1)
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x.astype(np.uint64) * power[: len(x)]))) for x in (words_d, item)]
+
+    def common(size: int):
+        marks = [np.concatenate(([0], np.cumsum(m))) for m in (marked_d, marked_i)]
+        (hd, free_d), (hi, free_i) = (_windows(p, m, inverse, size) for p, m in zip(sums, marks))
+        at_i = np.flatnonzero(free_i)
+        at_d = np.flatnonzero(free_d)
+        return at_d[np.isin(hd[at_d], hi[at_i])], hd, at_i, hi
+
+    longest = min(len(own), len(item))
+    while longest >= k:
+        lo, hi = k - 1, longest  # runs of length lo exist, or none of k words
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if len(common(mid)[0]):
+                lo = mid
+            else:
+                hi = mid - 1
+        if lo < k:
+            break
+        size = lo
+        at_d, hash_d, at_i, hash_i = common(size)
+        places: dict[int, list[int]] = defaultdict(list)
+        for j in at_i[::-1].tolist():
+            places[int(hash_i[j])].append(j)  # the earliest last
+        after = 0
+        for i in at_d.tolist():
+            if i < after:
                 continue
-            free = np.flatnonzero(np.diff(np.concatenate(([1], taken.view(np.int8), [1]))))
-            for a, b in zip(free[::2], free[1::2]):
-                if b - a >= k:
-                    runs[int(b - a)].append((i + int(a), j + int(a), int(b - a)))
-    return tiles
+            rest = places[int(hash_d[i])]
+            while rest and marked_i[rest[-1] : rest[-1] + size].any():
+                rest.pop()
+            if rest:
+                j = rest.pop()
+                marked_d[i : i + size] = True
+                marked_i[j : j + size] = True
+                found.append((int(own[i]), j, size))
+                after = i + size
+        longest = size - 1
+    return found
+
+
+def _hashes(h: np.ndarray, k: int) -> np.ndarray:
+    return tk.grams(h.astype(np.uint64), np.array([0, len(h)]), k)[0]
 
 
 class Index:
-    """Seeds of a block of items, sorted by hash, with a bit map in front."""
+    """The seeds of a block of items: pairs (hash, item) in order of hash, each with the number of its places in the item, and a
+    bit map in front."""
 
     def __init__(self, ids: list[int], texts: list[str], k: int):
         self.k, self.ids, self.items = k, ids, []
-        hashes, where = [], []
+        hashes, owners = [], []
         for n, t in enumerate(texts):
             h, _ = words(pa.array([t or ""], pa.large_string()))
             self.items.append(h)
             if len(h):
-                g, at = tk.grams(h, np.array([0, len(h)]), min(k, len(h)))
+                g = _hashes(h, min(k, len(h)))
                 hashes.append(g)
-                where += [(n, int(j)) for j in at]
-        self.hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes, self.where = self.hashes[order], [where[x] for x in order]
+                owners.append(np.full(len(g), n, np.int64))
+        every = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.lexsort((owner, every))
+        every, owner = every[order], owner[order]
+        first = np.ones(len(every), bool)
+        first[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])
+        at = np.flatnonzero(first)
+        self.hashes, self.owner, self.places = every[at], owner[at], np.diff(np.append(at, len(every)))
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
         self.map = np.zeros(1 << _MAP_BITS, bool)
         self.map[(self.hashes >> np.uint64(64 - _MAP_BITS)).astype(np.int64)] = True
 
@@ -111,30 +156,31 @@ def matches(index: Index, texts: pa.Array, coverage: float):
         low = tk.LOWER[data]
         s, e, wo = tk.spans(low, off, tk.ALNUM)
         h = tk.word_hashes(low, s, e)
-        pairs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        pairs = []
         for size in sizes:
             g, at = tk.grams(h, wo, size)
             hit = index.find(g)
             if len(hit) == 0:
                 continue
+            # each seed of a text once: (row, seed), then a row for each item that holds the seed
             rows = tk.owner(wo, at[hit])
-            lo = np.searchsorted(index.hashes, g[hit], "left")
-            hi = np.searchsorted(index.hashes, g[hit], "right")
-            for row, x, a, b in zip(rows.tolist(), at[hit].tolist(), lo.tolist(), hi.tolist()):
-                for n, j in index.where[a:b]:
-                    if min(k, len(index.items[n])) == size:
-                        pairs[row, n].append((x, j))
-        for (row, n), seeds in pairs.items():
-            item, base = index.items[n], int(wo[row])
-            size = min(k, len(item))
+            order = np.lexsort((g[hit], rows))
+            rows, seeds = rows[order], g[hit][order]
+            once = np.ones(len(rows), bool)
+            once[1:] = (rows[1:] != rows[:-1]) | (seeds[1:] != seeds[:-1])
+            rows, seeds = rows[once], seeds[once]
+            lo = np.searchsorted(index.hashes, seeds, "left")
+            many = np.searchsorted(index.hashes, seeds, "right") - lo
+            x = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+            owner, rows = index.owner[x], np.repeat(rows, many)
+            fit = np.minimum(k, index.sizes[owner]) == size
+            both, which = np.unique(np.stack((rows[fit], owner[fit])), axis=1, return_inverse=True)
             # tiles cannot cover more of the item than its seeds touch
-            touched = np.zeros(len(item), bool)
-            for _, j in seeds:
-                touched[j : j + size] = True
-            if touched.sum() < coverage * len(item):
-                continue
-            doc = h[base : int(wo[row + 1])]
-            tiles = tile(doc, item, [(x - base, j) for x, j in seeds], size)
+            touched = size * np.bincount(which.reshape(-1), index.places[x][fit], both.shape[1])
+            pairs += [(r, n, size) for (r, n), t in zip(both.T.tolist(), touched.tolist()) if t >= coverage * index.sizes[n]]
+        for row, n, size in sorted(pairs):
+            item = index.items[n]
+            tiles = tile(h[int(wo[row]) : int(wo[row + 1])], item, size)
             tiled = sum(t[2] for t in tiles)
             if tiled >= coverage * len(item):
                 yield i0 + row, n, tiled, len(item), len(tiles)

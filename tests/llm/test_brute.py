@@ -96,28 +96,72 @@ def test_components(spark):
             assert (got[x] == got[y]) == (want[x] == want[y])
 
 
-def test_tiles_follow_the_greedy_definition():
+def greedy_tiles(doc, item, k):
+    md, mi, tiles = [0] * len(doc), [0] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not md[i + n] and not mi[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        if best[0] < k:
+            return tiles
+        n, i, j = best
+        md[i : i + n], mi[j : j + n] = [1] * n, [1] * n
+        tiles.append((i, j, n))
+
+
+@pytest.mark.parametrize("values", [1, 2, 3, 9])
+def test_tiles_follow_the_greedy_definition(values):
     rng = random.Random(3)
-    for _ in range(200):
-        doc, item, k = [rng.randrange(3) for _ in range(rng.randrange(3, 30))], [rng.randrange(3) for _ in range(rng.randrange(3, 15))], 3
-        seeds = [(i, j) for i in range(len(doc) - k + 1) for j in range(len(item) - k + 1) if doc[i : i + k] == item[j : j + k]]
-        got = sum(t[2] for t in tiling.tile(np.array(doc), np.array(item), seeds, k))
-        md, mi, total = [0] * len(doc), [0] * len(item), 0
-        while True:
-            best = (0, 0, 0)
-            for i in range(len(doc)):
-                for j in range(len(item)):
-                    n = 0
-                    while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and not md[i + n] and not mi[j + n]:
-                        n += 1
-                    if n > best[0]:
-                        best = (n, i, j)
-            if best[0] < k:
-                break
-            n, i, j = best
-            md[i : i + n], mi[j : j + n] = [1] * n, [1] * n
-            total += n
-        assert got == total
+    for _ in range(120):
+        doc, item, k = [rng.randrange(values) for _ in range(rng.randrange(3, 40))], [rng.randrange(values) for _ in range(rng.randrange(3, 15))], 3
+        if rng.random() < 0.5:  # periods, and parts of the item in another order
+            doc = (doc[: rng.randrange(1, 5)] * 12)[:20] + item[5:] + doc[:3] + item[:5]
+        assert tiling.tile(np.array(doc, np.uint64), np.array(item, np.uint64), k) == greedy_tiles(doc, item, k)
+
+
+def test_a_text_of_one_word_costs_what_others_do():
+    import resource
+    import time
+
+    index = tiling.Index([1], ["x " * 1000], 5)
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    assert list(tiling.matches(index, pa.array(["x " * 100_000]), 0.5)) == [(0, 0, 1000, 1000, 1)]
+    assert time.time() - began < 10 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def plain_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(LOW))
+
+
+def test_whole_query_against_the_greedy_definition(spark):
+    rng = random.Random(8)
+    pool = [f"w{i}" for i in range(40)]
+    items = [(n, " ".join(rng.choice(pool) for _ in range(rng.choice([2, 4, 7, 20])))) for n in range(25)] + [(90, None), (91, ""), (92, "a a a a a a a a")]
+    docs = []
+    for d in range(60):
+        text = [rng.choice(pool) for _ in range(rng.randrange(0, 30))]
+        for _ in range(rng.randrange(3)):
+            w = (rng.choice(items)[1] or "").split()
+            cut = rng.randrange(len(w) + 1)
+            text += rng.choice([w, w[cut:] + ["zz"] + w[:cut], w[: len(w) // 2]])
+        docs.append((d if d % 7 else None, rng.choice([" ", ", ", "\n"]).join(text)))
+    docs += [(500, None), (501, "a " * 50), (501, "a " * 50)]
+    want = []
+    for d, t in docs:
+        own = plain_words(t)
+        for n, x in items:
+            w = plain_words(x)
+            tiles = greedy_tiles(own, w, min(5, len(w))) if w else []
+            if w and sum(m for _, _, m in tiles) >= 0.5 * len(w):
+                want.append((d, n, sum(m for _, _, m in tiles), len(w), len(tiles)))
+    made = [spark.createDataFrame(rows, f"{i} long, text string").repartition(3) for rows, i in ((docs, "doc_id"), (items, "item_id"))]
+    got = [tuple(r) for r in tiling.contaminated(*made).select("doc_id", "item_id", "tiled_words", "item_words", "tiles").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(want) > 30
 
 
 def test_reordered_passages_are_caught(spark):
