@@ -4,9 +4,9 @@ Each source has a token budget. As many whole passes over the source as fit are
 rest of the budget is filled by documents whose hash lies below a threshold. The threshold is found without
 sorting: tokens are summed by source and hash bucket, prefix sums over the buckets find where the budget runs
 out, and only that boundary bucket is refined by the next hash bits. After the last level what is left of the
-budget is smaller than the document on the boundary; further rounds look only at documents not taken yet
-that fit the rest, so that the mix ends near the target even where one document is a large part of its source.
-All rounds after the first read a narrow table (no texts) that is written once to shared storage.
+budget is smaller than the document on the boundary; further rounds give one more copy to documents that fit the rest
+and stand below MAX_REPEAT copies, until no document fits: the mix ends near the target even where one document is a
+large part of its source. Each round writes the documents that still fit, without texts, and the next reads only those.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
 BITS = 16
 LEVELS = 3
-ROUNDS = 2
 HASHED = ["_src", "_h"]
+#: Sources up to which plans are broadcast.
+FEW = 100_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0) -> DataFrame:
@@ -52,31 +53,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, bud
     return s.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap"))))
 
 
-def _fill(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+def _fill(rows: DataFrame, budgets: DataFrame, near) -> DataFrame:
     """The rows (_src, _h, _size) that the budgets (_src, _left) take: those below each source's nested threshold.
 
-    Returns (_src, _cut): take rows with _h < _cut. The boundary bucket is refined LEVELS times; the document on
-    the boundary is not taken. A budget that covers the whole source gives a cut above every hash.
+    Returns (_src, _room, _cut, _rest): take rows with _h < _cut of the budget _room, which leaves _rest. The boundary
+    bucket is refined LEVELS times; the document on the boundary is not taken. A budget that covers the whole source gives a
+    cut above every hash, one of nothing a cut of 0. near: marks a table of a row per source for broadcast if they are few.
     """
-    state = budgets.select("_src", "_left", F.lit(0).cast("long").alias("_lo"))
+    state = budgets.select("_src", F.col("_left").alias("_room"), F.lit(0).cast("long").alias("_cut"), F.col("_left").alias("_rest"), (F.col("_left") <= 0).alias("_done"))
     shift = BITS * LEVELS
     for _ in range(LEVELS):
         shift -= BITS
         span = 1 << (shift + BITS)
-        inside = rows.join(small(state), "_src").filter(f"_h >= _lo AND _h < _lo + {span} AND _left > 0")
-        b = inside.groupBy("_src", F.expr(f"_h div {1 << shift}").alias("_b")).agg(F.sum("_size").alias("_n"))
-        w = Window.partitionBy("_src").orderBy("_b")
-        b = b.withColumn("_to", F.sum("_n").over(w))
-        b = b.join(small(state), "_src").filter("_to > _left")
-        first = b.groupBy("_src").agg(F.min_by(F.struct("_b", (F.col("_to") - F.col("_n")).alias("_used")), F.col("_b")).alias("_x"))
-        state = (
-            state.join(first, "_src", "left")
-            # no bucket is over the budget: take all of this span
-            .withColumn("_next", F.when(F.col("_x").isNotNull(), F.col("_x._b") * F.lit(1 << shift)).otherwise(F.col("_lo") + F.when(F.col("_left") > 0, F.lit(span)).otherwise(F.lit(0))))
-            .select("_src", F.when(F.col("_x").isNull(), F.lit(0).cast("long")).otherwise(F.col("_left") - F.col("_x._used")).alias("_left"), F.col("_next").alias("_lo"))
-        )
+        inside = rows.join(near(state), "_src").filter(f"NOT _done AND _h >= _cut AND _h < _cut + {span}")
+        b = inside.groupBy("_src", F.expr(f"_h div {1 << shift}").alias("_b")).agg(F.sum("_size").alias("_n"), F.first("_rest").alias("_of"))
+        b = b.withColumn("_to", F.sum("_n").over(Window.partitionBy("_src").orderBy("_b")))
+        over = F.when(F.col("_to") > F.col("_of"), F.struct("_b", (F.col("_to") - F.col("_n")).alias("_used")))
+        first = b.groupBy("_src").agg(F.min(over).alias("_x"), F.max("_to").alias("_all"))
+        state = state.join(first, "_src", "left").select(
+            "_src", "_room",
+            F.when(F.col("_done"), F.col("_cut")).when(F.col("_x").isNull(), F.col("_cut") + F.lit(span)).otherwise(F.col("_x._b") * F.lit(1 << shift)).alias("_cut"),
+            F.when(F.col("_done"), F.col("_rest")).when(F.col("_x").isNull(), F.col("_rest") - F.coalesce("_all", F.lit(0))).otherwise(F.col("_rest") - F.col("_x._used")).alias("_rest"),
+            (F.col("_done") | F.col("_x").isNull()).alias("_done"),
+        )
         state = cut(state, "mix")
-    return state.select("_src", F.col("_lo").alias("_cut"))
+    return state.drop("_done")
 
 
 def tagged(df: DataFrame, key: str, source: str, size, seed: int, tie=None) -> DataFrame:
@@ -97,36 +98,46 @@ def apart(base: DataFrame, hot: DataFrame | None) -> DataFrame:
     return numbered(base, HASHED, hot).withColumn("_h", F.when(F.col("_no").isNull(), F.col("_h")).otherwise(renamed)).drop("_no")
 
 
-def _extra(rounds: int):
-    """Whether a row is below its source's threshold: in the first fill, or in a later one for rows that fit its rest."""
-    e = F.expr("_h < _cut0")
-    for r in range(1, rounds + 1):
-        e = e | F.expr(f"_size > 0 AND _size <= _room{r} AND _h < _cut{r}")
-    return e
+def _copies(max_repeat: int):
+    """Copies of a row by its source's plan: whole passes, the first fill, and each later round that it fits below the limit."""
+    start = F.col("_full") + F.when((F.col("_full") < max_repeat) & (F.col("_h") < F.col("_rounds")[0]["_cut"]), F.lit(1)).otherwise(F.lit(0))
+    later = F.slice("_rounds", F.lit(2), F.greatest(F.size("_rounds") - 1, F.lit(0)))
+    fits = lambda n, r: (n < max_repeat) & (F.col("_size") > 0) & (F.col("_size") <= r["_room"]) & (F.col("_h") < r["_cut"])
+    return F.aggregate(later, start.cast("int"), lambda n, r: n + F.when(fits(n, r), F.lit(1)).otherwise(F.lit(0)))
 
 
 def plan(base: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0) -> DataFrame:
-    """One row per source of tagged rows: source_size, target, whole passes and thresholds. Written to shared storage."""
+    """One row per source of tagged rows: source_size, target, whole passes and the rounds' budgets and thresholds.
+
+    A round leaves less than the document on its boundary, which fitted, so there are about as many rounds as the largest
+    document has binary digits; each takes at least the first document that fits, so they end."""
     sizes = base.groupBy("_src", "_null").agg(F.sum("_size").alias("source_size"))
     p = targets(sizes, weights, max_repeat, budget).select("_src", "source_size", "target")
     p = p.withColumn("_full", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_repeat))).otherwise(F.lit(0)).cast("int"))
     p = cut(p.withColumn("_left", F.when(F.col("_full") < max_repeat, F.floor(F.col("target") - F.col("_full") * F.col("source_size"))).otherwise(F.lit(0)).cast("long")), "mix")
-    p = cut(p.join(_fill(base, p.select("_src", "_left")).withColumnRenamed("_cut", "_cut0"), "_src"), "mix")
-    for r in range(1, ROUNDS + 1):
-        marked = base.join(small(p), "_src").withColumn("_extra", _extra(r - 1))
-        used = marked.filter("_extra").groupBy("_src").agg(F.sum("_size").alias("_used"))
-        rest = cut(p.select("_src", "_left").join(used, "_src", "left").select("_src", (F.col("_left") - F.coalesce("_used", F.lit(0))).alias("_left")), "mix")
-        fits = marked.filter("NOT _extra AND _size > 0").select("_src", "_h", "_size").join(small(rest), "_src").filter("_size <= _left").drop("_left")
-        found = _fill(fits, rest).select("_src", F.col("_cut").alias(f"_cut{r}"))
-        p = cut(p.join(rest.withColumnRenamed("_left", f"_room{r}"), "_src").join(found, "_src"), "mix")
-    return p
+    few = p.limit(FEW + 1).count() <= FEW
+    near = F.broadcast if few else (lambda df: df)
+    rounds = [_fill(base, p.select("_src", "_left"), near)]
+    copies = F.col("_full") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)
+    rows = base.join(near(p.select("_src", "_full")), "_src")
+    while True:
+        rows = rows.join(near(rounds[-1]), "_src").withColumn("_n", copies.cast("int"))
+        rows = cut(rows.filter(F.col("_n") < max_repeat).filter("_size > 0 AND _size <= _rest").select("_src", "_h", "_size", "_n"), "mix-fits")
+        if rows.isEmpty():
+            break
+        rounds.append(_fill(rows, rounds[-1].select("_src", F.col("_rest").alias("_left")), near))
+        copies = F.col("_n") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)
+    steps = None
+    for k, r in enumerate(rounds):
+        step = r.select("_src", F.struct(F.lit(k).alias("_k"), "_room", "_cut").alias("_r"))
+        steps = step if steps is None else steps.unionByName(step)
+    steps = steps.groupBy("_src").agg(F.array_sort(F.collect_list("_r")).alias("_rounds"))
+    return cut(p.join(steps, "_src"), "mix")
 
 
 def copies(df: DataFrame, p: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """Tagged rows plus source_size, target and copies, by the plan alone: rows are not shuffled where it is small."""
-    out = df.join(small(p), "_src")
-    n = F.col("_full") + F.when((F.col("_full") < max_repeat) & _extra(ROUNDS), F.lit(1)).otherwise(F.lit(0))
-    return out.withColumn("_copies", n.cast("int"))
+    return df.join(small(p), "_src").withColumn("_copies", _copies(max_repeat))
 
 
 def mix(rows: DataFrame, key: str = "doc_id", source: str = "source", size: str = "size", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, budget: float = 1.0, seed: int = 29, tie: str | None = None) -> DataFrame:

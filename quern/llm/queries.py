@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import crosspolytope, langid, licenses, mixing, neardup, periodic, prefixtrie, quality, sharding, simhash, tiling, toxicity, wrapper
+from quern.llm.oracles import CIRCULANT_SQL, PERIODIC_SQL, TRIE_SQL
 from quern.session import ship, table
 
 QUERIES: dict = {}
@@ -98,18 +99,8 @@ def queries() -> dict:
     return dict(QUERIES)
 
 
-_ROUND = """
-u{k} AS (SELECT src, sum(CASE WHEN extra = 1 THEN size ELSE 0 END) AS used FROM x{p} GROUP BY src),
-r{k} AS (SELECT b.src, b.rest - u.used AS room FROM budget b JOIN u{k} u USING (src)),
-f{k} AS (
-  SELECT x.src, x.doc_id, sum(x.size) OVER (PARTITION BY x.src ORDER BY x.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, r.room
-  FROM x{p} x JOIN r{k} r USING (src) WHERE x.extra = 0 AND x.size > 0 AND x.size <= r.room),
-t{k} AS (SELECT src, doc_id FROM f{k} WHERE upto <= room),
-x{k} AS (SELECT x.src, x.doc_id, x.size, x.h, CASE WHEN t.doc_id IS NOT NULL THEN 1 ELSE x.extra END AS extra FROM x{p} x LEFT JOIN t{k} t ON x.src = t.src AND x.doc_id = t.doc_id)"""
-
-MIXING_SQL = (
-    r"""
-WITH d AS (
+MIXING_SQL = r"""
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS src,
     coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, text FROM documents),
 s AS (SELECT src, src = 'n' AS nul, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
@@ -125,17 +116,19 @@ budget AS (
          WHEN source_size > 0 THEN floor(target - least(floor(target / source_size), 3) * source_size) ELSE floor(target) END::BIGINT AS rest FROM p),
 h AS (SELECT d.*, CAST('0x' || substr(md5('29:' || doc_id || ':' || size || ':' || md5(coalesce(text, ''))), 1, 12) AS BIGINT) AS h FROM d),
 c AS (SELECT h.*, b.rest, sum(size) OVER (PARTITION BY h.src ORDER BY h.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM h JOIN budget b USING (src)),
-x0 AS (SELECT src, doc_id, size, h, CASE WHEN upto <= rest THEN 1 ELSE 0 END AS extra FROM c),"""
-    + _ROUND.format(k=1, p=0)
-    + ","
-    + _ROUND.format(k=2, p=1)
-    + """
-SELECT x.doc_id, x.size, b.source_size, round(b.target, 6) AS target, (x.size * (b.f + CASE WHEN b.f < 3 THEN x.extra ELSE 0 END))::BIGINT AS taken,
-  (b.f + CASE WHEN b.f < 3 THEN x.extra ELSE 0 END)::INT AS copies, d.source
-FROM x2 x JOIN budget b USING (src) JOIN d ON d.doc_id = x.doc_id
-"""
+x0 AS (SELECT c.src, c.doc_id, c.size, c.h, b.f + CASE WHEN b.f < 3 AND c.upto <= c.rest THEN 1 ELSE 0 END AS n, c.rest, CASE WHEN c.upto <= c.rest THEN c.size ELSE 0 END AS used FROM c JOIN budget b USING (src)),
+-- each step: the documents that fit what is left get one more copy as far as it reaches, in order of hash; rows of all steps are kept
+x AS (
+  SELECT 0 AS step, src, doc_id, size, h, n, rest - sum(used) OVER (PARTITION BY src) AS room FROM x0
+  UNION ALL
+  SELECT step + 1, src, doc_id, size, h, n + taken, room - sum(taken * size) OVER (PARTITION BY src) FROM (
+    SELECT *, CASE WHEN fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY src ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room THEN 1 ELSE 0 END AS taken
+    FROM (SELECT *, n < 3 AND size > 0 AND size <= room AS fits, bool_or(n < 3 AND size > 0 AND size <= room) OVER () AS go_on FROM x) WHERE go_on)
 )
+SELECT x.doc_id, x.size, b.source_size, round(b.target, 6) AS target, (x.size * x.n)::BIGINT AS taken, x.n::INT AS copies, d.source
+FROM x JOIN budget b USING (src) JOIN d ON d.doc_id = x.doc_id WHERE x.step = (SELECT max(step) FROM x)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": MIXING_SQL}
+    return {"op2_mixing": MIXING_SQL, "op11_periodic": PERIODIC_SQL, "op12_circulant": CIRCULANT_SQL, "op13_prefix_trie": TRIE_SQL}
