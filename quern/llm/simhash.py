@@ -128,15 +128,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, h
     named = cut(named.join(ids, "root").select("_fp", "component_id"), "simhash-ids")
     out = rows.join(named, "_fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that are kept: of each component the document with its smallest doc_id.
-
-    A doc_id names one document: of rows that repeat it one stays. Rows without a doc_id cannot be named in a
-    decision and all stay. Empty table: empty result.
-    """
-    ids = near_duplicates(docs.filter("doc_id IS NOT NULL"), **options)
-    kept = ids.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.join(kept, docs["doc_id"] == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
