@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.session import small
 
 RRF_K = 60
 CANDIDATES = 50
@@ -166,31 +165,6 @@ def common_threshold(chunks: DataFrame, by: str = "project", share: float = COMM
     return t.withColumn("common_at", F.greatest(F.ceil(F.col("total") * F.lit(share)), F.lit(least)).cast("long"))
 
 
-def postings(chunks: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """config, term, doc_id, chunk_index, tf, length: one row per distinct term of a chunk. With questions, only for
-    their terms: the others go before anything is shuffled, if the terms are few enough to be broadcast."""
-    t = chunks.select("config", "doc_id", "chunk_index", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    if questions is not None:
-        t = t.join(small(questions.select("config", F.explode("tokens").alias("term")).distinct()), ["config", "term"])
-    return t.groupBy("config", "term", "doc_id", "chunk_index", "length").agg(F.count("*").alias("tf"))
-
-
-def kept_terms(posts: DataFrame, questions: DataFrame, common: DataFrame) -> DataFrame:
-    """query_id, config, term, df of the questions' terms that are not common in their configuration."""
-    df = posts.groupBy("config", "term").agg(F.count("*").alias("df"))
-    terms = questions.select("query_id", "config", F.explode(F.array_distinct("tokens")).alias("term"))
-    rare = df.join(F.broadcast(common.select(F.col("project").alias("config"), "common_at")), "config").filter("df < common_at").drop("common_at")
-    return terms.join(small(rare), ["config", "term"]).select("query_id", "config", "term", "df")
-
-
-def lexical(posts: DataFrame, terms: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """The k best chunks per question and configuration by sum of tf / ln(length + 1): shorter and earlier first on ties."""
-    s = posts.join(small(terms), ["config", "term"]).groupBy("query_id", "config", "doc_id", "chunk_index", "length").agg(F.sum("tf").alias("_tf"))
-    s = s.withColumn("rank_score", F.col("_tf") / F.log(F.col("length") + F.lit(1.0)))
-    w = Window.partitionBy("query_id", "config").orderBy(F.desc("rank_score"), "length", "chunk_index", "doc_id")
-    return s.withColumn("lexical_rank", F.row_number().over(w)).filter(F.col("lexical_rank") <= k).select("query_id", "config", "doc_id", "chunk_index", "lexical_rank", "rank_score")
-
-
 def fuse(dense_list: DataFrame, lexical_list: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer join of two ranked lists with the reciprocal-rank score of both."""
     both = dense_list.join(lexical_list, keys, "full_outer")
