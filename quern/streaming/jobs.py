@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quern.operators import ingest
 from quern.session import shared_dir
+from quern.streaming import statetable
+from quern.streaming.commits import Commits
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,34 +116,77 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def append_log(stream: DataFrame, path: str, checkpoint: str):
-    """Search headers with their hits, appended per micro-batch; a batch that is replayed overwrites its own folder."""
+def append_searches(stream: DataFrame, path: str, checkpoint: str, capacity: int | None = None):
+    """A log of searches (query_id, created_at, ..., hits) as two tables that are committed together: a header of each search
+    and its hits, one row each. Readers see both of an epoch or neither.
+
+    capacity bounds what an epoch keeps, as a buffer does: the earliest searches are accepted, the others dropped and counted
+    in the epoch's marker. Without it nothing is dropped."""
 
     def write(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        commits = Commits(batch.sparkSession, path)
+        if commits.has(n):
+            return
+        batch = batch.persist()
+        try:
+            total = batch.count()
+            kept = batch if capacity is None or total <= capacity else batch.orderBy("created_at", "query_id").limit(capacity)
+            kept.drop("hits").write.mode("overwrite").parquet(f"{path}/headers/n={n}")
+            kept.select("query_id", F.inline("hits")).write.mode("overwrite").parquet(f"{path}/hits/n={n}")
+            accepted = total if capacity is None else min(total, capacity)
+            commits.add(n, accepted, total - accepted)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def capture_changes(snapshots: DataFrame, path: str, checkpoint: str):
-    """Each micro-batch is the newest state of some paths; the journal gets what differs from the state before it.
+def read_searches(spark: SparkSession, path: str, schema: str, hit_schema: str) -> tuple[DataFrame, DataFrame]:
+    """Headers and hits of the committed epochs, each with its epoch n. Epochs are committed in order, so the last decides."""
+    last = max((c[0] for c in Commits(spark, path).all()), default=-1)
+    read = lambda name, s: spark.read.schema(f"{s}, n long").parquet(f"{path}/{name}").filter(F.col("n") <= last) if last >= 0 else spark.createDataFrame([], f"{s}, n long")
+    return read("headers", schema), read("hits", hit_schema)
+
 
-    Batch n writes its own rows as state/v=n and its changes as journal/n=n. The state before n is the newest row of
-    a path among the folders below n, so a replayed batch finds what it found at first and writes the same again.
-    Only paths of the batch are compared. A path that comes twice in a batch counts once, with the larger hash.
-    """
-    spark = snapshots.sparkSession
+def search_counts(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Searches accepted and dropped so far."""
+    done = Commits(spark, path).all()
+    return sum(c[1] for c in done), sum(c[2] for c in done)
+
+
+def split_late(stream: DataFrame, path: str, checkpoint: str, at: str = "ts", delay: float = 0.0):
+    """The rows of a stream as two tables, on_time and late: a row is late if its time lies more than `delay` seconds before the
+    latest time of the batches before its own. No row is lost, and rows without a time are late. The bound is noted in each
+    epoch's marker, so a replayed batch is split as it was at first."""
 
     def write(batch: DataFrame, n: int) -> None:
-        new = batch.groupBy("relative_path").agg(F.max("content_hash").alias("content_hash"))
+        commits = Commits(batch.sparkSession, path)
+        if commits.has(n):
+            return
+        before = commits.before(n)
+        bound = before[1] if before else None
+        batch = batch.persist()
         try:
-            below = spark.read.schema("relative_path string, content_hash string, v long").parquet(f"{path}/state").filter(F.col("v") < n)
-        except AnalysisException:  # the first batch: no folder yet
-            changes = new.select("relative_path", F.lit("added").alias("change"))
-        else:
-            known = below.join(new.select("relative_path"), "relative_path", "left_semi").groupBy("relative_path").agg(F.max_by("content_hash", "v").alias("content_hash"))
-            changes = ingest.snapshot_diff(known, new).filter("change <> 'unchanged'")
-        changes.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/journal/n={n}")
-        new.write.mode("overwrite").parquet(f"{path}/state/v={n}")
+            micros = F.unix_micros(F.col(at).cast("timestamp"))
+            late = micros.isNull() | (micros < bound) if bound is not None else micros.isNull()
+            batch.filter(~late).write.mode("overwrite").parquet(f"{path}/on_time/n={n}")
+            batch.filter(late).write.mode("overwrite").parquet(f"{path}/late/n={n}")
+            top = batch.agg(F.max(micros)).first()[0]
+            new = None if top is None else top - int(delay * 1_000_000)
+            commits.add(n, max(x for x in (bound, new, 0) if x is not None))
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def capture_changes(snapshots: DataFrame, path: str, checkpoint: str, complete: bool = False, compact_every: int = statetable.COMPACT_EVERY):
+    """Each micro-batch is the newest state of some paths (relative_path, content_hash; source and deleted if there are such
+    columns); the journal gets what differs from the state before it. complete: a batch lists all of each source it names.
+
+    State is kept as in statetable: a batch reads one snapshot and at most compact_every deltas."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        statetable.apply_batch(batch, n, path, complete, compact_every)
 
     return snapshots.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
