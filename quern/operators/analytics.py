@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import ranks
 from quern.operators.retrieval import rrf
+from quern.session import cut
 
 
 def in_scope(log: DataFrame, since: str | None = None, until: str | None = None, actor: str | None = None, model: str | None = None, generation: int | None = None, floor: Column | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def repeated_questions(log: DataFrame) -> DataFrame:
 
 def gap_order(questions: DataFrame) -> DataFrame:
     """Questions ranked by repetition fused with badness of the best score (an absent score is the worst)."""
-    q = ranks.rank(ranks.rank(questions, "asked", "asked_rank", descending=True), "best_score", "score_rank")
+    q = ranks.ranks(cut(questions, "questions"), {"asked_rank": ("asked", True), "score_rank": ("best_score", False)})
     return q.withColumn("gap", rrf("asked_rank") + rrf("score_rank"))
 
 

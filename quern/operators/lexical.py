@@ -20,6 +20,7 @@ CANDIDATES = 50
 #: What one place of a term weighs; all places are alike here.
 WEIGHT = 0.1
 DIGITS = 9
+COMMON_SHARE, COMMON_LEAST = 0.05, 10
 CHUNK = ["config", "doc_id", "chunk_index"]
 
 
@@ -57,13 +58,21 @@ def frequencies(chunks: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def plain_frequencies(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """As frequencies(), for terms that are their own stems: a chunk holds each once, so nothing but counts is shuffled."""
-    t = chunks.select("config", F.explode(F.array_distinct("tokens")).alias("term")).join(small(terms), ["config", "term"])
+    """As frequencies(), for terms that are their own stems: a chunk holds each once, so nothing but counts is shuffled.
+    The empty term stands for all chunks of its configuration."""
+    t = chunks.select("config", F.explode(F.array_union(F.array(F.lit("")), "tokens")).alias("term"))
+    t = t.join(small(terms.unionByName(terms.select("config", F.lit("").alias("term"))).distinct()), ["config", "term"])
     return t.groupBy("config", F.col("term").alias("stem")).agg(F.count("*").alias("df"))
 
 
+def thresholds(df: DataFrame, share: float = COMMON_SHARE, least: int = COMMON_LEAST) -> DataFrame:
+    """(project, common_at) from the counts of all chunks among the frequencies."""
+    return df.filter("stem = ''").select(F.col("config").alias("project"), F.greatest(F.ceil(F.col("df") * F.lit(share)), F.lit(least)).cast("long").alias("common_at"))
+
+
 def rare(asked: DataFrame, df: DataFrame, common: DataFrame) -> DataFrame:
     """(query_id, config, stem, df, no, n): the asked stems that fewer chunks than common_at hold, numbered in their question.
+    df should be written: it is counted before it is joined.
 
     common: (project, common_at); a configuration is a project here."""
     kept = df.join(small(common.select(F.col("project").alias("config"), "common_at")), "config").filter("df < common_at").select("config", "stem", "df")
@@ -103,28 +112,41 @@ def covers_all(at: Column, n: Column) -> Column:
     return F.aggregate(at, start, step, lambda s: s["sum"])
 
 
-def ranked(rows: DataFrame, k: int = CANDIDATES, every: bool = False) -> DataFrame:
-    """The k best chunks per question and configuration by cover density over ln(length + 1): shorter and earlier first on ties.
-    every: chunks must hold all terms of the question that count. Scores that agree to DIGITS places are equal: of sums,
-    quotients and logarithms no more is certain."""
-    score = covers_all(F.col("at"), F.col("n")) if every else covers_any(F.col("at"))
-    s = rows.withColumn("rank_score", score / F.log(F.col("length") + F.lit(1.0))).filter("rank_score > 0")
+def counted(chunks: DataFrame, terms: DataFrame, found: DataFrame) -> DataFrame:
+    """As places(), with the number of places alone: all that OR needs. No list is gathered, and counts are added up where the
+    texts are read."""
+    asked = small(found.join(small(terms), ["config", "stem"]).select("config", "term", "query_id"))
+    t = chunks.select(*CHUNK, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked, ["config", "term"])
+    return t.groupBy("query_id", *CHUNK, "length").agg((F.count("*") * F.lit(WEIGHT)).alias("density"))
+
+
+def ranked(rows: DataFrame, k: int = CANDIDATES) -> DataFrame:
+    """The k best chunks per question and configuration by density over ln(length + 1): shorter and earlier first on ties.
+    Scores that agree to DIGITS places are equal: of sums, quotients and logarithms no more is certain."""
+    s = rows.withColumn("rank_score", F.col("density") / F.log(F.col("length") + F.lit(1.0))).filter("rank_score > 0")
     w = Window.partitionBy("query_id", "config").orderBy(F.round("rank_score", DIGITS).desc(), "length", "chunk_index", "doc_id")
     return s.withColumn("lexical_rank", F.row_number().over(w)).filter(F.col("lexical_rank") <= k).select("query_id", *CHUNK, "lexical_rank", "rank_score")
 
 
-def search(chunks: DataFrame, questions: DataFrame, common: DataFrame, k: int = CANDIDATES, stems: bool = False, every: bool = False) -> DataFrame:
+def every_term(rows: DataFrame) -> DataFrame:
+    """Rows of places() with their density where all of the question's terms are asked for."""
+    return rows.withColumn("density", covers_all(F.col("at"), F.col("n")))
+
+
+def search(chunks: DataFrame, questions: DataFrame, common: DataFrame | None = None, k: int = CANDIDATES, stems: bool = False, every: bool = False) -> DataFrame:
     """query_id, config, doc_id, chunk_index, lexical_rank, rank_score.
 
-    chunks: config, doc_id, chunk_index, tokens; questions: query_id, config, tokens; common as in rare(). Chunks without tokens and
-    questions without a term that counts find nothing. Null configurations take no part. Empty tables: no rows."""
+    chunks: config, doc_id, chunk_index, tokens; questions: query_id, config, tokens; common as in rare(), by default the shares of
+    thresholds(). every: a chunk must hold all terms of the question that count. Chunks without tokens and questions without a
+    term that counts find nothing. Null configurations take no part. Empty tables: no rows."""
     asked = cut(asked_terms(questions), "asked")
+    plain = cut(plain_frequencies(chunks, asked.select("config", "term").distinct()), "df") if not stems or common is None else None
+    common = thresholds(plain) if common is None else common
     if stems:
         found, asked = forms(chunks, asked)
-        df = frequencies(chunks, found)
+        df = cut(frequencies(chunks, found), "df")
     else:
         found = asked.select("config", "term", F.col("term").alias("stem")).distinct()
-        asked = asked.withColumnRenamed("term", "stem")
-        df = plain_frequencies(chunks, found.select("config", "term"))
+        asked, df = asked.withColumnRenamed("term", "stem"), plain
     terms = cut(rare(asked, df, common), "terms")
-    return ranked(places(chunks, terms, found), k, every)
+    return ranked(every_term(places(chunks, terms, found)) if every else counted(chunks, terms, found), k)

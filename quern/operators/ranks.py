@@ -5,33 +5,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
-
-
-def below(counts: DataFrame, value: str, n: str, buckets: int = BUCKETS) -> DataFrame:
-    """counts (one row for each value, numbers without nulls) plus _below: the sum of n over all smaller values.
-
-    Values fall into cells of equal width: sums of cells (at most `buckets` rows) are added up in one task, the values
-    of a cell in a task of their own.
-    """
-    ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    cell = F.least(F.floor((F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))
-    c = counts.join(F.broadcast(ends)).withColumn("_cell", F.when(F.col("_hi") > F.col("_lo"), cell).otherwise(0)).drop("_lo", "_hi")
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = c.groupBy("_cell").agg(F.sum(n).alias("_s")).select("_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_from"))
-    inside = Window.partitionBy("_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(F.broadcast(cells), "_cell")
+from quern.session import cut
+
+#: Lists of distinct values up to this length are added up in one task and broadcast; longer ones over range partitions.
+BOUNDED = 100_000
+
+
+def below(counts: DataFrame, value: str, n: str, within: str | None = None) -> DataFrame:
+    """counts (one row for each value, without nulls) plus _below: the sum of n over all smaller values, of the same `within`.
+
+    Values are dealt over range partitions, which sampling makes about equally long however the values are spread. Sums of
+    partitions (a row each) are added up in one task, the values of a partition in a task of their own."""
+    by = [within] if within else []
+    c = cut(counts.repartitionByRange(*by, value).withColumn("_cell", F.spark_partition_id()), "ranks")
+    before = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = c.groupBy(*by, "_cell").agg(F.sum(n).alias("_s")).select(*by, "_cell", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_in", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(cells, [*by, "_cell"])
     return c.withColumn("_below", F.col("_from") + F.col("_in")).drop("_cell", "_from", "_in")
 
 
+def ranks(rows: DataFrame, wanted: dict[str, tuple[str, bool]], bounded: int = BOUNDED) -> DataFrame:
+    """rows plus a rank over the whole table for each name: (column, descending). Equal values share a rank, nulls one too: the
+    first if ascending, the last if descending. Columns are numbers (compared as doubles).
+
+    The values of all columns are counted in one pass; ranks are joined back by value, as a broadcast if the list of values is
+    short, which no common value can slow down."""
+    entries = [F.struct(F.lit(name).alias("_what"), (-F.col(c).cast("double") if down else F.col(c).cast("double")).alias("_v"), (F.col(c).isNull() != F.lit(down)).alias("_first")) for name, (c, down) in wanted.items()]
+    counts = cut(rows.select(F.inline(F.array(*entries))).groupBy("_what", "_v", "_first").agg(F.count("*").alias("_c")), "ranks")
+    # nulls go before or after all numbers: their place is that of an infinity, which they share with none
+    order = [F.when(F.col("_v").isNull(), F.when(F.col("_first"), 0).otherwise(2)).otherwise(1), F.col("_v")]
+    if counts.count() <= bounded:
+        w = Window.partitionBy("_what").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        known = counts.select("_what", "_v", (F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).alias("_rank"))
+        near = F.broadcast
+    else:
+        numbers = below(counts.filter("_v IS NOT NULL"), "_v", "_c", "_what")
+        nulls = counts.groupBy("_what").agg(F.coalesce(F.sum(F.when(F.col("_v").isNull() & F.col("_first"), F.col("_c"))), F.lit(0)).alias("_before"), F.sum(F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0)).alias("_numbers"))
+        known = numbers.join(F.broadcast(nulls), "_what").select("_what", "_v", (F.col("_below") + F.col("_before") + 1).alias("_rank"))
+        first = F.when(F.col("_first"), F.lit(1)).otherwise(F.col("_numbers") + 1)
+        known = cut(known.unionByName(counts.filter("_v IS NULL").join(F.broadcast(nulls), "_what").select("_what", "_v", first.alias("_rank"))), "ranks")
+        near = lambda df: df
+    known = known.withColumn("_none", F.col("_v").isNull()).withColumn("_v", F.coalesce("_v", F.lit(0.0)))
+    out = rows
+    for name, (c, down) in wanted.items():
+        own = known.filter(F.col("_what") == name).select(F.col("_v").alias("_key"), F.col("_none").alias("_isnull"), F.col("_rank").cast("long").alias(name))
+        v = F.coalesce(-F.col(c).cast("double") if down else F.col(c).cast("double"), F.lit(0.0))
+        out = out.join(near(own), (v == F.col("_key")) & (F.col(c).isNull() == F.col("_isnull"))).drop("_key", "_isnull")
+    return out
+
+
 def rank(rows: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
-    """rows plus the rank of a numeric column over the whole table (equal values share one; nulls come first, as one
-    value, if ascending, and last if descending)."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_c"))
-    key = -F.col(value) if descending else F.col(value)
-    known = below(counts.filter(F.col(value).isNotNull()).withColumn("_key", key), "_key", "_c")
-    total = counts.agg(F.coalesce(F.sum(F.when(F.col(value).isNull(), F.col("_c"))), F.lit(0)).alias("_nulls"), F.coalesce(F.sum(F.when(F.col(value).isNotNull(), F.col("_c"))), F.lit(0)).alias("_others"))
-    first = F.lit(0) if descending else F.col("_nulls")
-    last = F.col("_others") if descending else F.lit(0)
-    ranked = rows.join(known.select(F.col(value).alias("_v"), "_below"), F.col(value) == F.col("_v"), "left").join(F.broadcast(total))
-    return ranked.withColumn(name, F.when(F.col(value).isNull(), last + 1).otherwise(F.col("_below") + first + 1).cast("long")).drop("_v", "_below", "_nulls", "_others")
+    """rows plus the rank of one column, as in ranks()."""
+    return ranks(rows, {name: (value, descending)})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,15 @@ def bag_of_words(dim: int = 384) -> Callable[[list[str]], list[list[float]]]:
     return provider
 
 
+def letters(texts: list[str]) -> list[np.ndarray]:
+    """An offline provider: how often each of the letters a to z stands in a text, all texts of a batch in one pass."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    own = np.repeat(np.arange(len(data)), [len(d) for d in data])
+    x = np.frombuffer(b"".join(data), np.uint8).astype(np.int64) - 97
+    ok = (x >= 0) & (x < 26)
+    return list(np.bincount(own[ok] * 26 + x[ok], minlength=26 * len(data)).reshape(-1, 26).astype(np.float32))
+
+
 def external_scores(candidates: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], batch: int = 16) -> DataFrame:
     """candidates (question, passage) plus external: a reranker's score, in batches of pairs."""
 

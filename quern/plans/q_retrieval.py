@@ -63,15 +63,15 @@ def _questions(spark, sf_dir):
 
 def _lexical(spark, sf_dir, **how):
     chunks = A.chunks(spark, sf_dir)
-    return lexical.search(chunks, _questions(spark, sf_dir), cut(R.common_threshold(chunks), "common"), **how)
+    return lexical.search(chunks, _questions(spark, sf_dir), **how)
 
 
 @register("a2_document_frequency_terms", f"WITH {_TERMS} SELECT query_id, config, term, df FROM terms")
 def a2(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
     asked = cut(lexical.asked_terms(_questions(spark, sf_dir)), "asked")
-    df = lexical.plain_frequencies(chunks, asked.select("config", "term").distinct())
-    return lexical.rare(asked.withColumnRenamed("term", "stem"), df, R.common_threshold(chunks)).select("query_id", "config", F.col("stem").alias("term"), "df")
+    df = cut(lexical.plain_frequencies(chunks, asked.select("config", "term").distinct()), "df")
+    return lexical.rare(asked.withColumnRenamed("term", "stem"), df, lexical.thresholds(df)).select("query_id", "config", F.col("stem").alias("term"), "df")
 
 
 @register("t2_stemmed_topk")
@@ -99,10 +99,10 @@ def t2_every(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
     asked = cut(lexical.asked_terms(_questions(spark, sf_dir)), "asked")
     found = asked.select("config", "term", F.col("term").alias("stem")).distinct()
-    df = lexical.plain_frequencies(chunks, found.select("config", "term"))
-    terms = lexical.rare(asked.withColumnRenamed("term", "stem"), df, cut(R.common_threshold(chunks), "common"))
+    df = cut(lexical.plain_frequencies(chunks, found.select("config", "term")), "df")
+    terms = lexical.rare(asked.withColumnRenamed("term", "stem"), df, lexical.thresholds(df))
     terms = cut(terms.filter("no < 2").withColumn("n", F.least("n", F.lit(2))), "terms")
-    return lexical.ranked(lexical.places(chunks, terms, found), every=True).withColumn("rank_score", F.round("rank_score", 6))
+    return lexical.ranked(lexical.every_term(lexical.places(chunks, terms, found))).withColumn("rank_score", F.round("rank_score", 6))
 
 
 @register("x16_z15_stems")
@@ -126,10 +126,6 @@ _DIM = 26
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 
-def _bag(text):
-    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in _LETTERS])
-
-
 def _bag_sql(text):
     return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"
 
@@ -151,8 +147,8 @@ def _order():
 def _fused(spark, sf_dir):
     chunks = A.chunks(spark, sf_dir)
     ship(spark)
-    q = _questions(spark, sf_dir).select("query_id", "text").distinct().select("query_id", _bag(F.lower("text")).alias("embedding"))
-    c = chunks.select("doc_id", "chunk_index", _bag(F.lower("content")).alias("embedding"))
+    q = service.embed(_questions(spark, sf_dir).select("query_id", "text").distinct(), F.lower("text"), service.letters)
+    c = service.embed(chunks.select("doc_id", "chunk_index", "content"), F.lower("content"), service.letters)
     dense = R.dense(c, q, 50, ("chunk_index", "doc_id"), digits=9)
     lex = _lexical(spark, sf_dir).groupBy("query_id", "doc_id", "chunk_index").agg(F.min("lexical_rank").alias("lexical_rank"))
     return R.fuse(dense.drop("cosine"), lex, ["query_id", "doc_id", "chunk_index"])
