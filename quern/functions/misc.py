@@ -73,18 +73,9 @@ def exposition(histogram: DataFrame, name: str, label: str, bounds: list[float])
     return histogram.select(F.posexplode(F.array(*lines)).alias("i", "line"), F.col(label).alias("series"))
 
 
-def snowball_free_tokens(text: Column) -> Column:
-    """Lexemes of the `simple` configuration: letter, digit and underscore runs, lower-cased."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-
-
 def safe_root(path: str, roots: list[str]) -> bool:
     """Whether a real path lies inside one of the allowed roots (driver side)."""
     import os
 
     real = os.path.realpath(path)
     return any(real == r or real.startswith(r.rstrip("/") + "/") for r in (os.path.realpath(x) for x in roots))
-
-
-def strip_marks(text: str) -> str:
-    return re.sub(r"[*_`]+", "", text)

@@ -48,6 +48,28 @@ def without_conflicts(files: DataFrame, key: str = "key") -> DataFrame:
     return files.join(bad, key, "left_anti")
 
 
+def unchanged(new: DataFrame, stored: DataFrame, key: str = "relative_path") -> DataFrame:
+    """The new documents whose stored version has the same content_hash and the same source: a join on the path, so that equal
+    texts elsewhere do not count. A null hash equals nothing, a null source a null source."""
+    old = stored.select(F.col(key).alias("_k"), F.col("content_hash").alias("_h"), F.col("source").alias("_s"))
+    same = (F.col(key) == F.col("_k")) & (F.col("content_hash") == F.col("_h")) & F.col("source").eqNullSafe(F.col("_s"))
+    return new.join(old, same, "left_semi")
+
+
+def in_source_scope(changes: DataFrame, sources: DataFrame) -> DataFrame:
+    """The changes (relative_path, changed_at) under the name of some source (name, created_at), made when it was there already.
+
+    Each path is looked up by its own ancestors, of which it has as many as segments, and keeps the earliest time of those that
+    are sources: equal keys meet, no prefix is compared with every path. Names may have several segments and lie within
+    each other. Null paths and times match nothing; an empty name no path."""
+    parts = F.split("relative_path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    paths = changes.select("relative_path").distinct().filter(F.size(parts) > 1).select("relative_path", F.explode(up).alias("name"))
+    named = sources.filter("name <> ''").groupBy("name").agg(F.min("created_at").alias("_since"))
+    since = paths.join(named, "name").groupBy("relative_path").agg(F.min("_since").alias("_since"))
+    return changes.join(since, "relative_path").filter("changed_at >= _since").drop("_since").select(*changes.columns)
+
+
 def upsert(current: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new rows, and current rows whose key has no new one."""
     return current.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)

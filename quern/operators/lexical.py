@@ -36,10 +36,9 @@ def vocabulary(chunks: DataFrame) -> DataFrame:
 
 def forms(chunks: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(config, term, stem) of the corpus words whose stem a question asks for, and (query_id, config, stem) of the questions."""
-    own = cut(stemmed(asked.select("config", "term").distinct()), "asked-words")
-    wanted = asked.join(own, ["config", "term"]).select("query_id", "config", "stem").distinct()
+    words = cut(stemmed(vocabulary(chunks).unionByName(asked.select("config", "term")).distinct()), "dictionary")
+    wanted = asked.join(words, ["config", "term"]).select("query_id", "config", "stem").distinct()
     wanted = cut(wanted, "asked-stems")
-    words = cut(stemmed(vocabulary(chunks)), "dictionary")
     return words.join(small(wanted.select("config", "stem").distinct()), ["config", "stem"], "left_semi").select("config", "term", "stem"), wanted
 
 

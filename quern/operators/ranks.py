@@ -58,3 +58,28 @@ def ranks(rows: DataFrame, wanted: dict[str, tuple[str, bool]], bounded: int = B
 def rank(rows: DataFrame, value: str, name: str, descending: bool = False) -> DataFrame:
     """rows plus the rank of one column, as in ranks()."""
     return ranks(rows, {name: (value, descending)})
+
+
+def quantiles(rows: DataFrame, by: str, value: str, wanted: dict[str, tuple[float, str]]) -> DataFrame:
+    """(by, n, a column for each name): exact quantiles of a numeric column within groups, all in one pass over its distinct values.
+
+    wanted: name -> (p, rule): `linear` interpolates between the two values around (n - 1) * p, `nearest` takes the value of rank
+    ceil(p * n). Null values do not count, groups of none have nulls. Values are added up over range partitions: a group of
+    any size is sorted by no one task."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("_c")).filter(F.col(value).isNotNull())
+    c = below(counts.withColumn("_v", F.col(value).cast("double")), "_v", "_c", by)
+    total = cut(c.groupBy(by).agg(F.sum("_c").alias("n")), "quantiles")
+    near = F.broadcast(total) if total.limit(BOUNDED + 1).count() <= BOUNDED else total
+    j = c.join(near, by)
+    at = lambda i: F.max(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_c")), F.col("_v")))
+    aggs = []
+    for name, (p, rule) in wanted.items():
+        if rule == "nearest":
+            i = F.greatest(F.ceil(F.lit(p) * F.col("n")) - 1, F.lit(0))
+            aggs += [at(i).alias(f"{name}_lo"), at(i).alias(f"{name}_hi")]
+        else:
+            where = (F.col("n") - 1) * F.lit(p)
+            aggs += [at(F.floor(where)).alias(f"{name}_lo"), at(F.ceil(where)).alias(f"{name}_hi")]
+    found = j.groupBy(by).agg(F.max("n").alias("n"), *aggs)
+    part = lambda p, rule: (F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p)) if rule == "linear" else F.lit(0.0)
+    return found.select(by, "n", *[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * part(p, rule)).alias(k) for k, (p, rule) in wanted.items()])

@@ -38,8 +38,10 @@ def append_audit(entries: DataFrame, path: str) -> bool:
 
 
 def record_run(history: DataFrame, run: DataFrame, by: list[str], at: str, keep: int) -> DataFrame:
-    """History with a new run, the newest `keep` of each group (20 index runs, 10 floor suggestions, 100 evaluations)."""
-    return analytics.keep_newest(history.unionByName(run), by, [F.desc(at)], keep)
+    """History with a new run, the newest `keep` of each group (20 index runs, 10 floor suggestions, 100 evaluations). Runs of one
+    time follow each other by all their other columns, so that a rerun keeps the same."""
+    rest = [F.col(c) for c in history.columns if c not in (*by, at)]
+    return analytics.keep_newest(history.unionByName(run), by, [F.desc(at), *rest], keep)
 
 
 def first_due(sources: DataFrame, interval: str, now: Column, seed: int = 7) -> DataFrame:

@@ -16,10 +16,36 @@ def decode_named(text: Column) -> Column:
     return text
 
 
+def decode_references(text: Column) -> Column:
+    """Decimal, hexadecimal and the six named references; those of no character (zero, surrogates, beyond the last) stay."""
+    parts = F.split(text, "&#")
+
+    def one(s: Column) -> Column:
+        code = F.conv(F.regexp_extract(s, r"^[xX]([0-9a-fA-F]{1,6});", 1), 16, 10)
+        n = F.coalesce(F.nullif(F.regexp_extract(s, r"^([0-9]{1,7});", 1), F.lit("")), code).cast("int")
+        ok = s.rlike(r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});") & (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(ok, n).otherwise(F.lit(63))), 8, "0")), "UTF-32")
+        return F.when(ok, F.concat(char, F.regexp_replace(s, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), s))
+
+    rest = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one)
+    return decode_named(F.concat(F.get(parts, F.lit(0)), F.array_join(rest, "")))
+
+
+def fold_dots(url: Column) -> Column:
+    """The URL with the dot segments of its path folded: a stack of segments, in one pass. Above the root there is nothing."""
+    path = F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1)
+    steps = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    push = lambda s, x: F.when(x == ".", s).when(x == "..", F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(F.concat(s, F.array(x)))
+    folded = F.array_join(F.aggregate(steps, F.lit([]).cast("array<string>"), push), "/")
+    open_end = F.when(path.rlike(r"/\.{1,2}$") & (folded != ""), "/").otherwise("")
+    out = F.concat(F.regexp_extract(url, r"^(https?://[^/?#]*)", 1), F.lit("/"), folded, open_end, F.regexp_extract(url, r"^[^?#]*(.*)$", 1))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), out).otherwise(url)
+
+
 def sitemap_entries(xml: Column) -> Column:
     """Array of struct(loc, lastmod) of a sitemap or sitemap index."""
     blocks = F.regexp_extract_all(xml, F.lit(r"(?s)<(?:url|sitemap)>(.*?)</(?:url|sitemap)>"), F.lit(1))
-    return F.transform(blocks, lambda b: F.struct(decode_named(F.trim(F.regexp_extract(b, r"(?s)<loc>(.*?)</loc>", 1))).alias("loc"), F.nullif(F.trim(F.regexp_extract(b, r"(?s)<lastmod>(.*?)</lastmod>", 1)), F.lit("")).alias("lastmod")))
+    return F.transform(blocks, lambda b: F.struct(decode_references(F.trim(F.regexp_extract(b, r"(?s)<loc>(.*?)</loc>", 1))).alias("loc"), F.nullif(F.trim(F.regexp_extract(b, r"(?s)<lastmod>(.*?)</lastmod>", 1)), F.lit("")).alias("lastmod")))
 
 
 def markdown_links(text: Column) -> Column:
@@ -39,8 +65,8 @@ def host(url: Column) -> Column:
 
 
 def resolve(base: Column, ref: Column) -> Column:
-    """An http(s) URL without fragment from an absolute, host-relative, root-relative or path-relative reference; dot
-    segments are not folded. Null for other schemes."""
+    """An http(s) URL without fragment from an absolute, host-relative, root-relative or path-relative reference, its dot
+    segments folded. Null for other schemes."""
     origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
     r = F.regexp_replace(ref, r"#.*$", "")
@@ -50,9 +76,10 @@ def resolve(base: Column, ref: Column) -> Column:
         .when(r.startswith("//"), F.concat(F.regexp_extract(base, r"^(https?:)", 1), r))
         .when(r.startswith("/"), F.concat(origin, r))
         .when(r == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(r.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), r))
         .otherwise(F.concat(folder, F.lit("/"), r))
     )
-    return out
+    return fold_dots(out)
 
 
 def has_text(html: Column) -> Column:
@@ -119,8 +146,3 @@ def crawl(pages: DataFrame, links: DataFrame, roots: DataFrame, depth: int) -> D
 def entry_kind(url: Column, body: Column) -> Column:
     low = F.lower(url)
     return F.when(low.rlike(r"sitemap[^/]*\.xml(\?|$)") | body.rlike(r"<(urlset|sitemapindex)\b"), "sitemap").when(low.rlike(r"/llms(-full)?\.txt(\?|$)"), "llms").otherwise("page")
-
-
-def newest_per_host(pages: DataFrame) -> DataFrame:
-    w = Window.partitionBy(host(F.col("url"))).orderBy(F.desc("page_id"))
-    return pages.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import evaluation as E
+from quern.operators import ranks
 from quern.plans import adapters as A
 from quern.plans.registry import register
 from quern.plans.sqlbook import sql
@@ -109,8 +110,20 @@ def x12(spark, sf_dir):
 
 _S = "WITH " + A.SAMPLES.replace("FROM labels", "FROM {labels}")
 _R = "WITH " + _RUNS.replace("FROM labels", "FROM {labels}")
-sql("a18_quantile_linear", f"{_S} SELECT kind, min(score) AS least, round(percentile(score, 0.05), 9) AS p05, round(percentile(score, 0.5), 9) AS median, max(score) AS most FROM samples GROUP BY kind", f"{_S} SELECT kind, min(score) AS least, round(quantile_cont(score, 0.05), 9) AS p05, round(quantile_cont(score, 0.5), 9) AS median, max(score) AS most FROM samples GROUP BY kind")
-sql("a19_quantile_nearest_rank", f"{_S}, r AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY score) AS i, count(*) OVER (PARTITION BY kind) AS n FROM samples) SELECT kind, max(CASE WHEN i = ceil(0.05 * n) THEN score END) AS p05, max(CASE WHEN i = ceil(0.5 * n) THEN score END) AS p50 FROM r GROUP BY kind")
+_SQL = "WITH " + A.SAMPLES
+
+
+@register("a18_quantile_linear", f"{_SQL} SELECT kind, min(score) AS least, round(quantile_cont(score, 0.05), 9) AS p05, round(quantile_cont(score, 0.5), 9) AS median, max(score) AS most FROM samples GROUP BY kind")
+def a18(spark, sf_dir):
+    q = ranks.quantiles(A.samples(spark, sf_dir), "kind", "score", {"least": (0.0, "linear"), "p05": (0.05, "linear"), "median": (0.5, "linear"), "most": (1.0, "linear")})
+    return q.select("kind", "least", F.round("p05", 9).alias("p05"), F.round("median", 9).alias("median"), "most")
+
+
+@register("a19_quantile_nearest_rank", f"{_SQL}, r AS (SELECT kind, score, row_number() OVER (PARTITION BY kind ORDER BY score) AS i, count(*) OVER (PARTITION BY kind) AS n FROM samples) SELECT kind, max(CASE WHEN i = ceil(0.05 * n) THEN score END) AS p05, max(CASE WHEN i = ceil(0.5 * n) THEN score END) AS p50 FROM r GROUP BY kind")
+def a19(spark, sf_dir):
+    return ranks.quantiles(A.samples(spark, sf_dir), "kind", "score", {"p05": (0.05, "nearest"), "p50": (0.5, "nearest")}).drop("n")
+
+
 sql("t10_worst_misses", f"{_R} SELECT key, rank, score FROM run ORDER BY coalesce(1.0 / (rank + 1), 0) ASC, score DESC, key LIMIT 25")
 sql("t11_deterministic_sample", "SELECT doc_id, md5(CAST(doc_id AS STRING)) AS h FROM {documents} ORDER BY h LIMIT 60", "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents ORDER BY h LIMIT 60")
 sql("q12_gate_verdict", f"{_R}, m AS (SELECT avg(CASE WHEN rank < 5 THEN 1.0 ELSE 0.0 END) AS r5, avg(CASE WHEN heading IS NOT NULL THEN CASE WHEN heading_rank < 5 THEN 1.0 ELSE 0.0 END END) AS h5 FROM run) SELECT r5 >= 0.675 AS recall_ok, h5 >= 0.650 AS heading_ok FROM m")

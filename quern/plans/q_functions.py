@@ -134,6 +134,19 @@ def w5(spark, sf_dir):
     return p.select("page_id", W.resolve(F.col("url"), F.col("href")).alias("link"))
 
 
+@register("w1_references", "SELECT page_id, 'A' || 'é' || '€' || '😀' || '&#0;&#xD800;&#x110000;&#zz;' || '<' || page_id AS t FROM pages")
+def w1_references(spark, sf_dir):
+    text = F.concat(F.lit("&#65;&#xe9;&#8364;&#X1F600;&#0;&#xD800;&#x110000;&#zz;&lt;"), F.col("page_id").cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", W.decode_references(text).alias("t"))
+
+
+@register("w5_folded_links", "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a/b' || page_id || '?q=..' AS link FROM pages")
+def w5_folded(spark, sf_dir):
+    """A reference that climbs above the root and back, from every page."""
+    ref = F.concat(F.lit("../../../x/.././a/./b"), F.col("page_id").cast("string"), F.lit("?q=..#f"))
+    return table(spark, sf_dir, "pages").select("page_id", W.resolve(F.col("url"), ref).alias("link"))
+
+
 _ROBOTS = [("bot", True, "/"), ("bot", False, "/fr/"), ("bot", True, "/fr/1*"), ("bot", False, "/*.html$")]
 
 

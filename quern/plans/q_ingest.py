@@ -134,7 +134,17 @@ checked("f2_f3_f4_source_scope_prefix", f"{_D} SELECT doc_id FROM docs WHERE sou
 checked("f3_empty_scope", "SELECT doc_id FROM {documents} WHERE false", lambda spark, sf_dir: C.in_scope(A.documents(spark, sf_dir), []).select("doc_id"))
 sql("f5_version_equality", "SELECT l_orderkey, l_linenumber FROM {lineitem} WHERE l_returnflag = 'R' AND l_linestatus = 'F'")
 checked("f13_due_for_scan", "SELECT o.o_orderkey FROM {orders} o LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS ruleset, max(l_suppkey) AS h FROM {lineitem} WHERE l_quantity > 30 GROUP BY l_orderkey) s ON s.l_orderkey = o.o_orderkey WHERE s.l_orderkey IS NULL OR s.h <> o.o_custkey % 100 OR s.ruleset < 5", lambda spark, sf_dir: C.due_for_scan(table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_custkey % 100").alias("content_hash")), table(spark, sf_dir, "lineitem").filter("l_quantity > 30").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("ruleset"), F.max("l_suppkey").alias("content_hash")), "o_orderkey", 5))
-sql("f14_unchanged", "SELECT a.doc_id FROM {documents} a JOIN {documents} b ON md5(a.text) = md5(b.text) AND a.source = b.source AND a.doc_id < b.doc_id")
+@register(
+    "f14_unchanged",
+    "SELECT doc_id FROM documents WHERE text IS NOT NULL AND doc_id % 3 <> 0 AND (doc_id % 5 <> 0 OR source = 'src1')",
+)
+def f14(spark, sf_dir):
+    """Against a stored generation in which every third text was another and every fifth document stood in src1."""
+    d = table(spark, sf_dir, "documents")
+    stored = d.select(F.col("doc_id"), F.md5(F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(text, 'x') ELSE text END")).alias("content_hash"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'src1' ELSE source END").alias("source"))
+    return I.unchanged(d.select("doc_id", "source", F.md5("text").alias("content_hash")), stored, "doc_id").select("doc_id")
+
+
 checked("f16_stale", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '2002-01-01') > 365 AS stale FROM orders", lambda spark, sf_dir: C.stale(table(spark, sf_dir, "orders"), "o_orderdate", F.lit("2002-01-01").cast("date"), 365).select("o_orderkey", "stale"))
 checked("f17_quota", "SELECT s_suppkey, q, q > 0 AND n > q AS breached FROM (SELECT s_suppkey, CAST(coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END, 5) AS INT) AS q, trunc(s_acctbal / 1000)::INT AS n FROM supplier) x", lambda spark, sf_dir: C.quota(table(spark, sf_dir, "supplier"), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 7 END"), F.lit(5), F.expr("CAST(s_acctbal / 1000 AS INT)")).select("s_suppkey", "q", "breached"))
 sql("j2_page_chain", "SELECT o_orderkey, l_linenumber, c_name FROM (SELECT * FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20) p JOIN {lineitem} l ON l.l_orderkey = p.o_orderkey JOIN {customer} c ON c.c_custkey = p.o_custkey")
@@ -146,7 +156,20 @@ sql("j7_reattach_page", "SELECT v.ord, n.n_name FROM (SELECT inline(array(struct
 checked("j9_journal_live", "SELECT l.doc_id, d.source FROM {labels} l LEFT JOIN (SELECT * FROM {documents} WHERE lang = 'en') d ON d.doc_id = l.doc_id", lambda spark, sf_dir: C.journal_with_live(table(spark, sf_dir, "labels").select("doc_id"), table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id"))
 sql("j14_four_way", "SELECT l_orderkey, l_linenumber, n_name FROM {lineitem} l JOIN {orders} o ON o.o_orderkey = l.l_orderkey JOIN {customer} c ON c.c_custkey = o.o_custkey JOIN {nation} n ON n.n_nationkey = c.c_nationkey WHERE l_quantity > 48 AND n_regionkey = 1")
 sql("j15_z11_due_documents", "SELECT DISTINCT d.source FROM {documents} d JOIN (SELECT DISTINCT source FROM {documents} WHERE lang = 'en') p ON p.source = d.source LEFT JOIN {labels} s ON s.doc_id = d.doc_id WHERE s.doc_id IS NULL")
-sql("j16_prefix_semi", f"{_D} SELECT relative_path FROM docs d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM docs WHERE project = 'es') s WHERE startswith(d.relative_path, concat(s.source, '/')) AND s.source = split_part(d.relative_path, '/', 1))", f"{_D} SELECT relative_path FROM docs d WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT source FROM docs WHERE project = 'es') s WHERE starts_with(d.relative_path, concat(s.source, '/')))")
+_DEEP = """docs AS (SELECT doc_id, lang, source, concat(source, '/', lang, '/', doc_id % 7, '/', doc_id, '.md') AS relative_path, doc_id % 600 AS changed_at FROM {documents}),
+sources AS (SELECT source AS name, min(doc_id) % 500 + 300 AS created_at FROM docs WHERE lang = 'es' GROUP BY source
+  UNION ALL SELECT concat(source, '/', lang) AS name, min(doc_id) % 400 + 100 AS created_at FROM docs WHERE lang <> 'en' GROUP BY source, lang
+  UNION ALL SELECT concat(source, '/', lang, '/', 3) AS name, 0 AS created_at FROM docs GROUP BY source, lang)"""
+
+
+@register("j16_prefix_semi", f"WITH {_DEEP.replace('{documents}', 'documents')} SELECT relative_path, changed_at FROM docs d WHERE EXISTS (SELECT 1 FROM sources s WHERE starts_with(d.relative_path, s.name || '/') AND d.changed_at >= s.created_at)")
+def j16(spark, sf_dir):
+    """Sources of one, two and three segments, those of one name within those of another, each with a time of its own."""
+    d = table(spark, sf_dir, "documents")
+    docs = spark.sql(f"WITH {_DEEP} SELECT relative_path, changed_at FROM docs", documents=d)
+    return I.in_source_scope(docs, spark.sql(f"WITH {_DEEP} SELECT name, created_at FROM sources", documents=d))
+
+
 sql("j17_relex_config", "SELECT d.doc_id, coalesce(m.cfg, 'simple') AS config FROM {documents} d LEFT JOIN (SELECT lang, concat(lang, '_stem') AS cfg FROM (SELECT DISTINCT lang FROM {documents}) x WHERE lang <> 'en') m ON m.lang = d.lang")
 checked("j18_delete_beyond_top", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM {orders}) x WHERE n > 10", lambda spark, sf_dir: C.top_each(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 10, beyond=True).select("o_custkey", "o_orderkey"))
 sql("k4_k5_meta_update", "SELECT d.doc_id, coalesce(n.url, concat('old/', d.doc_id)) AS url, CASE WHEN d.source = 'src4' THEN '' ELSE md5(d.text) END AS content_hash FROM {documents} d LEFT JOIN (SELECT page_id, url FROM {pages}) n ON n.page_id = d.doc_id")

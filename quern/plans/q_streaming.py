@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import chunker, convert, pii
 from quern.operators import service
 from quern.plans import adapters as A
 from quern.plans.registry import register
-from quern.session import ship, spread, table
-from quern.streaming import jobs
+from quern.session import shared_dir, ship, spread, table
+from quern.streaming import jobs, statetable, timers
 
 
 @register("r1_stream_fixed_windows", "SELECT token, window_start, hits, denied FROM (SELECT user_id AS token, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, count(*) AS hits, count(*) > 2 AS denied FROM events GROUP BY 1, 2) WHERE window_start + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM events)")
@@ -76,3 +78,79 @@ def e1(spark, sf_dir):
     ship(spark)
     c = A.chunks(spark, sf_dir).select("doc_id", "chunk_index", "content")
     return service.embed(c, F.col("content"), service.bag_of_words(64), "passage: ").drop("content")
+
+
+@register(
+    "r10_compacted_state",
+    """SELECT source, concat(source, '/', doc_id, '.md') AS relative_path, CASE WHEN doc_id % 6 = 5 THEN 'v2' ELSE md5(text) END AS content_hash FROM documents
+WHERE source IS NOT NULL AND NOT (source = 'src2' AND doc_id % 2 = 1) AND doc_id % 6 <> 4""",
+)
+def r10(spark, sf_dir):
+    """Documents arrive in four batches, a fifth changes every sixth, a sixth removes every sixth, a seventh lists half of one source
+    completely; a snapshot is made every third batch."""
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").filter("source IS NOT NULL")
+    rows = d.select("doc_id", "source", F.concat("source", F.lit("/"), "doc_id", F.lit(".md")).alias("relative_path"), F.md5("text").alias("content_hash"), F.lit(False).alias("deleted"))
+    batches = [rows.filter(F.col("doc_id") % 4 == k) for k in range(4)]
+    batches.append(rows.filter("doc_id % 6 = 5").withColumn("content_hash", F.lit("v2")))
+    batches.append(rows.filter("doc_id % 6 = 4").withColumn("deleted", F.lit(True)))
+    for n, b in enumerate(batches):
+        statetable.apply_batch(b.drop("doc_id"), n, path, compact_every=3)
+    left = rows.filter("source = 'src2' AND doc_id % 2 = 0 AND doc_id % 6 <> 4").withColumn("content_hash", F.expr("CASE WHEN doc_id % 6 = 5 THEN 'v2' ELSE content_hash END"))
+    statetable.apply_batch(left.drop("doc_id"), len(batches), path, complete=True, compact_every=3)
+    return statetable.current(spark, path)
+
+
+@register(
+    "k8_committed_log",
+    f"""WITH {A.LOG}, {A.HITS} SELECT l.query_id, l.token, count(h.rank) AS hits, round(max(h.score), 9) AS best FROM log l LEFT JOIN hits h USING (query_id) GROUP BY ALL""",
+)
+def k8(spark, sf_dir):
+    """Searches with their hits, appended as a stream and read back as two tables that were committed together."""
+    base = f"{shared_dir(spark)}/searches-{uuid.uuid4().hex}"
+    log = A.query_log(spark, sf_dir).select("query_id", "created_at", "token")
+    hits = A.query_hits(spark, sf_dir).groupBy("query_id").agg(F.collect_list(F.struct("rank", "doc_id", "score")).alias("hits"))
+    rows = log.join(hits, "query_id", "left").withColumn("hits", F.coalesce("hits", F.array()))
+    rows.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/in").schema).parquet(f"{base}/in")
+    jobs.append_searches(stream, f"{base}/log", f"{base}/state").awaitTermination()
+    headers, found = jobs.read_searches(spark, f"{base}/log", "query_id long, created_at timestamp_ntz, token long", "query_id long, rank int, doc_id long, score double")
+    per = found.groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 9).alias("best"))
+    return headers.join(per, "query_id", "left").select("query_id", "token", F.coalesce("hits", F.lit(0)).alias("hits"), "best")
+
+
+@register(
+    "r13_late_rows",
+    """WITH e AS (SELECT event_id, ts, event_id % 4 AS part FROM events),
+b AS (SELECT p.part, (SELECT max(ts) FROM e WHERE e.part < p.part) - INTERVAL 1 HOUR AS bound FROM (SELECT DISTINCT part FROM e) p)
+SELECT event_id, coalesce(ts < bound, false) AS late FROM e JOIN b USING (part)""",
+)
+def r13(spark, sf_dir):
+    """Events come in four parts, one after the other; what lies more than an hour behind the parts before is kept aside."""
+    base = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    for k in range(4):
+        events.filter(F.col("event_id") % 4 == k).write.parquet(f"{base}/in/part={k}")
+        stream = spark.readStream.schema("event_id long, ts timestamp, part int").parquet(f"{base}/in")
+        jobs.split_late(stream, f"{base}/out", f"{base}/state", delay=3600.0).awaitTermination()
+    read = lambda name, late: spark.read.schema("event_id long").option("recursiveFileLookup", "true").parquet(f"{base}/out/{name}").withColumn("late", F.lit(late))
+    return read("on_time", False).unionByName(read("late", True))
+
+
+@register("r7_scheduler_ticks", None)
+def r7(spark, sf_dir):
+    """Events as what happens to the sources of projects: decisions of the scheduler; tests compare it with a plain one."""
+    ship(spark)
+    kind = F.expr("CASE event_id % 5 WHEN 0 THEN 'register' WHEN 1 THEN 'synced' WHEN 2 THEN 'webhook' ELSE 'probe' END")
+    e = jobs.events_stream(spark, sf_dir)
+    rows = e.select(
+        F.concat(F.lit("p"), F.expr("user_id % 20")).alias("project"), F.concat(F.lit("s"), F.expr("user_id % 3")).alias("source"), F.col("ts").alias("at"), kind.alias("kind"),
+        F.lit(86_400.0).alias("interval"), F.lit(604_800.0).alias("max_age"), F.concat(F.lit("v"), F.expr("event_id % 2")).alias("token"),
+    )
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, timers.STATE_STORE)
+    try:
+        return jobs.drain(timers.schedule(rows), "scheduler")
+    finally:
+        spark.conf.set(key, before)

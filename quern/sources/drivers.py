@@ -15,7 +15,8 @@ TRANSPORTS: dict[str, Callable[[dict, str | None], list[dict]]] = {}
 
 
 def register_transport(kind: str, fetch: Callable[[dict, str | None], list[dict]]) -> None:
-    """fetch(options, since) -> items with key, version, modified, title, body; since is the last offset or None."""
+    """fetch(options, since) -> items with key, version, modified, title, body; since is a time, or None for all. Items of that
+    very time are to come again: which of them were read is the reader's business."""
     TRANSPORTS[kind] = fetch
 
 
@@ -39,7 +40,7 @@ class Feed(DataSource):
     def _fetch(self) -> Callable[[dict, str | None], list[dict]]:
         if "items" in self.options:  # literal items: small fixtures and replays
             items = json.loads(self.options["items"])
-            return lambda options, since: [x for x in items if since is None or str(x["modified"]) > since]
+            return lambda options, since: [x for x in items if since is None or str(x["modified"]) >= since]
         if self.kind not in TRANSPORTS:
             raise ValueError(f"no transport is registered for {self.kind}")
         return TRANSPORTS[self.kind]
@@ -63,22 +64,31 @@ class _Batch(DataSourceReader):
 
 
 class _Incremental(SimpleDataSourceStreamReader):
-    """The offset is the newest modification seen; an item of that very time is not read again."""
+    """The offset is the newest modification seen and the keys read at that time, so that an item which is stamped with the same
+    time later is not lost, and none is read twice."""
 
     def __init__(self, fetch, options):
         self.fetch, self.options = fetch, options
 
     def initialOffset(self):
-        return {"since": ""}
+        return {"since": "", "seen": []}
 
-    def read(self, start):
+    def _new(self, start):
         items = self.fetch(self.options, start["since"] or None)
+        seen = set(start["seen"])
+        return [x for x in items if str(x["modified"]) > start["since"] or (str(x["modified"]) == start["since"] and str(x["key"]) not in seen)]
+
+    def read(self, start):
+        items = self._new(start)
         end = max([start["since"], *[str(x["modified"]) for x in items]])
-        return _rows(items), {"since": end}
+        seen = {str(x["key"]) for x in items if str(x["modified"]) == end}
+        if end == start["since"]:
+            seen |= set(start["seen"])
+        return _rows(items), {"since": end, "seen": sorted(seen)}
 
     def readBetweenOffsets(self, start, end):
-        items = self.fetch(self.options, start["since"] or None)
-        return _rows([x for x in items if str(x["modified"]) <= end["since"]])
+        last = set(end["seen"])
+        return _rows([x for x in self._new(start) if str(x["modified"]) < end["since"] or (str(x["modified"]) == end["since"] and str(x["key"]) in last)])
 
     def commit(self, end):
         pass

@@ -76,3 +76,40 @@ def test_ranks_without_a_whole_sort(spark):
     assert ranks.rank(t.filter("false"), "v", "r").count() == 0
     same = ranks.rank(t.select("id", F.lit(2.0).alias("v")), "v", "r")
     assert {r.r for r in same.collect()} == {1}
+
+
+def test_ranks_of_skewed_and_many_values(spark):
+    from quern.operators import ranks
+
+    rows = [(i, 5.0 if i % 2 else 1.0 + i * 1e-9, None if i % 11 == 0 else float(i % 5)) for i in range(400)]  # half share a value, the others lie close
+    t = spark.createDataFrame(rows, "id long, a double, b double").repartition(4)
+    want = {i: (1 + sum(x > a for _, x, _ in rows), 1 + sum((y is not None, y or 0) < (b is not None, b or 0) for _, _, y in rows)) for i, a, b in rows}
+    for bounded in (ranks.BOUNDED, 10):
+        got = ranks.ranks(t, {"ra": ("a", True), "rb": ("b", False)}, bounded)
+        assert {r.id: (r.ra, r.rb) for r in got.collect()} == want
+    plan = ranks.ranks(t, {"ra": ("a", True), "rb": ("b", False)})._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan
+
+
+def test_quantiles_against_sorted_lists(spark):
+    import math
+    import random
+
+    from quern.operators import ranks
+
+    rng = random.Random(5)
+    groups = {"one": [3.0], "ties": [1.0] * 50 + [2.0] * 7, "many": [rng.random() for _ in range(301)]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("ties", None), ("none", None)]
+    t = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    ps = (0.0, 0.05, 0.5, 0.99, 1.0)
+    wanted = {f"{rule}{int(p * 100)}": (p, rule) for p in ps for rule in ("linear", "nearest")}
+    got = {r.g: r.asDict() for r in ranks.quantiles(t, "g", "v", wanted).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        s = sorted(vs)
+        for p in ps:
+            at = (len(s) - 1) * p
+            lo, hi = s[math.floor(at)], s[math.ceil(at)]
+            assert abs(got[g][f"linear{int(p * 100)}"] - (lo + (hi - lo) * (at - math.floor(at)))) < 1e-9
+            assert got[g][f"nearest{int(p * 100)}"] == s[max(0, math.ceil(p * len(s)) - 1)]
+    assert ranks.quantiles(t.filter("false"), "g", "v", wanted).count() == 0

@@ -67,6 +67,43 @@ def test_feeds(spark):
         spark.read.format("quern_git").load().collect()
 
 
+def test_items_of_the_last_time_are_neither_lost_nor_read_twice():
+    items = [{"key": "1", "modified": "t1"}, {"key": "2", "modified": "t2"}]
+    reader = drivers._Incremental(lambda options, since: [x for x in items if since is None or x["modified"] >= since], {})
+    rows, at = reader.read(reader.initialOffset())
+    assert [r[0] for r in rows] == ["1", "2"] and at == {"since": "t2", "seen": ["2"]}
+    items.append({"key": "3", "modified": "t2"})
+    rows, later = reader.read(at)
+    assert [r[0] for r in rows] == ["3"] and later == {"since": "t2", "seen": ["2", "3"]}
+    assert [r[0] for r in reader.read(later)[0]] == []
+    items.append({"key": "4", "modified": "t2"})
+    assert [r[0] for r in reader.readBetweenOffsets(at, later)] == ["3"]
+
+
+def test_changes_in_the_scope_of_sources(spark):
+    from quern.operators import ingest
+
+    sources = [("a", 5), ("a", 9), ("a/b", 1), ("c/d/e", 3), ("", 0), (None, 0), ("z", None)]
+    changes = [(p, t) for p in ("a/x.md", "a/b/x.md", "ab/x.md", "c/d/e/f/g.md", "c/d/x.md", "a", None, "z/x.md", "/x.md") for t in (0, 1, 3, 5, None)] + [("a/x.md", 5)]
+    want = sorted((p, t) for p, t in changes if p is not None and t is not None and any(s and c is not None and p.startswith(s + "/") and t >= c for s, c in sources))
+    df = spark.createDataFrame(changes, "relative_path string, changed_at int")
+    got = ingest.in_source_scope(df, spark.createDataFrame(sources, "name string, created_at int"))
+    assert sorted(tuple(r) for r in got.collect()) == want and want
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_dot_segments_and_references(spark):
+    from quern.operators import web
+
+    cases = {"http://h/a/b/../c": "http://h/a/c", "http://h/../../x": "http://h/x", "http://h/a/./b/.": "http://h/a/b/", "http://h/a/..": "http://h/", "http://h/a//b/../c": "http://h/a//c", "http://h/..a/b..": "http://h/..a/b..", "http://h?x=/../y": "http://h?x=/../y", "http://h": "http://h"}
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert {r.u: r.v for r in df.select("u", web.fold_dots(F.col("u")).alias("v")).collect()} == cases
+    text = {"a&#65;&#x42;&lt;b": "aAB<b", "&#128512;&#0;": "😀&#0;", "&#;&#x;&#12345678;": "&#;&#x;&#12345678;", "": "", "&amp;#65;": "&#65;"}
+    df = spark.createDataFrame([(k,) for k in text] + [(None,)], "t string")
+    got = {r.t: r.d for r in df.select("t", web.decode_references(F.col("t")).alias("d")).collect()}
+    assert got == {**text, None: None}
+
+
 def test_openapi():
     spec = {
         "openapi": "3.0.0",
