@@ -75,3 +75,45 @@ def test_the_template_alone_drops_boilerplate_of_neutral_pages(spark):
     got = {r.page_id: r.text for r in wrapper.extract(t).collect()}
     assert got == {k: "\n".join(want) for k, (_, want) in enumerate(pages)}
 
+
+
+PAGES = [
+    ('<body><div class="content-with-sidebar"><article><p>Hello there</p><p class="share-price">Price is 5</p></article></div><div class="sidebar">x</div>', ["Hello there", "Price is 5"]),
+    ('<body><div class="layout has-sidebar"><article><p>Hello there</p></article></div>', ["Hello there"]),
+    ('<body><form id="aspnetForm"><nav>Menu</nav><div><p>The whole of the body is in this form</p></div></form>', ["The whole of the body is in this form"]),
+    ('<body><form><article><p>Short</p></article><div class="comments"><article class="comment">a far longer comment of a reader on it</article></div></form>', ["Short"]),
+    ('<body><article><p>Hello</p></article><div class="comment-list"><article>a comment</article></div><div class="cookie-banner">c</div><div class="page-header">h</div>', ["Hello"]),
+    ('<body><div class="sidebar layout"><p>the body of this page is long</p><div class="ad">buy</div></div>', ["the body of this page is long"]),
+    ('<body><nav>long long long long long menu</nav><p>text</p>', ["text"]),
+]
+
+
+@pytest.mark.parametrize("page, want", PAGES)
+def test_cues_take_away_neither_the_article_nor_most_of_the_text(page, want):
+    assert wrapper._page(page, lambda k: None) == want
+
+
+def blocks_of(rng, n):
+    return "<body>" + "".join("<div class='c'>" + "<p>a</p>" * rng.randrange(1, 6) + "</div>" for _ in range(n))
+
+
+def test_ties_are_broken_alike_by_both_ways(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(60):
+        a, b = wrapper.parse(blocks_of(rng, rng.randrange(1, 25))), wrapper.parse(blocks_of(rng, rng.randrange(1, 25)))
+        found = []
+        for cells in (1, 7, 40_000):
+            monkeypatch.setattr(wrapper, "DP_CELLS", cells)
+            found.append(sorted((id(x), id(y)) for x, y in wrapper.match(a, b)))
+        assert found[0] == found[1] == found[2]
+
+
+def test_many_blocks_are_matched_at_once():
+    import time
+
+    plain = wrapper.parse("<body>" + "".join(f"<div class='c'><p>a{i}</p><p>b</p></div>" for i in range(1500)))
+    rng, began = random.Random(2), time.time()
+    assert len(wrapper.match(plain, plain)) == 1 + 1 + 1500 * 3
+    assert time.time() - began < 1
+    wrapper.match(wrapper.parse(blocks_of(rng, 1500)), wrapper.parse(blocks_of(rng, 1500)))
+    assert time.time() - began < 4
