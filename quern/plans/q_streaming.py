@@ -38,10 +38,20 @@ def c1(spark, sf_dir):
     return chunker.chunk_table(spread(A.documents(spark, sf_dir).select("relative_path", "content")))
 
 
-@register("c17_pii_findings", None)
+_PLANTED = """CASE doc_id % 7 WHEN 0 THEN concat(text, '\n\U0001F600 AKIA', lpad(CAST(doc_id AS STRING), 16, '0'), ' end') WHEN 1 THEN concat(text, '\nto DE89370400440532013000.') ELSE text END"""
+
+
+@register(
+    "c17_pii_findings",
+    """WITH d AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS units, 2 + length(text) - length(replace(text, chr(10), '')) AS line FROM documents WHERE text IS NOT NULL)
+SELECT doc_id::VARCHAR AS key, 'aws_access_key' AS rule, (units + 4)::INT AS start, 20 AS length, line::INT AS line, 3 AS col, 'AKIA…' || right(lpad(doc_id::VARCHAR, 16, '0'), 4) AS preview, 'AKIA' || lpad(doc_id::VARCHAR, 16, '0') AS normalized, 1 AS total, false AS capped FROM d WHERE doc_id % 7 = 0
+UNION ALL SELECT doc_id::VARCHAR, 'iban', (units + 4)::INT, 22, line::INT, 4, 'DE…3000', 'DE89370400440532013000', 1, false FROM d WHERE doc_id % 7 = 1""",
+)
 def c17(spark, sf_dir):
+    """The documents hold no findings of their own: two of seven get one planted behind their text."""
     ship(spark)
-    return pii.scan_table(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_PLANTED).alias("text"))
+    return pii.scan_table(spread(d))
 
 
 @register("c3_c11_convert_pages", None)
