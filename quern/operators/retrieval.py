@@ -49,38 +49,57 @@ def _matrix(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0), ok
 
 
-def dense(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, ids: tuple[str, ...] = ("chunk_id",), digits: int | None = None) -> DataFrame:
+def dense(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, ids: tuple[str, ...] = ("chunk_id",), digits: int | None = None, match: dict[str, str] | None = None) -> DataFrame:
     """The k chunks nearest to each question by cosine: query_id, ids, dense_rank, cosine. Ties fall to the ids in order.
 
     Exact: every chunk meets every question, in blocks. Questions are read in blocks of QUESTION_BLOCK, each broadcast
     as one matrix; a batch of chunks is one matrix product, reduced to k rows per question where it stands, so that
     only those are shuffled. digits rounds cosines before they are compared. Rows without a vector take no part.
+    match: columns of both sides that must be `equal`, or begin with the question's as a path (`prefix`); a null of the
+    question asks for nothing. Chunks that do not match are left out before the k are chosen.
     """
     schema = T.StructType([T.StructField("query_id", questions.schema["query_id"].dataType), *[chunks.schema[c] for c in ids], T.StructField("cosine", T.DoubleType())])
-    narrow = chunks.select("embedding", *ids)
+    match = match or {}
+    narrow = chunks.select("embedding", *ids, *match)
     found, block = None, []
 
     def near(rows: list) -> DataFrame:
         names = [r[0] for r in rows]
         q, _ = _matrix(pa.array([list(r[1]) for r in rows], pa.list_(pa.float64())))
-        shared = chunks.sparkSession.sparkContext.broadcast((names, q))
+        shared = chunks.sparkSession.sparkContext.broadcast((names, q, [tuple(r[2:]) for r in rows]))
 
         def run(batches):
             for b in batches:
-                asked, m = shared.value
+                asked, m, wanted = shared.value
                 x, ok = _matrix(b.column(0))
                 if not len(x):
                     continue
                 at = np.flatnonzero(ok)
+                held = [b.column(1 + len(ids) + c).take(pa.array(at)).to_pylist() for c in range(len(match))]
+                masks: dict = {}
+
+                def mask(want, held=held, masks=masks, n=len(x)):
+                    out = np.ones(n, bool)
+                    for c, (how, w) in enumerate(zip(match.values(), want)):
+                        if w is None:
+                            continue
+                        if (c, w) not in masks:
+                            test = (lambda v: v == w) if how == "equal" else (lambda v: v == w or (v is not None and v.startswith(w + "/")))
+                            masks[c, w] = np.array([test(v) for v in held[c]], bool)
+                        out &= masks[c, w]
+                    return out
+
                 keys = [np.asarray(b.column(1 + i).take(pa.array(at))) for i in range(len(ids))]
                 where, who, score = [], [], []
                 for lo in range(0, len(m), 256):
                     s = m[lo : lo + 256] @ x.T
                     if digits is not None:
                         s = np.round(s, digits)
+                    for i in range(len(s)) if match else ():
+                        s[i][~mask(wanted[lo + i])] = -np.inf
                     kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
                     for i in range(len(s)):
-                        c = np.flatnonzero(s[i] >= kth[i])
+                        c = np.flatnonzero((s[i] >= kth[i]) & (s[i] > -np.inf))
                         if len(c) > k:
                             c = c[np.lexsort([*[key[c] for key in reversed(keys)], -s[i][c]])][:k]
                         where.append(at[c])
@@ -91,7 +110,7 @@ def dense(chunks: DataFrame, questions: DataFrame, k: int = CANDIDATES, ids: tup
 
         return narrow.mapInArrow(run, schema)
 
-    for r in questions.select("query_id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
+    for r in questions.select("query_id", "embedding", *match).filter("embedding IS NOT NULL").toLocalIterator():
         block.append(r)
         if len(block) == QUESTION_BLOCK:
             part = near(block)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quern.functions.stems import stemmed
-from quern.operators import lexical, service, vectorindex
+from quern.operators import lexical, scoped, service, vectorindex
 from quern.operators import retrieval as R
 from quern.plans import adapters as A
 from quern.plans.registry import register
@@ -173,6 +173,53 @@ def q1(spark, sf_dir):
     return page.join(context, ["doc_id", "chunk_index"]).select("query_id", "position", "doc_id", "chunk_index", F.round("fused", 9).alias("fused"), "content", "before", "after")
 
 
+_SCOPED = rf"""WITH {A.CHUNKS}, docs AS (SELECT lang AS project, source, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE '' END AS version, source || '/' || doc_id % 3 || '/' || doc_id || '.md' AS relative_path, doc_id FROM documents WHERE lang IS NOT NULL),
+requests AS (SELECT conv_id * 1000 + turn AS query_id, text, ['en', 'fr', 'xx', 'de', 'es', 'it'][(conv_id // 50 + turn) % 6 + 1] AS project,
+  CASE turn % 4 WHEN 2 THEN 'src' || (conv_id // 50) % 3 END AS source, CASE WHEN turn % 6 = 4 THEN 'v1' WHEN turn % 14 = 6 THEN 'v9' END AS version,
+  CASE WHEN turn % 6 = 0 THEN 'src1/1/' WHEN turn % 10 = 2 THEN '../up' END AS path_prefix FROM conversations WHERE role = 'user' AND conv_id % 50 = 0),
+status AS (SELECT *, CASE WHEN project = 'xx' THEN 'project_gone' WHEN NOT EXISTS (SELECT 1 FROM docs d WHERE d.project = r.project) THEN 'not_indexed' WHEN project = 'es' THEN 'model_mismatch'
+  WHEN source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs d WHERE d.project = r.project AND d.source = r.source) THEN 'unknown_source'
+  WHEN version IS NOT NULL AND NOT EXISTS (SELECT 1 FROM docs d WHERE d.project = r.project AND d.version = r.version) THEN 'unknown_version' WHEN path_prefix = '../up' THEN 'invalid_path_prefix' ELSE 'ok' END AS status FROM requests r),
+ask AS (SELECT * FROM status WHERE status = 'ok'),
+pairs AS (SELECT a.query_id, d.doc_id FROM ask a JOIN docs d ON a.project = d.project AND (a.source IS NULL OR a.source = d.source) AND (a.version IS NULL OR a.version = d.version) AND (a.path_prefix IS NULL OR starts_with(d.relative_path, a.path_prefix))),
+posts AS (SELECT config, term, doc_id, chunk_index, length, count(*) AS tf FROM (SELECT config, doc_id, chunk_index, len(tokens) AS length, unnest(tokens) AS term FROM chunks) GROUP BY ALL),
+common AS (SELECT project AS config, greatest(ceil(count(*) * 0.05), 10) AS common_at FROM chunks GROUP BY project),
+df AS (SELECT config, term, count(*) AS df FROM posts GROUP BY ALL),
+terms AS (SELECT query_id, config, term FROM (SELECT DISTINCT query_id, project AS config, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM ask) JOIN df USING (config, term) JOIN common USING (config) WHERE df < common_at),
+scored AS (SELECT *, total * 0.1::DOUBLE / ln(length + 1.0) AS rank_score FROM (SELECT query_id, doc_id, chunk_index, length, sum(tf) AS total FROM posts JOIN terms USING (config, term) JOIN pairs USING (query_id, doc_id) GROUP BY ALL)),
+lx AS (SELECT * FROM (SELECT query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY round(rank_score, 9) DESC, length, chunk_index, doc_id) AS lexical_rank FROM scored) WHERE lexical_rank <= 50),
+qv AS (SELECT query_id, {_bag_sql("lower(text)")} AS v FROM ask),
+cv AS (SELECT doc_id, chunk_index, {_bag_sql("lower(content)")} AS v FROM chunks),
+cs AS (SELECT query_id, doc_id, chunk_index, CASE WHEN list_inner_product(c.v, c.v) = 0 THEN 0 ELSE list_inner_product(c.v, q.v) / (sqrt(list_inner_product(c.v, c.v)) * sqrt(list_inner_product(q.v, q.v))) END AS cosine FROM cv c JOIN pairs p USING (doc_id) JOIN qv q USING (query_id)),
+dn AS (SELECT * FROM (SELECT query_id, doc_id, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY round(cosine, 9) DESC, chunk_index, doc_id) AS dense_rank FROM cs) WHERE dense_rank <= 50),
+fu AS (SELECT query_id, doc_id, chunk_index, dense_rank, lexical_rank, coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0) AS fused FROM dn FULL OUTER JOIN lx USING (query_id, doc_id, chunk_index)),
+fo AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY fused DESC, dense_rank NULLS LAST, chunk_index, doc_id) AS r FROM fu),
+pg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, chunk_index, doc_id) AS position FROM fo WHERE r <= 2) WHERE position <= 5)
+SELECT s.query_id, s.status, position, doc_id, chunk_index, round(fused, 9) AS fused FROM status s LEFT JOIN pg USING (query_id)"""
+
+
+@register("q1_scoped_search", _SCOPED)
+def q1_scoped(spark, sf_dir):
+    """User turns as requests with filters: every outcome, and the hits of those that can be answered."""
+    ship(spark)
+    where = F.expr("concat(source, '/', doc_id % 3, '/', doc_id, '.md')")
+    version = F.expr("CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE '' END")
+    docs = table(spark, sf_dir, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("project"), "source", version.alias("version"))
+    chunks = A.chunks(spark, sf_dir).filter("config IS NOT NULL").withColumn("version", version).withColumn("relative_path", where)
+    c = table(spark, sf_dir, "conversations").filter("role = 'user' AND conv_id % 50 = 0")
+    requests = c.select(
+        F.expr("conv_id * 1000 + turn").alias("query_id"), "text", F.expr("array('en', 'fr', 'xx', 'de', 'es', 'it')[cast((conv_id div 50 + turn) % 6 as int)]").alias("project"),
+        F.expr("CASE turn % 4 WHEN 2 THEN concat('src', (conv_id div 50) % 3) END").alias("source"), F.expr("CASE WHEN turn % 6 = 4 THEN 'v1' WHEN turn % 14 = 6 THEN 'v9' END").alias("version"),
+        F.expr("CASE WHEN turn % 6 = 0 THEN 'src1/1/' WHEN turn % 10 = 2 THEN '../up' END").alias("path_prefix"),
+    )
+    projects = spark.sql("SELECT lang AS project, CASE WHEN lang = 'es' THEN 'old' ELSE 'base' END AS model FROM (SELECT DISTINCT lang FROM {d}) UNION ALL SELECT 'it', 'base'", d=table(spark, sf_dir, "documents"))
+    status = cut(scoped.outcomes(requests, projects, docs, "base"), "outcomes")
+    asked = status.filter("status = 'ok'").withColumn("config", F.col("project")).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    asked = cut(service.embed(asked, F.lower("text"), service.letters), "asked")
+    hits = scoped.search(service.embed(chunks, F.lower("content"), service.letters), asked, _order())
+    return status.select("query_id", "status").join(hits, "query_id", "left").select("query_id", "status", "position", "doc_id", "chunk_index", F.round("fused", 9).alias("fused"))
+
+
 @register(
     "t6_rerank",
     f"""WITH {_HYBRID}, p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, dense_rank NULLS LAST, chunk_index, doc_id) AS fused_position FROM fu),
