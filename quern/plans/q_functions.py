@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import scalars as S
 from quern.operators import web as W
 from quern.plans.registry import register
 from quern.plans.sqlbook import sql
-from quern.session import ship, table
+from quern.sources import files
+from quern.session import shared_dir, ship, table
 
 
 def _docs(spark, sf_dir):
@@ -210,6 +213,23 @@ def w9b(spark, sf_dir):
 
 sql("w10_conditional_fetch", "SELECT p.page_id, coalesce(md5(p.url) = s.etag, false) AS unchanged FROM {pages} p LEFT JOIN (SELECT page_id, md5(CASE WHEN page_id % 3 = 0 THEN '' ELSE url END) AS etag FROM {pages} WHERE page_id % 2 = 0) s ON s.page_id = p.page_id")
 sql("w12_change_token", "SELECT split_part(url, '/', 3) AS host, concat('pages=', count(*), ';newest=', max(page_id)) AS token FROM {pages} GROUP BY 1")
+@register(
+    "s11_numbered_lines",
+    """SELECT doc_id, (doc_id % 3)::INT AS part, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) * 2 AS line_no, n_chars FROM documents""",
+)
+def s11_lines(spark, sf_dir):
+    """Documents as JSON lines in three files, a blank line before each: numbers count the blank ones."""
+    base = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("cast(doc_id % 3 as int)").alias("part"), F.concat(F.lit("\n"), F.to_json(F.struct("doc_id", "n_chars"))).alias("value"))
+    d.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(base)
+    found = None
+    for k in range(3):
+        own = files.numbered_lines(spark, f"{base}/part={k}").withColumn("part", F.lit(k))
+        found = own if found is None else found.unionByName(own)
+    q = F.from_json("value", "doc_id long, n_chars long")
+    return found.select(q.getField("doc_id").alias("doc_id"), "part", "line_no", q.getField("n_chars").alias("n_chars"))
+
+
 sql("s11_ndjson_scan", "SELECT event_id, k FROM (SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM {events}) x WHERE k < 40", "SELECT event_id, k FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) WHERE k < 40")
 sql("z6_nested_questions", "SELECT conv_id, q.turn, q.text FROM (SELECT conv_id, array_sort(collect_list(struct(turn, text))) AS qs FROM {conversations} WHERE role = 'user' GROUP BY conv_id) LATERAL VIEW explode(qs) t AS q", "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'")
 sql("c16_thread_render", "SELECT conv_id, array_join(transform(array_sort(collect_list(struct(turn, role, text))), x -> concat('**', x.role, '**: ', x.text)), '\\n\\n') AS body FROM {conversations} WHERE role <> 'system' GROUP BY conv_id", "SELECT conv_id, string_agg('**' || role || '**: ' || text, chr(10) || chr(10) ORDER BY turn, role, text) AS body FROM conversations WHERE role <> 'system' GROUP BY conv_id")

@@ -7,11 +7,12 @@ import tarfile
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.ingest import clean_path
+from quern.session import cut, small
 
 # Directories that hold build products, and the extensions read by default.
 SKIPPED = ("node_modules", "dist", "build", "target", "vendor")
@@ -101,6 +102,25 @@ def front_matter_field(head: Column, field: str) -> Column:
     return F.nullif(F.regexp_replace(v, r"^([\"'])(.*)\1$", "$2"), F.lit(""))
 
 
+MAX_LINE_BYTES = 64 << 20
+
+
+def numbered_lines(spark: SparkSession, path: str, max_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    """file, line_no (from 1, blank lines counted), value: the lines of text files that are not blank.
+
+    Files are read in splits of any number: a line belongs to the split it begins in, and its number is the lines of the splits
+    before it (one row each to add up) and those before it in its own. A line of more than max_bytes fails the job with its
+    place. Lines end at a newline alone; an empty file has none."""
+    block = ("_file", "_at")
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"))
+    splits = lines.select(*block, "_i").groupBy(*block).agg(F.min("_i").alias("_lo"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    splits = cut(splits.withColumn("_from", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*block, (F.col("_from") - F.col("_lo") + 1).alias("_shift")), "line-splits")
+    placed = lines.join(small(splits), [*block]).select(F.regexp_extract("_file", "([^/]+)$", 1).alias("file"), (F.col("_i") + F.col("_shift")).alias("line_no"), "value")
+    where = F.concat("file", F.lit(":"), F.col("line_no").cast("string"), F.lit(f": has a line longer than {max_bytes} bytes"))
+    return placed.filter(F.assert_true(F.octet_length("value") <= max_bytes, where).isNull()).filter(F.trim("value") != "")
+
+
 QUESTION = T.StructType([T.StructField("id", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("query", T.StringType()), T.StructField("expectFile", T.StringType()), T.StructField("expectHeading", T.StringType()), T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("note", T.StringType())])
 
 

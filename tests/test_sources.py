@@ -92,6 +92,27 @@ def test_changes_in_the_scope_of_sources(spark):
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
 
 
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    import random
+
+    rng, want = random.Random(6), []
+    for name in ("a.ndjson", "b.ndjson", "empty.ndjson"):
+        lines = [] if name[0] == "e" else ["é" * rng.randrange(0, 30) + rng.choice(["", " ", "x"]) for _ in range(200)]
+        (tmp_path / name).write_text("\n".join(lines), encoding="utf-8")
+        want += [(name, i, v) for i, v in enumerate(lines, 1) if v.strip()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("50", "777", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = files.numbered_lines(spark, str(tmp_path))
+            assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+            assert size == "100000" or spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(Exception, match=r"ndjson:\d+: has a line longer than 40 bytes"):
+        files.numbered_lines(spark, str(tmp_path), 40).collect()
+
+
 def test_dot_segments_and_references(spark):
     from quern.operators import web
 
