@@ -146,3 +146,30 @@ def crawl(pages: DataFrame, links: DataFrame, roots: DataFrame, depth: int) -> D
 def entry_kind(url: Column, body: Column) -> Column:
     low = F.lower(url)
     return F.when(low.rlike(r"sitemap[^/]*\.xml(\?|$)") | body.rlike(r"<(urlset|sitemapindex)\b"), "sitemap").when(low.rlike(r"/llms(-full)?\.txt(\?|$)"), "llms").otherwise("page")
+
+
+def explore(bodies: DataFrame, entries: DataFrame, rules: DataFrame, agent: str, depth: int) -> DataFrame:
+    """url, kind, depth of what a crawl from the entries meets: a sitemap leads to its locations (other sitemaps among them), a list
+    for models to its links, a page to its anchors.
+
+    bodies: url, body of what can be fetched; entries: url; rules as in robots_allowed(). Links are resolved against their page,
+    dot segments folded, fragments dropped; those outside the entry's scope, refused to the agent, not to be fetched or met
+    before are left. Each level joins only what the level before found, and is written: no level is computed twice. A page that
+    several entries lead to belongs to the first (by url)."""
+    from quern.session import cut
+
+    wanted = entries.select("url").distinct()
+    level = cut(bodies.join(wanted, "url").select("url", F.col("url").alias("_root"), entry_kind(F.col("url"), F.col("body")).alias("kind"), "body", F.lit(0).alias("depth")), "explore")
+    seen = level.select("url", "kind", "depth")
+    for d in range(1, depth + 1):
+        to = F.when(F.col("kind") == "sitemap", F.transform(sitemap_entries(F.col("body")), lambda e: e["loc"])).when(F.col("kind") == "llms", markdown_links(F.col("body"))).otherwise(anchors(F.col("body")))
+        links = level.select("_root", "url", F.explode(to).alias("_href")).select("_root", resolve(F.col("url"), F.col("_href")).alias("url"))
+        # a page that is linked everywhere is met once for each root before it is shuffled to its body
+        links = links.filter(F.col("url").isNotNull() & in_scope(F.col("url"), F.regexp_replace("_root", "[^/]*$", ""))).groupBy("url").agg(F.min("_root").alias("_root"))
+        new = cut(links.join(seen.select("url"), "url", "left_anti"), "explore-links")
+        if new.isEmpty():
+            break
+        allowed = robots_allowed(new.select("url", F.lit(agent).alias("agent")), rules).filter("allowed").select("url")
+        level = cut(bodies.join(new.join(allowed, "url", "left_semi"), "url").select("url", "_root", entry_kind(F.col("url"), F.col("body")).alias("kind"), "body", F.lit(d).alias("depth")), "explore")
+        seen = cut(seen.unionByName(level.select("url", "kind", "depth")), "explore-seen")
+    return seen

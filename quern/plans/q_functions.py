@@ -211,6 +211,29 @@ def w9b(spark, sf_dir):
     return W.crawl(pages, links, n.filter("n_nationkey = 0").select(F.col("n_name").alias("url")), 4)
 
 
+@register(
+    "w9_composed_crawl",
+    """WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), r AS (SELECT page_id AS id, 2 AS depth FROM pages WHERE page_id IN (1, 2)
+UNION ALL SELECT id * 2 + k, depth + 1 FROM r, n, (VALUES (1), (2)) v(k) WHERE depth < 12 AND id * 2 + k < n.n AND NOT ((id * 2 + k) % 10 = 7 AND (id * 2 + k) % 100 <> 57))
+SELECT 'https://site.example/p/' || id AS url, 'page' AS kind, depth FROM r
+UNION ALL SELECT * FROM (VALUES ('https://site.example/sitemap.xml', 'sitemap', 0), ('https://site.example/maps/0-sitemap.xml', 'sitemap', 1), ('https://site.example/maps/1-sitemap.xml', 'sitemap', 1))""",
+)
+def w9_composed(spark, sf_dir):
+    """The pages as one site: an index of two sitemaps leads to pages 1 and 2, page i to 2 i + 1 and 2 i + 2 by relative links, and
+    robots rules refuse numbers that end in 7 but not in 57."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    site = "https://site.example"
+    link = lambda k: F.concat(F.lit("<a href=\"../x/./../p/"), F.expr(f"page_id * 2 + {k}").cast("string"), F.lit("#top\">next</a>"))
+    off = F.lit("<a href=\"http://other.example/p/3\">away</a>")
+    pages = p.select(F.concat(F.lit(f"{site}/p/"), "page_id").alias("url"), F.concat(link(1), off, link(2)).alias("body"))
+    loc = lambda u: f"<loc>{u}</loc>"
+    maps = [(f"{site}/sitemap.xml", "<sitemapindex>" + "".join(f"<sitemap>{loc(f'{site}/maps/{k}-sitemap.xml')}</sitemap>" for k in (0, 1)) + "</sitemapindex>")]
+    maps += [(f"{site}/maps/{k}-sitemap.xml", f"<urlset><url>{loc(f'{site}/p/{k + 1}')}</url><url>{loc(f'{site}/p/&#x31;')}</url></urlset>") for k in (0, 1)]
+    bodies = pages.unionByName(spark.createDataFrame(maps, "url string, body string"))
+    rules = spark.createDataFrame([("bot", False, "/p/*7$"), ("bot", True, "/p/*57$")], "agent string, allow boolean, pattern string")
+    return W.explore(bodies, spark.createDataFrame([(f"{site}/sitemap.xml",)], "url string"), rules, "bot", 12)
+
+
 sql("w10_conditional_fetch", "SELECT p.page_id, coalesce(md5(p.url) = s.etag, false) AS unchanged FROM {pages} p LEFT JOIN (SELECT page_id, md5(CASE WHEN page_id % 3 = 0 THEN '' ELSE url END) AS etag FROM {pages} WHERE page_id % 2 = 0) s ON s.page_id = p.page_id")
 sql("w12_change_token", "SELECT split_part(url, '/', 3) AS host, concat('pages=', count(*), ';newest=', max(page_id)) AS token FROM {pages} GROUP BY 1")
 @register(
