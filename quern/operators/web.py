@@ -110,6 +110,30 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.select("url").distinct().join(best, "url", "left").select("url", F.coalesce("_a", F.lit(True)).alias("allowed"))
 
 
+def robots_groups(files: DataFrame, agent: str) -> tuple[DataFrame, DataFrame]:
+    """(host, allow, pattern) and (host, delay in seconds) of the groups of robots files (host, body) that speak to an agent.
+
+    Lines in a row that name agents begin a group. Groups of the longest name that the agent's begins with hold, all of them
+    together; without one those of `*`; without these nothing is refused. Names and keys in any case; comments, empty rules and
+    lines of other keys are passed over; of several delays the longest holds. A file's lines are put in order in a task of
+    their own. Null bodies and repeated hosts: as one file with no lines, or the lines of all."""
+    lines = files.select("host", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n?|\n")).alias("_i", "_l"))
+    text = F.trim(F.regexp_replace("_l", "#.*$", ""))
+    kv = lines.withColumn("_k", F.lower(F.regexp_extract(text, r"^([A-Za-z-]+)\s*:", 1))).withColumn("_v", F.trim(F.regexp_replace(text, r"^[A-Za-z-]+\s*:", "")))
+    kv = kv.filter(F.col("_k").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    w = Window.partitionBy("host").orderBy("_i")
+    starts = (F.col("_k") == "user-agent") & (F.coalesce(F.lag("_k").over(w), F.lit("")) != "user-agent")
+    kv = kv.withColumn("_s", starts.cast("int")).withColumn("_g", F.sum("_s").over(w))
+    name = F.lower("_v")
+    mine = F.when(F.startswith(F.lit(agent.lower()), name) & (name != ""), F.length("_v")).when(name == "*", F.lit(0))
+    named = kv.filter("_k = 'user-agent'").withColumn("_n", mine).filter("_n IS NOT NULL").groupBy("host", "_g").agg(F.max("_n").alias("_n"))
+    best = named.withColumn("_best", F.max("_n").over(Window.partitionBy("host"))).filter("_n = _best").select("host", "_g")
+    held = kv.filter("_k <> 'user-agent'").join(best, ["host", "_g"])
+    rules = held.filter("_k IN ('allow', 'disallow') AND _v <> ''").select("host", (F.col("_k") == "allow").alias("allow"), F.col("_v").alias("pattern"))
+    delays = held.filter("_k = 'crawl-delay'").select("host", F.expr("try_cast(_v AS double)").alias("delay")).groupBy("host").agg(F.max("delay").alias("delay")).filter("delay IS NOT NULL")
+    return rules, delays
+
+
 def authority(url: Column) -> Column:
     """Host and port of an http(s) URL, without the scheme's own port."""
     named = F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#@]*@)?([^/?#]+)", 1))

@@ -163,6 +163,23 @@ def w6(spark, sf_dir):
     return W.robots_allowed(table(spark, sf_dir, "pages").select("url", F.lit("bot").alias("agent")).distinct(), rules)
 
 
+@register(
+    "w6_robots_groups",
+    """WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host FROM pages)
+SELECT host, true AS allow, '/' || length(host) AS pattern, 2.5::DOUBLE AS delay FROM h WHERE length(host) % 3 = 0
+UNION ALL SELECT host, false, '/fr/', 2.5::DOUBLE FROM h WHERE length(host) % 3 = 0
+UNION ALL SELECT host, false, '/all/', NULL::DOUBLE FROM h WHERE length(host) % 3 = 1""",
+)
+def w6_groups(spark, sf_dir):
+    """Each host's robots file by the length of its name: groups for the agent, for any, or for others only."""
+    h = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host")).distinct()
+    n = F.length("host")
+    own = F.concat(F.lit("# site\r\nUser-agent: *\nDisallow: /all/\n\nuser-agent: quern # us\nUser-Agent: other\nAllow: /"), n.cast("string"), F.lit("\nDisallow:\nCrawl-delay: 2.5\nUser-agent: else\nDisallow: /\nUser-agent: QUERN\nDisallow: /fr/\n"))
+    body = F.when(n % 3 == 0, own).when(n % 3 == 1, F.lit("User-agent: else\nDisallow: /\nUser-agent: *\nDisallow: /all/\nSitemap: x")).otherwise(F.lit("User-agent: else\nDisallow: /"))
+    rules, delays = W.robots_groups(h.withColumn("body", body), "quernbot/1.0")
+    return rules.join(delays, "host", "left").select("host", "allow", "pattern", "delay")
+
+
 @register("w7_has_text", "SELECT page_id, page_id % 3 = 1 AS has FROM pages")
 def w7(spark, sf_dir):
     """Pages as they are, pages of which only scripts and comments are left, and pages of tags and spaces."""
