@@ -95,3 +95,71 @@ def regressions(previous: DataFrame, current: DataFrame) -> DataFrame:
 def fingerprint(*parts: Column) -> Column:
     """First 16 hex digits of the SHA-256 of the parts as a JSON array."""
     return F.substring(F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256), 1, 16)
+
+
+def slice_gate(off: DataFrame, on: DataFrame, tag: str, per_mille: int) -> DataFrame:
+    """One row that compares two runs (key, rank from 0 or null, below_floor, tags) of the same questions: for the rows that carry
+    the tag (slice_) and for all others (rest_) the questions, hits in the top five without and with the change, how many entered
+    and left it, and the hits that are past the floor; slice_passed where more than `per_mille` of the slice are hit, passed where
+    besides no other question was lost, whatever was gained. fault: what makes the runs no one measurement apart (null: nothing);
+    such runs never pass. Tags are those of the first run."""
+
+    def arm(run: DataFrame, p: str) -> DataFrame:
+        hit = F.coalesce(F.col("rank") < 5, F.lit(False))
+        r = run.groupBy("key").agg(F.count("*").alias(f"{p}n"), F.max(hit).alias(f"{p}hit"), F.max(F.coalesce("below_floor", F.lit(False))).alias(f"{p}low"), F.first("tags").alias(f"{p}tags"))
+        return r.withColumnRenamed("key", f"{p}key")
+
+    j = arm(off, "a_").join(arm(on, "b_"), F.col("a_key").eqNullSafe(F.col("b_key")), "full_outer")
+    inside = F.coalesce(F.array_contains("a_tags", tag), F.lit(False))
+    a, b = F.coalesce("a_hit", F.lit(False)), F.coalesce("b_hit", F.lit(False))
+    aggs = []
+    for name, where in (("slice", inside), ("rest", ~inside)):
+        aggs += [
+            F.count_if(where).alias(f"{name}_questions"),
+            F.count_if(where & a).alias(f"{name}_off_hits"),
+            F.count_if(where & b).alias(f"{name}_on_hits"),
+            F.count_if(where & b & ~a).alias(f"{name}_gained"),
+            F.count_if(where & a & ~b).alias(f"{name}_lost"),
+            F.count_if(where & a & ~F.coalesce("a_low", F.lit(False))).alias(f"{name}_off_past_floor"),
+            F.count_if(where & b & ~F.coalesce("b_low", F.lit(False))).alias(f"{name}_on_past_floor"),
+        ]
+    r = j.agg(*aggs, F.count_if(F.col("a_n").isNull() | F.col("b_n").isNull()).alias("_odd"), F.count_if((F.col("a_n") > 1) | (F.col("b_n") > 1)).alias("_twice"))
+    fault = F.when(F.col("_odd") > 0, "other questions").when(F.col("_twice") > 0, "repeated questions")
+    good = (F.col("slice_questions") > 0) & (F.col("slice_on_hits") * 1000 > F.col("slice_questions") * per_mille)
+    r = r.withColumn("fault", fault).withColumn("slice_passed", good & F.col("fault").isNull())
+    return r.withColumn("passed", F.col("slice_passed") & (F.col("rest_lost") == 0)).drop("_odd", "_twice")
+
+
+def probe_floor(samples: DataFrame, probe: Column, by: list[str], score: str = "score") -> DataFrame:
+    """by, kind, floor, n, refused: the floor of each group is the highest score among its probes (questions that it cannot answer);
+    refused is the share of the other rows of each kind below it. A group without probes has no floor and refuses nothing."""
+    s = samples.withColumn("_probe", F.coalesce(probe, F.lit(False)))
+    floors = s.filter("_probe").groupBy(*by).agg(F.max(score).alias("floor"))
+    rest = s.filter(~F.col("_probe")).groupBy(*by, "kind", score).agg(F.count("*").alias("_n"))
+    j = rest.join(floors, by, "left")
+    low = F.sum(F.when(F.col(score) < F.col("floor"), F.col("_n")).otherwise(0))
+    return j.groupBy(*by, "kind").agg(F.first("floor").alias("floor"), F.sum("_n").alias("n"), (low / F.sum("_n")).alias("refused"))
+
+
+def feature_thresholds(samples: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """by, feature, threshold, n, caught: for each feature the largest threshold that refuses no answerable row (truth 1) of all groups
+    together, and the share of the rows with truth 0 that it catches in each group. Values that are null or not a number take no
+    part in the threshold and are not caught. Both passes aggregate before they shuffle; the thresholds are one row."""
+    real = lambda f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double"))
+    least = samples.filter("truth = 1").agg(*[F.min(real(f)).alias(f"_{f}") for f in features])
+    j = samples.filter("truth = 0").join(F.broadcast(least))
+    a = j.groupBy(*by).agg(F.count("*").alias("n"), *[F.first(f"_{f}").alias(f"_t_{f}") for f in features], *[F.count_if(F.coalesce(real(f) < F.col(f"_{f}"), F.lit(False))).alias(f"_c_{f}") for f in features])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_t_{f}").alias("threshold"), (F.col(f"_c_{f}") / F.col("n")).alias("caught")) for f in features])
+    return a.select(*by, "n", F.inline(rows))
+
+
+def gate_verdict(metrics: DataFrame, floors: dict[str, float]) -> DataFrame:
+    """metrics plus, for each floor, <metric>_ok: measured and at or above it."""
+    return metrics.withColumns({f"{m}_ok": F.coalesce(F.col(m) >= v, F.lit(False)) for m, v in floors.items()})
+
+
+def expected_known(golden: DataFrame, documents: DataFrame) -> DataFrame:
+    """golden (project, expect_file and more) plus scorable: whether the project holds the expected document (project, relative_path)."""
+    d = documents.select(F.col("project").alias("_p"), F.col("relative_path").alias("_f")).distinct()
+    j = golden.join(d, (F.col("project") == F.col("_p")) & (F.col("expect_file") == F.col("_f")), "left")
+    return j.withColumn("scorable", F.col("_f").isNotNull()).drop("_p", "_f")

@@ -127,7 +127,6 @@ def a19(spark, sf_dir):
 sql("t10_worst_misses", f"{_R} SELECT key, rank, score FROM run ORDER BY coalesce(1.0 / (rank + 1), 0) ASC, score DESC, key LIMIT 25")
 sql("t11_deterministic_sample", "SELECT doc_id, md5(CAST(doc_id AS STRING)) AS h FROM {documents} ORDER BY h LIMIT 60", "SELECT doc_id, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents ORDER BY h LIMIT 60")
 sql("q12_gate_verdict", f"{_R}, m AS (SELECT avg(CASE WHEN rank < 5 THEN 1.0 ELSE 0.0 END) AS r5, avg(CASE WHEN heading IS NOT NULL THEN CASE WHEN heading_rank < 5 THEN 1.0 ELSE 0.0 END END) AS h5 FROM run) SELECT r5 >= 0.675 AS recall_ok, h5 >= 0.650 AS heading_ok FROM m")
-sql("z4_probe_floor", f"{_S}, f AS (SELECT max(score) AS floor FROM samples WHERE truth = 0 AND doc_id % 2 = 0) SELECT kind, round(avg(CASE WHEN score < floor THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS refused FROM samples, f WHERE doc_id % 2 = 1 GROUP BY kind")
 sql("z5_feature_threshold", f"{_S}, f AS (SELECT min(score) AS t FROM samples WHERE truth = 1) SELECT kind, round(avg(CASE WHEN truth = 0 AND score < t THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS caught FROM samples, f GROUP BY kind")
 sql("z3_slice_comparison", f"{_R}, b AS (SELECT key, toxic AS slice, coalesce(rank < 5, false) AS before, coalesce(key * 3 % 11 < 5, false) AS now FROM run) SELECT slice, count(*) AS n, CAST(count_if(now AND NOT before) AS BIGINT) AS gained, CAST(count_if(before AND NOT now) AS BIGINT) AS lost, CAST(count_if(now) AS BIGINT) AS hits, count_if(now) * 1000 > count(*) * 400 AS gate FROM b GROUP BY slice")
 sql("n7_unbounded_total", "SELECT label, count(*) AS n, CAST(sum(count(*)) OVER () AS BIGINT) AS total FROM {embeddings} GROUP BY label")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "q1_hybrid_search"
-MODULES = ["q_retrieval", "q_analytics", "q_evaluation", "q_ingest", "q_functions", "q_streaming", "q_runs"]
+MODULES = ["q_retrieval", "q_analytics", "q_evaluation", "q_ingest", "q_functions", "q_streaming", "q_runs", "q_governance"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
