@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import chunker
-from quern.operators import ingest
+from quern.operators import ingest, logbook
 
 
 def embed(table: DataFrame, text: Column, provider: Callable[[list[str]], list[list[float]]], prefix: str = "", out: str = "embedding") -> DataFrame:
@@ -114,8 +114,9 @@ def whats_new(changes: DataFrame, since: Column, starts: Column, limit: int = 50
     return numbered.filter(F.col("_i") <= limit).drop("_i")
 
 
-def accepted_reports(reports: DataFrame, per_hour: int = 20, text_limit: int = 2000, note_limit: int = 1000) -> DataFrame:
-    """Gap reports with text and note cut, without those beyond a reporter's hourly number (a range frame over time)."""
-    w = Window.partitionBy("reporter").orderBy("_t").rangeBetween(-3_600_000_000 + 1, 0)
-    r = reports.withColumn("_t", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("_n", F.count("*").over(w))
-    return r.filter(F.col("_n") <= per_hour).select("reporter", F.substring("query", 1, text_limit).alias("query"), F.substring("note", 1, note_limit).alias("note"), "created_at")
+def accepted_reports(reports: DataFrame, per_hour: int = 20, text_limit: int = 2000, note_limit: int = 1000, key: str = "report_id") -> DataFrame:
+    """Gap reports that a reporter's hourly number accepts (refused ones count for nothing), with text and note cut; the note is
+    trimmed and null if nothing is left."""
+    r = logbook.within_hourly_cap(reports, per_hour, key)
+    note = F.regexp_replace(F.substring("note", 1, note_limit), r"^\s+|\s+$", "")
+    return r.select("reporter", F.substring("query", 1, text_limit).alias("query"), F.when(note != "", note).alias("note"), "created_at")

@@ -74,12 +74,16 @@ def q3(spark, sf_dir):
 
 @register(
     "q5_accepted_reports",
-    """SELECT reporter, query, note, created_at FROM (SELECT user_id AS reporter, 'question ' || event_id AS query, substring(event_type, 1, 4) AS note, ts AS created_at,
- count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '7199.999999 seconds' PRECEDING AND CURRENT ROW) AS n,
- count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999 seconds' PRECEDING AND CURRENT ROW) AS h FROM events) WHERE h <= 1""",
+    """WITH RECURSIVE e AS (SELECT user_id AS who, 'question ' || event_id AS query, substring(event_type, 1, 4) AS note, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (
+  SELECT DISTINCT who, 0::BIGINT AS i, NULL::TIMESTAMP AS last, NULL::VARCHAR AS query, NULL::VARCHAR AS note, NULL::TIMESTAMP AS ts, false AS ok FROM e
+  UNION ALL
+  SELECT e.who, e.i, CASE WHEN r.last > e.ts - INTERVAL 1 HOUR THEN r.last ELSE e.ts END, e.query, e.note, e.ts, NOT coalesce(r.last > e.ts - INTERVAL 1 HOUR, false) FROM r JOIN e ON e.who = r.who AND e.i = r.i + 1)
+SELECT who AS reporter, query, note, ts AS created_at FROM r WHERE ok""",
 )
 def q5(spark, sf_dir):
-    r = table(spark, sf_dir, "events").select(F.col("user_id").alias("reporter"), F.concat(F.lit("question "), "event_id").alias("query"), F.col("event_type").alias("note"), F.col("ts").alias("created_at"))
+    ship(spark)
+    r = table(spark, sf_dir, "events").select(F.col("event_id").alias("report_id"), F.col("user_id").alias("reporter"), F.concat(F.lit("question "), "event_id").alias("query"), F.col("event_type").alias("note"), F.col("ts").alias("created_at"))
     return service.accepted_reports(r, 1, note_limit=4)
 
 

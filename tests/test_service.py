@@ -46,9 +46,10 @@ def test_journal_rules(spark):
 
 
 def test_reports_are_limited(spark):
-    rows = [("r", f"q{i}", "n", f"2024-01-01 00:{i:02d}:00") for i in range(5)]
-    r = spark.createDataFrame(rows, "reporter string, query string, note string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
-    assert service.accepted_reports(r, 3).count() == 3
+    rows = [(i, "r", f"q{i}", " " if i == 1 else " n", f"2024-01-01 00:{i * 15 % 60:02d}:0{i // 4}") for i in range(4)] + [(4, "r", "q4", None, "2024-01-01 01:00:00"), (5, "r", "q5", None, "2024-01-01 01:00:01")]
+    r = spark.createDataFrame(rows, "report_id long, reporter string, query string, note string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    # q3 (00:45) is refused and counts for nothing; q0 is an hour old at 01:00 and makes room for q4 alone
+    assert {x["query"]: x.note for x in service.accepted_reports(r, 3).collect()} == {"q0": "n", "q1": None, "q2": "n", "q4": None}
 
 
 def test_verdicts(spark):
