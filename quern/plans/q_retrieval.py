@@ -58,7 +58,7 @@ def _questions(spark, sf_dir):
     """User turns, asked in every text configuration."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user' AND conv_id % 50 = 0").select(F.expr("conv_id * 1000 + turn").alias("query_id"), "text")
     langs = table(spark, sf_dir, "documents").select(F.col("lang").alias("config")).distinct()
-    return c.join(small(langs)).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    return c.join(small(langs)).withColumn("tokens", lexical.tokens(F.col("text")))
 
 
 def _lexical(spark, sf_dir, **how):
@@ -214,7 +214,7 @@ def q1_scoped(spark, sf_dir):
     )
     projects = spark.sql("SELECT lang AS project, CASE WHEN lang = 'es' THEN 'old' ELSE 'base' END AS model FROM (SELECT DISTINCT lang FROM {d}) UNION ALL SELECT 'it', 'base'", d=table(spark, sf_dir, "documents"))
     status = cut(scoped.outcomes(requests, projects, docs, "base"), "outcomes")
-    asked = status.filter("status = 'ok'").withColumn("config", F.col("project")).withColumn("tokens", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))
+    asked = status.filter("status = 'ok'").withColumn("config", F.col("project")).withColumn("tokens", lexical.tokens(F.col("text")))
     asked = cut(service.embed(asked, F.lower("text"), service.letters), "asked")
     hits = scoped.search(service.embed(chunks, F.lower("content"), service.letters), asked, _order())
     return status.select("query_id", "status").join(hits, "query_id", "left").select("query_id", "status", "position", "doc_id", "chunk_index", F.round("fused", 9).alias("fused"))
