@@ -46,8 +46,9 @@ def record_run(history: DataFrame, run: DataFrame, by: list[str], at: str, keep:
 
 def first_due(sources: DataFrame, interval: str, now: Column, seed: int = 7) -> DataFrame:
     """sources plus first_due: now and a random part of the source's interval in seconds, so that sources made together
-    do not fall due together. The part comes from a hash of the source: a rerun gives the same."""
-    share = F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    do not fall due together. The part comes from a hash of the source (32 bits of an MD5 digest): a rerun gives the same."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8)
+    share = F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 32))
     return sources.withColumn("first_due", F.timestamp_micros((F.unix_micros(now) + share * F.col(interval) * 1_000_000).cast("long")))
 
 

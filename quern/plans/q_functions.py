@@ -50,7 +50,7 @@ def x8(spark, sf_dir):
     return d.select("doc_id", S.embedding_text(F.when(F.expr("doc_id % 2 = 0"), F.col("source")), F.col("text")).alias("t"))
 
 
-@register("x9_stored_content", None)
+@register("x9_stored_content", "SELECT doc_id, CASE WHEN strlen(text) > 300 THEN (SELECT substring(text, 1, max(n)::INT) FROM range(301) r(n) WHERE strlen(substring(text, 1, n::INT)) <= 300) ELSE text END AS content, strlen(text) > 300 AS truncated FROM documents")
 def x9(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.stored_content(F.col("text"), 300).alias("s")).select("doc_id", "s.*")
 
@@ -77,7 +77,11 @@ def v6(spark, sf_dir):
     return li.select("l_orderkey", "l_linenumber", S.overlap_budget(F.lit(96), F.col("l_linenumber"), F.col("l_quantity").cast("int")).alias("budget"))
 
 
-@register("h2_hmac_finding", None)
+_KEY = bytes.fromhex("00112233445566778899aabbccddeeff").ljust(64, b"\0")
+_PADS = [bytes(b ^ x for b in _KEY).hex() for x in (0x36, 0x5C)]
+
+
+@register("h2_hmac_finding", f"SELECT doc_id, mac, left(mac, 12) AS group_id FROM (SELECT doc_id, sha256(unhex('{_PADS[1]}' || sha256(unhex('{_PADS[0]}' || hex(encode(text)))))) AS mac FROM documents)")
 def h2(spark, sf_dir):
     h = S.hmac_sha256("00112233445566778899aabbccddeeff", F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", h.alias("mac"), F.substring(h, 1, 12).alias("group_id"))

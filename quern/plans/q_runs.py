@@ -73,7 +73,7 @@ def q16(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", R.prompt("answer", "text").alias("prompt"))
 
 
-@register("d7_first_due", None)
+@register("d7_first_due", "SELECT source, 3600 AS seconds, make_timestamp(trunc(epoch_us(TIMESTAMP '2024-01-01') + CAST('0x' || substr(md5('7:' || source), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 3600 * 1000000)::BIGINT) AS first_due FROM (SELECT 's' || s_suppkey AS source FROM supplier)")
 def d7(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("source"), F.lit(3600).alias("seconds"))
     return R.first_due(s, "seconds", F.to_timestamp(F.lit("2024-01-01 00:00:00"))).withColumn("first_due", F.col("first_due").cast("timestamp_ntz"))

@@ -20,16 +20,42 @@ def r1(spark, sf_dir):
     return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
-@register("r2_stream_limiter", None)
+_IN_ORDER = "e AS (SELECT user_id AS token, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+
+
+@register(
+    "r2_stream_limiter",
+    f"""WITH RECURSIVE {_IN_ORDER},
+r AS (
+  SELECT DISTINCT token, 0::BIGINT AS i, []::BIGINT[] AS taken, NULL::BIGINT AS t, 0::BIGINT AS wait FROM e
+  UNION ALL
+  SELECT token, i, CASE WHEN len(l) < 2 THEN list_append(l, t) ELSE l END, t, CASE WHEN len(l) < 2 THEN 0 ELSE l[1] + 7200000000 - t END
+  FROM (SELECT e.*, list_filter(r.taken, lambda x: x > e.t - 7200000000) AS l FROM r JOIN e ON e.token = r.token AND e.i = r.i + 1) s)
+SELECT token, round(t / 1e6, 6) AS at, wait = 0 AS admitted, round(wait / 1e6, 6) AS wait FROM r WHERE i > 0""",
+)
 def r2(spark, sf_dir):
     ship(spark)
-    return jobs.drain(jobs.sliding_limiter(jobs.events_stream(spark, sf_dir), 2, 7200.0), "limiter")
+    out = jobs.drain(jobs.sliding_limiter(jobs.events_stream(spark, sf_dir), 2, 7200.0), "limiter")
+    return out.withColumns({c: F.round(c, 6) for c in ("at", "wait")})
 
 
-@register("r6_stream_coalescing", None)
+@register(
+    "r6_stream_coalescing",
+    f"""WITH RECURSIVE {_IN_ORDER},
+r AS (
+  SELECT DISTINCT token, 0::BIGINT AS i, NULL::BIGINT AS last, NULL::BIGINT AS due, NULL::BIGINT AS fired, NULL::BIGINT AS started FROM e
+  UNION ALL
+  SELECT token, i, CASE WHEN now THEN t ELSE last1 END, CASE WHEN now THEN due1 ELSE coalesce(due1, last1 + 3600000000) END, CASE WHEN fire THEN due END, CASE WHEN now THEN t END
+  FROM (SELECT *, coalesce(last1 + 3600000000 <= t, true) AS now FROM (
+    SELECT e.*, due, coalesce(e.t >= due, false) AS fire, CASE WHEN e.t >= due THEN due ELSE last END AS last1, CASE WHEN e.t >= due THEN NULL ELSE due END AS due1 FROM r JOIN e ON e.token = r.token AND e.i = r.i + 1) a) b),
+rest AS (SELECT token, arg_max(coalesce(due, -1), i) AS due FROM r GROUP BY token),
+runs AS (SELECT token, fired AS t, 'deferred' AS kind FROM r WHERE fired IS NOT NULL UNION ALL SELECT token, started, 'now' FROM r WHERE started IS NOT NULL
+  UNION ALL SELECT token, due, 'deferred' FROM rest WHERE due > 0 AND due // 1000 < (SELECT max(t) // 1000 FROM e))
+SELECT token, round(t / 1e6, 6) AS at, kind FROM runs""",
+)
 def r6(spark, sf_dir):
     ship(spark)
-    return jobs.drain(jobs.coalesced_runs(jobs.events_stream(spark, sf_dir), 3600.0), "coalesce")
+    return jobs.drain(jobs.coalesced_runs(jobs.events_stream(spark, sf_dir), 3600.0), "coalesce").withColumn("at", F.round("at", 6))
 
 
 @register("c1_chunk_documents", None)
