@@ -139,3 +139,33 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """facet, value, n of several columns in one pass over the rows; null values are left out."""
     pairs = F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns])
     return rows.select(F.inline(pairs)).filter("value IS NOT NULL").groupBy("facet", "value").agg(F.count("*").alias("n"))
+
+
+def _three(x: Column) -> Column:
+    """A number with three digits behind the point, halves up."""
+    n = F.floor(x * 1000 + 0.5)
+    return F.concat(F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+
+
+def _many(n: Column, word: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {word}").otherwise(f" {word}s"))
+
+
+def question_lines(questions: DataFrame, returned: DataFrame, order: list[Column], first: int = 12) -> DataFrame:
+    """place, line: the JSON lines (id, query, note) of an export of questions for people to turn into a golden set, in their order.
+
+    questions: query_norm, spelling, asked, tokens, unknown (rows of no token), days, first_at, last_at, best_score; returned: query_norm,
+    place, path, best, times, a few a question. The note says how often, by whom and when it was asked, its best score ever and
+    what came back, and asks for the document that should have answered."""
+    parts = F.concat("path", F.lit(" ("), _three(F.col("best")), F.lit(", "), F.col("times").cast("string"), F.lit("x)"))
+    lists = returned.groupBy("query_norm").agg(F.array_sort(F.collect_list(F.struct("place", parts.alias("text")))).alias("_hits"))
+    q = question_ids(questions, order, first=first).join(lists, "query_norm", "left")
+    who = F.when(F.col("tokens") > 0, F.concat(F.lit("by "), _many(F.col("tokens"), "token"), F.when(F.col("unknown") > 0, F.concat(F.lit(" and "), F.col("unknown").cast("string"), F.lit(" unattributed"))).otherwise("")))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    note = F.concat(
+        F.lit("Asked "), F.col("asked").cast("string"), F.lit("x "), who.otherwise("by nobody known"), F.lit(" on "), _many(F.col("days"), "day"), F.lit(", "), day("first_at"), F.lit(" to "), day("last_at"),
+        F.lit(". Best score: "), F.coalesce(_three(F.col("best_score")), F.lit("none")), F.lit(". Returned: "), F.coalesce(F.array_join(F.transform("_hits", lambda x: x["text"]), "; "), F.lit("nothing")),
+        F.lit(". To do: name the document that should have answered, or delete this line."),
+    )
+    line = F.to_json(F.struct("id", F.col("spelling").alias("query"), note.alias("note")))
+    return q.select(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "query_norm").alias("place"), line.alias("line"))

@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from quern.operators import analytics
 from quern.operators import evaluation as E
 from quern.operators import findings as S
 from quern.operators import logbook as L
@@ -129,6 +130,37 @@ def k13(spark, sf_dir):
     return L.question_ids(q, [-F.col("asked")]).select("query_norm", "asked", "id")
 
 
+_THREE = "floor({x} * 1000 + 0.5)::BIGINT // 1000 || '.' || lpad((floor({x} * 1000 + 0.5)::BIGINT % 1000)::VARCHAR, 3, '0')"
+
+
+@register(
+    "k13_question_lines",
+    f"""WITH {A.LOG}, {A.HITS}, q AS (SELECT query_norm, arg_max(query_text, (created_at, query_id)) AS spelling, count(*) AS asked, count(DISTINCT CASE WHEN token % 9 > 0 THEN token END) AS tokens, count(*) FILTER (token % 9 = 0) AS unknown,
+ count(DISTINCT created_at::DATE) AS days, min(created_at) AS first_at, max(created_at) AS last_at, max(top_score) AS best_score FROM log GROUP BY query_norm),
+h AS (SELECT query_norm, doc_id, count(*) AS times, max(score) AS best FROM hits JOIN log USING (query_id) GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_norm ORDER BY times DESC, best DESC, doc_id) AS place FROM h),
+l AS (SELECT query_norm, string_agg('doc ' || doc_id || ' (' || {_THREE.format(x='best')} || ', ' || times || 'x)', '; ' ORDER BY place) AS hits FROM t WHERE place <= 3 GROUP BY query_norm)
+SELECT to_json({{'id': 'q-' || substring(sha256(query_norm), 1, 12), 'query': spelling, 'note': 'Asked ' || asked || 'x by ' || tokens || CASE tokens WHEN 1 THEN ' token' ELSE ' tokens' END || CASE WHEN unknown > 0 THEN ' and ' || unknown || ' unattributed' ELSE '' END
+ || ' on ' || days || CASE days WHEN 1 THEN ' day, ' ELSE ' days, ' END || strftime(first_at, '%Y-%m-%d') || ' to ' || strftime(last_at, '%Y-%m-%d') || '. Best score: ' || coalesce({_THREE.format(x='best_score')}, 'none')
+ || '. Returned: ' || coalesce(hits, 'nothing') || '. To do: name the document that should have answered, or delete this line.'}})::VARCHAR AS line FROM q LEFT JOIN l USING (query_norm)""",
+)
+def k13_lines(spark, sf_dir):
+    log = A.query_log(spark, sf_dir)
+    known = F.when(F.col("token") % 9 > 0, F.col("token"))
+    q = log.groupBy("query_norm").agg(
+        L.latest("query_text", ["created_at", "query_id"]).alias("spelling"),
+        F.count("*").alias("asked"),
+        F.count_distinct(known).alias("tokens"),
+        F.count_if(known.isNull()).alias("unknown"),
+        F.count_distinct(F.to_date("created_at")).alias("days"),
+        F.min("created_at").alias("first_at"),
+        F.max("created_at").alias("last_at"),
+        F.max("top_score").alias("best_score"),
+    )
+    top = analytics.top_hits(log, A.query_hits(spark, sf_dir)).withColumn("path", F.concat(F.lit("doc "), "doc_id"))
+    return L.question_lines(q, top, [-F.col("asked")]).select("line")
+
+
 AUDIT = "SELECT event_id, ts AS created_at, CASE WHEN user_id % 4 > 0 THEN concat('p', user_id % 4) END AS project, event_type AS action, user_id AS actor FROM {events}"
 
 

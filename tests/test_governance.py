@@ -67,6 +67,17 @@ def test_question_ids_grow_where_they_collide(spark):
     assert got == want and len({len(v) for v in want.values()}) > 1
 
 
+def test_lines_of_questions(spark):
+    import json
+
+    q = spark.createDataFrame([("a", "A?", 2, 1, 1, 1, DAY, DAY, 0.1235), ("b", 'say "b"', 1, 0, 1, 1, DAY, DAY, None)], "query_norm string, spelling string, asked long, tokens long, unknown long, days long, first_at timestamp_ntz, last_at timestamp_ntz, best_score double")
+    back = spark.createDataFrame([("a", 2, "y", 0.05, 1), ("a", 1, "x", 0.9996, 3)], "query_norm string, place int, path string, best double, times long")
+    got = [json.loads(r.line) for r in logbook.question_lines(q, back, [-F.col("asked")]).orderBy("place").collect()]
+    assert [g["query"] for g in got] == ["A?", 'say "b"'] and got[0]["id"].startswith("q-") and len(got[0]["id"]) == 14
+    assert "by 1 token and 1 unattributed on 1 day, 2024-01-01 to" in got[0]["note"] and "Best score: 0.124. Returned: x (1.000, 3x); y (0.050, 1x)." in got[0]["note"]
+    assert "by nobody known" in got[1]["note"] and "Best score: none. Returned: nothing." in got[1]["note"]
+
+
 def test_groups_of_reports(spark):
     rows = [(1, "q", "Q", "a", None, DAY), (2, "q", "q?", "a", "old", DAY), (3, "q", "q!", None, None, DAY + timedelta(days=1)), (4, None, "x", None, None, None)]
     df = spark.createDataFrame(rows, "report_id long, query_norm string, query string, token string, note string, created_at timestamp_ntz")
