@@ -29,8 +29,15 @@ def ranks(rows: DataFrame, wanted: dict[str, tuple[str, bool]], bounded: int = B
     """rows plus a rank over the whole table for each name: (column, descending). Equal values share a rank, nulls one too: the
     first if ascending, the last if descending. Columns are numbers (compared as doubles).
 
-    The values of all columns are counted in one pass; ranks are joined back by value, as a broadcast if the list of values is
-    short, which no common value can slow down."""
+    Up to `bounded` rows are ranked as they are, each column in one task; they are counted first, so they should be written.
+    Of more, the values of all columns are counted in one pass, and ranks are joined back by value, as a broadcast if the list of
+    values is short, which no common value can slow down."""
+    if rows.limit(bounded + 1).count() <= bounded:
+        for name, (c, down) in wanted.items():
+            v = F.col(c).cast("double")
+            last = F.when(F.col(c).isNull(), 2 if down else 0).otherwise(1)
+            rows = rows.withColumn(name, F.rank().over(Window.partitionBy(F.lit(0)).orderBy(last, -v if down else v)).cast("long"))
+        return rows
     entries = [F.struct(F.lit(name).alias("_what"), (-F.col(c).cast("double") if down else F.col(c).cast("double")).alias("_v"), (F.col(c).isNull() != F.lit(down)).alias("_first")) for name, (c, down) in wanted.items()]
     counts = cut(rows.select(F.inline(F.array(*entries))).groupBy("_what", "_v", "_first").agg(F.count("*").alias("_c")), "ranks")
     # nulls go before or after all numbers: their place is that of an infinity, which they share with none

@@ -84,7 +84,7 @@ def test_ranks_of_skewed_and_many_values(spark):
     rows = [(i, 5.0 if i % 2 else 1.0 + i * 1e-9, None if i % 11 == 0 else float(i % 5)) for i in range(400)]  # half share a value, the others lie close
     t = spark.createDataFrame(rows, "id long, a double, b double").repartition(4)
     want = {i: (1 + sum(x > a for _, x, _ in rows), 1 + sum((y is not None, y or 0) < (b is not None, b or 0) for _, _, y in rows)) for i, a, b in rows}
-    for bounded in (ranks.BOUNDED, 10):
+    for bounded in (ranks.BOUNDED, 250, 10):  # rows as they are, a short list of values, range partitions
         got = ranks.ranks(t, {"ra": ("a", True), "rb": ("b", False)}, bounded)
         assert {r.id: (r.ra, r.rb) for r in got.collect()} == want
     plan = ranks.ranks(t, {"ra": ("a", True), "rb": ("b", False)})._jdf.queryExecution().toString()
