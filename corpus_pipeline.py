@@ -20,7 +20,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (similarity 0.8 of five-word shingles)."""
+    """One row of each group of near duplicates (similarity 0.8 of five-word shingles). Candidates are near fingerprints, by
+    multi-index hashing, and shared bands of signatures, which reach down to 0.8; each is verified on whole sets."""
     ship(spark)
     return neardup.drop_near_duplicates(docs)
 

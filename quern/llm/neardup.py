@@ -1,8 +1,10 @@
-"""Near duplicates by exact Jaccard similarity of word-shingle sets; candidates come from bands of circulant MinHash.
+"""Near duplicates by exact Jaccard similarity of word-shingle sets; candidates come from bands of circulant MinHash, in the
+pipeline's stage from multi-index hashing of 64-bit fingerprints too.
 
 A text is the set of its shingles (a text of fewer words is one shingle). Two texts link if 100 * intersection >= 80 *
 union, in whole numbers. Candidates share a band of ROWS coordinates in one of BANDS bands: a pair at 0.8 is missed with
-probability (1 - 0.8**4)**28 = 4e-7, one above it less often. Every candidate is verified on the complete sets.
+probability (1 - 0.8**4)**28 = 4e-7, one above it less often. Fingerprints (majority votes of a set's hashes) within two
+bits are candidates as well; they reach almost equal texts only. Every candidate is verified on the complete sets.
 
 Texts of equal sets are one node. In each bucket all nodes are first compared with its smallest one, which is linear
 and joins most members of a large group. Buckets that still hold more than one component are then compared pair by
@@ -17,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm import simhash
 from quern.llm import textkernel as tk
 from quern.llm.circulant import band_keys
 from quern.llm.components import components
@@ -48,12 +51,13 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE):
         yield i, g, np.searchsorted(at, wo)
 
 
-def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """_h, doc_id, _node (hash of the set, 0 for an empty one), n (its size) and bands of every row."""
+def signatures(docs: DataFrame, shingle: int, bands: int, rows: int, votes: bool = False) -> DataFrame:
+    """_h, doc_id, _node (hash of the set, 0 for an empty one), n (its size), bands and _fp of every row: the fingerprint of
+    the set if votes are asked for, else 0."""
 
     def run(batches):
         for batch in batches:
-            node, size = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            node, size, fp = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             keys = np.zeros((batch.num_rows, bands), np.int64)
             for i, g, off in shingle_sets(batch.column(2), shingle):
                 some = np.flatnonzero(np.diff(off))
@@ -63,10 +67,12 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                     own = np.unique(g[off[k] : off[k + 1]])
                     size[i + k] = len(own)
                     node[i + k] = np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64)
+                    if votes:
+                        fp[i + k] = np.uint64(simhash.fingerprint(own)).view(np.int64)
             flat = pa.ListArray.from_arrays(np.arange(0, (batch.num_rows + 1) * bands, bands, dtype=np.int32), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(size), flat], names=["_h", "doc_id", "_node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), pa.array(size), flat, pa.array(fp)], names=["_h", "doc_id", "_node", "n", "bands", "_fp"])
 
-    return docs.select("_h", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_h long, doc_id long, _node long, n long, bands array<long>")
+    return docs.select("_h", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "_h long, doc_id long, _node long, n long, bands array<long>, _fp long")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -120,30 +126,50 @@ def forest(sets: list[np.ndarray], part: np.ndarray, label: list, percent: int)
     return out
 
 
-def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(node, root) of the nodes that have a link; rows as signatures() gives them, docs with _h and text."""
-    nodes = cut(rows.filter("n > 0").groupBy("_node").agg(F.min("_h").alias("_h"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nd-nodes")
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes (_node, _fp) whose fingerprints differ in two bits at most, by multi-index hashing. The smallest node
+    stands for all of one fingerprint and is paired with each of them, so rows grow with nodes, not pairs."""
+    fps = cut(nodes.groupBy("_fp").agg(F.min("_node").alias("_rep")), "nd-fps")
+    equal = nodes.join(fps, "_fp").filter("_node <> _rep").select(F.col("_rep").alias("a"), F.col("_node").alias("b"))
+    ends = [fps.select(F.col("_fp").alias(k), F.col("_rep").alias(f"_{k}")) for k in ("a", "b")]
+    near = simhash.links(fps.select("_fp")).join(ends[0], "a").join(ends[1], "b")
+    return equal.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+
+
+def undecided(met: DataFrame, label: DataFrame) -> DataFrame:
+    """t, key, _node, root, _m (parts that its bucket is dealt into): the rows (t, key, _node, n) of the buckets that are more than
+    one component."""
+    named = met.select("t", "key", "_node", "n").join(label, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    chunks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
+    mixed = named.groupBy("t", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), chunks.alias("_m")).filter("_lo <> _hi").select("t", "key", "_m")
+    return named.join(mixed, ["t", "key"]).select("t", "key", "_node", "root", "_m")
+
+
+def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, percent: int, votes: bool = False) -> DataFrame:
+    """(node, root) of the nodes that have a link; rows as signatures() gives them, docs with _h and text. votes: nodes with
+    near fingerprints are compared too."""
+    first = [F.first(c).alias(c) for c in ("n", "bands", "_fp")]
+    nodes = cut(rows.filter("n > 0").groupBy("_node").agg(F.min("_h").alias("_h"), *first), "nd-nodes")
     keys = nodes.select("_node", "n", F.posexplode("bands").alias("t", "key"))
     held = keys.groupBy("t", "key").agg(F.min("_node").alias("hub"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
     met = cut(keys.join(held, ["t", "key"]), "nd-met")
-    star = cut(met.filter("_node <> hub").select(F.col("hub").alias("a"), F.col("_node").alias("b")).distinct(), "nd-star")
-    wanted = nodes.join(met.select("_node").distinct(), "_node", "left_semi").select("_node", "_h")
+    others = met.filter("_node <> hub")
+    star = others.select(F.col("hub").alias("a"), F.col("_node").alias("b"))
+    star = cut((star.unionByName(fingerprint_pairs(nodes.select("_node", "_fp"))) if votes else star).distinct(), "nd-star")
+    paired = star.select(F.col("a").alias("_node")).union(star.select("b")).distinct()
+    wanted = nodes.join(paired, "_node", "left_semi").select("_node", "_h")
     sets = cut(_sets(docs.select("_h", "text").join(wanted, "_h"), shingle).groupBy("_node").agg(F.first("set").alias("set")), "nd-sets")
 
     def verify(batches):
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(4)]
-            ok = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(cols[2], cols[3])]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, o in zip(c, ok) if o], pa.int64()) for c in cols[:2]], names=["a", "b"])
+            ok = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = star.join(sets.select(F.col("_node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("_node").alias("b"), F.col("set").alias("y")), "b")
     first = cut(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "nd-links")
     label = components(first).select(F.col("node").alias("_node"), "root")
 
-    named = met.drop("hub").join(label, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
-    chunks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
-    mixed = named.groupBy("t", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), chunks.alias("_m")).filter("_lo <> _hi").select("t", "key", "_m")
-    parts = named.join(mixed, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("_node"), F.col("_m")).cast("int"))
+    parts = undecided(met, label).withColumn("part", F.pmod(F.xxhash64("_node"), F.col("_m")).cast("int"))
     parts = parts.select("t", "key", "_node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
     blocks = parts.select("t", "key", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "_node", "root", "part").join(sets, "_node")
 
@@ -153,7 +179,7 @@ def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, percent: int)
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         found = []
         if i == j or len(np.unique(part)) > 1:
-            found = forest([np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()], part, t.column("root").to_pylist(), percent)
+            found = forest([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")], part, t.column("root").to_pylist(), percent)
         return pa.table({"a": pa.array([ids[x] for x, _ in found], pa.int64()), "b": pa.array([ids[y] for _, y in found], pa.int64())})
 
     rest = cut(blocks.groupBy("t", "key", "i", "j").applyInArrow(search, "a long, b long"), "nd-links")
@@ -191,8 +217,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int =
     plain = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(docs.columns)]
     own = [f"k_{i}" for i in range(len(plain))]
     hashed = docs.select(*plain, F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_h", F.xxhash64(*[F.isnull(c) for c in own], *own))
-    rows = cut(signatures(hashed, shingle, BANDS, ROWS), "nd-rows")
-    label = similar_nodes(rows, hashed, shingle, percent).select(F.col("node").alias("_node"), "root")
+    rows = cut(signatures(hashed, shingle, BANDS, ROWS, votes=True), "nd-rows")
+    label = similar_nodes(rows, hashed, shingle, percent, votes=True).select(F.col("node").alias("_node"), "root")
     # equal rows share _h: how often it stands tells whether the kept row must be cut to one
     same = rows.groupBy("_h", "doc_id", "_node").agg(F.count("*").alias("_c"))
     best = same.join(label, "_node", "left").groupBy(F.coalesce("root", "_node").alias("_root")).agg(F.min(F.struct(F.isnull("doc_id").alias("_none"), "doc_id", "_h", "_c")).alias("_k"))

@@ -32,9 +32,9 @@ HOT_BUCKET = 16
 _VOTES = 1 << 15
 
 
-def fingerprint(shingles: list[int]) -> int:
+def fingerprint(shingles: list[int] | np.ndarray) -> int:
     """Majority of each bit over hashes; 0 for none. Exactly half of them set: the bit is 0."""
-    if not shingles:
+    if not len(shingles):
         return 0
     n, votes = len(shingles), np.zeros(64, np.int64)
     h = np.array(shingles, np.uint64)

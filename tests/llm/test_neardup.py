@@ -70,3 +70,24 @@ def test_one_row_of_each_component_whatever_its_id(spark):
     hot = spark.createDataFrame([(3, f"text number {i} of many", "en", "s", 1) for i in range(50)], COLUMNS)
     assert corpus_pipeline.distinct_documents(spark, hot, "").count() == 50
     assert corpus_pipeline.distinct_documents(spark, docs.filter("false"), "").count() == 0
+
+
+def test_near_fingerprints_are_candidates_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BANDS", 1)
+    monkeypatch.setattr(neardup, "ROWS", 3000)  # one band of so many coordinates, which only equal sets share
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    texts = [" ".join(base), " ".join(base[:2000] + ["other"] + base[2001:]), " ".join(base[:3900]), "some other text of its own", " ".join(rng.sample(base, 4000))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], COLUMNS).repartition(2)
+    rows = neardup.signatures(docs.withColumn("_h", docs.doc_id), neardup.SHINGLE, 1, 3000, votes=True).collect()
+    fps, bands = {r.doc_id: r._fp % 2**64 for r in rows}, {r.doc_id: r.bands for r in rows}
+    assert len({tuple(b) for b in bands.values()}) == 5
+    linked = {i for i in range(1, 5) if (fps[0] ^ fps[i]).bit_count() <= 2}
+    assert 1 in linked and not linked & {3, 4}
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()) == sorted(set(range(5)) - linked)
+
+
+def test_fingerprint_pairs(spark):
+    nodes = [(5, 0), (3, 0), (9, 3), (7, 3 << 40), (1, 7), (8, -1), (2, -2), (4, 0x55555555)]
+    pairs = [tuple(r) for r in neardup.fingerprint_pairs(spark.createDataFrame(nodes, "_node long, _fp long")).distinct().collect()]
+    assert sorted(pairs) == [(1, 9), (2, 8), (3, 5), (3, 7), (3, 9)]
