@@ -7,8 +7,9 @@ probability (1 - 0.8**4)**28 = 4e-7, one above it less often. Fingerprints (majo
 bits are candidates as well; they reach almost equal texts only. Every candidate is verified on the complete sets.
 
 Texts of equal sets are one node. In each bucket all nodes are first compared with its smallest one, which is linear
-and joins most members of a large group. Buckets that still hold more than one component are then compared pair by
-pair in blocks of bounded size; a block returns a spanning forest of its links, so rows grow with members, not pairs.
+and joins most members of a large group. Where the others of a bucket are still more than one component, they are then
+compared pair by pair in blocks of bounded size (the smallest one has met them all); a block returns a spanning forest of
+its links, so rows grow with members, not pairs.
 """
 
 from __future__ import annotations
@@ -136,10 +137,10 @@ def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(near.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
 
 
-def undecided(met: DataFrame, label: DataFrame) -> DataFrame:
+def undecided(others: DataFrame, label: DataFrame) -> DataFrame:
     """t, key, _node, root, _m (parts that its bucket is dealt into): the rows (t, key, _node, n) of the buckets that are more than
-    one component."""
-    named = met.select("t", "key", "_node", "n").join(label, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
+    one component. The smallest node of a bucket, which has met all others, is not among the rows."""
+    named = others.select("t", "key", "_node", "n").join(label, "_node", "left").withColumn("root", F.coalesce("root", "_node"))
     chunks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int")
     mixed = named.groupBy("t", "key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), chunks.alias("_m")).filter("_lo <> _hi").select("t", "key", "_m")
     return named.join(mixed, ["t", "key"]).select("t", "key", "_node", "root", "_m")
@@ -169,7 +170,7 @@ def similar_nodes(rows: DataFrame, docs: DataFrame, shingle: int, percent: int,
     first = cut(pairs.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "nd-links")
     label = components(first).select(F.col("node").alias("_node"), "root")
 
-    parts = undecided(met, label).withColumn("part", F.pmod(F.xxhash64("_node"), F.col("_m")).cast("int"))
+    parts = undecided(others, label).withColumn("part", F.pmod(F.xxhash64("_node"), F.col("_m")).cast("int"))
     parts = parts.select("t", "key", "_node", "root", "part", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_o"))
     blocks = parts.select("t", "key", F.least("part", "_o").alias("i"), F.greatest("part", "_o").alias("j"), "_node", "root", "part").join(sets, "_node")
 

@@ -91,3 +91,23 @@ def test_fingerprint_pairs(spark):
     nodes = [(5, 0), (3, 0), (9, 3), (7, 3 << 40), (1, 7), (8, -1), (2, -2), (4, 0x55555555)]
     pairs = [tuple(r) for r in neardup.fingerprint_pairs(spark.createDataFrame(nodes, "_node long, _fp long")).distinct().collect()]
     assert sorted(pairs) == [(1, 9), (2, 8), (3, 5), (3, 7), (3, 9)]
+
+
+def test_blocks_find_links_that_do_not_touch_the_smallest_node(spark):
+    docs = []
+    for g in range(6):
+        base = [f"w{g}x{i}" for i in range(100)]
+        for k in range(6):  # copies of a base, each with other words at its end
+            w = base[: 100 - 3 * k] + [f"y{g}k{k}i{i}" for i in range(3 * k)]
+            docs.append((len(docs), " ".join(w)))
+    sets = [shingles(t) for _, t in docs]
+    want = union(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if near(sets[i], sets[j])])
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs], COLUMNS).repartition(2)
+    assert sorted(r.doc_id for r in corpus_pipeline.distinct_documents(spark, frame, "").collect()) == sorted(set(want))
+
+
+def test_buckets_whose_pairs_have_all_been_met_are_not_compared_again(spark):
+    # buckets by key: 1 has one node besides the smallest, 2 two of one component, 3 two of two
+    others = spark.createDataFrame([(0, 1, 11, 5), (0, 2, 21, 5), (0, 2, 22, 5), (0, 3, 31, 5), (0, 3, 32, 5)], "t int, key long, _node long, n long")
+    label = spark.createDataFrame([(21, 20), (22, 20), (31, 30)], "_node long, root long")
+    assert sorted(tuple(r) for r in neardup.undecided(others, label).collect()) == [(0, 3, 31, 30, 1), (0, 3, 32, 32, 1)]
