@@ -1,7 +1,9 @@
 """The scheduler against a plain one, with a restart between any two feeds."""
 
 import datetime as dt
+import random
 
+import pandas as pd
 import pytest
 
 from quern.streaming import timers
@@ -75,3 +77,74 @@ def test_decisions_across_restarts(rocks, tmp_path):
     kinds = {g[3] for g in got}
     assert kinds == {"webhook", "stale", "unchanged", "scheduled"}
     assert got == plain(FEEDS)
+
+
+class Held:
+    """State of one project in memory, as the engine's handle gives it: counts requests and keeps the timers asked for."""
+
+    def __init__(self):
+        self.map, self.list, self.timers, self.requests = {}, [], set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        return self
+
+    def _asked(self, found=None):
+        self.requests += 1
+        return found
+
+    registerTimer = lambda self, at: self._asked(self.timers.add(at))
+    containsKey = lambda self, k: self._asked(k in self.map)
+    getValue = lambda self, k: self._asked(self.map.get(k))
+    updateValue = lambda self, k, v: self._asked(self.map.__setitem__(k, tuple(v)))
+    removeKey = lambda self, k: self._asked(self.map.pop(k))
+    iterator = lambda self: self._asked(iter(list(self.map.items())))
+    get = lambda self: self._asked(iter(list(self.list)))
+    clear = lambda self: self._asked(self.list.clear())
+    appendValue = lambda self, v: self._asked(self.list.append(tuple(v)))
+    appendList = lambda self, vs: self._asked(self.list.extend(vs))
+
+
+class Now:
+    def __init__(self, mark):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: mark
+
+
+def test_requests_to_state_do_not_grow_with_rows():
+    """Many rows of a project in few batches: ticks are those of the plain scheduler, a timer a batch is asked for, and state is asked
+    a number of times that the sources bound."""
+    rng, feeds, known = random.Random(7), [], set()
+    for n in range(4):
+        rows, at = [], 2000 * n
+        while at < 2000 * n + 1900:
+            at += rng.randrange(1, 5)
+            source = rng.choice("abcd")
+            kind = rng.choice(["webhook", "webhook", "probe", "synced", "forget" if rng.random() < 0.05 else "probe"]) if source in known else "register"
+            if kind == "synced" and source == "c":
+                kind = "probe"  # c is never synced, and so stale
+            known = known | {source} if kind == "register" else known - {source} if kind == "forget" else known
+            more = (rng.choice([40.0, 150.0]), 20.0 if source == "c" else None, None) if kind == "register" else (None, None, rng.choice(["v1", "v2", None]))
+            rows.append(("p", source, at + rng.randrange(1000) / 1000, kind, *more))
+        feeds.append(rows)
+    held, mark, got = Held(), 0, []
+    job = timers.Scheduler()
+    job.init(held)
+    for feed in feeds:
+        before = held.requests, len(held.timers)
+        frame = pd.DataFrame([(p, s, dt.datetime.fromtimestamp(at, dt.timezone.utc).replace(tzinfo=None), *rest) for p, s, at, *rest in feed], columns=["project", "source", "at", "kind", "interval", "max_age", "token"])
+        parts = [frame.iloc[1::2], frame.iloc[::2]]  # a group may come in several parts, in no order
+        for out in job.handleInputRows(("p",), iter(parts), Now(mark)):
+            assert not len(out)
+        assert len(held.timers) - before[1] <= 1
+        mark = round(max(r[2] for r in feed) * 1000)
+        while fired := [t for t in held.timers if t <= mark]:
+            held.timers.remove(min(fired))
+            expired, now = Now(min(fired)), Now(mark)
+            for out in job.handleExpiredTimer(("p",), now, expired):
+                got += out.itertuples(index=False, name=None)
+        assert held.requests - before[0] < 40
+    want = plain(feeds)
+    assert len(got) > 800 and {g[3] for g in got} == {"webhook", "stale", "unchanged", "scheduled"}
+    assert sorted((p, s, round(at, 6), d, r) for p, s, at, d, r in got) == [(p, s, round(at, 6), d, r) for p, s, at, d, r in want]
