@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import lexical, retrieval
 from quern.operators.best import TASKS_A_CORE, Best
+from quern.plans import registry
 
 
 def test_kept_rows_are_the_best_of_all():
@@ -96,3 +97,8 @@ def test_dense_search_over_many_batches(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     cosine = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]).T, 9)
     assert got == [(i, r + 1, int(c)) for i in range(3) for r, c in enumerate(np.lexsort([np.arange(3000), -cosine[i]])[:5])]
+
+
+def test_rerank_reads_the_fused_list_it_has_written(spark, sf):
+    """Both sides of its join come from one search."""
+    assert not any("documents" in f for f in registry.queries()["t6_rerank"](spark, sf).inputFiles())
