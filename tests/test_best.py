@@ -102,3 +102,25 @@ def test_dense_search_over_many_batches(spark, monkeypatch):
 def test_rerank_reads_the_fused_list_it_has_written(spark, sf):
     """Both sides of its join come from one search."""
     assert not any("documents" in f for f in registry.queries()["t6_rerank"](spark, sf).inputFiles())
+
+
+def test_filters_apply_where_chunks_are_scored(spark, corpus):
+    """Requests with filters find the k best of what they admit, with no join of scored chunks to their documents."""
+    rows, chunks, asked, terms = corpus
+    found = terms.select("config", F.col("stem").alias("term"), "stem").distinct()
+    wants = {q: (f"s{q % 3}" if q % 2 else None, "a/1" if q % 4 == 0 else None) for q in range(8)}
+    requests = spark.createDataFrame([(q, *w) for q, w in wants.items()], "query_id long, source string, path string")
+    placed = chunks.withColumn("source", F.expr("concat('s', doc_id % 3)")).withColumn("path", F.expr("concat('a/', doc_id % 20, '/', doc_id)"))
+    handed = lexical.best(placed, terms, found, 4, match={"source": "equal", "path": "prefix"}, asked=requests)
+    assert not any("hashpartitioning" in line or "Join" in line for line in exchanged(handed))
+    got = {}
+    for r in sorted(lexical.ranked(handed, 4).collect(), key=lambda r: r.lexical_rank):
+        got.setdefault((r.query_id, r.config), []).append((r.doc_id, r.chunk_index))
+    want = {}
+    for q, c in {(a[0], a[1]) for a in asked}:
+        ts, (source, path) = {a[2] for a in asked if a[:2] == (q, c)}, wants[q]
+        own = [(d, i, t) for config, d, i, t in rows if config == c and source in (None, f"s{d % 3}") and (path is None or f"a/{d % 20}/{d}".startswith(path + "/"))]
+        scored = [(-round(0.1 * sum(w in ts for w in t) / np.log(len(t) + 1), 9), len(t), i, d) for d, i, t in own if ts & set(t)]
+        if scored:
+            want[q, c] = [(d, i) for _, _, i, d in sorted(scored)[:4]]
+    assert got == want and 0 < len(got) < 16  # some admit nothing
